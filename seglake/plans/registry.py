@@ -18,16 +18,16 @@ ORACLES: dict[str, str] = {}
 
 VIEWS = {
     "tok": r"""
-      w AS (SELECT conv_id session_id, turn, role,
+      tokw AS (SELECT conv_id session_id, turn, role,
               unnest(regexp_split_to_array(trim("text"), '\s+')) word,
               generate_subscripts(regexp_split_to_array(trim("text"), '\s+'), 1) - 1 pos FROM conversations),
-      base AS (SELECT session_id, turn, pos, word,
+      tokb AS (SELECT session_id, turn, pos, word,
               CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END speaker,
               CASE WHEN turn % 2 = 0 THEN 'en' ELSE 'ko' END lang,
-              row_number() OVER (PARTITION BY session_id ORDER BY turn, pos) seq FROM w),
+              row_number() OVER (PARTITION BY session_id ORDER BY turn, pos) seq FROM tokw),
       tok AS (SELECT session_id, turn, pos, word, speaker, lang, seq,
               CAST(400*(seq-1) + sum(CASE WHEN pos = 0 THEN 500*(turn % 4) ELSE 0 END)
-                OVER (PARTITION BY session_id ORDER BY seq) AS BIGINT) AS start_ms FROM base)""",
+                OVER (PARTITION BY session_id ORDER BY seq) AS BIGINT) AS start_ms FROM tokb)""",
     "seg": r"""
       seg AS (SELECT session_id, turn seg_id, min(start_ms) start_ms, max(start_ms)+100 end_ms,
               string_agg(word, ' ' ORDER BY seq) "text", min(speaker) speaker, min(lang) lang

@@ -21,7 +21,10 @@ class Tables:
 
     @property
     def doc(self) -> DataFrame:
-        return self.read("documents")
+        """Texts need CPU: when the table has fewer file splits than the cluster
+        has slots (one small file), spread the rows first."""
+        df, slots = self.read("documents"), self.spark.sparkContext.defaultParallelism
+        return df.repartition(slots) if len(df.inputFiles()) < slots and df.rdd.getNumPartitions() < slots else df
 
     @property
     def emb(self) -> DataFrame:
