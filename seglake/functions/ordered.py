@@ -102,9 +102,23 @@ def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def shared(df: DataFrame, *by: str) -> DataFrame:
+    """Shuffle ``df`` by the columns and keep it whole for several readers.
+
+    The other columns pass through a generator, so each reader needs all of them
+    from the shuffle. The shuffles of all readers are then equal and Spark runs
+    one of them; without this, column pruning makes each reader's shuffle
+    different and everything above it is computed once per reader."""
+    rest = [c for c in df.columns if c not in by]
+    placed = df.repartition(*by)
+    if not rest:
+        return placed
+    return placed.select(*by, F.inline(F.array(F.struct(*rest)))).select(*df.columns)
+
+
 def scan(df: DataFrame, keys: list[str], order: list[str], block: Column, **scans: Scan) -> DataFrame:
     """Add one column per entry of ``scans``, computed along ``order`` per ``keys``."""
-    blocked = df.withColumn("_blk", block.cast("bigint"))
+    blocked = shared(df.withColumn("_blk", block.cast("bigint")), *keys, "_blk")
     local_w = Window.partitionBy(*keys, "_blk").orderBy(*order)
     upto = local_w.rowsBetween(Window.unboundedPreceding, 0)
     ahead = local_w.rowsBetween(1, Window.unboundedFollowing)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import values as V
@@ -14,6 +14,12 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def hold(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add computed columns behind a generator. Lambdas over them then read the
+    value; plain projections would be merged and computed again per element."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def strip(x: Column | str) -> Column:
     """Both ends, any whitespace."""
     return F.regexp_replace(_c(x), r"^\s+|\s+$", "")

@@ -79,10 +79,10 @@ def run_stats(runs: DataFrame, keys: list[str], value: str) -> DataFrame:
 def latin_recall(pairs: DataFrame, ref: str, hyp: str) -> DataFrame:
     """Share of Latin reference words found in the hypothesis' word set."""
     words = F.regexp_extract_all(F.col(ref), F.lit(r"(?U)\b[A-Za-z][A-Za-z'\-]+\b"), 0)
-    got = X.scoring_words(hyp)
-    hits = F.size(F.filter(words, lambda w: F.array_contains(got, F.lower(w))))
-    return pairs.withColumn("n_latin", F.size(words)).withColumn("hits", hits).withColumn(
-        "ratio", F.when(F.col("n_latin") > 0, F.col("hits") / F.col("n_latin")).otherwise(0.0))
+    held = X.hold(pairs, _latin=F.transform(words, F.lower), _got=X.scoring_words(hyp))
+    hits = F.size(F.filter("_latin", lambda w: F.array_contains("_got", w)))
+    return held.withColumn("n_latin", F.size("_latin")).withColumn("hits", hits).withColumn(
+        "ratio", F.when(F.col("n_latin") > 0, F.col("hits") / F.col("n_latin")).otherwise(0.0)).drop("_latin", "_got")
 
 
 def language_distribution(lines: DataFrame, keys: list[str], lang: str = "lang") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..functions import values as V
-from ..functions.ordered import before_known, following, prev, rows_block, scan, whole_max
+from ..functions.ordered import before_known, following, prev, rows_block, scan, shared, whole_max
 
 SMALL_DICTIONARY = 20_000
 
@@ -233,6 +233,7 @@ def strip_leading_punct(tokens: DataFrame, keys: list[str], batch: str, order: s
              _seen=before_known(F.when(F.col("_real").isNotNull(), F.struct(F.col(batch).alias("b"), F.col("_real").alias("w")))),
              _open=before_known(F.when(~F.col("_mark"), F.col(batch))))
     # last real word of an earlier batch: the word before the batch's first row
+    s = shared(s, *keys, batch)
     first = s.groupBy(*keys, batch).agg(F.min_by("_seen.w", order).alias("_tail"))
     s = s.join(first, [*keys, batch], "left")
     leading = F.col("_mark") & (F.col("_open").isNull() | (F.col("_open") != F.col(batch)))
