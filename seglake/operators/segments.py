@@ -14,6 +14,7 @@ from ..functions import values as V
 from ..functions.folds import fold_sorted
 from ..functions.ordered import (before_known, following, islands, next_known, own_rows, prev, rows_block, running_sum,
                                  scan, shared, whole_max, with_halo)
+from ..session import cut
 from .sets import content_words
 
 
@@ -47,6 +48,8 @@ def grammar_gate(segments: DataFrame, keys: list[str], now: Column | None = None
     speaker_split; merged silences are removed; examined runs become one row."""
     s = segments if "speaker" in segments.columns else segments.withColumn("speaker", F.when(F.col("kind") == "silence", -2).otherwise(-1))
     blk = rows_block("seg_no")
+    # the plan above would be copied by each of the scans below: write it once
+    s = cut(s)
     around = F.struct("kind", "punct", "text", "lang", "hard", "speaker")
     s = scan(s, keys, ["seg_no"], blk, _pk=prev("kind"))
     run = (F.col("kind") != "silence") | (F.coalesce(F.col("_pk"), F.lit("")) != "silence")
@@ -57,7 +60,7 @@ def grammar_gate(segments: DataFrame, keys: list[str], now: Column | None = None
     first = s.groupBy(*keys, "_run").agg(F.min("seg_no").alias("_first"))
     s = s.join(first, [*keys, "_run"])
     examined = (F.col("kind") == "silence") & F.coalesce((F.col("_prev.no") == F.col("_first") - 1) & ~F.col("_prev.s.punct"), F.lit(False))
-    s = s.withColumn("_ex", examined).withColumn("_g", F.when(F.col("_ex"), F.col("_first")).otherwise(F.col("seg_no")))
+    s = cut(s.withColumn("_ex", examined)).withColumn("_g", F.when(F.col("_ex"), F.col("_first")).otherwise(F.col("seg_no")))
     m = s.groupBy(*keys, "_g").agg(
         F.first("kind").alias("kind"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.min_by("text", "seg_no").alias("text"),
         F.min_by("lang", "seg_no").alias("lang"), F.max("punct").alias("punct"), F.max("hard").alias("hard"), F.first("speaker").alias("speaker"),
@@ -90,6 +93,7 @@ def finalize_lines(segments: DataFrame, keys: list[str], sep: str = " ") -> Data
     for name in ("pending", "speaker_split"):
         if name not in s.columns:
             s = s.withColumn(name, F.lit(False))
+    s = cut(s)
     starts = F.col("_p").isNull() | (F.col("_p.speaker") != F.col("speaker")) | F.col("_p.hard") | F.col("_p.punct")
     s = islands(s, keys, ["seg_no"], rows_block("seg_no"), starts, "line", _p=prev(F.struct("speaker", "hard", "punct")))
     g = s.groupBy(*keys, "line").agg(
@@ -97,7 +101,7 @@ def finalize_lines(segments: DataFrame, keys: list[str], sep: str = " ") -> Data
         F.array_sort(F.collect_list(F.when(F.coalesce("text", F.lit("")) != "", F.struct("seg_no", "text")))).alias("_t"),
         F.min_by("lang", "seg_no").alias("lang"), F.max_by("hard", "seg_no").alias("hard"), F.max_by("punct", "seg_no").alias("punct"),
         F.min_by("pending", "seg_no").alias("pending"), F.min_by("speaker_split", "seg_no").alias("speaker_split"))
-    g = g.withColumn("text", F.array_join(F.transform("_t", lambda x: x["text"]), sep)).drop("_t")
+    g = cut(g.withColumn("text", F.array_join(F.transform("_t", lambda x: x["text"]), sep)).drop("_t"))
     g = scan(g, keys, ["line"], rows_block("line"), _n=following(F.struct("speaker", "speaker_split")), _top=whole_max("line"))
     trigger = F.when(F.col("_n").isNotNull() & (F.col("speaker") != -2),
         F.when(F.col("hard"), "language_switch")
@@ -109,7 +113,7 @@ def finalize_lines(segments: DataFrame, keys: list[str], sep: str = " ") -> Data
 
 def finalize_grace(lines: DataFrame, keys: list[str], now: Column, flush: bool = False, grace_ms: int = V.FINALIZE_GRACE_MS) -> DataFrame:
     """While the last row is a fresh silence, the text before it is not final."""
-    s = scan(lines, keys, ["line"], rows_block("line"), _n=following(F.struct("line", "speaker", "start_ms", "pending")), _top=whole_max("line"))
+    s = scan(cut(lines), keys, ["line"], rows_block("line"), _n=following(F.struct("line", "speaker", "start_ms", "pending")), _top=whole_max("line"))
     watched = F.coalesce((F.col("_n.line") == F.col("_top")) & (F.col("_n.speaker") == -2) & ~F.col("_n.pending") & (F.col("speaker") != -2) & (F.col("text") != ""), F.lit(False))
     ok = F.lit(flush) | (now - F.col("_n.start_ms") >= grace_ms)
     return s.withColumn("finalized", F.when(watched, ok).otherwise(F.col("finalized"))).withColumn(

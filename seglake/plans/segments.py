@@ -9,6 +9,7 @@ from ..operators import filters as FI
 from ..operators import segments as G
 from ..operators import speech as P
 from ..operators import windows as W
+from ..session import cut
 from .registry import query
 from .shared import PHRASES, user_first
 
@@ -21,7 +22,8 @@ def rows(t):
     text = k.select("session_id", "turn", F.lit(1).alias("slot"), "seq", F.lit("text").alias("kind"), "start_ms", (F.col("start_ms") + 100).alias("end_ms"), F.col("word").alias("text"), "lang")
     sil = t.sil.select("session_id", F.col("seg_id").alias("turn"), F.lit(2).alias("slot"), F.lit(0).cast("bigint").alias("seq"), F.lit("silence").alias("kind"), "start_ms", "end_ms", F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("lang"))
     sw = t.seg.filter("seg_id % 4 = 2").select("session_id", F.col("seg_id").alias("turn"), F.lit(0).alias("slot"), F.lit(0).cast("bigint").alias("seq"), F.lit("lang_switch").alias("kind"), "start_ms", F.col("start_ms").alias("end_ms"), F.lit("").alias("text"), "lang")
-    return scan(text.unionByName(sil).unionByName(sw), S, ["turn", "slot", "seq"], rows_block("turn", 1024), pos=row_no()).drop("slot")
+    every = cut(text.unionByName(sil).unionByName(sw))
+    return scan(every, S, ["turn", "slot", "seq"], rows_block("turn", 1024), pos=row_no()).drop("slot")
 
 
 ABBR = ", ".join(f"'{a}'" for a in V.ABBREVIATIONS_EN)
@@ -88,9 +90,9 @@ def _(t):
 def _(t):
     """Sessions seen while their last row is a silence: odd ones just after it began."""
     from ..functions.ordered import whole_max
-    lines = G.finalize_lines(spoken(t), S)
+    lines = cut(G.finalize_lines(spoken(t), S))
     lines = scan(lines, S, ["line"], rows_block("line"), top=whole_max("line"))
-    lines = lines.filter(~((F.col("line") == F.col("top")) & (F.col("speaker") != -2)))
+    lines = cut(lines.filter(~((F.col("line") == F.col("top")) & (F.col("speaker") != -2))))
     lines = scan(lines, S, ["line"], rows_block("line"), last_start=whole_max("start_ms"))
     now = F.col("last_start") + F.when(F.col("session_id") % 2 == 0, 2500).otherwise(500)
     return G.finalize_grace(lines, S, now).select("session_id", "line", "finalized", "finalize_trigger")
@@ -227,7 +229,9 @@ def _(t):
 def _(t):
     """Tokens, segments, cleaning, and the rollup per session."""
     lines = G.finalize_lines(spoken(t), S).withColumn("key", F.concat_ws(":", "session_id", "line"))
+    lines = cut(lines)
     clean = FI.clean_segments(lines, PHRASES, user_first(t), "key", whole_words=True, silence=F.col("speaker") == -2)
+    clean = cut(clean)
     counts = A.timeline_counts(clean.withColumn("speaker", F.when(F.col("speaker") >= 0, F.col("speaker") + 1).otherwise(F.col("speaker"))), S)
     changes = W.n_speaker_changes(clean, S, "line")
     span = clean.groupBy(*S).agg(F.count(F.lit(1)).alias("n_lines"), F.max("end_ms").alias("end_ms"))
