@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import feed as FE
 from ..sources import exports as EX
 from ..sources.catalogs import flatten_words
+from ..session import cut
 from .registry import query
 from .shared import with_silence
 
@@ -25,7 +26,7 @@ def _(t):
 
 @query("str20_decode_deltas", "SELECT session_id, line_idx, line_id, line_text, false AS desync FROM snap WHERE (session_id, seq) IN (SELECT (session_id, max(seq)) FROM snap GROUP BY session_id)")
 def _(t):
-    m, n = FE.encode_deltas(t.snap, S)
+    m, n = (cut(x) for x in FE.encode_deltas(cut(t.snap), S))
     return FE.decode_deltas(m, n, S, t.snap.groupBy(*S).agg(F.max("seq").alias("at")))
 
 
