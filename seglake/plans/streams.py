@@ -69,3 +69,47 @@ def _(t):
     raw = s.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("seg_id", "b"))).alias("a"))
     raw = raw.select(F.concat(F.lit("f"), F.col("session_id").cast("string")).alias("file"), F.array_join(F.transform("a", lambda x: x["b"]), "").alias("value"))
     return parse_scripts(raw)
+
+
+@query("str10_reconcile")
+def _(t):
+    from ..operators.segments import retract
+    from ..session import cut
+    from ..streaming.reconcile import Reconcile
+    sw = F.col("kind") == "lang_switch"
+    r = rows(t).withColumn("boundary_t", F.when(sw, F.col("start_ms") - 300)).withColumn("prev_lang", F.when(sw, F.lit("ko"))).withColumn("floor", F.when(sw, F.col("start_ms") - 4300))
+    z = cut(retract(r, S)).withColumn("new_lang", F.when(sw, F.lit("en")))
+    return FO.on_table(z.select("session_id", "pos", "kind", "start_ms", "end_ms", "text", "lang", "zone", "boundary_t", "new_lang"), S, ["pos"], Reconcile())
+
+
+EDGE_SQL = "lower(regexp_replace(word, '^[.,?!…~\"''`“”‘’()\\[\\]{}<>:;·\\-–—。、，！？ \\t]+|[.,?!…~\"''`“”‘’()\\[\\]{}<>:;·\\-–—。、，！？ \\t]+$', '', 'g'))"
+
+
+@query("str11_own_dedup", f"""WITH n AS (SELECT session_id, seq, turn AS batch, start_ms, {EDGE_SQL} AS x FROM tok WHERE seq % 2 = 0), c AS (SELECT session_id, seq, start_ms, {EDGE_SQL} AS x FROM tok WHERE seq % 2 = 1),
+   p AS (SELECT n.session_id, n.batch, n.seq AS ns, c.seq AS cs, c.start_ms AS c_at, n.x = c.x AS ex FROM n JOIN c ON n.session_id = c.session_id AND abs(n.start_ms - c.start_ms) <= 400 AND n.x <> '' AND c.x <> '' AND (starts_with(n.x, c.x) OR starts_with(c.x, n.x))),
+   d AS (SELECT p.session_id, p.batch, (SELECT max(start_ms) FROM n WHERE n.session_id = p.session_id AND n.batch = p.batch) > max(c_at) + 400 AS e FROM p GROUP BY ALL)
+   SELECT DISTINCT session_id, 'committed' AS side, cs AS seq, 'supersede' AS action FROM p JOIN d USING (session_id, batch) WHERE e UNION SELECT session_id, 'new', ns, 'drop' FROM p JOIN d USING (session_id, batch) WHERE NOT e AND ex""")
+def _(t):
+    from ..operators.ownership import own_dedup
+    k = t.tok
+    return own_dedup(k.filter("seq % 2 = 0").withColumn("batch", F.col("turn")), k.filter("seq % 2 = 1"), S, "batch")
+
+
+@query("str25_trim_points", """SELECT b.session_id, b.seg_id AS step, CASE WHEN b.seg_id >= 2 THEN s.end_ms WHEN b.end_ms - b.start_ms > 9000 THEN b.end_ms - 500 END AS cut_ms FROM seg b LEFT JOIN seg s ON s.session_id = b.session_id AND s.seg_id = b.seg_id - 2""")
+def _(t):
+    from ..operators.ownership import trim_points
+    s = t.seg.select("session_id", (F.col("seg_id") + 1).alias("sent_no"), "end_ms")
+    b = t.seg.select("session_id", F.col("seg_id").alias("step"), F.col("seg_id").alias("n_sentences"), (F.col("end_ms") - 500).alias("last_commit_ms"), F.col("start_ms").alias("offset_ms"), (F.col("end_ms") - F.col("start_ms")).alias("length_ms"))
+    return trim_points(s, b, S, 9000).select("session_id", "step", "cut_ms")
+
+
+@query("sca06_normalize_basic", r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower("text"), '[<\[][^>\]]*[>\]]', '', 'g'), '\(([^)]+?)\)', '', 'g'), '[\p{M}\p{S}\p{P}]', ' ', 'g'), '\s+', ' ', 'g')) AS "text" FROM documents""")
+def _(t):
+    from ..operators.normalize import normalize_corpus
+    return normalize_corpus(t.doc.select("doc_id", "text"))
+
+
+@query("sca07_normalize_english")
+def _(t):
+    from ..operators.normalize import normalize_corpus
+    return normalize_corpus(t.doc.select("doc_id", "text"), mode="english")
