@@ -26,6 +26,11 @@ def rows(t):
     return scan(every, S, ["turn", "slot", "seq"], rows_block("turn", 1024), pos=row_no()).drop("slot")
 
 
+def unbroken(r):
+    """No silence right before a switch, so that the switch can look back."""
+    return r.filter(~((F.col("kind") == "silence") & (F.col("turn") % 4 == 1)))
+
+
 ABBR = ", ".join(f"'{a}'" for a in V.ABBREVIATIONS_EN)
 ROWS = f"""un AS (SELECT session_id, turn, 1 AS slot, seq, 'text' AS kind, start_ms, start_ms + 100 AS end_ms, word AS tx, lang FROM tok UNION ALL SELECT session_id, seg_id, 2, 0, 'silence', start_ms, end_ms, NULL, NULL FROM sil
      UNION ALL SELECT session_id, seg_id, 0, 0, 'lang_switch', start_ms, start_ms, '', lang FROM seg WHERE seg_id % 4 = 2),
@@ -105,7 +110,7 @@ def _(t):
     return G.reattach(r, S).select("session_id", "pos", "place")
 
 
-@query("str09_retract", f"""WITH {ROWS}, m AS (SELECT *, CASE WHEN kind = 'lang_switch' THEN start_ms - 300 END AS bt FROM ro),
+@query("str09_retract", f"""WITH {ROWS}, m AS (SELECT *, CASE WHEN kind = 'lang_switch' THEN start_ms - 300 END AS bt FROM ro WHERE NOT (kind = 'silence' AND turn % 4 = 1)),
    n AS (SELECT *, min(CASE WHEN kind <> 'text' THEN pos END) OVER (PARTITION BY session_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS np FROM m),
    j AS (SELECT n.session_id, n.pos, n.start_ms, n.tx, n.lang, n.kind, x.pos AS xp, x.kind AS xk, x.bt AS xb FROM n LEFT JOIN n x ON x.session_id = n.session_id AND x.pos = n.np),
    k AS (SELECT *, max(CASE WHEN kind = 'text' AND start_ms < xb - 4000 THEN pos END) OVER (PARTITION BY session_id, xp) AS sp FROM j)
@@ -113,7 +118,7 @@ def _(t):
    FROM k WHERE kind = 'text' AND xk = 'lang_switch' AND pos > coalesce(sp, -1) AND lang = 'ko' AND (start_ms >= xb - 50 OR regexp_matches(tx, '[A-Za-z]') OR start_ms >= xb - 1200)""")
 def _(t):
     sw = F.col("kind") == "lang_switch"
-    r = rows(t).withColumn("boundary_t", F.when(sw, F.col("start_ms") - 300)).withColumn("prev_lang", F.when(sw, F.lit("ko"))).withColumn("floor", F.when(sw, F.col("start_ms") - 4300))
+    r = unbroken(rows(t)).withColumn("boundary_t", F.when(sw, F.col("start_ms") - 300)).withColumn("prev_lang", F.when(sw, F.lit("ko"))).withColumn("floor", F.when(sw, F.col("start_ms") - 4300))
     return G.retract(r, S).filter("zone is not null").select("session_id", "pos", "zone")
 
 

@@ -7,7 +7,7 @@ from ..sources.texts import parse_scripts
 from ..streaming import folds as FO
 from .joins import overlapping
 from .registry import query
-from .segments import rows
+from .segments import rows, unbroken
 
 S = ["session_id"]
 
@@ -77,7 +77,7 @@ def _(t):
     from ..session import cut
     from ..streaming.reconcile import Reconcile
     sw = F.col("kind") == "lang_switch"
-    r = rows(t).withColumn("boundary_t", F.when(sw, F.col("start_ms") - 300)).withColumn("prev_lang", F.when(sw, F.lit("ko"))).withColumn("floor", F.when(sw, F.col("start_ms") - 4300))
+    r = unbroken(rows(t)).withColumn("boundary_t", F.when(sw, F.col("start_ms") - 300)).withColumn("prev_lang", F.when(sw, F.lit("ko"))).withColumn("floor", F.when(sw, F.col("start_ms") - 4300))
     z = cut(retract(r, S)).withColumn("new_lang", F.when(sw, F.lit("en")))
     return FO.on_table(z.select("session_id", "pos", "kind", "start_ms", "end_ms", "text", "lang", "zone", "boundary_t", "new_lang"), S, ["pos"], Reconcile())
 
@@ -87,7 +87,7 @@ EDGE_SQL = "lower(regexp_replace(word, '^[.,?!…~\"''`“”‘’()\\[\\]{}<>:
 
 @query("str11_own_dedup", f"""WITH n AS (SELECT session_id, seq, turn AS batch, start_ms, {EDGE_SQL} AS x FROM tok WHERE seq % 2 = 0), c AS (SELECT session_id, seq, start_ms, {EDGE_SQL} AS x FROM tok WHERE seq % 2 = 1),
    p AS (SELECT n.session_id, n.batch, n.seq AS ns, c.seq AS cs, c.start_ms AS c_at, n.x = c.x AS ex FROM n JOIN c ON n.session_id = c.session_id AND abs(n.start_ms - c.start_ms) <= 400 AND n.x <> '' AND c.x <> '' AND (starts_with(n.x, c.x) OR starts_with(c.x, n.x))),
-   d AS (SELECT p.session_id, p.batch, (SELECT max(start_ms) FROM n WHERE n.session_id = p.session_id AND n.batch = p.batch) > max(c_at) + 400 AS e FROM p GROUP BY ALL)
+   h AS (SELECT session_id, batch, max(start_ms) AS b_max FROM n GROUP BY ALL), d AS (SELECT p.session_id, p.batch, max(h.b_max) > max(c_at) + 400 AS e FROM p JOIN h USING (session_id, batch) GROUP BY ALL)
    SELECT DISTINCT session_id, 'committed' AS side, cs AS seq, 'supersede' AS action FROM p JOIN d USING (session_id, batch) WHERE e UNION SELECT session_id, 'new', ns, 'drop' FROM p JOIN d USING (session_id, batch) WHERE NOT e AND ex""")
 def _(t):
     from ..operators.ownership import own_dedup
