@@ -76,17 +76,27 @@ def apply_dictionary(df: DataFrame, entries: DataFrame, key: str, text: str = "t
     """One left-to-right pass, longest entry first, replaced text is not looked
     at again. ``entries`` has unique ``wrong`` and ``correct``.
 
-    Whole words go through a join. Substrings use a compiled alternation while
-    the dictionary has at most ``small`` rows (checked), else a join of text
-    positions with the dictionary."""
-    if whole_words:
-        return _replace_words(df, entries, key, text)
+    While the dictionary has at most ``small`` rows (checked) it travels with an
+    Arrow function: a lookup per word, or one compiled alternation for
+    substrings. A larger one is joined: with the words of the texts, or with
+    their positions."""
     head = entries.select("wrong", "correct").filter("wrong <> ''").take(small + 1)
     if len(head) > small:
-        return _replace_by_position(df, entries, key, text)
+        return (_replace_words if whole_words else _replace_by_position)(df, entries, key, text)
+    if whole_words:
+        return df.withColumn(text, _lookup({r[0]: r[1] for r in head})(F.col(text)))
     return df.withColumn(text, _alternation({r[0]: r[1] for r in head})(F.col(text)))
 
 
+def _lookup(table: dict[str, str]):
+    @F.pandas_udf(T.StringType())
+    def swap(texts: pd.Series) -> pd.Series:
+        pattern = re.compile(V.WORD_TOKEN)
+        return texts.map(lambda t: None if t is None else pattern.sub(lambda m: table.get(m.group(0), m.group(0)), t))
+
+    return swap
+
+
 def _alternation(table: dict[str, str]):
     ordered = sorted(table, key=len, reverse=True)
     source = "|".join(re.escape(k) for k in ordered)
@@ -245,12 +255,16 @@ def strip_leading_punct(tokens: DataFrame, keys: list[str], batch: str, order: s
 
 def compatible(samples: DataFrame, capabilities: DataFrame) -> DataFrame:
     """Pairs of sample and backend whose language the backend supports; a NULL
-    language list means all. One row per backend and language is joined, so the
-    sample side is never multiplied by unsupported backends."""
+    language list means all. Listed backends join on the language; the backends
+    that take everything (a handful of configuration rows) are exploded onto
+    each sample, which is exactly the output."""
     listed = capabilities.filter(F.col("languages").isNotNull()).select("backend", F.explode("languages").alias("language"))
-    all_of = samples.select("language").distinct().join(
-        F.broadcast(capabilities.filter(F.col("languages").isNull()).select("backend")), how="cross")
-    return samples.join(listed.unionByName(all_of), "language")
+    named = samples.join(listed, "language")
+    open_to_all = [r[0] for r in capabilities.filter(F.col("languages").isNull()).select("backend").collect()]
+    if not open_to_all:
+        return named
+    every = samples.withColumn("backend", F.explode(F.array(*[F.lit(b) for b in open_to_all])))
+    return named.unionByName(every)
 
 
 def word_anomaly(probability: Column, duration_ms: Column) -> Column:

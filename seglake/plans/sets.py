@@ -49,7 +49,7 @@ def _(t):
     base = d.select(F.concat(F.lit("w"), (F.col("doc_id") % 20).cast("string")).alias("wrong"), F.lit("base").alias("correct")).distinct()
     user = d.select(F.concat(F.lit("w"), (F.col("doc_id") % 80 + 10).cast("string")).alias("wrong"), F.lit("user").alias("correct")).distinct()
     force, revision = D.apply_changes(base, user, ch)
-    return force.join(F.broadcast(revision), how="cross")
+    return force.withColumn("revision", F.lit(revision.first()[0]))
 
 
 @query("top01_longest_first", f"WITH {DIC_SQL} SELECT wrong, correct, length(wrong) AS n FROM merged ORDER BY n DESC, wrong")

@@ -44,6 +44,9 @@ def test_dictionary_paths_agree(spark):
     a = {x.id: x.text for x in FI.apply_dictionary(d, e, "id").collect()}
     b = {x.id: x.text for x in FI.apply_dictionary(d, e, "id", small=1).collect()}
     assert a == b
+    a = {x.id: x.text for x in FI.apply_dictionary(d, e, "id", whole_words=True).collect()}
+    b = {x.id: x.text for x in FI.apply_dictionary(d, e, "id", whole_words=True, small=1).collect()}
+    assert a == b
 
 
 def test_edit_path_is_cheapest_and_ordered():
