@@ -7,11 +7,12 @@ the library. Every piece is encoded by the library itself."""
 from __future__ import annotations
 
 import os
+from functools import lru_cache
 
 import numpy as np
 
 #: Pieces, and characters in them, that a task keeps before it starts anew.
-MOST_PIECES, MOST_CHARS = 400_000, 8_000_000
+MOST_PIECES, MOST_CHARS = 600_000, 12_000_000
 
 
 class _Index(dict):
@@ -82,3 +83,9 @@ class PieceEncoder:
         at = np.repeat(self.starts[places] - ends[:-1], sizes) + np.arange(ends[-1])
         bounds = np.concatenate(([0], np.cumsum(counts)))
         return self.flat[at], ends[bounds]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> PieceEncoder:
+    """Kept by a worker from task to task."""
+    return PieceEncoder(path)

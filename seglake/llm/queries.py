@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, simhash
+from . import bpe, decontaminate, langid, simhash, token_counts, token_files
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,12 @@ def op2_bpe_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+@query
+def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    return token_files.read(token_files.write(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2), ids=False)
+
+
 @query
 def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text", "lang")
@@ -34,6 +40,12 @@ def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return told.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+@query
+def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    return token_counts.with_token_counts(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text")
+
+
 @query
 def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text")
