@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, simhash, token_counts, token_files
+from . import bpe, decontaminate, langid, main_text, mtree, simhash, token_counts, token_files, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,17 @@ def op2_bpe_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+@query
+def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages", "page_id", "url")
+    return url_filter.judge(pages, url_filter.SITES + url_filter.PATTERNS).drop("url")
+
+
+@query
+def op4_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text.extract(table(spark, folder, "pages", "page_id", "url", "html")).drop("html")
+
+
 @query
 def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text")
@@ -53,6 +64,12 @@ def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.digest(found)
 
 
+@query
+def op9_topk_mtree(spark: SparkSession, folder: str) -> DataFrame:
+    rows = mtree.integers(table(spark, folder, "embeddings", "vec_id", "embedding"))
+    return mtree.top_k(rows, rows.where("vec_id % 20 = 0"))
+
+
 @query
 def op10_simhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents", "doc_id", "text"))
