@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, main_text, mtree, simhash, token_counts, token_files, url_filter
+from . import bpe, decontaminate, langid, license_scan, main_text, mtree, simhash, token_counts, token_files, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,11 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.summary(license_scan.scan(table(spark, folder, "documents", "doc_id", "text")))
+
+
 @query
 def op2_bpe_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text")
