@@ -34,6 +34,8 @@ HIDDEN = re.compile(r"""(?:\s|^)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|d
 VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "source", "embed", "area", "base", "col", "param", "track"}
 SHED = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "head", "datalist"}
 CONTAINERS = {"html", "body", "div", "section", "article", "main", "header", "footer", "nav", "aside", "table", "ul", "ol", "dl", "form", "fieldset", "center"}
+#: Lists and tables part lines, but leave no gap.
+DENSE = {"ul", "ol", "dl", "table"}
 LINES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "blockquote", "pre", "address",
          "figure", "figcaption", "details", "summary", "hr", "br", "legend", "hgroup", "option", "head"} | CONTAINERS
 #: Words in class, id or role that mark a container without article text.
@@ -104,7 +106,7 @@ class Lines:
                 continue
             closed = bool(m["end"])
             if tag in LINES:
-                self._line(tag in CONTAINERS)
+                self._line(tag in CONTAINERS and tag not in DENSE)
             if tag == "a":
                 self.links = max(0, self.links + (-1 if closed else 1))
             if tag in ("article", "main"):

@@ -143,9 +143,10 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, page: int = PAGE, nu
                     held.append((ids[i], row))
                     continue
                 if grown is None:
-                    grown = {n: Tree(np.array([h for h, r in held if len(r) == n], dtype=np.int64),
-                                     np.array([r for _, r in held if len(r) == n]).reshape(-1, n), longest, page)
-                             for n in {len(r) for _, r in held}}
+                    grown = {}
+                    for n in {len(r) for _, r in held}:
+                        own = [(h, r) for h, r in held if len(r) == n]
+                        grown[n] = Tree(np.array([h for h, _ in own], dtype=np.int64), np.array([r for _, r in own]).reshape(len(own), n), longest, page)
                     held = []
                 if len(row) in grown:
                     best_ids, best = grown[len(row)].search(row, ids[i], k)
