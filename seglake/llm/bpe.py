@@ -138,7 +138,9 @@ def encode_decode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("ids", "d
     kinds = {"ids": (ArrayType(IntegerType()), pa.list_(pa.int32())), "decoded": (StringType(), pa.string()), "n_tokens": (LongType(), pa.int64()),
              "ids_sha256": (StringType(), pa.string()), "decoded_sha256": (StringType(), pa.string())}
     wanted = [name for name in kinds if name in keep]
-    spread = route(docs, text).drop(text).repartitionByRange(F.col("_route"), F.xxhash64("_packed")).sortWithinPartitions("_route")
+    routed = route(docs, text).drop(text)
+    own = F.xxhash64(*[f"`{c}`" for c in routed.columns if c != "_route"])  # parts a group of copies among several tasks
+    spread = routed.repartitionByRange("_route", own).sortWithinPartitions("_route")
 
     def kernel():
         chunks = ChunkEncoder(path)
