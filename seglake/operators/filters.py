@@ -13,10 +13,9 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..functions import values as V
+from ..functions.entries import replace_parts, replace_words
 from ..functions.ordered import before_known, following, prev, rows_block, scan, shared, whole_max
 
-SMALL_DICTIONARY = 20_000
-
 
 def visible(tokens: DataFrame) -> DataFrame:
     """Hide tombstones."""
@@ -71,80 +70,13 @@ def collapse_punct(df: DataFrame, text: str = "text") -> DataFrame:
 
 # --- dictionary ---------------------------------------------------------------
 
-def apply_dictionary(df: DataFrame, entries: DataFrame, key: str, text: str = "text", whole_words: bool = False,
-                     small: int = SMALL_DICTIONARY) -> DataFrame:
-    """One left-to-right pass, longest entry first, replaced text is not looked
-    at again. ``entries`` has unique ``wrong`` and ``correct``.
-
-    While the dictionary has at most ``small`` rows (checked) it travels with an
-    Arrow function: a lookup per word, or one compiled alternation for
-    substrings. A larger one is joined: with the words of the texts, or with
-    their positions."""
-    head = entries.select("wrong", "correct").filter("wrong <> ''").take(small + 1)
-    if len(head) > small:
-        return (_replace_words if whole_words else _replace_by_position)(df, entries, key, text)
-    if whole_words:
-        return df.withColumn(text, _lookup({r[0]: r[1] for r in head})(F.col(text)))
-    return df.withColumn(text, _alternation({r[0]: r[1] for r in head})(F.col(text)))
-
-
-def _lookup(table: dict[str, str]):
-    @F.pandas_udf(T.StringType())
-    def swap(texts: pd.Series) -> pd.Series:
-        pattern = re.compile(V.WORD_TOKEN)
-        return texts.map(lambda t: None if t is None else pattern.sub(lambda m: table.get(m.group(0), m.group(0)), t))
-
-    return swap
-
-
-def _alternation(table: dict[str, str]):
-    ordered = sorted(table, key=len, reverse=True)
-    source = "|".join(re.escape(k) for k in ordered)
-
-    @F.pandas_udf(T.StringType())
-    def substitute(texts: pd.Series) -> pd.Series:
-        if not table:
-            return texts
-        pattern = re.compile(source)
-        return texts.map(lambda t: None if t is None else pattern.sub(lambda m: table[m.group(0)], t))
-
-    return substitute
-
-
-def _replace_words(df: DataFrame, entries: DataFrame, key: str, text: str) -> DataFrame:
-    pieces = df.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(f"(?:{V.WORD_TOKEN})|[^A-Za-z'가-힣]+"), 0))
-                       .alias("_pos", "wrong"))
-    swapped = pieces.join(entries.select("wrong", "correct"), "wrong", "left").select(
-        key, F.struct("_pos", F.coalesce("correct", "wrong").alias("piece")).alias("_p"))
-    built = swapped.groupBy(key).agg(F.array_sort(F.collect_list("_p")).alias("_all"))
-    built = built.select(key, F.array_join(F.transform("_all", lambda p: p["piece"]), "").alias("_new"))
-    return df.join(built, key, "left").withColumn(text, F.coalesce("_new", text)).drop("_new")
-
-
-def _replace_by_position(df: DataFrame, entries: DataFrame, key: str, text: str) -> DataFrame:
-    """Large dictionaries: every (position, key length) substring is looked up by
-    an equi join; each text then takes its matches from left to right."""
-    lengths = [r[0] for r in entries.select(F.length("wrong").alias("n")).filter("n > 0").distinct().collect()]
-    spots = df.select(key, text, F.explode(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))).alias("_at"))
-    cands = spots.select(key, "_at", F.explode(F.array(*[F.lit(n) for n in sorted(lengths)])).alias("_n"), F.col(text).alias("_t"))
-    cands = cands.withColumn("wrong", F.substring("_t", F.col("_at"), F.col("_n"))).filter(F.length("wrong") == F.col("_n"))
-    hits = cands.select(key, "_at", "_n", "wrong").join(entries.select("wrong", "correct"), "wrong")
-    best = hits.groupBy(key, "_at").agg(F.max_by(F.struct("_n", "correct"), "_n").alias("_h"))
-    found = best.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_at", "_h._n", "_h.correct"))).alias("_m"))
-    joined = df.join(found, key, "left")
-    zero = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
-
-    def take(acc, m):
-        gap = F.substring(F.col(text), acc["at"], m["_at"] - acc["at"])
-        return F.when(m["_at"] >= acc["at"], F.struct(
-            (m["_at"] + m["_n"]).alias("at"), F.concat(acc["out"], gap, m["correct"]).alias("out"))).otherwise(acc)
-
-    done = F.aggregate("_m", zero, take)
-    rest = F.concat(done["out"], F.substring(F.col(text), done["at"], F.length(text)))
-    return joined.withColumn(text, F.when(F.col("_m").isNull(), F.col(text)).otherwise(rest)).drop("_m")
-
-
-def clean_segments(lines: DataFrame, phrases: Iterable[str], entries: DataFrame, key: str, text: str = "text",
+def apply_dictionary(df: DataFrame, entries: DataFrame, text: str = "text", whole_words: bool = False) -> DataFrame:
+    """One left-to-right pass, longest entry first, replaced text is not looked at again. Entries (wrong, correct) without a
+    side are skipped; of equal keys the greatest value counts. The dictionary is bounded by ``entries.MOST_CHARS``."""
+    return df.withColumn(text, (replace_words if whole_words else replace_parts)(entries, F.col(text)))
+
+
+def clean_segments(lines: DataFrame, phrases: Iterable[str], entries: DataFrame, text: str = "text",
                    script_class: str = V.CJK_KANA, whole_words: bool = False, silence: Column | None = None) -> DataFrame:
     """The whole cleaning job. Silence and empty rows pass through unchanged;
     rows left without words are dropped. Always run on the raw rows, so that
@@ -154,15 +86,15 @@ def clean_segments(lines: DataFrame, phrases: Iterable[str], entries: DataFrame,
     speech = lines.filter(~passing)
     kept, _ = drop_script(strip_annotations(speech, text), script_class, text)
     tidy = collapse_punct(remove_phrases(kept, phrases, text), text)
-    return apply_dictionary(tidy, entries, key, text, whole_words).unionByName(lines.filter(passing))
+    return apply_dictionary(tidy, entries, text, whole_words).unionByName(lines.filter(passing))
 
 
-def clean_raw(rows: DataFrame, phrases: Iterable[str], entries: DataFrame, key: str, text: str = "text",
+def clean_raw(rows: DataFrame, phrases: Iterable[str], entries: DataFrame, text: str = "text",
               whole_words: bool = False) -> DataFrame:
     """Older, shorter variant: phrases, whitespace, bare dots, dictionary."""
     done = remove_phrases(rows, phrases, text)
     kept = done.filter((F.col(text) != "") & (F.col(text) != "?") & ~F.col(text).rlike(r"^\.+$"))
-    return apply_dictionary(kept, entries, key, text, whole_words)
+    return apply_dictionary(kept, entries, text, whole_words)
 
 
 # --- confidence and quality ---------------------------------------------------

@@ -5,10 +5,12 @@ the time order (``asof``); nothing compares all pairs of a session."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.entries import gathered
 from ..functions import values as V
 from ..functions.ordered import (first_of, last_known, next_known, row_no, rows_block, running_sum, scan,
                                  time_block)
@@ -148,24 +150,29 @@ def cross_reference(logs: DataFrame, transcripts: DataFrame, keys: list[str]) ->
     return logs.join(transcripts, keys, "inner").withColumn("conclusion", verdict)
 
 
-def relevant_glossary(df: DataFrame, glossary: DataFrame, key: str, text: str = "text", stem: int = 6) -> DataFrame:
-    """Entries of which either side occurs in the text, ignoring case.
-
-    Each text position emits the characters that follow it; they meet the
-    entries on an equal stem (the first ``stem`` characters, or all of a shorter
-    entry) and are then compared in full, so nothing is compared that does not
-    share a stem."""
-    sides = glossary.select("origin", "translation", F.explode(F.array(F.lower("origin"), F.lower("translation"))).alias("side"))
-    sides = sides.filter("side <> ''").distinct().withColumn("stem", F.substring("side", 1, stem))
-    # at most ``stem`` different lengths
-    lengths = sorted(r[0] for r in sides.select(F.length("stem")).distinct().collect())
-    longest = sides.agg(F.max(F.length("side"))).first()[0] or 1
-    low = df.select(key, F.lower(text).alias("_t"))
-    pieces = low.select(key, F.explode(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length("_t"), F.lit(1))), lambda i: F.substring(F.col("_t"), i, F.lit(longest)))).alias("piece"))
-    stems = pieces.select(key, "piece", F.explode(F.array(*[F.substring("piece", 1, n) for n in lengths])).alias("stem"))
-    hit = stems.join(sides, "stem").filter(F.startswith("piece", "side"))
-    return hit.select(key, "origin", "translation").distinct()
+def relevant_glossary(df: DataFrame, glossary: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """Entries of which either side occurs in the text, ignoring case: one pass over each text with an automaton of all
+    sides. The glossary is bounded by ``entries.MOST_CHARS``; its entries are joined to what was found."""
+    sides = glossary.select("origin", "translation", F.explode(F.array(F.lower("origin"), F.lower("translation"))).alias("side")).filter("side <> ''")
+    table = df.sparkSession.sparkContext.broadcast([r[0] for r in gathered(sides.select("side").distinct(), "side")])
+    ready: list = []
+
+    @F.pandas_udf("array<string>")
+    def held(texts: pd.Series) -> pd.Series:
+        if not table.value:
+            return texts.map(lambda t: [])
+        if not ready:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for side in table.value:
+                automaton.add_word(side, side)
+            automaton.make_automaton()
+            ready.append(automaton)
+        return texts.map(lambda t: sorted({side for _, side in ready[0].iter(t)}) if t else [])
+
+    found = df.select(key, F.explode(held(F.lower(text))).alias("side"))
+    return found.join(sides, "side").select(key, "origin", "translation").distinct()
 
 
 def apply_overrides(lines: DataFrame, overrides: DataFrame, keys: list[str], line: str) -> DataFrame:

@@ -16,6 +16,8 @@ ENGLISH_RULES = [
     (r"'d been\b", " had been"), (r"'s been\b", " has been"), (r"'d gone\b", " had gone"), (r"'s gone\b", " has gone"), (r"'d done\b", " had done"), (r"'s got\b", " has got"),
     (r"n't\b", " not"), (r"'re\b", " are"), (r"'s\b", " is"), (r"'d\b", " would"), (r"'ll\b", " will"), (r"'t\b", " not"), (r"'ve\b", " have"), (r"'m\b", " am"),
 ]
+ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿđðł"
+PLAIN = "aaaaaaceeeeiiiinoooooouuuuyyddl"
 FILLERS = r"\b(hmm|mm|mhm|mmm|uh|um)\b"
 
 
@@ -27,21 +29,26 @@ def basic(x: Column) -> Column:
 
 
 def english(x: Column) -> Column:
-    """Fillers, contractions and titles, number commas; the number-word state
-    machine is not built."""
+    """Fillers, contractions and titles, number commas, letters without their accents, and signs of money, percent and points
+    only beside a digit; the number-word state machine is not built."""
     low = F.regexp_replace(F.lower(x), r"[<\[][^>\]]*[>\]]", "")
     low = F.regexp_replace(F.regexp_replace(low, r"\(([^)]+?)\)", ""), FILLERS, "")
     low = F.regexp_replace(low, r"\s+'", "'")
     for pattern, to in ENGLISH_RULES:
         low = F.regexp_replace(low, pattern, to)
     low = F.regexp_replace(F.regexp_replace(low, r"(\d),(\d)", "$1$2"), r"\.([^0-9]|$)", " $1")
-    return F.trim(F.regexp_replace(F.regexp_replace(low, r"[\p{M}\p{S}\p{P}&&[^.%$¢€£]]", " "), r"\s+", " "))
+    low = F.translate(low, ACCENTED, PLAIN)
+    for letter, pair in (("œ", "oe"), ("æ", "ae"), ("ß", "ss"), ("þ", "th")):
+        low = F.replace(low, F.lit(letter), F.lit(pair))
+    low = F.regexp_replace(F.regexp_replace(low, r"\p{Mn}", ""), r"[\p{M}\p{S}\p{P}&&[^.%$¢€£]]", " ")
+    low = F.regexp_replace(F.regexp_replace(low, r"[.$¢€£]([^0-9])", " $1"), r"([^0-9])%", "$1 ")
+    return F.trim(F.regexp_replace(low, r"\s+", " "))
 
 
-def normalize_corpus(df: DataFrame, text: str = "text", mode: str = "basic", spelling: DataFrame | None = None, key: str | None = None) -> DataFrame:
-    """Normalise a text column; ``spelling`` (wrong, correct) is joined per word."""
+def normalize_corpus(df: DataFrame, text: str = "text", mode: str = "basic", spelling: DataFrame | None = None) -> DataFrame:
+    """Normalise a text column; ``spelling`` (wrong, correct) is looked up per word."""
     out = df.withColumn(text, {"basic": basic, "english": english}[mode](F.col(text)))
     if spelling is None:
         return out
     from .filters import apply_dictionary
-    return apply_dictionary(out, spelling, key, text, whole_words=True)
+    return apply_dictionary(out, spelling, text, whole_words=True)

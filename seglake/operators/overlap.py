@@ -28,9 +28,12 @@ def cut_repeat(base: str, said: str, head: int = 0, edits: int = 0, least: int =
     key = "".join(letters).casefold()
     full = "".join(ch for ch in said if not ch.isspace() and ch not in MARKS).casefold()
     for n in range(min(len(letters), len(key)), least - 1, -1):
-        rest = where[n] if n < len(where) else len(base)
-        if rest < len(base) and rest - 1 == where[n - 1]:
+        if n < len(where) and where[n] - 1 == where[n - 1]:
             continue  # inside a word
+        rest = where[n - 1] + 1  # marks that close the repeated part go with it, marks that open the next one stay
+        while rest < len(base) and base[rest] in MARKS:
+            rest += 1
+        rest = len(base) - len(base[rest:].lstrip())
         for skip in range(head + 1):
             want = key[skip:n]
             if want and len(want) <= len(full) and sum(a != b for a, b in zip(full[-len(want):], want)) <= edits:

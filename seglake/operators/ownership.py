@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -25,18 +25,36 @@ def own_dedup(new: DataFrame, committed: DataFrame, keys: list[str], batch: str,
     return old.unionByName(drop).distinct()
 
 
+def _long_cut(limit_ms: int) -> Column:
+    """A buffer over the limit is cut at the last commit, without one in its middle."""
+    middle = F.col("offset_ms") + F.floor(F.col("length_ms") / 2)
+    return F.when(F.col("length_ms") > limit_ms, F.coalesce("last_commit_ms", middle))
+
+
 def trim_points(sentences: DataFrame, buffers: DataFrame, keys: list[str], limit_ms: int = 15_000) -> DataFrame:
-    """Where to cut the buffer at each step: the end of the second-last committed
-    sentence, else the last commit once the buffer is longer than ``limit_ms``.
-    ``sentences``: sent_no (dense), end_ms; ``buffers``: step, n_sentences,
-    last_commit_ms, offset_ms, length_ms."""
+    """Where to cut a buffer longer than ``limit_ms``: at the end of the second-last committed sentence, else at the last
+    commit, else in the middle. Shorter buffers are not cut. ``sentences``: sent_no (dense), end_ms; ``buffers``: step,
+    n_sentences, last_commit_ms, offset_ms, length_ms."""
     s = sentences.select(*keys, (F.col("sent_no") + 1).alias("n_sentences"), F.col("end_ms").alias("_cut"))
     j = buffers.join(s, [*keys, "n_sentences"], "left")
-    long = F.col("length_ms") > limit_ms
-    point = (
-        F.when(F.col("n_sentences") >= 2, F.col("_cut")).when(long & F.col("last_commit_ms").isNotNull(), F.col("last_commit_ms"))
-        .when(long, F.col("offset_ms") + F.floor(F.col("length_ms") / 2)))
-    return j.withColumn("cut_ms", point).drop("_cut")
+    sentence = F.when((F.col("length_ms") > limit_ms) & (F.col("n_sentences") >= 2) & F.col("last_commit_ms").isNotNull(), F.col("_cut"))
+    return j.withColumn("cut_ms", F.coalesce(sentence, _long_cut(limit_ms))).drop("_cut")
+
+
+def trim_segment_ends(ends: DataFrame, buffers: DataFrame, keys: list[str], limit_ms: int = 30_000) -> DataFrame:
+    """Cut at the latest segment end, but for the last segment's, that lies within what is committed; else as a long buffer.
+    ``ends``: step, end_no, end_ms; ``buffers``: step, last_commit_ms, offset_ms, length_ms."""
+    last = ends.groupBy(*keys, "step").agg(F.max("end_no").alias("_last"))
+    inner = ends.join(last, [*keys, "step"]).filter(F.col("end_no") < F.col("_last")).join(buffers.select(*keys, "step", "last_commit_ms"), [*keys, "step"])
+    cut = inner.filter(F.col("end_ms") <= F.col("last_commit_ms")).groupBy(*keys, "step").agg(F.max("end_ms").alias("_cut"))
+    return buffers.join(cut, [*keys, "step"], "left").withColumn("cut_ms", F.coalesce("_cut", _long_cut(limit_ms))).drop("_cut")
+
+
+def starved(buffers: DataFrame, limit_ms: int = 15_000) -> DataFrame:
+    """Buffers to be thrown away: nothing committed in this step, longer than the limit, and no output for as long.
+    ``buffers``: n_committed, length_ms, end_ms, last_output_ms."""
+    quiet = F.col("end_ms") - F.coalesce("last_output_ms", F.lit(0))
+    return buffers.withColumn("reset", (F.col("n_committed") == 0) & (F.col("length_ms") > limit_ms) & (quiet > limit_ms))
 
 
 def with_scores(df: DataFrame, fn, schema: str) -> DataFrame:

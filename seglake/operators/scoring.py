@@ -65,7 +65,7 @@ def edit_path(ref: np.ndarray, hyp: np.ndarray) -> np.ndarray:
 def align(pairs: DataFrame, key: str, ref: str, hyp: str) -> DataFrame:
     """(key, op_no, op, ref_idx, hyp_idx, ref_pos, hyp_pos, ref_word, hyp_word).
     ``ref`` and ``hyp`` are word arrays; ref_pos and hyp_pos count the words
-    consumed after the operation. Texts are spread by size first."""
+    consumed after the operation."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -91,13 +91,32 @@ def align(pairs: DataFrame, key: str, ref: str, hyp: str) -> DataFrame:
     return done.withColumn("ref_idx", F.nullif("ref_idx", F.lit(-1))).withColumn("hyp_idx", F.nullif("hyp_idx", F.lit(-1)))
 
 
-def wer(ops: DataFrame, pairs: DataFrame, key: str, ref: str, hyp: str) -> DataFrame:
+def edit_counts(pairs: DataFrame, key: str, ref: str, hyp: str) -> DataFrame:
+    """(key, substitutions, insertions, deletions, ref_words, hyp_words) per pair, without a row per operation."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for k, r, h in zip(pdf[key], pdf["_r"], pdf["_h"]):
+                code: dict[str, int] = {}
+                a = np.array([code.setdefault(w, len(code)) for w in r], dtype=np.int64)
+                b = np.array([code.setdefault(w, len(code)) for w in h], dtype=np.int64)
+                n = np.bincount(edit_path(a, b), minlength=len(NAMES))
+                out.append((k, int(n[SUB]), int(n[INS]), int(n[DEL]), len(a), len(b)))
+            yield pd.DataFrame(out, columns=[key, *COUNTS])
+
+    kind = pairs.schema[key].dataType.simpleString()
+    src = pairs.select(key, F.col(ref).alias("_r"), F.col(hyp).alias("_h")).repartition(key)
+    return src.mapInPandas(run, f"{key} {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
+
+
+COUNTS = ("substitutions", "insertions", "deletions", "ref_words", "hyp_words")
+
+
+def wer(pairs: DataFrame, key: str, ref: str, hyp: str) -> DataFrame:
     """Counts and rate per pair. An empty reference scores 0 or the number of
     hypothesis words."""
-    count = lambda name: F.count_if(F.col("op") == name)
-    g = ops.groupBy(key).agg(count("sub").alias("substitutions"), count("ins").alias("insertions"), count("del").alias("deletions"))
-    sizes = pairs.select(key, F.size(ref).cast("bigint").alias("ref_words"), F.size(hyp).cast("bigint").alias("hyp_words"))
-    j = sizes.join(g, key, "left").na.fill(0)
+    j = edit_counts(pairs, key, ref, hyp)
     errors = F.col("substitutions") + F.col("insertions") + F.col("deletions")
     return j.withColumn("wer", F.when(F.col("ref_words") > 0, errors / F.col("ref_words")).otherwise(F.col("hyp_words").cast("double")))
 
@@ -256,9 +275,11 @@ def timestamp_accuracy(words: DataFrame, key: str) -> DataFrame:
                     F.when(has, F.array_max("d")).alias("max_delta_start"), F.when(has, mid).alias("median_delta_start"))
 
 
-def midword_splits(ref_words: DataFrame, hyp_words: DataFrame, keys: list[str], longest: int = 4) -> DataFrame:
-    """Reference words that appear in the hypothesis as 2 to ``longest`` pieces
-    with a line start between them. ``hyp_words``: seq (dense), line, key."""
+def midword_splits(ref_words: DataFrame, hyp_words: DataFrame, keys: list[str]) -> DataFrame:
+    """Reference words that appear in the hypothesis as two or more pieces
+    with a line start between them. ``hyp_words``: seq (dense), line, key. A piece
+    has a letter at least, so the longest reference word bounds the pieces."""
+    longest = max(2, ref_words.agg(F.max(F.length("ref_word"))).first()[0] or 2)
     h = with_halo(hyp_words, "seq", 1, longest)
     w = Window.partitionBy(*keys, "_blk").orderBy("seq")
     for i in range(1, longest):

@@ -80,12 +80,12 @@ def _dict_sql(src, key="doc_id"):
 @query("flt07_dictionary_words", f"""WITH {DIC_SQL}, {_dict_sql('documents')}
    SELECT d.doc_id, coalesce(s."text", d."text") AS "text" FROM documents d LEFT JOIN swapped s USING (doc_id)""")
 def _(t):
-    return O.apply_dictionary(t.doc.select("doc_id", "text"), user_first(t), "doc_id", whole_words=True)
+    return O.apply_dictionary(t.doc.select("doc_id", "text"), user_first(t), whole_words=True)
 
 
 @query("flt07_dictionary_substrings")
 def _(t):
-    return O.apply_dictionary(t.doc.select("doc_id", "text"), user_first(t), "doc_id")
+    return O.apply_dictionary(t.doc.select("doc_id", "text"), user_first(t))
 
 
 CLEAN = f"""a AS (SELECT doc_id, {S1} AS "text" FROM documents WHERE coalesce("text", '') <> ''),
@@ -97,14 +97,14 @@ CLEAN = f"""a AS (SELECT doc_id, {S1} AS "text" FROM documents WHERE coalesce("t
 @query("flt08_clean_segments", f"""WITH {DIC_SQL}, {CLEAN}, {_dict_sql('d')}
    SELECT doc_id, "text" FROM swapped UNION ALL SELECT doc_id, "text" FROM documents WHERE coalesce("text", '') = ''""")
 def _(t):
-    return O.clean_segments(t.doc.select("doc_id", "text"), PHRASES, user_first(t), "doc_id", whole_words=True)
+    return O.clean_segments(t.doc.select("doc_id", "text"), PHRASES, user_first(t), whole_words=True)
 
 
 @query("flt08_clean_raw", f"""WITH {DIC_SQL}, r AS (SELECT * FROM (SELECT doc_id, {_phrases_sql(chr(34) + "text" + chr(34))} AS "text"
    FROM documents) WHERE "text" <> '' AND "text" <> '?' AND NOT regexp_full_match("text", '\\.+')), {_dict_sql('r')}
    SELECT doc_id, "text" FROM swapped""")
 def _(t):
-    return O.clean_raw(t.doc.select("doc_id", "text"), PHRASES, user_first(t), "doc_id", whole_words=True)
+    return O.clean_raw(t.doc.select("doc_id", "text"), PHRASES, user_first(t), whole_words=True)
 
 
 PROB = "((length(word) * 37 + seq * 13) % 100) / 100.0"

@@ -53,13 +53,13 @@ def _(t):
 @query("agg02_wer")
 def _(t):
     p = word_pairs(t)
-    return SC.wer(SC.align(p, "doc_id", "r", "h"), p, "doc_id", "r", "h")
+    return SC.wer(p, "doc_id", "r", "h")
 
 
 @query("agg02_corpus_wer")
 def _(t):
     p = word_pairs(t)
-    s = SC.wer(SC.align(p, "doc_id", "r", "h"), p, "doc_id", "r", "h").join(p.select("doc_id", "lang"), "doc_id")
+    s = SC.wer(p, "doc_id", "r", "h").join(t.pair.select("doc_id", "lang"), "doc_id")
     return SC.corpus_wer(s, ["lang"])
 
 
@@ -74,6 +74,76 @@ def _(t):
     return SC.language_mismatch(SC.align(p, "doc_id", "r", "h"), K, accented).select("doc_id", "max_ins_run", "ins_runs_ge3")
 
 
+# Turns against a damaged copy: short pairs, whose whole edit table SQL can build.
+TURN_PAIRS = """pw AS (SELECT session_id * 100000 + turn AS pair_id, word, row_number() OVER (PARTITION BY session_id, turn ORDER BY seq) - 1 AS i FROM tok), rf AS (SELECT pair_id, i + 1 AS i, word FROM pw),
+   hx AS (SELECT pair_id, i * 2 AS o, CASE WHEN i % 11 = 3 THEN 'x' ELSE word END AS word FROM pw WHERE i % 7 <> 6 UNION ALL SELECT pair_id, i * 2 + 1, CASE WHEN i % 2 = 0 THEN 'y' ELSE 'é' END FROM pw WHERE i % 13 IN (5, 6, 7)),
+   hy AS (SELECT pair_id, row_number() OVER (PARTITION BY pair_id ORDER BY o) AS j, word FROM hx),
+   nm AS (SELECT pair_id, n, coalesce(m, 0) AS m FROM (SELECT pair_id, count(*) AS n FROM rf GROUP BY 1) LEFT JOIN (SELECT pair_id, count(*) AS m FROM hy GROUP BY 1) USING (pair_id)),
+   dp AS (SELECT pair_id, CAST(0 AS BIGINT) AS i, j, j AS d FROM (SELECT pair_id, unnest(range(0, m + 1)) AS j FROM nm)
+     UNION ALL SELECT pair_id, i, j, j + min(c - j) OVER (PARTITION BY pair_id ORDER BY j) AS d FROM (SELECT q.pair_id, q.i + 1 AS i, q.j, least(q.d + 1, coalesce(q.diag + CASE WHEN r.word = h.word THEN 0 ELSE 1 END, 1000000)) AS c
+       FROM (SELECT dp.pair_id, dp.i, dp.j, dp.d, lag(dp.d) OVER (PARTITION BY dp.pair_id ORDER BY dp.j) AS diag FROM dp) q JOIN nm ON nm.pair_id = q.pair_id AND q.i < nm.n JOIN rf r ON r.pair_id = q.pair_id AND r.i = q.i + 1 LEFT JOIN hy h ON h.pair_id = q.pair_id AND h.j = q.j)),
+   ce AS (SELECT c.pair_id, c.i, c.j, CASE WHEN c.i = 0 THEN 'ins' WHEN c.j > 0 AND r.word = h.word THEN 'match' WHEN c.j > 0 AND c.d = g.d + 1 THEN 'sub' WHEN c.d = u.d + 1 THEN 'del' ELSE 'ins' END AS op, r.word AS rw, h.word AS hw
+     FROM dp c LEFT JOIN dp g ON g.pair_id = c.pair_id AND g.i = c.i - 1 AND g.j = c.j - 1 LEFT JOIN dp u ON u.pair_id = c.pair_id AND u.i = c.i - 1 AND u.j = c.j LEFT JOIN rf r ON r.pair_id = c.pair_id AND r.i = c.i LEFT JOIN hy h ON h.pair_id = c.pair_id AND h.j = c.j WHERE c.i + c.j > 0),
+   pt AS (SELECT pair_id, n AS i, m AS j, 0 AS k FROM nm UNION ALL SELECT pt.pair_id, pt.i - CASE WHEN ce.op = 'ins' THEN 0 ELSE 1 END, pt.j - CASE WHEN ce.op = 'del' THEN 0 ELSE 1 END, k + 1 FROM pt JOIN ce ON ce.pair_id = pt.pair_id AND ce.i = pt.i AND ce.j = pt.j),
+   al AS (SELECT pt.pair_id, count(*) OVER (PARTITION BY pt.pair_id) - pt.k - 1 AS op_no, ce.op, CASE WHEN ce.op <> 'ins' THEN pt.i - 1 END AS ref_idx, CASE WHEN ce.op <> 'del' THEN pt.j - 1 END AS hyp_idx, pt.i AS ref_pos, pt.j AS hyp_pos,
+     CASE WHEN ce.op <> 'ins' THEN ce.rw END AS ref_word, CASE WHEN ce.op <> 'del' THEN ce.hw END AS hyp_word FROM pt JOIN ce ON ce.pair_id = pt.pair_id AND ce.i = pt.i AND ce.j = pt.j)"""
+SCRIPT = "CASE WHEN {0} IS NULL THEN NULL WHEN regexp_matches({0}, '[à-ÿ]') THEN 'KO' WHEN regexp_matches({0}, '[a-z]') THEN 'EN' ELSE 'NEU' END"
+MISMATCH = f"""{TURN_PAIRS}, sc AS (SELECT *, {SCRIPT.format('ref_word')} AS rs, {SCRIPT.format('hyp_word')} AS hs FROM al),
+   ir AS (SELECT pair_id, count(*) AS n FROM (SELECT pair_id, op_no - row_number() OVER (PARTITION BY pair_id ORDER BY op_no) AS g FROM al WHERE op = 'ins') GROUP BY pair_id, g),
+   im AS (SELECT pair_id, max(n) AS max_ins_run, count(CASE WHEN n >= 3 THEN 1 END) AS ins_runs_ge3 FROM ir GROUP BY pair_id),
+   mm AS (SELECT pair_id, count(CASE WHEN rs = 'KO' THEN 1 END) AS ko_ref_words, count(CASE WHEN rs = 'KO' AND op = 'match' THEN 1 END) AS ko_ok, count(CASE WHEN rs = 'KO' AND op = 'del' THEN 1 END) AS ko_del, count(CASE WHEN rs = 'KO' AND op = 'sub' AND hs = 'EN' THEN 1 END) AS ko_to_en,
+     count(CASE WHEN rs = 'KO' AND op = 'sub' AND hs <> 'EN' THEN 1 END) AS ko_to_ko, count(CASE WHEN rs = 'EN' THEN 1 END) AS en_ref_words, count(CASE WHEN rs = 'EN' AND op = 'match' THEN 1 END) AS en_ok, count(CASE WHEN rs = 'EN' AND op = 'del' THEN 1 END) AS en_del,
+     count(CASE WHEN rs = 'EN' AND op = 'sub' AND hs = 'KO' THEN 1 END) AS en_to_ko, count(CASE WHEN rs = 'EN' AND op = 'sub' AND hs <> 'KO' THEN 1 END) AS en_to_en, count(CASE WHEN op = 'ins' AND hs = 'KO' THEN 1 END) AS ins_ko, count(CASE WHEN op = 'ins' AND hs = 'EN' THEN 1 END) AS ins_en,
+     count(CASE WHEN op = 'ins' AND hs NOT IN ('KO', 'EN') THEN 1 END) AS ins_neu, count(ref_word) AS ref_words FROM sc GROUP BY pair_id)"""
+
+
+def turn_pairs(t):
+    g = t.tok.groupBy((F.col("session_id") * 100000 + F.col("turn")).alias("pair_id")).agg(F.array_sort(F.collect_list(F.struct("seq", "word"))).alias("w"))
+    g = g.select("pair_id", F.transform("w", lambda x: x["word"]).alias("r"))
+
+    def heard(w, i):
+        own = F.when(i % 7 != 6, F.array(F.when(i % 11 == 3, F.lit("x")).otherwise(w))).otherwise(F.array().cast("array<string>"))
+        more = F.when((i % 13).isin(5, 6, 7), F.array(F.when(i % 2 == 0, F.lit("y")).otherwise(F.lit("é")))).otherwise(F.array().cast("array<string>"))
+        return F.concat(own, more)
+
+    return g.select("pair_id", "r", F.flatten(F.transform("r", heard)).alias("h"))
+
+
+def turn_ops(t):
+    return SC.align(turn_pairs(t), "pair_id", "r", "h")
+
+
+@query("aln01_align_turns", f"WITH RECURSIVE {TURN_PAIRS} SELECT * FROM al")
+def _(t):
+    return turn_ops(t)
+
+
+WER = """er AS (SELECT nm.pair_id, count(CASE WHEN op = 'sub' THEN 1 END) AS substitutions, count(CASE WHEN op = 'ins' THEN 1 END) AS insertions, count(CASE WHEN op = 'del' THEN 1 END) AS deletions, any_value(n) AS ref_words, any_value(m) AS hyp_words FROM nm LEFT JOIN al USING (pair_id) GROUP BY nm.pair_id)"""
+
+
+@query("agg02_turn_wer", f"WITH RECURSIVE {TURN_PAIRS}, {WER} SELECT *, (substitutions + insertions + deletions) / ref_words AS wer FROM er")
+def _(t):
+    return SC.wer(turn_pairs(t), "pair_id", "r", "h")
+
+
+@query("agg02_session_wer", f"""WITH RECURSIVE {TURN_PAIRS}, {WER} SELECT pair_id // 100000 AS session_id, CAST(sum(substitutions + insertions + deletions) AS BIGINT) AS errors, CAST(sum(ref_words) AS BIGINT) AS ref_words,
+   sum(substitutions + insertions + deletions) / sum(ref_words) AS wer FROM er GROUP BY ALL""")
+def _(t):
+    s = SC.wer(turn_pairs(t), "pair_id", "r", "h").withColumn("session_id", F.floor(F.col("pair_id") / 100000))
+    return SC.corpus_wer(s, ["session_id"])
+
+
+@query("agg08_turn_mismatch", f"""WITH RECURSIVE {MISMATCH} SELECT mm.*, coalesce(max_ins_run, 0) AS max_ins_run, coalesce(ins_runs_ge3, 0) AS ins_runs_ge3, CASE WHEN ko_ref_words > 0 THEN ko_to_en / ko_ref_words END AS lmr_ko,
+   CASE WHEN en_ref_words > 0 THEN en_to_ko / en_ref_words END AS lmr_en, coalesce((ko_to_en + en_to_ko) / nullif(ref_words, 0), 0) AS lmr_wer_pp FROM mm LEFT JOIN im USING (pair_id)""")
+def _(t):
+    return SC.language_mismatch(turn_ops(t), ["pair_id"], accented)
+
+
+@query("win05_turn_insertion_runs", f"""WITH RECURSIVE {MISMATCH} SELECT pair_id, coalesce(max_ins_run, 0) AS max_ins_run, coalesce(ins_runs_ge3, 0) AS ins_runs_ge3 FROM mm LEFT JOIN im USING (pair_id)""")
+def _(t):
+    return SC.language_mismatch(turn_ops(t), ["pair_id"], accented).select("pair_id", "max_ins_run", "ins_runs_ge3")
+
+
 def hyp_bounds(t):
     """Boundaries of the cut lines, moved to hypothesis word counts."""
     b = SC.sentence_bounds(hyp_sentences(t), K, ["block", "cutpoint"])
@@ -132,9 +202,9 @@ HY = """hp AS (SELECT session_id, turn, seq, word, seq % 10 = 0 AND length(word)
      SELECT session_id, seq * 2 + 1, turn * 2 + CASE WHEN seq % 20 = 0 THEN 1 ELSE 0 END, word[3:] FROM hp WHERE sp), hh AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY o) AS seq, line, word FROM hw)"""
 
 
-@query("agg24_midword_splits", f"""WITH {HY}, g AS (SELECT session_id, seq, line, word, lead(word) OVER w AS w1, lead(word, 2) OVER w AS w2, lead(word, 3) OVER w AS w3, lead(line) OVER w AS l1, lead(line, 2) OVER w AS l2, lead(line, 3) OVER w AS l3 FROM hh WINDOW w AS (PARTITION BY session_id ORDER BY seq)),
-   x AS (SELECT session_id, seq, 2 AS pieces, word || w1 AS ref_word FROM g WHERE l1 <> line UNION ALL SELECT session_id, seq, 3, word || w1 || w2 FROM g WHERE l2 <> line UNION ALL SELECT session_id, seq, 4, word || w1 || w2 || w3 FROM g WHERE l3 <> line)
-   SELECT x.session_id, x.seq, x.pieces, x.ref_word FROM x WHERE EXISTS (SELECT 1 FROM tok WHERE tok.session_id = x.session_id AND tok.word = x.ref_word)""")
+@query("agg24_midword_splits", f"""WITH {HY}, g AS (SELECT session_id, seq, array_agg(word) OVER w AS ws, array_agg(line) OVER w AS ls FROM hh WINDOW w AS (PARTITION BY session_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND 39 FOLLOWING)),
+   x AS (SELECT session_id, seq, unnest(range(2, len(ws) + 1)) AS pieces, ws, ls FROM g), y AS (SELECT session_id, seq, pieces, array_to_string(ws[1:pieces], '') AS ref_word FROM x WHERE ls[pieces] <> ls[1])
+   SELECT y.session_id, y.seq, CAST(y.pieces AS BIGINT) AS pieces, y.ref_word FROM y WHERE EXISTS (SELECT 1 FROM tok WHERE tok.session_id = y.session_id AND tok.word = y.ref_word)""")
 def _(t):
     from ..functions.ordered import row_no, rows_block, scan
     k = t.tok

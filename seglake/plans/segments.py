@@ -235,7 +235,7 @@ def _(t):
     """Tokens, segments, cleaning, and the rollup per session."""
     lines = G.finalize_lines(spoken(t), S).withColumn("key", F.concat_ws(":", "session_id", "line"))
     lines = cut(lines)
-    clean = FI.clean_segments(lines, PHRASES, user_first(t), "key", whole_words=True, silence=F.col("speaker") == -2)
+    clean = FI.clean_segments(lines, PHRASES, user_first(t), whole_words=True, silence=F.col("speaker") == -2)
     clean = cut(clean)
     counts = A.timeline_counts(clean.withColumn("speaker", F.when(F.col("speaker") >= 0, F.col("speaker") + 1).otherwise(F.col("speaker"))), S)
     changes = W.n_speaker_changes(clean, S, "line")

@@ -7,7 +7,7 @@ from ..sources.texts import parse_scripts
 from ..streaming import folds as FO
 from .joins import overlapping
 from .registry import query
-from .segments import rows, unbroken
+from .segments import ROWS, rows, unbroken
 
 S = ["session_id"]
 
@@ -27,19 +27,38 @@ def _(t):
     return FO.on_table(h.select("session_id", "h.*"), S, ["seq"], FO.CommitAgreed())
 
 
-@query("str04b_closed_segments")
+@query("str04b_closed_segments", f"""WITH {ROWS}, c AS (SELECT session_id, pos, kind, tx, start_ms, end_ms, kind <> 'text' OR coalesce(regexp_matches(tx, '[.!?。！？]\\s*$'), false) AS cl FROM ro),
+   m AS (SELECT *, CASE WHEN kind <> 'text' OR coalesce(lag(cl) OVER w, true) THEN 1 ELSE 0 END AS s FROM c WINDOW w AS (PARTITION BY session_id ORDER BY pos)), g AS (SELECT *, sum(s) OVER (PARTITION BY session_id ORDER BY pos) AS g FROM m)
+   SELECT session_id, arg_min(start_ms, pos) AS start_ms, arg_max(end_ms, pos) AS end_ms, string_agg(tx, ' ' ORDER BY pos) AS "text" FROM g WHERE kind = 'text' GROUP BY session_id, g
+   UNION ALL SELECT session_id, start_ms, end_ms, NULL FROM g WHERE kind = 'silence'""")
 def _(t):
-    return FO.on_table(rows(t).select("session_id", "pos", "kind", "text", "start_ms", "end_ms"), S, ["pos"], FO.ClosedSegments())
+    return FO.closed_segments(rows(t), S)
 
 
-@query("str13_repeat_filter")
+BATCHES = """bw AS (SELECT session_id, (seq - 1) // 6 AS batch, seq, word, lang FROM tok),
+   ba AS (SELECT session_id, CAST(batch AS BIGINT) AS batch, array_agg(word ORDER BY seq) AS ws, string_agg(word, ' ' ORDER BY seq) AS tx, arg_min(lang, seq) AS lang FROM bw GROUP BY session_id, batch),
+   bs AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY batch) AS n FROM ba)"""
+
+
+@query("str13_repeat_filter", f"""WITH RECURSIVE {BATCHES}, wd AS (SELECT session_id, batch, n, len(list_filter(list_transform(list_distinct(list_filter(ws, lambda w: regexp_matches(w, '[a-z]'))), lambda w: len(list_filter(ws, lambda x: x = w))), lambda c: c >= 4)) > 0 AS dropped,
+     list_filter(ws, lambda w: NOT (length(ltrim(w, '-')) >= 4 AND regexp_matches(w, 'aaaa|bbbb|cccc|dddd|eeee|ffff|gggg|hhhh|iiii|llll|mmmm|nnnn|oooo|pppp|rrrr|ssss|tttt|uuuu|zzzz')) AND w NOT IN ('-', '–', '—')) AS ks FROM bs),
+   un AS (SELECT session_id, batch, n, dropped, unnest(ks) AS w, generate_subscripts(ks, 1) AS i FROM wd WHERE NOT dropped),
+   dr AS (SELECT session_id, n, count(CASE WHEN dropped THEN 1 END) OVER (PARTITION BY session_id ORDER BY n) AS era FROM wd),
+   sq AS (SELECT un.*, lag(w) OVER (PARTITION BY un.session_id, dr.era ORDER BY un.n, i) AS before FROM un JOIN dr ON dr.session_id = un.session_id AND dr.n = un.n)
+   SELECT session_id, batch, w AS word FROM sq WHERE w IS DISTINCT FROM before""")
 def _(t):
-    return FO.on_table(batches(t), S, ["batch"], FO.RepeatFilter("[a-z]"))
+    return FO.repeat_filter(batches(t), S, "[a-z]")
+
 
+STREAK = """ev AS (SELECT session_id, batch, n, (lang = 'ko' AND regexp_matches(tx, '[A-Za-z]') AND NOT regexp_matches(tx, '[à-ÿ]')) OR (lang = 'en' AND regexp_matches(tx, '[à-ÿ]') AND NOT regexp_matches(tx, '[A-Za-z]')) AS mis,
+     list_transform(regexp_extract_all(tx, '[A-Za-z'']+|[가-힣]+'), lambda x: lower(x)) AS ws FROM bs),
+   st AS (SELECT session_id, batch, n, CASE WHEN mis AND NOT f THEN ws ELSE [] END AS pile, mis AND f AS dropped FROM (SELECT *, len(ws) >= 6 AND len(list_distinct(ws)) <= 0.6 * len(ws) AS f FROM ev WHERE n = 1)
+     UNION ALL SELECT session_id, batch, n, CASE WHEN mis AND NOT f THEN p ELSE [] END, mis AND f FROM (SELECT *, len(ws) > 0 AND len(p) >= 6 AND len(list_distinct(p)) <= 0.6 * len(p) AS f FROM (SELECT ev.*, (st.pile || ev.ws)[-40:] AS p FROM st JOIN ev ON ev.session_id = st.session_id AND ev.n = st.n + 1)))"""
 
-@query("str14_filler_streak")
+
+@query("str14_filler_streak", f"WITH RECURSIVE {BATCHES}, {STREAK} SELECT session_id, batch, dropped FROM st")
 def _(t):
-    return FO.on_table(batches(t), S, ["batch"], FO.FillerStreak("[à-ÿ]", "[A-Za-z]"))
+    return FO.filler_streak(batches(t), S, "[à-ÿ]", "[A-Za-z]")
 
 
 @query("str16_repeat_gate")
@@ -47,13 +66,20 @@ def _(t):
     return FO.on_table(batches(t), S, ["batch"], FO.RepeatGate())
 
 
-@query("str22_debounce")
+BOUNCE = """iu AS (SELECT session_id, seg_id AS line, i AS seq, start_ms + 130 * i AS t_ms, array_to_string(string_split("text", ' ')[1:i], ' ') AS tx FROM (SELECT *, unnest(range(1, len(string_split("text", ' ')) + 1)) AS i FROM seg)),
+   iv AS (SELECT *, length(trim(tx)) AS n, row_number() OVER (PARTITION BY session_id ORDER BY t_ms, line, seq) AS k FROM iu),
+   db AS (SELECT session_id, line, seq, k, CASE WHEN n >= 12 THEN t_ms END AS pt, CASE WHEN n >= 12 THEN n ELSE 0 END AS sent, n >= 12 AS fired FROM iv WHERE k = 1
+     UNION ALL SELECT session_id, line, seq, k, CASE WHEN f THEN t_ms ELSE pt END, CASE WHEN f THEN n ELSE held END, f FROM
+      (SELECT *, n >= 6 AND (pt IS NULL OR t_ms - pt >= 500) AND n - held >= 12 AS f FROM (SELECT v.*, d.pt, CASE WHEN v.line = d.line THEN d.sent ELSE 0 END AS held FROM db d JOIN iv v ON v.session_id = d.session_id AND v.k = d.k + 1)))"""
+
+
+@query("str22_debounce", f"WITH RECURSIVE {BOUNCE} SELECT session_id, line, seq FROM db WHERE fired")
 def _(t):
     w = F.split("text", " ")
     n = F.size(w)
     u = t.seg.select("session_id", F.col("seg_id").alias("line"), "start_ms", w.alias("w"), F.explode(F.sequence(F.lit(1), n)).alias("i"))
     u = u.select("session_id", "line", F.col("i").cast("bigint").alias("seq"), (F.col("start_ms") + 130 * F.col("i")).alias("t_ms"), F.array_join(F.slice("w", F.lit(1), F.col("i")), " ").alias("text"))
-    return FO.on_table(u, ["session_id", "line"], ["seq"], FO.Debounce())
+    return FO.debounce(u, S)
 
 
 @query("jon16_trim_kept_overlap")
@@ -95,14 +121,30 @@ def _(t):
     return own_dedup(k.filter("seq % 2 = 0").withColumn("batch", F.col("turn")), k.filter("seq % 2 = 1"), S, "batch")
 
 
-@query("str25_trim_points", """SELECT b.session_id, b.seg_id AS step, CASE WHEN b.seg_id >= 2 THEN s.end_ms WHEN b.end_ms - b.start_ms > 9000 THEN b.end_ms - 500 END AS cut_ms FROM seg b LEFT JOIN seg s ON s.session_id = b.session_id AND s.seg_id = b.seg_id - 2""")
+@query("str25_trim_points", """SELECT b.session_id, b.seg_id AS step, CASE WHEN b.end_ms - b.start_ms <= 9000 THEN NULL WHEN b.seg_id >= 2 THEN s.end_ms WHEN b.seg_id >= 1 THEN b.end_ms - 500
+     ELSE b.start_ms + (b.end_ms - b.start_ms) // 2 END AS cut_ms FROM seg b LEFT JOIN seg s ON s.session_id = b.session_id AND s.seg_id = b.seg_id - 2""")
 def _(t):
     from ..operators.ownership import trim_points
     s = t.seg.select("session_id", (F.col("seg_id") + 1).alias("sent_no"), "end_ms")
-    b = t.seg.select("session_id", F.col("seg_id").alias("step"), F.col("seg_id").alias("n_sentences"), (F.col("end_ms") - 500).alias("last_commit_ms"), F.col("start_ms").alias("offset_ms"), (F.col("end_ms") - F.col("start_ms")).alias("length_ms"))
+    last = F.when(F.col("seg_id") >= 1, F.col("end_ms") - 500)
+    b = t.seg.select("session_id", F.col("seg_id").alias("step"), F.col("seg_id").alias("n_sentences"), last.alias("last_commit_ms"), F.col("start_ms").alias("offset_ms"), (F.col("end_ms") - F.col("start_ms")).alias("length_ms"))
     return trim_points(s, b, S, 9000).select("session_id", "step", "cut_ms")
 
 
+@query("str25_trim_segment_ends", """WITH e AS (SELECT session_id, seg_id, i, n, start_ms + (end_ms - start_ms) * i // n AS pt, end_ms - (end_ms - start_ms) // 3 AS last FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM (SELECT *, CAST(1 + length("text") // 60 AS BIGINT) AS n FROM seg))),
+   p AS (SELECT session_id, seg_id, max(CASE WHEN i < n AND pt <= last THEN pt END) AS pt FROM e GROUP BY ALL)
+   SELECT s.session_id, s.seg_id AS step, CASE WHEN p.pt IS NOT NULL THEN p.pt WHEN s.end_ms - s.start_ms > 9000 THEN s.end_ms - (s.end_ms - s.start_ms) // 3 END AS cut_ms FROM seg s JOIN p USING (session_id, seg_id)""")
+def _(t):
+    from ..operators.ownership import trim_segment_ends
+    n = (1 + F.floor(F.length("text") / 60)).cast("bigint")
+    span = F.col("end_ms") - F.col("start_ms")
+    last = F.col("end_ms") - F.floor(span / 3)
+    g = t.seg.select("session_id", F.col("seg_id").alias("step"), "start_ms", span.alias("span"), last.alias("last"), F.explode(F.sequence(F.lit(1).cast("bigint"), n)).alias("i"), n.alias("n"))
+    ends = g.select("session_id", "step", F.col("i").alias("end_no"), (F.col("start_ms") + F.floor(F.col("span") * F.col("i") / F.col("n"))).alias("end_ms"))
+    b = t.seg.select("session_id", F.col("seg_id").alias("step"), last.alias("last_commit_ms"), F.col("start_ms").alias("offset_ms"), span.alias("length_ms"))
+    return trim_segment_ends(ends, b, S, 9000).select("session_id", "step", "cut_ms")
+
+
 @query("sca06_normalize_basic", r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower("text"), '[<\[][^>\]]*[>\]]', '', 'g'), '\(([^)]+?)\)', '', 'g'), '[\p{M}\p{S}\p{P}]', ' ', 'g'), '\s+', ' ', 'g')) AS "text" FROM documents""")
 def _(t):
     from ..operators.normalize import normalize_corpus

@@ -6,8 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from seglake.functions import repeats as RP
 from seglake.functions import text as X
 from seglake.operators import filters as FI
+from seglake.operators import joins as J
+from seglake.operators import normalize as N
 from seglake.operators import scoring as SC
 from seglake.operators import segments as G
 from seglake.operators import windows as W
@@ -17,6 +20,7 @@ from seglake.operators.vectors import similar_examples
 from seglake.sources import logs as SL
 from seglake.sources import texts as ST
 from seglake.streaming import folds as FO
+from seglake.streaming import reconcile as RC
 
 
 def test_sentence_rules(spark):
@@ -32,21 +36,116 @@ def test_sentence_rules(spark):
 def test_cleaning(spark):
     df = spark.createDataFrame([(1, "(laughs) hi . . there.."), (2, ". ."), (3, "日本"), (4, None), (5, "[Music play 가나 (speaking in x 다")], "id long, text string")
     entries = spark.createDataFrame([("hi", "HI"), ("6", "제6"), ("there", "h")], "wrong string, correct string")
-    got = {r.id: r.text for r in FI.clean_segments(df, [], entries, "id").collect()}
-    assert got == {1: "HI . h.".replace("HI . h.", "HI. h."), 4: None, 5: "가나 다"}
+    got = {r.id: r.text for r in FI.clean_segments(df, [], entries).collect()}
+    assert got == {1: "HI. h.", 4: None, 5: "가나 다"}
 
 
-def test_dictionary_paths_agree(spark):
+def test_dictionary_against_brute_force(spark):
     r = random.Random(5)
-    docs = [(i, "".join(r.choice("abcd ") for _ in range(r.randrange(0, 60)))) for i in range(60)]
-    entries = [("ab", "x"), ("abc", "ba"), ("b", "bb"), ("cd ", ""), ("dd", "abc")]
+    docs = [(i, "".join(r.choice("abcd ") for _ in range(r.randrange(0, 60)))) for i in range(60)] + [(1, None), (2, "ab"), (2, "ab")]
+    entries = [("ab", "x"), ("abc", "ba"), ("b", "bb"), ("cd ", ""), ("dd", "abc"), ("b", "aa"), ("c", None), (None, "z"), ("", "y")]
+    entries += [(f"long{i:05d}", "n") for i in range(25_000)]
     d, e = spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(entries, "wrong string, correct string")
-    a = {x.id: x.text for x in FI.apply_dictionary(d, e, "id").collect()}
-    b = {x.id: x.text for x in FI.apply_dictionary(d, e, "id", small=1).collect()}
-    assert a == b
-    a = {x.id: x.text for x in FI.apply_dictionary(d, e, "id", whole_words=True).collect()}
-    b = {x.id: x.text for x in FI.apply_dictionary(d, e, "id", whole_words=True, small=1).collect()}
-    assert a == b
+    table = {"ab": "x", "abc": "ba", "b": "bb", "cd ": "", "dd": "abc"}
+
+    def parts(t):
+        out, i = "", 0
+        while i < len(t):
+            n = next((n for n in (3, 2, 1) if t[i:i + n] in table and len(t[i:i + n]) == n), 0)
+            out, i = out + (table[t[i:i + n]] if n else t[i]), i + max(n, 1)
+        return out
+
+    got = sorted(((x.id, x.text) for x in FI.apply_dictionary(d, e).collect()), key=str)
+    assert got == sorted(((i, None if t is None else parts(t)) for i, t in docs), key=str)
+    got = sorted(((x.id, x.text) for x in FI.apply_dictionary(d, e, whole_words=True).collect()), key=str)
+    assert got == sorted(((i, None if t is None else " ".join(table.get(w, w) for w in t.split(" "))) for i, t in docs), key=str)
+
+
+def test_glossary_against_brute_force(spark):
+    docs = [(1, "The Cat sat."), (2, None), (3, ""), (4, "concatenate"), (1, "dog")]
+    words = [("cat", "chat"), ("dog", "chien"), ("x", "SAT"), ("", "the"), ("none", "nul")]
+    got = J.relevant_glossary(spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(words, "origin string, translation string"), "id")
+    want = {(i, o, w) for i, t in docs if t for o, w in words if any(s and s.lower() in t.lower() for s in (o, w))}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def run_fold(fold, rows):
+    state, out = fold.start((1,)), []
+    for row in rows:
+        out += list(fold.step(state, row))
+    return [r[1:] for r in out + list(fold.finish(state))]
+
+
+def test_repeat_filter_rules(spark):
+    fold = lambda *batches: run_fold(FO.RepeatFilter(), [{"batch": i, "words": list(b)} for i, b in enumerate(batches)])
+    assert fold(["a", "a", "b"], ["b", "c"]) == [(0, "a"), (0, "b"), (1, "c")]
+    assert fold(["end."], [".", "!", "next"]) == [(0, "end."), (1, "next")] and fold(["end"], [".", "next"]) == [(0, "end"), (1, "."), (1, "next")]
+    assert fold(["-", "a", "–", "a", "---- b"]) == [(0, "a"), (0, "---- b")]
+    stretched = ["aaaa"] * 5
+    assert fold(["a", *stretched, "a"]) == [(0, "a"), (0, "a")]  # five in a row: the next word counts as new
+    assert fold(["a", *stretched[:4], "a"]) == [(0, "a")]
+    assert fold(["a", *stretched], ["a"]) == [(0, "a")]  # but what the batch has emitted is remembered at its end
+    assert fold(["a"], stretched, ["a"]) == [(0, "a"), (2, "a")]
+    assert fold(["e\u0301"], ["é"]) == [(0, "é")]
+    rows = [("s", 0, ["a", "b"]), ("s", 1, ["x", "x", "x", "x"]), ("s", 2, ["b"]), ("t", 0, ["b"])]
+    df = spark.createDataFrame(rows, "session string, batch long, words array<string>")
+    assert sorted(map(tuple, FO.repeat_filter(df, ["session"], "[a-z]").collect())) == [("s", 0, "a"), ("s", 0, "b"), ("s", 2, "b"), ("t", 0, "b")]
+
+
+def test_filler_streak_rules(spark):
+    rows = [(1, "so, so. so!", "ko"), (2, "so so", "ko"), (3, "so", "ko"), (4, "so", "ko"), (5, "...", "ko"), (6, "가", "ko"), (7, "so", "ko"), (8, "so so so so so", "en"), (9, None, "ko")]
+    df = spark.createDataFrame([("s", *r) for r in rows], "session string, batch long, text string, lang string")
+    got = {r.batch: r.dropped for r in FO.filler_streak(df, ["session"]).collect()}
+    assert got == {n: n == 3 for n in range(1, 10)}
+
+
+def test_repetition_windows():
+    assert RP.clustered("thank you very thank you so thank you much thank you".split())
+    assert not RP.clustered("a b c d e f g".split()) and not RP.clustered([]) and not RP.clustered(["a"])
+    far = [w for i in range(5) for w in ["name", *[f"w{i}{j}" for j in range(8)]]]
+    assert not RP.clustered(far)
+    words = []
+    for n in (7, 8, 9, 10):
+        words += [f"w{i}" for i in range(n)]
+    assert RP.regrows(words) and not RP.regrows([f"w{i}" for i in range(30)]) and not RP.regrows([f"w{i}" for i in range(8)] * 4)
+    r = random.Random(8)
+    for _ in range(300):
+        words = [r.choice("abc") for _ in range(r.randrange(0, 40))]
+        codes = RP.numbered(words)
+        for lag in (1, 3, 7):
+            if lag < len(words):
+                want = [next((k for k in range(len(words)) if i + lag + k >= len(words) or words[i + k] != words[i + lag + k])) for i in range(len(words) - lag)]
+                assert RP.common_ahead(codes, lag).tolist() == want
+
+
+def test_commit_by_agreement_and_by_probability():
+    word = lambda text, at, p=0.5: {"text": text, "start": at, "end": at + 100, "p": p}
+    rows = [{"seq": 0, "words": [word("a", 0), word("b", 200)]}, {"seq": 1, "words": [word("a", 0), word("b", 200), word("c", 400)]}, {"seq": 2, "words": [word("c", 400), word("d", 600)]}]
+    assert run_fold(FO.CommitAgreed(), rows) == [(1, "a", 0), (1, "b", 200), (2, "c", 400), (-1, "d", 600)]
+    sure = [{"seq": 0, "offset_ms": 1000, "words": [word("a", 0, 0.99), word("b", 200)]}]
+    assert run_fold(FO.CommitAgreed(0.95), sure) == [(0, "a", 1000), (-1, "b", 1200)]
+
+
+def test_subtitles_fill_lines(spark):
+    words = [(1, 0, i, w, 100 * i, 100 * i + 90) for i, w in enumerate([" aaa", " bbb", " ccc", " ddd", " eee"])] + [(1, 1, 5, " fff", 9000, 9100)]
+    df = spark.createDataFrame(words, "session long, seg long, seq long, word string, start_ms long, end_ms long")
+    got = [(r.start_ms, r.end_ms, r.text) for r in W.pack_subtitles(df, ["session"], "seg", "seq", width=8, lines=2).orderBy("start_ms").collect()]
+    assert got == [(0, 390, "aaa bbb\nccc ddd"), (400, 490, "eee"), (9000, 9100, "fff")]
+    got = [r.text for r in W.pack_subtitles(df, ["session"], "seg", "seq", per_line=2).orderBy("start_ms").collect()]
+    assert got == ["aaa bbb", "ccc ddd", "eee", "fff"]
+
+
+def test_reconcile_cut():
+    stone = lambda at, text: {"pos": at, "start": at, "end": at + 100, "text": text}
+    stones = [stone(0, " one"), stone(400, " two"), stone(800, " thr"), stone(900, "ee"), stone(2000, " four")]
+    assert RC.cut_place(stones, None, []) == 5 and RC.cut_place(stones, 2400, []) == 4
+    assert RC.cut_place(stones, 1400, []) == 2  # not inside a word
+    assert RC.cut_place(stones, 2400, [(1000, "ee"), (500, "two")]) == 1 and RC.cut_place(stones, 9000, []) == 5
+
+
+def test_normalised_english(spark):
+    df = spark.createDataFrame([("Café COSTS $five … %x 5% $3 1,000 Mr. X didn't <b> (uh) straße",)], "text string")
+    assert N.normalize_corpus(df, mode="english").first().text == "cafe costs five x 5% $3 1000 mister x did not strasse"
 
 
 def test_edit_path_is_cheapest_and_ordered():
@@ -78,7 +177,7 @@ def test_edit_path_is_cheapest_and_ordered():
 def test_scores(spark):
     pairs = spark.createDataFrame([(1, ["a", "b", "c"], ["a", "x", "c", "d"]), (2, [], ["a", "b"]), (3, ["가", "b"], ["b", "b"])], "id long, r array<string>, h array<string>")
     ops = SC.align(pairs, "id", "r", "h")
-    w = {r.id: r for r in SC.wer(ops, pairs, "id", "r", "h").collect()}
+    w = {r.id: r for r in SC.wer(pairs, "id", "r", "h").collect()}
     assert (w[1].substitutions, w[1].insertions, w[1].deletions, round(w[1].wer, 4)) == (1, 1, 0, 0.6667)
     assert w[2].wer == 2.0 and w[2].insertions == 2
     m = {r.id: r for r in SC.language_mismatch(ops, ["id"]).collect()}
@@ -158,10 +257,7 @@ def test_overlap_and_loops():
     assert cut_repeat("the end. And more", "this is the end") == "And more"
     assert cut_repeat("nothing new", "this is the end") == "nothing new"
     assert cut_repeat("Xl the end more", "al the end", head=1) == "more"
-    words = []
-    for n in (7, 8, 9, 10):
-        words += [f"w{i}" for i in range(n)]
-    assert W.grows(words) and not W.grows([f"w{i}" for i in range(30)])
+    assert cut_repeat("the end. (And more", "this is the end") == "(And more"
     assert W.find_runs("a b a b a b".split(), 4, 1, 3, 3, 0.5) == [(2, 0, 6, 3, "a b")]
 
 
@@ -192,11 +288,11 @@ def test_scripts_and_reports(spark, tmp_path):
 
 @pytest.mark.parametrize("files", [1, 3])
 def test_stream_equals_table(spark, tmp_path, files):
-    rows = [(s, i, 300 * i, "word " * (i % 9 + 1)) for s in (1, 2) for i in range(30)]
-    schema = "session_id long, seq long, t_ms long, text string"
-    table = sorted(map(tuple, FO.on_table(spark.createDataFrame(rows, schema), ["session_id"], ["seq"], FO.Debounce()).collect()))
+    rows = [(s, i // 10, i, 300 * i, "word " * (i % 9 + 1)) for s in ("a", "b") for i in range(30)]
+    schema = "session_id string, line long, seq long, t_ms long, text string"
+    table = sorted(map(tuple, FO.debounce(spark.createDataFrame(rows, schema), ["session_id"]).collect()))
     for n in range(files):
-        part = [r for r in rows if n * 30 // files <= r[1] < (n + 1) * 30 // files]
+        part = [r for r in rows if n * 30 // files <= r[2] < (n + 1) * 30 // files]
         spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{n}"))
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
     FO.ready_for_state(spark)
