@@ -25,7 +25,7 @@ from .pieces import PieceEncoder
 #: A cut falls where so many low bits of the rolling hash are zero: every 512 bytes on average.
 CUT_BITS = 9
 #: Characters of chunks that a task remembers before it starts anew. Sharing documents come one after another.
-MOST_CHARS = 12_000_000
+MOST_CHARS = 6_000_000
 GEAR = np.random.default_rng(2024).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 

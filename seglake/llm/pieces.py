@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Pieces, and characters in them, that a task keeps before it starts anew.
-MOST_PIECES, MOST_CHARS = 600_000, 12_000_000
+MOST_PIECES, MOST_CHARS = 350_000, 7_000_000
 
 
 class _Index(dict):
