@@ -61,6 +61,11 @@ def running_max(value: Column | str) -> Scan:
     return Scan("max", _col(value))
 
 
+def max_before(value: Column | str) -> Scan:
+    """Largest value of the earlier rows."""
+    return Scan("max_before", _col(value))
+
+
 def row_no() -> Scan:
     """1-based position along the order."""
     return Scan("sum", F.lit(1).cast("bigint"))
@@ -153,8 +158,8 @@ def scan(df: DataFrame, keys: list[str], order: list[str], block: Column, **scan
             summary.append(F.sum(s.value).alias(c))
             carried.append(F.sum(c).over(before).alias(c))
             value = F.coalesce(F.col(l) + F.col(c), F.col(l), F.col(c))
-        elif s.kind == "max":
-            local.append(F.max(s.value).over(upto).alias(l))
+        elif s.kind in ("max", "max_before"):
+            local.append(F.max(s.value).over(upto if s.kind == "max" else earlier).alias(l))
             summary.append(F.max(s.value).alias(c))
             carried.append(F.max(c).over(before).alias(c))
             value = F.greatest(F.col(l), F.col(c))

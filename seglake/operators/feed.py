@@ -16,25 +16,23 @@ def encode_deltas(snapshots: DataFrame, keys: list[str]) -> tuple[DataFrame, Dat
     and how many lines there are; its new lines are everything after the common
     prefix with the message before. Line identity in a message is (id, text).
 
-    Each line is compared with the line that would stand at the same place after
-    pruning, by an equi join on that place; no line lists are built."""
+    The lines of one message are bounded by the retention of the feed, so they are
+    one array, and the arrays of two messages in a row are compared in place."""
     mk = [*keys, "seq"]
-    top = snapshots.groupBy(*mk).agg(F.count(F.lit(1)).alias("n_lines"), F.min_by(F.struct("line_id", "line_text"), "line_idx").alias("head"))
-    first = top.groupBy(*keys).agg(F.min("seq").alias("_first"))
-    before = snapshots.select(*keys, (F.col("seq") + 1).alias("seq"), F.col("line_idx").alias("p_idx"), F.struct("line_id", "line_text").alias("p_line"))
-    sizes = top.select(*keys, (F.col("seq") + 1).alias("seq"), F.col("n_lines").alias("p_lines"))
-    at = top.select(*mk, "head").join(before, mk).filter("p_line = head").groupBy(*mk).agg(F.min("p_idx").alias("_at"))
-    m = top.join(first, keys).join(sizes, mk, "left").join(at, mk, "left")
-    pruned = F.when(F.col("seq") == F.col("_first"), 0).otherwise(F.coalesce("_at", "p_lines", F.lit(0)))
-    m = m.withColumn("lines_pruned", pruned.cast("bigint")).withColumn("type", F.when(F.col("seq") == F.col("_first"), "snapshot").otherwise("diff"))
-    cur = snapshots.join(m.select(*mk, "lines_pruned", "type"), mk)
-    moved = before.select(*mk, F.col("p_idx"), "p_line")
-    same = cur.withColumn("p_idx", F.col("line_idx") + F.col("lines_pruned")).join(moved, [*mk, "p_idx"], "left")
-    same = same.withColumn("_eq", (F.col("type") == "diff") & F.coalesce(F.col("p_line") == F.struct("line_id", "line_text"), F.lit(False)))
-    brk = same.groupBy(*mk).agg(F.coalesce(F.min(F.when(~F.col("_eq"), F.col("line_idx"))), F.count(F.lit(1))).alias("common"))
-    messages = m.join(brk, mk).select(*mk, "type", "n_lines", "lines_pruned", (F.col("n_lines") - F.col("common")).alias("n_new"))
-    new_lines = same.join(brk, mk).filter("line_idx >= common").select(*mk, "line_idx", "line_id", "line_text")
-    return messages, new_lines
+    held = snapshots.groupBy(*mk).agg(F.array_sort(F.collect_list(F.struct("line_idx", "line_id", "line_text"))).alias("_l"))
+    held = held.withColumn("_l", F.transform("_l", lambda x: F.struct(x["line_id"].alias("line_id"), x["line_text"].alias("line_text"))))
+    m = scan(held, keys, ["seq"], rows_block("seq"), _p=prev("_l"))
+    fell = F.array_position("_p", F.get("_l", F.lit(0)))
+    m = m.withColumn("lines_pruned", F.when(F.col("_p").isNull(), 0).when(fell > 0, fell - 1).otherwise(F.size("_p")).cast("bigint"))
+    places = F.sequence(F.lit(0), F.size("_l") - 1)
+    differs = F.filter(places, lambda i: ~F.get(F.col("_l"), i).eqNullSafe(F.get(F.col("_p"), (i + F.col("lines_pruned")).cast("int"))))
+    m = m.withColumn("_common", F.when(F.col("_p").isNull(), 0).otherwise(F.coalesce(F.get(differs, F.lit(0)), F.size("_l"))))
+    n = F.size("_l").cast("bigint")
+    messages = m.select(*mk, F.when(F.col("_p").isNull(), "snapshot").otherwise("diff").alias("type"), n.alias("n_lines"), "lines_pruned",
+                        (n - F.col("_common")).alias("n_new"))
+    rest = F.slice("_l", F.col("_common") + 1, F.size("_l"))
+    new = m.select(*mk, "_common", F.posexplode(rest).alias("_i", "_line"))
+    return messages, new.select(*mk, (F.col("_i") + F.col("_common")).cast("bigint").alias("line_idx"), "_line.line_id", "_line.line_text")
 
 
 def decode_deltas(messages: DataFrame, new_lines: DataFrame, keys: list[str], last_seq: DataFrame) -> DataFrame:

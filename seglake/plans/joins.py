@@ -131,10 +131,9 @@ def _(t):
     return J.cross_reference(l, d, ["id"])
 
 
-@query("jon11_relevant_glossary", f"""WITH {DIC_SQL}, g AS (SELECT * FROM merged WHERE length(wrong) >= 6)
-   SELECT d.doc_id, g.wrong AS origin, g.correct AS translation FROM documents d JOIN g ON contains(lower(d."text"), lower(g.wrong)) OR contains(lower(d."text"), lower(g.correct))""")
+@query("jon11_relevant_glossary", """WITH g AS (SELECT wrong, correct FROM dic WHERE src = 'base') SELECT d.doc_id, g.wrong AS origin, g.correct AS translation FROM documents d JOIN g ON contains(lower(d."text"), lower(g.wrong)) OR contains(lower(d."text"), lower(g.correct))""")
 def _(t):
-    g = user_first(t).filter(F.length("wrong") >= 6).select(F.col("wrong").alias("origin"), F.col("correct").alias("translation"))
+    g = t.dict_entries.filter("src = 'base'").select(F.col("wrong").alias("origin"), F.col("correct").alias("translation"))
     return J.relevant_glossary(t.doc.select("doc_id", "text"), g, "doc_id")
 
 

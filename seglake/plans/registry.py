@@ -67,14 +67,13 @@ VIEWS = {
               doc_id % 5 subs, doc_id % 3 ins, doc_id % 4 dels, greatest(n_chars // 6, 1) ref_words FROM documents)""",
     "snap": r"""
       snap AS (SELECT a.session_id, a.seg_id seq, b.seg_id - greatest(a.seg_id - 4, 0) line_idx, b.seg_id line_id,
-              CASE WHEN a.seg_id = b.seg_id THEN substring(b.text, 1, 20) ELSE b.text END line_text
+              CASE WHEN a.seg_id = b.seg_id THEN regexp_replace(b.text, '\s*\S+$', '') ELSE b.text END line_text
               FROM seg a JOIN seg b ON a.session_id = b.session_id AND b.seg_id BETWEEN a.seg_id - 4 AND a.seg_id)""",
     "dic": r"""
       dic AS (SELECT word wrong, upper(word) correct, 'base' src FROM (SELECT DISTINCT
-              lower(unnest(regexp_extract_all("text", '[A-Za-z'']+|[가-힣]+'))) word FROM benchmark) WHERE length(word) >= 4
+              lower(unnest(regexp_extract_all("text", '[A-Za-z'']+|[가-힣]+'))) word FROM benchmark)
               UNION ALL SELECT word, reverse(word), 'user' FROM (SELECT DISTINCT
-              lower(unnest(regexp_extract_all("text", '[A-Za-z'']+|[가-힣]+'))) word FROM conversations WHERE turn = 0)
-              WHERE length(word) >= 5)""",
+              lower(unnest(regexp_extract_all("text", '[A-Za-z'']+|[가-힣]+'))) word FROM conversations))""",
 }
 NEEDS = {"tok": [], "seg": ["tok"], "sil": ["seg"], "diar": ["tok"], "evt": [], "frm": ["evt"], "log": ["evt"],
          "pair": [], "bench": [], "snap": ["seg"], "dic": []}

@@ -19,9 +19,10 @@ def _(t):
     return user_first(t)
 
 
-@query("set02_overlay_union", f"WITH {DIC_SQL} SELECT wrong, correct FROM merged WHERE length(wrong) > 7")
+@query("set02_overlay_union", "SELECT wrong, max_by(correct, CASE src WHEN 'base' THEN 1 ELSE 0 END) AS correct FROM dic GROUP BY wrong")
 def _(t):
-    return user_first(t).filter(F.length("wrong") > 7)
+    d = t.dict_entries
+    return D.overlay(d.filter("src = 'user'"), d.filter("src = 'base'"))
 
 
 @query("src06_select_samples", """SELECT doc_id, language, category FROM bench WHERE language IN ('en', 'fr') AND category IN ('c1', 'c2') AND duration_ms <= 60000""")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,7 +52,9 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write an intermediate result once so that later branches read it instead
-    of repeating the work above it. Survives the loss of executors."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """An intermediate result as a Parquet table in the shared folder: computed once, read with column pruning by all later
+    branches, and still there after executors are lost."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -118,7 +118,7 @@ class Tables:
     @property
     def snap(self) -> DataFrame:
         """Snapshots under retention: message ``seq`` holds lines seq-4..seq, the
-        last one cut short and rewritten by the next message."""
+        last one still without its last word, which the next message brings."""
         s = scan(self.seg.select("session_id", "seg_id", "text"), ["session_id"], ["seg_id"], rows_block("seg_id"),
                  top=whole_max("seg_id"))
         seqs = F.sequence("seg_id", F.least(F.col("seg_id") + 4, F.col("top")))
@@ -126,16 +126,14 @@ class Tables:
             "session_id", F.explode(seqs).alias("seq"), F.col("seg_id").alias("line_id"), "text",
         ).select(
             "session_id", "seq", (F.col("line_id") - F.greatest(F.col("seq") - 4, F.lit(0))).alias("line_idx"), "line_id",
-            F.when(F.col("seq") == F.col("line_id"), F.substring("text", 1, 20)).otherwise(F.col("text")).alias("line_text"))
+            F.when(F.col("seq") == F.col("line_id"), F.regexp_replace("text", r"\s*\S+$", "")).otherwise(F.col("text")).alias("line_text"))
 
     @property
     def dict_entries(self) -> DataFrame:
-        """Word entries: base from the benchmark texts, user overlay from the
-        opening turns of the conversations."""
+        """Word entries: base from the benchmark texts, user overlay from
+        the conversations."""
         base = self.read("benchmark").select(F.explode(X.tokens("text")).alias("wrong")).distinct()
-        base = base.filter(F.length("wrong") >= 4).select(
-            "wrong", F.upper("wrong").alias("correct"), F.lit("base").alias("src"))
-        user = self.read("conversations").filter(F.col("turn") == 0).select(F.explode(X.tokens("text")).alias("wrong")).distinct()
-        user = user.filter(F.length("wrong") >= 5).select(
-            "wrong", F.reverse("wrong").alias("correct"), F.lit("user").alias("src"))
+        base = base.select("wrong", F.upper("wrong").alias("correct"), F.lit("base").alias("src"))
+        user = self.read("conversations").select(F.explode(X.tokens("text")).alias("wrong")).distinct()
+        user = user.select("wrong", F.reverse("wrong").alias("correct"), F.lit("user").alias("src"))
         return base.unionByName(user)
