@@ -43,6 +43,17 @@ def test_pieces_and_chunks_equal_the_library():
         assert chunks.encode([parts])[0].tolist() == want
 
 
+def test_words_with_marks_equal_the_library():
+    library, pieces = Tokenizer.from_file(WORDS), PieceEncoder(WORDS)
+    assert pieces.lowers
+    rng = random.Random(6)
+    letters = ["a", "B", "é", "É", "ß", "ÿ", "À", "µ", "ª", "n", "S", "K", "x"]
+    marks = [".", ",", "!!", "***", "%%%", "'s", "'", "’", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "2", "³", "_", "\u0301", "\xad", "¨", "/", "-"]
+    for _ in range(3000):
+        text = " ".join("".join(rng.choices(letters, k=rng.randint(1, 7))) + "".join(rng.choices([*marks, ""], k=rng.randint(0, 3))) for _ in range(rng.randint(1, 12)))
+        assert pieces.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_cuts_depend_on_content_only():
     rng = np.random.default_rng(1)
     passage = bytes(rng.integers(97, 123, 20_000, dtype=np.uint8))
