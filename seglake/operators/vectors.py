@@ -70,34 +70,42 @@ def similar_examples(queries: DataFrame, corpus: DataFrame, k: int = 3, exclude_
                 "query_id": pdf["query_id"].to_numpy()[who], "v": pdf["v"].to_numpy()[who],
                 "cell": cells[which].astype("int64"), "piece": piece.astype("int64")})
 
-    shares = max(1, -(-q.count() // PIECE_ROWS))
-    share = lambda name: F.pmod(F.xxhash64(name), F.lit(shares))
-    routed = q.mapInPandas(route, "query_id long, v array<double>, cell long, piece long").withColumn("share", share("query_id"))
+    routed = q.mapInPandas(route, "query_id long, v array<double>, cell long, piece long")
     counts = F.element_at(F.create_map(*[F.lit(x) for x, n in zip(cells.tolist(), pieces.tolist()) for x in (x, n)]), F.col("cell"))
-    blocks = placed.withColumn("piece", F.pmod(F.xxhash64("vec_id"), counts)).withColumn(
-        "share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shares - 1).cast("bigint"))))
-
-    def score(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        corpus_m, ids = np.stack(right["v"].to_numpy()), right["vec_id"].to_numpy()
-        out = []
-        for at in range(0, len(left), 512):
-            part = left.iloc[at:at + 512]
-            s = np.round(np.stack(part["v"].to_numpy()) @ corpus_m.T, 6)
-            qid = part["query_id"].to_numpy()
-            if exclude_self:
-                s[qid[:, None] == ids[None, :]] = -np.inf
-            best = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-            out.append(pd.DataFrame({
-                "query_id": np.repeat(qid, best.shape[1]), "vec_id": ids[best].ravel(),
-                "score": np.take_along_axis(s, best, axis=1).ravel()}))
-        found = pd.concat(out)
+    held = placed.select("cell", F.pmod(F.xxhash64("vec_id"), counts).alias("piece"), F.lit(0).alias("asks"), F.col("vec_id").alias("id"), "v")
+    asked = routed.select("cell", "piece", F.lit(1).alias("asks"), F.col("query_id").alias("id"), "v")
+    # every corpus row is shuffled once; the queries of a piece stream past it
+    stream = held.unionByName(asked).repartition("cell", "piece").sortWithinPartitions("cell", "piece", "asks")
+    nothing = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+
+    def best_of(part: pd.DataFrame, ids: np.ndarray, matrix: np.ndarray) -> pd.DataFrame:
+        s = np.round(np.stack(part["v"].to_numpy()) @ matrix.T, 6)
+        qid = part["id"].to_numpy()
+        if exclude_self:
+            s[qid[:, None] == ids[None, :]] = -np.inf
+        best = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
+        found = pd.DataFrame({"query_id": np.repeat(qid, best.shape[1]), "vec_id": ids[best].ravel(), "score": np.take_along_axis(s, best, axis=1).ravel()})
         return found[np.isfinite(found["score"])]
 
-    group = ["cell", "piece", "share"]
-    scored = routed.groupBy(*group).cogroup(blocks.groupBy(*group)).applyInPandas(
-        score, "query_id long, vec_id long, score double")
+    def score(batches):
+        here, ids, rows, matrix = None, [], [], None
+        for pdf in batches:
+            out = [nothing]
+            for key, part in pdf.groupby(["cell", "piece"], sort=False):
+                if key != here:
+                    here, ids, rows, matrix = key, [], [], None
+                own = part[part["asks"] == 0]
+                if len(own):
+                    ids.append(own["id"].to_numpy())
+                    rows.append(np.stack(own["v"].to_numpy()))
+                asks = part[part["asks"] == 1]
+                if len(asks) and ids:
+                    if matrix is None:
+                        ids, matrix = [np.concatenate(ids)], np.concatenate(rows)
+                    out += [best_of(asks.iloc[at:at + 512], ids[0], matrix) for at in range(0, len(asks), 512)]
+            yield pd.concat(out)
+
+    scored = stream.mapInPandas(score, "query_id long, vec_id long, score double")
     # each query keeps k rows per piece it visited: a small array per query
     best = scored.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(
         F.struct((-F.col("score")).alias("neg"), "vec_id"))), 1, k).alias("b"))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import feed as FE
+from ..operators import reports as RP
 from ..sources import exports as EX
 from ..sources.catalogs import flatten_words
 from ..session import cut
@@ -90,12 +91,41 @@ def _(t):
     return EX.transcript(t.seg, S, "seg_id", "tsv")
 
 
-@query("snk03_verbose_words")
+@query("snk02_transcript_txt", """SELECT session_id, seg_id, trim("text") AS value FROM seg""")
+def _(t):
+    return EX.transcript(t.seg, S, "seg_id", "txt")
+
+
+@query("snk02_transcript_json", """SELECT session_id, seg_id, '{"start_ms":' || start_ms || ',"end_ms":' || end_ms || ',"text":' || CAST(to_json("text") AS VARCHAR) || '}' AS value FROM seg""")
+def _(t):
+    return EX.transcript(t.seg, S, "seg_id", "json")
+
+
+def _half_even(x, unit):
+    """Rounds the fraction x (numerator, denominator) of milliseconds to ``unit`` milliseconds, halves to the even side, as seconds."""
+    a, n = x
+    n = f"({n} * {unit})"
+    return f"(({a}) // {n} + CASE WHEN 2 * (({a}) % {n}) > {n} OR (2 * (({a}) % {n}) = {n} AND ({a}) // {n} % 2 = 1) THEN 1 ELSE 0 END) / {1000 // unit}.0"
+
+
+def _words_sql(unit):
+    at = lambda i: _half_even((f"start_ms * n + (end_ms - start_ms) * {i}", "n"), unit)
+    return f"""ws AS (SELECT session_id, seg_id, start_ms, end_ms, speaker, "text", string_split("text", ' ') AS w, len(string_split("text", ' ')) AS n FROM seg),
+     wx AS (SELECT *, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM ws), wt AS (SELECT session_id, seg_id, i, word, speaker, CAST({at('i')} AS DOUBLE) AS a, CAST({at('(i + 1)')} AS DOUBLE) AS b FROM wx)"""
+
+
+J = "CAST(to_json({}) AS VARCHAR)"
+
+
+@query("snk03_verbose_words", f"""WITH {_words_sql(10)}, g AS (SELECT session_id, seg_id, string_agg('{{"word":' || {J.format('word')} || ',"start":' || a || ',"end":' || b || '}}', ',' ORDER BY i) AS ws FROM wt GROUP BY ALL)
+   SELECT s.session_id, s.seg_id, '{{"id":' || (row_number() OVER (PARTITION BY s.session_id ORDER BY s.seg_id) - 1) || ',"start":' || CAST({_half_even(('start_ms', '1'), 10)} AS DOUBLE) || ',"end":' || CAST({_half_even(('end_ms', '1'), 10)} AS DOUBLE)
+     || ',"text":' || {J.format('"text"')} || ',"words":[' || ws || ']}}' AS value FROM seg s JOIN g USING (session_id, seg_id)""")
 def _(t):
     return EX.verbose_json(t.seg, S, "seg_id")
 
 
-@query("snk04_utterance_results")
+@query("snk04_utterance_results", f"""WITH {_words_sql(1)}, g AS (SELECT session_id, seg_id, min(a) AS start, max(b) AS stop, string_agg('{{"word":' || {J.format('word')} || ',"start":' || a || ',"end":' || b || ',"confidence":0.0,"punctuated_word":' || {J.format('word')} || ',"speaker":' || greatest(speaker, 0) || '}}', ',' ORDER BY i) AS ws FROM wt GROUP BY ALL)
+   SELECT s.session_id, s.seg_id, start, round(stop - start, 3) AS duration, '{{"alternatives":[{{"transcript":' || {J.format('trim("text")')} || ',"confidence":0.0,"words":[' || ws || ']}}]}}' AS channel FROM seg s JOIN g USING (session_id, seg_id)""")
 def _(t):
     r = EX.utterance_results(t.seg, S, "seg_id")
     return r.select("session_id", "seg_id", "start", "duration", F.to_json("channel").alias("channel"))
@@ -118,6 +148,65 @@ def _(t):
     return t.bench.groupBy("language", "category").agg(F.count(F.lit(1)).alias("n_samples"), F.round(F.avg(wer), 4).alias("wer"))
 
 
+REPORT = """sm AS (SELECT doc_id, language, category, (subs + ins + dels) / ref_words AS wer, proc_ms / duration_ms AS rtf, duration_ms, proc_ms, subs + ins + dels AS errors, ref_words FROM bench),
+   gr AS (SELECT 'summary' AS section, 'all' AS name, * FROM sm UNION ALL SELECT 'language', language, * FROM sm UNION ALL SELECT 'category', category, * FROM sm)"""
+
+
+@query("snk08_report_sections", f"""WITH {REPORT} SELECT section, name, count(*) AS n_samples, round(avg(wer), 4) AS avg_wer, round(sum(errors) / greatest(sum(ref_words), 1), 4) AS weighted_wer, round(avg(rtf), 3) AS avg_rtf,
+   round(sum(proc_ms) / sum(duration_ms), 3) AS overall_rtf, round(sum(duration_ms) / 1000, 1) AS total_audio_s FROM gr GROUP BY ALL""")
+def _(t):
+    return RP.sections(t.bench)
+
+
+@query("snk08_report_lines", f"""WITH {REPORT} SELECT 1 AS part, CAST(doc_id AS VARCHAR) AS name, '| ' || doc_id || ' | ' || language || ' | ' || category || ' | ' || round(100 * wer, 1) || ' % | ' || round(rtf, 2) || ' |' AS line FROM sm
+   UNION ALL SELECT CASE section WHEN 'summary' THEN 0 WHEN 'language' THEN 2 ELSE 3 END, name, '| ' || name || ' | ' || count(*) || ' | ' || round(100 * avg(wer), 1) || ' % | ' || round(avg(rtf), 2) || ' |' FROM gr GROUP BY section, name""")
+def _(t):
+    return RP.lines(t.bench)
+
+
+@query("src02_eval_reports", """SELECT language AS report, 'd' || doc_id || '.wav' AS file, row_number() OVER (PARTITION BY language ORDER BY doc_id) - 1 AS run, subs, ref_words, ref_words * 2 AS twice FROM bench""")
+def _(t):
+    """Report files written from the table, one per language, and read again."""
+    import uuid
+
+    from ..session import checkpoint_folder
+    from ..sources.texts import read_eval_reports
+    folder = f"{checkpoint_folder(t.spark)}/reports-{uuid.uuid4().hex}"
+    one = t.bench.withColumn("audio_file", F.concat(F.lit("/audio/d"), F.col("doc_id").cast("string"), F.lit(".wav")))
+    g = one.groupBy("language").agg(F.array_sort(F.collect_list(F.struct("doc_id", "audio_file", "subs", "ref_words"))).alias("files"))
+    files = F.transform("files", lambda f: F.struct(f["audio_file"].alias("audio_file"), f["subs"].alias("subs"), f["ref_words"].alias("ref_words")))
+    sums = F.transform("files", lambda f: F.struct(f["audio_file"].alias("audio_file"), (f["ref_words"] * 2).alias("twice")))
+    g.select(F.col("language").alias("name"), F.to_json(F.struct(files.alias("files"), sums.alias("file_summaries"))).alias("value")).write.partitionBy("name").text(folder)
+    r = read_eval_reports(t.spark, folder)
+    return r.select(F.regexp_extract("report", "name=([^/]+)", 1).alias("report"), "file", "run", "subs", "ref_words", F.col("summary.twice").alias("twice"))
+
+
+@query("src03_run_transcripts", """SELECT 'clip' || session_id AS stem, CASE session_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS path, CAST(session_id % 2 + 1 AS VARCHAR) AS rep, row_number() OVER (PARTITION BY session_id ORDER BY seg_id) - 1 AS no, "text",
+   CASE WHEN seg_id % 2 = 0 THEN 'silence' ELSE 'language_switch' END AS trigger FROM seg""")
+def _(t):
+    from ..sources.texts import parse_run_transcripts
+    sid = F.col("session_id")
+    line = F.concat(F.lit("1. "), F.col("text"), F.lit("  ⟨"), F.when(F.col("seg_id") % 2 == 0, "silence").otherwise("language_switch"), F.lit("⟩"))
+    g = t.seg.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("seg_id", line.alias("x")))).alias("a"))
+    name = F.concat(F.lit("/runs/clip"), sid.cast("string"), F.lit("_"), F.when(sid % 3 == 0, "A").when(sid % 3 == 1, "B").otherwise("C"), F.lit("_R"), (sid % 2 + 1).cast("string"), F.lit(".txt"))
+    return parse_run_transcripts(g.select(name.alias("file"), F.array_join(F.transform("a", lambda e: e["x"]), "\n").alias("value")))
+
+
+@query("src07_live_events", """SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY ALL""")
+def _(t):
+    """Files written from the table are streamed into an upsert sink and read back as the latest state."""
+    import uuid
+
+    from ..session import checkpoint_folder
+    from ..streaming import live
+    folder = f"{checkpoint_folder(t.spark)}/live-{uuid.uuid4().hex}"
+    keys = ["user_id", "event_type"]
+    t.read("events").select(*keys, "event_id", "value").write.parquet(f"{folder}/in")
+    src = live.token_stream(t.spark, f"{folder}/in", t.spark.read.parquet(f"{folder}/in").schema)
+    live.upsert_sink(src, f"{folder}/rows", f"{folder}/state", keys, "event_id").trigger(availableNow=True).start().awaitTermination()
+    return live.latest(t.spark, f"{folder}/rows", keys, "event_id")
+
+
 @query("src09_flatten_words", "SELECT session_id, turn AS seg_no, pos AS word_no, word, start_ms FROM tok")
 def _(t):
     w = t.tok.groupBy("session_id", "turn").agg(F.array_sort(F.collect_list(F.struct("pos", "word", "start_ms"))).alias("w"))

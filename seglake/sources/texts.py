@@ -34,9 +34,8 @@ def plain_texts(scripts: DataFrame) -> DataFrame:
     return g.select("file", F.array_join(F.transform("s", lambda x: x["sentence"]), " ").alias("plain_text"))
 
 
-def read_run_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """(stem, path, rep, no, text, trigger): numbered lines with their trigger."""
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+def parse_run_transcripts(raw: DataFrame) -> DataFrame:
+    """(file, value) to (stem, path, rep, no, text, trigger): numbered lines with their trigger."""
     base = X.base_name("file")
     line = r"(?m)^\d+\.\s+(.*?)\s+⟨([^⟩]+)⟩\s*$"
     pair = F.arrays_zip(F.regexp_extract_all("value", F.lit(line), 1).alias("text"), F.regexp_extract_all("value", F.lit(line), 2).alias("trigger"))
@@ -44,6 +43,10 @@ def read_run_transcripts(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*name, F.posexplode(pair).alias("no", "l")).select("stem", "path", "rep", F.col("no").cast("bigint").alias("no"), F.trim("l.text").alias("text"), F.col("l.trigger").alias("trigger"))
 
 
+def read_run_transcripts(spark: SparkSession, path: str) -> DataFrame:
+    return parse_run_transcripts(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value"))
+
+
 def read_eval_reports(spark: SparkSession, path: str) -> DataFrame:
     """One row per run of a file in a report, in order, with the file's summary
     (by base name) when the report has one."""
