@@ -34,7 +34,7 @@ def op2_bpe_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages", "page_id", "url")
-    return url_filter.judge(pages, url_filter.SITES + url_filter.PATTERNS).drop("url")
+    return url_filter.judge(pages, url_filter.SITES + url_filter.PATTERNS).drop("url", "n_candidates")
 
 
 @query
@@ -78,3 +78,21 @@ def op9_topk_mtree(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_simhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents", "doc_id", "text"))
+
+
+def _url_sql() -> str:
+    """The same verdicts in DuckDB: every rule as a regular expression over host and path."""
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    sites = sorted(url_filter.SITES, key=lambda r: (-len(r.name), r.action != url_filter.BLOCK))
+    hit = lambda r: f"regexp_matches(u, {text(r.pattern)}, 's')"
+    rule = " ".join(f"WHEN {hit(r)} THEN {text(r.name)}" for r in sites)
+    verdict = " ".join(f"WHEN {hit(r)} THEN {text(r.action)}" for r in sites)
+    others = sorted(url_filter.PATTERNS, key=lambda r: (-len(r.name), r.action != url_filter.BLOCK))
+    pattern = " ".join(f"WHEN {hit(r)} THEN {text(r.name)}" for r in others)
+    return f"""WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+      h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+      s AS (SELECT *, host || path AS u FROM h), j AS (SELECT *, CASE {rule} END AS rule, CASE {pattern} END AS fits FROM s)
+      SELECT page_id, host, path, rule, CASE {verdict} WHEN fits IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, CASE WHEN rule IS NULL THEN fits END AS pattern FROM j"""
+
+
+ORACLES["op3_url_filter"] = _url_sql()
