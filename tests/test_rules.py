@@ -299,3 +299,38 @@ def test_stream_equals_table(spark, tmp_path, files):
     q = FO.on_stream(src, ["session_id"], ["seq"], FO.Debounce()).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start(str(tmp_path / "out"))
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == table
+
+
+def stream_of(spark, folder, parts, schema, fold, order, **options):
+    """The parts arrive as files, one per micro-batch; a last one in a session of its own moves the watermark on."""
+    for n, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(folder / "in" / f"p{n}"))
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).option("recursiveFileLookup", True).parquet(str(folder / "in"))
+    src = src.withColumn("at", F.timestamp_millis("start_ms")).withWatermark("at", "0 seconds")
+    FO.ready_for_state(spark)
+    out = FO.on_stream(src, ["session"], order, fold, at="at", **options)
+    out.writeStream.format("parquet").option("checkpointLocation", str(folder / "c")).outputMode("append").trigger(availableNow=True).start(str(folder / "out")).awaitTermination(180)
+    return sorted(tuple(r) for r in spark.read.parquet(str(folder / "out")).collect() if r.session != "last")
+
+
+@pytest.mark.parametrize("files", [1, 2, 7])
+def test_stall_timer_equals_table(spark, tmp_path, files):
+    times = [0, 400, 900, 4000, 4100, 9500, 9600, 9700, 20_000, 20_100]
+    rows = [(s, at + shift, at + shift) for s, shift in (("a", 100), ("b", 1100)) for at in times]
+    schema = "session string, t_ms long, start_ms long"
+    table = sorted(map(tuple, FO.on_table(spark.createDataFrame(rows, schema), ["session"], ["t_ms"], FO.StallWatch(1000)).collect()))
+    rows = sorted(rows, key=lambda r: r[1])
+    parts = [rows[n * len(rows) // files:(n + 1) * len(rows) // files] for n in range(files)] + [[("last", 21_900, 21_900)]]
+    got = stream_of(spark, tmp_path, parts, schema, FO.StallWatch(1000), ["t_ms"])
+    assert len(table) > 10 and sorted(r for r in got if r in table) == table
+    assert [r for r in got if r not in table] == [("a", 21_200, 1000)]  # after the last output only the timer can tell
+
+
+def test_deadline_and_expiry_without_rows(spark, tmp_path):
+    schema = "session string, pos long, kind string, start_ms long, end_ms long, text string, lang string, zone long, boundary_t long, new_lang string"
+    rows = [("a", 1, "text", 1000, 1100, " alt", "ko", 1, None, None), ("a", 2, "lang_switch", 1500, 1500, "", "ko", None, 1500, "en")]
+    parts = [rows, [("last", 1, "text", 60_000, 60_100, " x", "ko", None, None, None)]]
+    assert stream_of(spark, tmp_path / "deadline", parts, schema, RC.Reconcile(), ["pos"]) == [("a", 1, "restored", "d3")]
+    schema = "session string, seq long, start_ms long, words array<struct<text: string, start: long, end: long>>"
+    parts = [[("a", 0, 1000, [("one", 0, 100), ("two", 200, 300)])], [("last", 0, 90_000, [])]]
+    assert stream_of(spark, tmp_path / "flush", parts, schema, FO.CommitAgreed(), ["seq"], keep_ms=30_000) == [("a", -1, "one", 0), ("a", -1, "two", 200)]
