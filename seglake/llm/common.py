@@ -13,6 +13,8 @@ from ..session import checkpoint_folder
 
 #: Rows handed to a kernel at once hold about this many characters, so that working arrays stay small.
 SLICE_CHARS = 1_000_000
+#: Rows of a batch that a kernel gets at once, so that what it returns stays small too.
+SLICE_ROWS = 2048
 
 
 def spans(sizes: Sequence[int], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
@@ -42,9 +44,11 @@ def append_columns(df: DataFrame, inputs: Sequence[str], fields: Sequence[tuple[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = kernel()
-        for batch in batches:
-            made = work(*[batch.column(i) for i in places])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *made], names=[f.name for f in schema.fields])
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(start, SLICE_ROWS)
+                made = work(*[batch.column(i) for i in places])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:width], *made], names=[f.name for f in schema.fields])
 
     return df.select(*[f"`{c}`" for c in order]).mapInArrow(run, schema)
 

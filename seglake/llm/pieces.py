@@ -12,8 +12,10 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Pieces, and characters in them, that a task keeps before it starts anew.
-MOST_PIECES, MOST_CHARS = 350_000, 7_000_000
+#: Pieces that a worker keeps before it starts anew; about 200 bytes each.
+MOST_PIECES = 500_000
+#: Characters of these pieces, per piece on average.
+MEAN_CHARS = 20
 
 
 class _Index(dict):
@@ -55,7 +57,8 @@ def plain(text: str) -> bool:
 
 
 class PieceEncoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MOST_PIECES):
+        self.most = most
         self.tokenizer = load(path)
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         #: Which ids end a word; without such ids every piece is encoded alone.
@@ -132,7 +135,7 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's ids begin (one more entry than texts)."""
-        if len(self.index) > MOST_PIECES or self.index.chars > MOST_CHARS:
+        if len(self.index) > self.most or self.index.chars > self.most * MEAN_CHARS:
             self._anew()
         parts = [(t.lower() if self.lowers and plain(t) else t).replace("\n", " ").split(" ") for t in texts]
         counts = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
@@ -145,6 +148,6 @@ class PieceEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, most: int = MOST_PIECES) -> PieceEncoder:
     """Kept by a worker from task to task."""
-    return PieceEncoder(path)
+    return PieceEncoder(path, most)

@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from ..session import checkpoint_folder
 from .common import spans, written
-from .pieces import encoder
+from .pieces import MOST_PIECES, encoder
 
 #: Fixed numbers of the seekable format: skippable frame, seek table, and the flag for checksums.
 SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -121,7 +121,7 @@ def write(docs: DataFrame, path: str, end_id: int | None = None, folder: str | N
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoder(path)
+        tokens = encoder(path, MOST_PIECES * 3 // 2)  # nothing else takes memory here
         files, base = shared_filesystem(target)
         part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex[:12]
         width = 2 if max(tokens.tokenizer.get_vocab_size(with_added_tokens=True) - 1, end_id or 0) < 1 << 16 else 4
