@@ -190,13 +190,11 @@ def compatible(samples: DataFrame, capabilities: DataFrame) -> DataFrame:
     language list means all. Listed backends join on the language; the backends
     that take everything (a handful of configuration rows) are exploded onto
     each sample, which is exactly the output."""
-    listed = capabilities.filter(F.col("languages").isNotNull()).select("backend", F.explode("languages").alias("language"))
-    named = samples.join(listed, "language")
-    open_to_all = [r[0] for r in capabilities.filter(F.col("languages").isNull()).select("backend").collect()]
-    if not open_to_all:
-        return named
-    every = samples.withColumn("backend", F.explode(F.array(*[F.lit(b) for b in open_to_all])))
-    return named.unionByName(every)
+    listed = capabilities.filter(F.col("languages").isNotNull()).select("backend", F.explode("languages").alias("_language"))
+    spoken = samples.select(F.col("language").alias("_language"), F.lit(1).alias("_one")).distinct()
+    open_to_all = capabilities.filter(F.col("languages").isNull()).select("backend", F.lit(1).alias("_one")).join(spoken, "_one").drop("_one")
+    allowed = listed.unionByName(open_to_all)
+    return samples.join(allowed, F.col("language").eqNullSafe(F.col("_language"))).drop("_language")
 
 
 def word_anomaly(probability: Column, duration_ms: Column) -> Column:

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-for _name in ("filters", "joins", "aggregates", "windows", "scoring", "logs", "segments", "feed", "exports", "sets", "streams"):
+for _name in ("filters", "joins", "aggregates", "windows", "scoring", "logs", "formats", "segments", "feed", "exports", "sets", "streams"):
     try:
         import_module(f"{__package__}.{_name}")
     except ModuleNotFoundError as missing:
