@@ -16,6 +16,19 @@ HEADLINE = [
 ]
 
 
+def feed_bytes(spark, folder: str) -> dict[str, float]:
+    """Characters of all full snapshots against those of the deltas, and their ratio."""
+    from pyspark.sql import functions as F
+
+    from seglake.operators.feed import encode_deltas
+    from seglake.sources.tables import Tables
+
+    snap = Tables(spark, folder).snap
+    size = lambda df: df.agg(F.sum(F.length("line_text"))).first()[0] or 0
+    full, delta = size(snap), size(encode_deltas(snap, ["session_id"])[1])
+    return {"full": full, "delta": delta, "ratio": round(full / max(delta, 1), 2)}
+
+
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -27,7 +40,8 @@ def main() -> None:
         catalog.QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         took[name] = round(time.time() - t0, 3)
         print(name, took[name], file=sys.stderr, flush=True)
-    print(json.dumps({"metric": "headline_queries_wall_time", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(folder.rstrip("/"))}))
+    print(json.dumps({"metric": "headline_queries_wall_time", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(folder.rstrip("/")),
+                      "feed_bytes": feed_bytes(spark, folder)}))
     spark.stop()
 
 

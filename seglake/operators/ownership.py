@@ -7,22 +7,37 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import values as V
+from ..functions.ordered import last_known, rows_block, scan
 from .joins import reemission_pairs
 
 
 def own_dedup(new: DataFrame, committed: DataFrame, keys: list[str], batch: str, tol: int = V.REEMIT_TOL_MS) -> DataFrame:
-    """Verdict per token: a batch that reaches past the matched committed words
-    supersedes them; otherwise its exact repeats are dropped. ``new`` has
-    ``batch``; batches are judged one by one. Returns keys, side, seq, action."""
-    pairs = reemission_pairs(new, committed, keys, tol).join(new.select(*keys, F.col("seq").alias("new_seq"), batch), [*keys, "new_seq"])
-    at = committed.select(*keys, F.col("seq").alias("old_seq"), F.col("start_ms").alias("c_start"))
-    reach = new.groupBy(*keys, batch).agg(F.max("start_ms").alias("b_max"))
-    top = pairs.join(at, [*keys, "old_seq"]).groupBy(*keys, batch).agg(F.max("c_start").alias("c_max"))
-    extends = top.join(reach, [*keys, batch]).select(*keys, batch, (F.col("b_max") > F.col("c_max") + tol).alias("extends"))
-    j = pairs.join(extends, [*keys, batch])
-    old = j.filter("extends").select(*keys, F.lit("committed").alias("side"), F.col("old_seq").alias("seq"), F.lit("supersede").alias("action"))
-    drop = j.filter("not extends and kind = 'exact'").select(*keys, F.lit("new").alias("side"), F.col("new_seq").alias("seq"), F.lit("drop").alias("action"))
-    return old.unionByName(drop).distinct()
+    """Verdicts on words emitted again: keys, batch, side, seq, action, start_ms.
+
+    ``new`` has seq, start_ms, word, the batch, and the batch's window: floor_ms and limit_ms. A batch that begins after its
+    limit is new audio and is left alone; committed words count from the floor to the end of the batch. A batch that reaches
+    past the matched committed words supersedes them, with the punctuation that directly follows them, and its first word
+    inherits the earliest start among them. Any other batch loses its exact repeats (drop)."""
+    bk = [*keys, batch]
+    reach = new.groupBy(*bk).agg(F.max("start_ms").alias("b_max"), F.min("start_ms").alias("b_min"), F.min_by("seq", F.struct("start_ms", "seq")).alias("first_seq"),
+                                 F.min("floor_ms").alias("floor_ms"), F.min("limit_ms").alias("limit_ms")).filter("b_min <= limit_ms")
+    inside = F.col("c_start").between(F.col("floor_ms") - tol, F.col("b_max") + tol)
+    at = scan(committed.select(*keys, "seq", "start_ms", (X.edge_form("word") == "").alias("_mark")), keys, ["seq"], rows_block("seq"),
+              _word=last_known(F.when(~F.col("_mark"), F.col("seq"))))
+    at = at.select(*keys, F.col("seq").alias("old_seq"), F.col("start_ms").alias("c_start"), "_mark", "_word")
+    pairs = reemission_pairs(new, committed, keys, tol).join(new.select(*bk, F.col("seq").alias("new_seq")), [*keys, "new_seq"])
+    live = pairs.join(at.filter("not _mark").drop("_mark", "_word"), [*keys, "old_seq"]).join(reach, bk).filter(inside)
+    top = live.groupBy(*bk).agg(F.max("c_start").alias("c_max"))
+    judged = live.join(top, bk).withColumn("extends", F.col("b_max") > F.col("c_max") + tol)
+    words = judged.filter("extends").select(*bk, "old_seq", "c_start", "floor_ms", "b_max", "b_min", "first_seq").distinct()
+    marks = at.filter("_mark").select(*keys, F.col("_word").alias("old_seq"), F.col("old_seq").alias("_seq"), F.col("c_start").alias("_at"))
+    marks = words.drop("c_start").join(marks, [*keys, "old_seq"]).withColumn("old_seq", F.col("_seq")).withColumn("c_start", F.col("_at")).filter(inside)
+    gone = words.unionByName(marks.select(*words.columns))
+    heirs = gone.groupBy(*bk, "first_seq", "b_min").agg(F.min("c_start").alias("start_ms")).filter("start_ms < b_min")
+    none = F.lit(None).cast("bigint").alias("start_ms")
+    return gone.select(*bk, F.lit("committed").alias("side"), F.col("old_seq").alias("seq"), F.lit("supersede").alias("action"), none).unionByName(
+        heirs.select(*bk, F.lit("new").alias("side"), F.col("first_seq").alias("seq"), F.lit("inherit_id").alias("action"), "start_ms")).unionByName(
+        judged.filter("not extends and kind = 'exact'").select(*bk, F.lit("new").alias("side"), F.col("new_seq").alias("seq"), F.lit("drop").alias("action"), none).distinct())
 
 
 def _long_cut(limit_ms: int) -> Column:

@@ -111,14 +111,26 @@ def _(t):
 EDGE_SQL = "lower(regexp_replace(word, '^[.,?!…~\"''`“”‘’()\\[\\]{}<>:;·\\-–—。、，！？ \\t]+|[.,?!…~\"''`“”‘’()\\[\\]{}<>:;·\\-–—。、，！？ \\t]+$', '', 'g'))"
 
 
-@query("str11_own_dedup", f"""WITH n AS (SELECT session_id, seq, turn AS batch, start_ms, {EDGE_SQL} AS x FROM tok WHERE seq % 2 = 0), c AS (SELECT session_id, seq, start_ms, {EDGE_SQL} AS x FROM tok WHERE seq % 2 = 1),
-   p AS (SELECT n.session_id, n.batch, n.seq AS ns, c.seq AS cs, c.start_ms AS c_at, n.x = c.x AS ex FROM n JOIN c ON n.session_id = c.session_id AND abs(n.start_ms - c.start_ms) <= 400 AND n.x <> '' AND c.x <> '' AND (starts_with(n.x, c.x) OR starts_with(c.x, n.x))),
-   h AS (SELECT session_id, batch, max(start_ms) AS b_max FROM n GROUP BY ALL), d AS (SELECT p.session_id, p.batch, max(h.b_max) > max(c_at) + 400 AS e FROM p JOIN h USING (session_id, batch) GROUP BY ALL)
-   SELECT DISTINCT session_id, 'committed' AS side, cs AS seq, 'supersede' AS action FROM p JOIN d USING (session_id, batch) WHERE e UNION SELECT session_id, 'new', ns, 'drop' FROM p JOIN d USING (session_id, batch) WHERE NOT e AND ex""")
+@query("str11_own_dedup", f"""WITH n0 AS (SELECT session_id, seq, turn AS batch, start_ms + 100 AS start_ms, {EDGE_SQL} AS x FROM tok WHERE seq % 3 <> 0),
+   h AS (SELECT session_id, batch, max(start_ms) AS b_max, min(start_ms) AS b_min, arg_min(seq, start_ms) AS first_seq FROM n0 GROUP BY ALL HAVING batch % 5 <> 4), n AS (SELECT n0.*, b_max, b_min, b_min + 1200 AS floor FROM n0 JOIN h USING (session_id, batch)),
+   c0 AS (SELECT session_id, seq, start_ms, CASE WHEN seq % 8 = 3 THEN '.' ELSE word END AS word FROM tok WHERE seq % 2 = 1 AND seq % 40 < 30), c1 AS (SELECT session_id, seq, start_ms, {EDGE_SQL} AS x FROM c0),
+   c AS (SELECT *, max(CASE WHEN x <> '' THEN seq END) OVER (PARTITION BY session_id ORDER BY seq) AS anchor FROM c1),
+   p AS (SELECT n.session_id, n.batch, n.seq AS ns, c.seq AS cs, c.start_ms AS c_at, n.x = c.x AS ex, b_max, b_min, floor FROM n JOIN c ON n.session_id = c.session_id AND abs(n.start_ms - c.start_ms) <= 400 AND n.x <> '' AND c.x <> '' AND (starts_with(n.x, c.x) OR starts_with(c.x, n.x)) AND c.start_ms BETWEEN floor - 400 AND b_max + 400),
+   d AS (SELECT session_id, batch, max(b_max) > max(c_at) + 400 AS e FROM p GROUP BY ALL), w AS (SELECT DISTINCT session_id, batch, cs, c_at, floor, b_max FROM p JOIN d USING (session_id, batch) WHERE e),
+   g AS (SELECT session_id, batch, cs, c_at FROM w UNION SELECT w.session_id, w.batch, c.seq, c.start_ms FROM w JOIN c ON c.session_id = w.session_id AND c.anchor = w.cs AND c.x = '' AND c.start_ms BETWEEN w.floor - 400 AND w.b_max + 400)
+   SELECT session_id, batch, 'committed' AS side, cs AS seq, 'supersede' AS action, CAST(NULL AS BIGINT) AS start_ms FROM g
+   UNION ALL SELECT h.session_id, h.batch, 'new', first_seq, 'inherit_id', m FROM h JOIN (SELECT session_id, batch, min(c_at) AS m FROM g GROUP BY ALL) USING (session_id, batch) WHERE m < b_min
+   UNION ALL SELECT DISTINCT session_id, batch, 'new', ns, 'drop', CAST(NULL AS BIGINT) FROM p JOIN d USING (session_id, batch) WHERE NOT e AND ex""")
 def _(t):
+    from pyspark.sql import Window
+
     from ..operators.ownership import own_dedup
-    k = t.tok
-    return own_dedup(k.filter("seq % 2 = 0").withColumn("batch", F.col("turn")), k.filter("seq % 2 = 1"), S, "batch")
+    k = t.tok.select("session_id", "turn", "seq", "word", "start_ms")
+    first = F.min("start_ms").over(Window.partitionBy("session_id", "batch"))
+    new = k.filter("seq % 3 <> 0").withColumn("batch", F.col("turn")).withColumn("start_ms", F.col("start_ms") + 100)
+    new = new.withColumn("floor_ms", first + 1200).withColumn("limit_ms", first - F.when(F.col("batch") % 5 == 4, 1).otherwise(0))
+    old = k.filter("seq % 2 = 1 and seq % 40 < 30").withColumn("word", F.when(F.col("seq") % 8 == 3, ".").otherwise(F.col("word")))
+    return own_dedup(new, old, S, "batch")
 
 
 @query("str25_trim_points", """SELECT b.session_id, b.seg_id AS step, CASE WHEN b.end_ms - b.start_ms <= 9000 THEN NULL WHEN b.seg_id >= 2 THEN s.end_ms WHEN b.seg_id >= 1 THEN b.end_ms - 500
