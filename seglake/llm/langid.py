@@ -21,6 +21,8 @@ from .common import append_columns, spans
 BUCKETS = 1 << 13
 #: Bound on the labelled rows of one language that the classifiers are fitted on.
 ROWS_PER_LANGUAGE = 600
+#: Bound on the rows of all languages together; with many languages each gets fewer.
+MOST_ROWS = 6000
 #: Most languages that are told apart; more than this many labels is an error.
 MAX_LANGUAGES = 500
 #: Losses of the two nearest codewords that lie closer than this share are flagged as ambiguous.
@@ -86,6 +88,7 @@ def training_sample(labelled: DataFrame, per_language: int = ROWS_PER_LANGUAGE)
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
         return [], [], []
+    per_language = max(1, min(per_language, MOST_ROWS // len(counts)))
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, per_language / n)))])
     chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     schema = StructType([StructField("lang", StringType()), StructField("at", ArrayType(IntegerType())),
