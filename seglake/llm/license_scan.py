@@ -4,16 +4,18 @@ A multinomial logistic regression over word n-grams of one to three words knows
 Its temperature is fitted on held-out variants, and a paragraph whose best family stays under the threshold is unknown. A
 predicted family counts only if the paragraph shares enough word pairs with one of its templates.
 
-Scoring is column expressions over the rows: the weights are a constant of hash buckets, sized by the templates. Only
-paragraphs with one of the ANCHORS are looked at; every template and every kind of notice holds one."""
+Scoring is column expressions over the rows: the weights are a constant of hash buckets, sized by the templates. A paragraph
+is left unscored only where a bound from the weights (``reach``) shows that its class is NONE. Paragraphs of the class NONE
+are listed if they hold one of the ANCHORS or NAMES."""
 
 from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 from zlib import crc32
 
 import numpy as np
@@ -22,12 +24,17 @@ from pyspark.sql import functions as F
 
 from .license_texts import OTHER, TEMPLATES
 
-#: Parts of words without which no paragraph is a licence notice.
+#: Parts of words by which a paragraph of the class NONE is listed as unknown.
 ANCHORS = ("licen", "copyright", "warrant", "redistribut", "permission", "rights", "public domain", "creative commons", "spdx", "gnu", "apache",
            "mozilla", "cc by", "cc-by", "cc0", "bsd", "proprietary")
+#: Names of licences that do the same, as whole words. German has a word "mit".
+NAMES = r"\bMIT\b|\b(?i:[al]?gpl|mpl|copying|copyleft|copyrighted)(?:v?[0-9.]+)?\b"
+NAME_PARTS = ("gpl", "mpl", "copy")  # every other match of NAMES holds MIT
 #: Paragraphs end at blank lines, and at line feeds after the end of a sentence; other line feeds are wrapped lines.
 PARAGRAPHS = r"\n[ \t\r]*\n\s*|(?<=[.!?:;])[ \t\r]*\n\s*"
 NONE = "other"
+#: Slots of the table of ``reach``; words that share one only raise the bound.
+SLOTS = 1 << 13
 #: Least calibrated probability, and least share of word pairs in common with a template.
 THRESHOLD, SIMILAR = 0.6, 0.5
 
@@ -125,6 +132,19 @@ def predict(model: Model, own: list[str]) -> tuple[str, float]:
     return model.classes[int(e.argmax())], float(e.max() / e.sum())
 
 
+def reach(model: Model) -> dict[str, np.ndarray]:
+    """Each word's parts in the lead of NONE over each family: where the parts of the words of a paragraph add up to less than 1
+    for a family, the bias outweighs whatever its n-grams may give. An n-gram counts for its rarest word among the n-grams."""
+    often = Counter(w for gram in model.weights for w in gram.split())
+    parts = {word: np.zeros(len(model.bias) - 1) for word in often}
+    lead = model.bias[-1] - np.array(model.bias[:-1])
+    if lead.min() <= 0:
+        raise ValueError("the bias of the model does not favour NONE")
+    for gram, w in model.weights.items():
+        parts[min(gram.split(), key=often.__getitem__)] += np.maximum(0, np.array(w[:-1]) - w[-1]) / lead
+    return parts
+
+
 def constant(value: object, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps({"v": value})), f"v {kind}")["v"]
 
@@ -135,43 +155,49 @@ def gram_column(own: Column, n: int) -> Column:
 
 
 def scan(docs: DataFrame, model: Model | None = None, text: str = "text") -> DataFrame:
-    """Adds paragraphs: an array of (paragraph, family, score, similarity) for every paragraph that holds an anchor, in text
-    order. family is null where the paragraph is not a licence notice, the class is unsure or no template confirms it; score is
-    the probability of the best family.
+    """Adds paragraphs: an array of (paragraph, family, score, similarity) in text order, for every paragraph that the model
+    gives any class but NONE, and for those of NONE with an anchor or a name. family is null where the paragraph is not a
+    licence notice, the class is unsure or no template confirms it; score is the probability of the best family.
 
     Null and empty texts have no paragraphs. Rows and other columns stay; a column ``paragraphs`` is replaced."""
     model = model or fit()
+
     size = 1 << (2 * len(model.weights)).bit_length()
     buckets: list[list[dict]] = [[] for _ in range(size)]
     for gram, w in model.weights.items():
         buckets[crc32(gram.encode()) % size].append({"g": gram, "w": w})
     weights = constant(buckets, "array<array<struct<g: string, w: array<double>>>>")
+    shares = np.zeros((SLOTS, len(TEMPLATES)))
+    for word, share in reach(model).items():
+        shares[crc32(word.encode()) % SLOTS] += share
+    most = constant(shares.max(1).tolist(), "array<double>")
+    each = constant([r.tolist() if r.any() else None for r in shares], "array<array<double>>")
     compared = constant([[grams(words(t), (2,)) for t in texts] for texts in TEMPLATES.values()], "array<array<array<string>>>")
     families = F.array(*[F.lit(c) for c in model.classes[:-1]])
     bias = F.array(*[F.lit(b) for b in model.bias])
-
-    def anchored(value: Column) -> Column:
-        low = F.lower(value)
-        found = low.contains(ANCHORS[0])
-        for part in ANCHORS[1:]:
-            found = found | low.contains(part)
-        return found
+    kind = "array<struct<paragraph: int, family: string, score: double, similarity: double>>"
 
     def let(value: Column, body) -> Column:
         """``body`` over ``value`` computed once."""
         return F.element_at(F.transform(F.array(value), body), 1)
 
-    def judged(number: Column, own: Column) -> Column:
-        pairs = gram_column(own, 2)
-        all_grams = F.array_distinct(F.concat(own, pairs, gram_column(own, 3)))
-        hits = F.flatten(F.transform(all_grams, lambda g: F.filter(
-            F.element_at(weights, (F.crc32(g.cast("binary")) % size + 1).cast("int")), lambda e: e["g"] == g)))
+    def held(value: Column, parts: tuple[str, ...]) -> Column:
+        return reduce(lambda a, b: a | b, [value.contains(part) for part in parts])
+
+    def noted(paragraph: Column) -> Column:
+        return let(F.lower(paragraph), lambda low: held(low, ANCHORS) | (held(low, NAME_PARTS) & paragraph.rlike(NAMES)) | (
+            paragraph.contains("MIT") & paragraph.rlike(NAMES)))
+
+    def at(slots: Column, value: Column, n: int) -> Column:
+        return F.element_at(slots, (F.crc32(value.cast("binary")) % n + 1).cast("int"))
+
+    def judged(number: Column, named: Column, own: Column) -> Column:
+        all_grams = F.array_distinct(F.concat(own, gram_column(own, 2), gram_column(own, 3)))
+        hits = F.flatten(F.transform(all_grams, lambda g: F.filter(at(weights, g, size), lambda e: e["g"] == g)))
         total = F.aggregate(hits, bias, lambda s, e: F.zip_with(s, e["w"], lambda a, b: a + b))
 
-        def decided(z: Column) -> Column:
-            top = F.array_max(z)
+        def measured(z: Column, top: Column, best: Column, pairs: Column) -> Column:
             mass = F.aggregate(z, F.lit(0.0), lambda s, v: s + F.exp((v - top) / model.temperature))
-            best = F.array_max(F.transform(F.slice(z, 1, len(TEMPLATES)), lambda v, i: F.struct(v.alias("v"), (-i).alias("i"))))
             chance = F.exp((best["v"] - top) / model.temperature) / mass
             common = F.array_max(F.transform(F.element_at(compared, 1 - best["i"]), lambda t: F.size(F.array_intersect(t, pairs)) / F.least(
                 F.size(t), F.greatest(F.size(F.array_distinct(pairs)), F.lit(1)))))
@@ -179,20 +205,34 @@ def scan(docs: DataFrame, model: Model | None = None, text: str = "text") -> Dat
             return F.struct(number.alias("paragraph"), F.when(sure, F.element_at(families, 1 - best["i"])).alias("family"),
                             F.round(chance, 4).alias("score"), F.round(common, 4).alias("similarity"))
 
+        def decided(z: Column) -> Column:
+            top = F.array_max(z)
+            best = F.array_max(F.transform(F.slice(z, 1, len(TEMPLATES)), lambda v, i: F.struct(v.alias("v"), (-i).alias("i"))))
+            return F.when((best["v"] == top) | named, let(gram_column(own, 2), lambda pairs: measured(z, top, best, pairs)))
+
         return let(total, decided)
 
+    def scored(e: Column) -> Column:
+        def reached(own: Column) -> Column:
+            """Whether some family may outweigh NONE: first by the largest parts of the words, then family by family."""
+            distinct = F.array_distinct(own)
+            sums = F.aggregate(F.filter(F.transform(distinct, lambda w: at(each, w, SLOTS)), lambda r: r.isNotNull()),
+                               F.array(*[F.lit(0.0)] * len(TEMPLATES)), lambda s, r: F.zip_with(s, r, lambda a, b: a + b))
+            return (F.aggregate(distinct, F.lit(0.0), lambda s, w: s + at(most, w, SLOTS)) > 1 - 1e-6) & F.exists(sums, lambda v: v > 1 - 1e-6)
+
+        def weighed(own: Column) -> Column:
+            return let(noted(e["p"]), lambda named: F.when(named | reached(own), judged(e["i"], named, own)))
+
+        return let(F.filter(F.split(F.lower(e["p"]), "[^a-z0-9]+"), lambda w: w != ""), weighed)
+
     numbered = F.transform(F.split(text, PARAGRAPHS), lambda p, i: F.struct(i.alias("i"), p.alias("p")))
-    live = F.filter(numbered, lambda e: anchored(e["p"]))
-    judged_all = F.transform(live, lambda e: let(
-        F.filter(F.split(F.lower(e["p"]), "[^a-z0-9]+"), lambda w: w != ""), lambda own: judged(e["i"], own)))
-    kind = "array<struct<paragraph: int, family: string, score: double, similarity: double>>"
-    found = F.when(anchored(F.col(text)), judged_all).otherwise(F.array().cast(kind))
+    found = F.array_compact(F.transform(numbered, scored))
     return docs.withColumn("paragraphs", F.coalesce(found.cast(kind), F.array().cast(kind)))
 
 
 def summary(scanned: DataFrame) -> DataFrame:
-    """Per row: doc_id, families (sorted, comma-joined, empty if none), n_licensed and n_unknown paragraphs, best score of a
-    confirmed paragraph (0 if none)."""
+    """Per row: doc_id, families (sorted, comma-joined, empty if none), n_licensed and n_unknown (listed without a family)
+    paragraphs, best score of a confirmed paragraph (0 if none)."""
     sure = F.filter("paragraphs", lambda p: p["family"].isNotNull())
     return scanned.select(
         "doc_id", F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda p: p["family"]))), ",").alias("families"),

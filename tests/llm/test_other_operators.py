@@ -197,6 +197,24 @@ def test_licences_against_brute_force(spark):
     assert license_scan.scan(docs.where("1 = 0"), model).count() == 0
 
 
+def test_licences_without_anchors_against_every_paragraph(spark):
+    """Paragraphs with and without anchors against the model and the templates alone."""
+    rng = random.Random(4)
+    model = license_scan.fit()
+    some = [" ".join(rng.sample(license_scan.words(t), rng.randint(1, len(license_scan.words(t))))) for ts in TEMPLATES.values() for t in ts for _ in range(3)]
+    parts = ["Unauthorized copying of this file is strictly prohibited.", "Distributed under the GPL v2.", "Released under MIT.", "This file is under GPLv3.", "Er kam mit dem Zug",
+             "No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written consent of the publisher.",
+             "This is free and unencumbered software released into the wild.", "Use, copy, modify, merge, publish, distribute this software free of charge", "of the", *some, *OTHER]
+    assert not any(a in p.lower() for p in parts[:9] for a in license_scan.ANCHORS)
+    docs = spark.createDataFrame([(0, "\n\n".join(parts))], "doc_id long, text string")
+    got = {p.paragraph: p.family for p in license_scan.scan(docs, model).first().paragraphs}
+    brute = {i: brute_licence(model, p) for i, p in enumerate(parts)}
+    assert {i: f for i, f in got.items() if f} == {i: f for i, f in brute.items() if f}
+    assert any(brute[i] for i in range(9))
+    called = {i for i, p in enumerate(parts) if license_scan.predict(model, license_scan.words(p))[0] != license_scan.NONE}
+    assert called | {0, 1, 2, 3} <= got.keys() and 4 not in got and 8 not in got
+
+
 def test_pipeline_against_brute_force(spark):
     docs = sorted(pq.read_table(f"{SAMPLE}/documents.parquet").to_pylist(), key=lambda r: r["doc_id"])
     docs = [r for r in docs if r["text"] and any(c.isalpha() for c in r["text"])]
