@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,9 @@ CONTAINERS = {"html", "body", "div", "section", "article", "main", "header", "fo
 DENSE = {"ul", "ol", "dl", "table"}
 LINES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "blockquote", "pre", "address",
          "figure", "figcaption", "details", "summary", "hr", "br", "legend", "hgroup", "option", "head"} | CONTAINERS
+LISTS = {"ul", "ol", "menu"}
+#: Elements that may be shed and stand inside lines.
+INLINE = {"span", "a", "button"}
 #: Words in class, id or role that mark a container without article text.
 SHED_WORDS = {
     "ad", "ads", "adv", "advert", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner",
@@ -71,6 +75,7 @@ class Lines:
         self.open: list[str] = []
         self.open_linked = 0
         self.links = self.articles = 0
+        self.within: Counter[str] = Counter()  # open containers
         self._walk(page)
 
     def _line(self, gap: bool) -> None:
@@ -111,33 +116,67 @@ class Lines:
                 self.links = max(0, self.links + (-1 if closed else 1))
             if tag in ("article", "main"):
                 self.articles = max(0, self.articles + (-1 if closed else 1))
+            if tag in CONTAINERS:
+                self.within[tag] = max(0, self.within[tag] + (-1 if closed else 1))
             if closed or tag in VOID:
                 continue
             if sheds(tag, m["attributes"], self.articles > (tag in ("article", "main"))):
-                end = self._end(tags, i, tag)
+                if tag in CONTAINERS:
+                    self.within[tag] -= 1
+                end, own = self._end(tags, i, tag, self.within)
                 if tag in ("article", "main"):
                     self.articles -= 1
                 if tag == "a":
                     self.links -= 1
-                place, i = (tags[end].end(), end + 1) if end < len(tags) and tags[end]["end"] else (tags[end].start(), end) if end < len(tags) else (len(page), end)
+                place, i = (tags[end].end(), end + 1) if own else (tags[end].start(), end) if end < len(tags) else (len(page), end)
                 if tag in CONTAINERS:
                     self._line(True)
         self._write(page[place:])
         self._line(False)
 
     @staticmethod
-    def _end(tags: list[re.Match], i: int, tag: str) -> int:
-        """Index of the closing tag; without one, of the article that follows, or the end of the page."""
-        depth, article = 1, None
+    def _end(tags: list[re.Match], i: int, tag: str, within: Counter[str]) -> tuple[int, bool]:
+        """Index of the tag that ends an element, and whether that is its own closing tag.
+
+        A p ends at the next block, an li at the next li or the end of its list, head at body. Whatever is not closed ends at an
+        article that follows, or where a container around it (``within``) ends, or at the end of the page; an inline element
+        already at the first block."""
+        depth, lists, article, block = 1, 0, None, None
+        inner: Counter[str] = Counter()
         for j in range(i, len(tags)):
-            other = (tags[j]["tag"] or "").lower()
-            if other == tag:
-                depth += -1 if tags[j]["end"] else 1
+            other, closed = (tags[j]["tag"] or "").lower(), bool(tags[j]["end"])
+            if not other:
+                continue
+            if tag == "p" and other in LINES and other != "br":
+                return j, closed and other == "p"
+            if tag == "li" and not lists and other == "li":
+                return j, closed
+            if tag == "head" and other == "body":
+                return j, False
+            if tag == "li" and other in LISTS:
+                lists += -1 if closed else 1
+                if lists < 0:
+                    return j, False
+            if other == tag and tag != "li":
+                depth += -1 if closed else 1
                 if not depth:
-                    return j
-            elif article is None and other in ("article", "main") and not tags[j]["end"]:
-                article = j
-        return len(tags) if article is None else article
+                    return j, True
+            elif other in CONTAINERS:
+                if article is None and other in ("article", "main") and not closed:
+                    article = j
+                if not closed:
+                    inner[other] += 1
+                elif inner[other]:
+                    inner[other] -= 1
+                elif within[other]:
+                    break
+            if block is None and other in LINES and other != "br":
+                block = j
+        else:
+            j = len(tags)
+        if tag in INLINE and block is not None:
+            return block, False
+        return (j if article is None else article), False
 
 
 def main_text(page: str | None) -> str:

@@ -161,6 +161,21 @@ def test_main_text_without_or_with_broken_markup():
     assert main_text.main_text("<p>1 < 2 and 3 > 2</p>") == "1 < 2 and 3 > 2"
 
 
+@pytest.mark.parametrize("page, text", [
+    ('<article><p class="ad">Buy<p>First</p><p>Second</p></article>', "First\nSecond"),
+    ('<article><p class="ad">Buy<br>now<div>First</div></article>', "First"),
+    ('<div><p class="ad">Buy</div><article><p>First</article>', "First"),
+    ('<article><ul><li class="share">Send<ul><li>by mail</ul><li>One</ul><p>Last</p></article>', "One\nLast"),
+    ('<article><ul><li class="share">Send</ul><p>Last</p></article>', "Last"),
+    ('<main><article><div class="ad">Buy</article><p>After</p></main>', "After"),
+    ('<article><div class="share">Send<div>by mail</div></div>After</article>', "After"),
+    ('<article><p>One <span class="share">Send<p>Two</article>', "One\nTwo"),
+    ('<head><meta name=x><body><p>One</p></body>', "One"),
+])
+def test_main_text_after_elements_without_closing_tag(page, text):
+    assert main_text.main_text(page) == text
+
+
 def test_main_text_on_awkward_rows(spark):
     long = "<article>" + "<p>word and word</p>" * 20_000 + "</article>"
     rows = [(1, "u", None, "mine"), (2, None, "", "mine"), (3, "u", PAGE % f"<article>{BODY}</article>", "mine"), (3, "u", PAGE % f"<article>{BODY}</article>", "mine"), (None, "u", long, "mine")]
