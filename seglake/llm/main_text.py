@@ -1,10 +1,10 @@
 """Main text of web pages by the distribution of text over line blocks.
 
 Markup is stripped so that every block of text is a line and every container border a gap of empty lines. Text lengths are
-summed over sliding windows of lines. A window that rises over a threshold is a surge, a window without text is a dive, and
-the text between a surge and the following dive is kept. What stands in containers that never hold the article (menus,
-headers, footers, side bars, notices, adverts, forms, comments) is stripped with the markup, and an ``article`` or ``main``
-element narrows the lines that count."""
+summed over sliding windows of lines. A window that rises over a threshold is a surge, a window without text is a dive. The
+text from the first region with a surge, heading or paragraph to the last one is kept whole. What stands in containers that
+never hold the article (menus, headers, footers, side bars, notices, adverts, forms, comments) is stripped with the markup.
+Where there is an ``article`` or ``main`` element, all its other lines are kept, and nothing else."""
 
 from __future__ import annotations
 
@@ -21,7 +21,7 @@ from .common import append_columns
 
 #: Lines in a window, and the characters in a window that make a surge.
 WINDOW, SURGE = 3, 60
-#: A region with a larger share of its characters inside links is a list of links.
+#: A region with a larger share of its characters inside links is a list of links; the text does not begin or end there.
 LINKS = 0.6
 #: Elements whose content is never article text, taken out whole up to their closing tag or the end of the page.
 RAW = "script style noscript template textarea iframe svg math object select canvas video audio title".split()
@@ -42,6 +42,8 @@ LINES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "tr", "td",
 LISTS = {"ul", "ol", "menu"}
 #: Elements that may be shed and stand inside lines.
 INLINE = {"span", "a", "button"}
+#: Elements of which one line makes a place of text.
+BODY = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"}
 #: Words in class, id or role that mark a container without article text.
 SHED_WORDS = {
     "ad", "ads", "adv", "advert", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner",
@@ -66,12 +68,15 @@ def sheds(tag: str, attributes: str, in_article: bool) -> bool:
 
 
 class Lines:
-    """The lines of one page: text, characters inside links, and whether an article or main element holds them."""
+    """The lines of one page: text, characters inside links, whether an article or main element holds them, and whether they
+    begin in an element of BODY."""
 
     def __init__(self, page: str):
         self.text: list[str] = []
         self.linked: list[int] = []
         self.inside: list[bool] = []
+        self.body: list[bool] = []
+        self.in_body = False
         self.open: list[str] = []
         self.open_linked = 0
         self.links = self.articles = 0
@@ -91,6 +96,7 @@ class Lines:
         self.text.append(text)
         self.linked.append(linked)
         self.inside.append(self.articles > 0)
+        self.body.append(self.in_body)
 
     def _write(self, text: str) -> None:
         if text:
@@ -112,6 +118,8 @@ class Lines:
             closed = bool(m["end"])
             if tag in LINES:
                 self._line(tag in CONTAINERS and tag not in DENSE)
+                if tag != "br":
+                    self.in_body = tag in BODY and not closed
             if tag == "a":
                 self.links = max(0, self.links + (-1 if closed else 1))
             if tag in ("article", "main"):
@@ -184,9 +192,9 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     lines = Lines(page)
-    size = np.array([len(t) for t in lines.text], dtype=np.int64)
     if any(lines.inside):
-        size = np.where(lines.inside, size, 0)
+        return "\n".join(t for t, inside in zip(lines.text, lines.inside) if t and inside)
+    size = np.array([len(t) for t in lines.text], dtype=np.int64)
     if not size.any():
         return ""
     linked = np.array(lines.linked, dtype=np.int64)
@@ -198,10 +206,9 @@ def main_text(page: str | None) -> str:
         start = max(0, start)
         own = slice(start, dive)
         if size[own].sum() and linked[own][size[own] > 0].sum() <= LINKS * size[own].sum():
-            regions.append((start, min(dive, len(size)), int(windows[start:dive].max())))
-    inside = any(lines.inside)
-    kept = [r for r in regions if inside or r[2] >= SURGE] or sorted(regions, key=lambda r: -r[2])[:1]
-    return "\n".join(lines.text[i] for a, b, _ in sorted(kept) for i in range(a, b) if size[i])
+            regions.append((start, min(dive, len(size)), windows[start:dive].max() >= SURGE or any(lines.body[own])))
+    places = [r for r in regions if r[2]] or regions
+    return "\n".join(t for t in lines.text[places[0][0]:places[-1][1]] if t) if places else ""
 
 
 def extract(pages: DataFrame, page: str = "html") -> DataFrame:

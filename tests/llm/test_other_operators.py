@@ -176,6 +176,22 @@ def test_main_text_after_elements_without_closing_tag(page, text):
     assert main_text.main_text(page) == text
 
 
+LONG = "A paragraph of the article that is long enough to be a surge by itself."
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<div><h1>Title</h1></div><div><p>{LONG}</p></div>", f"Title\n{LONG}"),
+    (f"<div><h1>Title</h1></div><div>by me</div><div>{LONG}</div><section><p>Short.</p></section>", f"Title\nby me\n{LONG}\nShort."),
+    (f"<div><p>{LONG}</p></div><div><ul><li><a>One source</a></ul></div><div><p>End.</p></div>", f"{LONG}\nOne source\nEnd."),
+    (f"<article><p>{LONG}</p><section><ul><li><a>One source</a><li><a>Another source</a></ul></section></article>", f"{LONG}\nOne source\nAnother source"),
+    (f"<main><section><p><a>A linked paragraph</a></p></section><section>{LONG}</section></main>", f"A linked paragraph\n{LONG}"),
+    (f"<div><a>Home</a> <a>More</a></div><div><p>{LONG}</p></div><div><a>Imprint</a></div>", LONG),
+    ("<div>One.</div><div>Two.</div>", "One.\nTwo."),
+])
+def test_main_text_keeps_short_and_linked_parts(page, text):
+    assert main_text.main_text(page) == text
+
+
 def test_main_text_on_awkward_rows(spark):
     long = "<article>" + "<p>word and word</p>" * 20_000 + "</article>"
     rows = [(1, "u", None, "mine"), (2, None, "", "mine"), (3, "u", PAGE % f"<article>{BODY}</article>", "mine"), (3, "u", PAGE % f"<article>{BODY}</article>", "mine"), (None, "u", long, "mine")]
