@@ -97,8 +97,21 @@ MISMATCH = f"""{TURN_PAIRS}, sc AS (SELECT *, {SCRIPT.format('ref_word')} AS rs,
      count(CASE WHEN op = 'ins' AND hs NOT IN ('KO', 'EN') THEN 1 END) AS ins_neu, count(ref_word) AS ref_words FROM sc GROUP BY pair_id)"""
 
 
+def turn_key(session, turn):
+    """The key of the SQL for turns below 100000. Later turns of long sessions get negative keys, so that no two turns share
+    one; session ids and turns stay below 2 ** 31."""
+    small = F.lit(1 << 31)
+    refused = F.raise_error(F.concat(F.lit("no key for turn "), turn.cast("string"), F.lit(" of session "), session.cast("string"))).cast("bigint")
+    return F.when(turn < 100000, session * 100000 + turn).when((session < small) & (turn < small), -(session.cast("bigint") * small + turn)).when(
+        session.isNotNull() & turn.isNotNull(), refused)
+
+
+def session_of(pair):
+    return F.when(pair < 0, F.shiftright(-pair, 31)).otherwise(F.floor(pair / 100000))
+
+
 def turn_pairs(t):
-    g = t.tok.groupBy((F.col("session_id") * 100000 + F.col("turn")).alias("pair_id")).agg(F.array_sort(F.collect_list(F.struct("seq", "word"))).alias("w"))
+    g = t.tok.groupBy(turn_key(F.col("session_id"), F.col("turn")).alias("pair_id")).agg(F.array_sort(F.collect_list(F.struct("seq", "word"))).alias("w"))
     g = g.select("pair_id", F.transform("w", lambda x: x["word"]).alias("r"))
 
     def heard(w, i):
@@ -129,7 +142,7 @@ def _(t):
 @query("agg02_session_wer", f"""WITH RECURSIVE {TURN_PAIRS}, {WER} SELECT pair_id // 100000 AS session_id, CAST(sum(substitutions + insertions + deletions) AS BIGINT) AS errors, CAST(sum(ref_words) AS BIGINT) AS ref_words,
    sum(substitutions + insertions + deletions) / sum(ref_words) AS wer FROM er GROUP BY ALL""")
 def _(t):
-    s = SC.wer(turn_pairs(t), "pair_id", "r", "h").withColumn("session_id", F.floor(F.col("pair_id") / 100000))
+    s = SC.wer(turn_pairs(t), "pair_id", "r", "h").withColumn("session_id", session_of(F.col("pair_id")))
     return SC.corpus_wer(s, ["session_id"])
 
 

@@ -1,6 +1,7 @@
 """Rules on small hand-made inputs and against direct restatements."""
 
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -17,6 +18,7 @@ from seglake.operators import windows as W
 from seglake.operators.feed import decode_deltas, encode_deltas
 from seglake.operators.overlap import cut_repeat
 from seglake.operators.vectors import similar_examples
+from seglake.plans import scoring as PS
 from seglake.sources import logs as SL
 from seglake.sources import texts as ST
 from seglake.streaming import folds as FO
@@ -334,3 +336,18 @@ def test_deadline_and_expiry_without_rows(spark, tmp_path):
     schema = "session string, seq long, start_ms long, words array<struct<text: string, start: long, end: long>>"
     parts = [[("a", 0, 1000, [("one", 0, 100), ("two", 200, 300)])], [("last", 0, 90_000, [])]]
     assert stream_of(spark, tmp_path / "flush", parts, schema, FO.CommitAgreed(), ["seq"], keep_ms=30_000) == [("a", -1, "one", 0), ("a", -1, "two", 200)]
+
+
+def test_turns_of_long_sessions_stay_apart(spark):
+    """Turn 100000 of session 1 is not turn 0 of session 2."""
+    turns = {(1, 5): 3, (1, 99_999): 2, (1, 100_000): 4, (1, 200_003): 1, (2, 0): 5, (3, 3): 2}
+    rows = [(s, k, i, f"w{i}") for (s, k), n in turns.items() for i in range(n)]
+    t = SimpleNamespace(tok=spark.createDataFrame(rows, "session_id long, turn long, seq long, word string"))
+    got = PS.turn_pairs(t).withColumn("session_id", PS.session_of(F.col("pair_id"))).collect()
+    assert sorted((r.session_id, len(r.r)) for r in got) == sorted((s, n) for (s, _), n in turns.items())
+    assert {r.pair_id for r in got if r.pair_id >= 0} == {100_005, 199_999, 200_000, 300_003} and len({r.pair_id for r in got}) == len(turns)
+    words = {}
+    for r in SC.align(PS.turn_pairs(t), "pair_id", "r", "h").collect():
+        if r.ref_word is not None:
+            words.setdefault(r.pair_id, []).append((r.op_no, r.ref_word))
+    assert all([w for _, w in sorted(ws)] == [f"w{i}" for i in range(len(ws))] for ws in words.values()) and len(words) == len(turns)
