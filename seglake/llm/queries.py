@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, license_scan, main_text, mtree, simhash, token_counts, token_files, url_filter
+from . import bpe, decontaminate, langid, license_scan, main_text, mtree, simhash, spelling, token_counts, token_files, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +80,11 @@ def op10_simhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents", "doc_id", "text"))
 
 
+@query
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents", "doc_id", "text"))
+
+
 def _url_sql() -> str:
     """The same verdicts in DuckDB: every rule as a regular expression over host and path."""
     text = lambda x: "'" + x.replace("'", "''") + "'"
