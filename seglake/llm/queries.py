@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, license_scan, main_text, mtree, simhash, spelling, token_counts, token_files, url_filter
+from . import bpe, decontaminate, langid, license_scan, main_text, mtree, simhash, spelling, substring_dedup, token_counts, token_files, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,6 +85,11 @@ def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(table(spark, folder, "documents", "doc_id", "text"))
 
 
+@query
+def op12_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.remove_repeats(table(spark, folder, "documents", "doc_id", "text")))
+
+
 def _url_sql() -> str:
     """The same verdicts in DuckDB: every rule as a regular expression over host and path."""
     text = lambda x: "'" + x.replace("'", "''") + "'"
@@ -112,3 +117,9 @@ ORACLES["op8_decontaminate"] = r"""WITH d AS (SELECT doc_id, regexp_extract_all(
 ORACLES["op9_topk_mtree"] = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS r FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
   s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.r, c.r) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.r) = len(c.r)),
   k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 20"""
+ORACLES["op12_substring_dedup"] = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce("text", ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  s AS (SELECT doc_id, p, array_to_string(w[p:p + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d WHERE len(w) >= 13)),
+  m AS (SELECT k, min(doc_id) AS least FROM s GROUP BY k), g AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS q FROM s JOIN m USING (k) WHERE least < doc_id),
+  t AS (SELECT doc_id, list(q) AS gone FROM g GROUP BY doc_id)
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+    sha256(array_to_string(list_filter(w, lambda x, i: NOT coalesce(list_contains(gone, i), false)), ' ')) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)"""
