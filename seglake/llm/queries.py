@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, license_scan, main_text, mtree, simhash, spelling, substring_dedup, token_counts, token_files, url_filter
+from . import bpe, decontaminate, hard_negatives, langid, license_scan, main_text, mtree, simhash, spelling, substring_dedup, token_counts, token_files, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,6 +90,13 @@ def op12_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.remove_repeats(table(spark, folder, "documents", "doc_id", "text")))
 
 
+@query
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.usable(table(spark, folder, "embeddings", "vec_id", "embedding", "label"), label=label)
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 def _url_sql() -> str:
     """The same verdicts in DuckDB: every rule as a regular expression over host and path."""
     text = lambda x: "'" + x.replace("'", "''") + "'"
@@ -123,3 +130,10 @@ ORACLES["op12_substring_dedup"] = r"""WITH d AS (SELECT doc_id, regexp_extract_a
   t AS (SELECT doc_id, list(q) AS gone FROM g GROUP BY doc_id)
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
     sha256(array_to_string(list_filter(w, lambda x, i: NOT coalesce(list_contains(gone, i), false)), ' ')) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)"""
+ORACLES["op13_hard_negatives"] = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS r FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_dot_product(a.r, c.r) AS BIGINT) AS score FROM v a JOIN v c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id AND len(a.r) = len(c.r)),
+  p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+  n AS (SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+    FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+  SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""
