@@ -104,7 +104,7 @@ def _mapped(df: DataFrame, schema: str, work: Callable[..., Iterator[list[pa.Arr
 
 def _anchor_rows(block: int, raw: bytes) -> Iterator[list[pa.Array]]:
     told = np.unique(Block(raw).anchors()[1])
-    yield [pa.array(told.view(np.int64)), pa.array(np.full(len(told), block)), pa.array(np.arange(len(told), dtype=np.int32))]
+    yield [pa.array(told.view(np.int64)), pa.array(np.full(len(told), block))]
 
 
 def _window_rows(block: int, raw: bytes, met: list[int] | None) -> Iterator[list[pa.Array]]:
@@ -114,8 +114,7 @@ def _window_rows(block: int, raw: bytes, met: list[int] | None) -> Iterator[list
     low, high = np.full(len(told), LAST), np.full(len(told), -LAST - 1)
     np.minimum.at(low, which, own.key[own.doc[at]])
     np.maximum.at(high, which, own.key[own.doc[at]])
-    hot = low < high
-    hot[np.array(met or [], dtype=np.int64)] = True
+    hot = (low < high) | np.isin(told, np.array(met or [], dtype=np.int64).view(np.uint64))
     upto = np.zeros(len(own.doc) + 1, dtype=np.int64)
     upto[at[hot[which]] + 1] = 1
     upto = np.cumsum(upto)
@@ -131,7 +130,7 @@ def _window_rows(block: int, raw: bytes, met: list[int] | None) -> Iterator[list
            pa.array(place[turn].astype(np.int32)), pa.array(least[turn])]
 
 
-def _kept_rows(block: int, raw: bytes, told: list[dict] | None) -> Iterator[list[pa.Array]]:
+def _kept_rows(block: int, raw: bytes, told: list[int] | None) -> Iterator[list[pa.Array]]:
     own = Block(raw)
     starts = own.windows
     order, fresh, _, _ = own.grouped(starts)
@@ -140,10 +139,10 @@ def _kept_rows(block: int, raw: bytes, told: list[dict] | None) -> Iterator[list
         key = own.key[own.doc[starts[order]]]
         least = np.minimum.reduceat(key, np.flatnonzero(fresh))
         group = np.cumsum(fresh) - 1
-        if told:
+        if told:  # an earlier document of another block holds them
             group_at = np.zeros(len(own.doc), dtype=np.int64)
             group_at[starts[order]] = group
-            np.minimum.at(least, group_at[np.array([t["at"] for t in told])], np.array([t["least"] for t in told], dtype=np.int64))
+            least[group_at[np.array(told)]] = -LAST - 1
         repeated = starts[order][least[group] < key]
         np.add.at(gone, repeated, 1)
         np.add.at(gone, repeated + WINDOW, -1)
@@ -165,12 +164,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     texts of fewer than 13 words no window. Repeated rows are returned as often as they come; an empty table gives no rows. Other
     columns are not read. A very long text is one block of its own."""
     placed = shared(packed(docs), "block")
-    anchors = _mapped(placed.select("block", "docs"), "anchor long, block long, at int", _anchor_rows)
+    anchors = _mapped(placed.select("block", "docs"), "anchor long, block long", _anchor_rows)
     met = anchors.withColumn("_n", F.count("*").over(Window.partitionBy("anchor"))).where("_n > 1")
-    met = met.groupBy("block").agg(F.collect_list("at").alias("met"))
+    met = met.groupBy("block").agg(F.collect_list("anchor").alias("met"))
     windows = _mapped(placed.join(met, "block", "left").select("block", "docs", "met"), "first long, second int, block long, at int, least long", _window_rows)
     known = windows.withColumn("_least", F.min("least").over(Window.partitionBy("first", "second"))).where("_least < least")
-    known = known.groupBy("block").agg(F.collect_list(F.struct("at", F.col("_least").alias("least"))).alias("told"))
+    known = known.groupBy("block").agg(F.collect_list("at").alias("told"))
     return _mapped(placed.join(known, "block", "left").select("block", "docs", "told"), "doc_id long, n_words long, n_removed long, kept string", _kept_rows)
 
 
