@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor
 
-from ..functions.ordered import prev, rows_block, scan
-from ..session import ready_for_state
+from ..functions.ordered import BLOCK_ROWS, prev, rows_block, scan
+from ..functions.speculative import fold_blocks
+from ..streaming.folds import Fold, on_stream
 
 MARKS = frozenset(".,!?:()[]{}*\"'")
 
@@ -53,39 +51,28 @@ def trim_overlap(lines: DataFrame, keys: list[str], order: str, text: str = "tex
     return s.withColumn(text, cut(text, "_said")).drop("_said")
 
 
-class KeptRowTrim(StatefulProcessor):
-    """Compare each row with the last row that was kept; rows left empty are
-    dropped. State: the text of that row."""
+class KeptRow(Fold):
+    """Compare each row with the last row that was kept; rows left empty are dropped. State: the text of that row."""
+
+    columns = "seq long, text string"
 
     def __init__(self, head: int = 0, edits: int = 0, least: int = 3):
         self.rules = (head, edits, least)
 
-    def init(self, handle) -> None:
-        self.said = handle.getValueState("said", "text string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        said = self.said.get()[0] if self.said.exists() else None
-        for pdf in rows:
-            out = []
-            for at, text in zip(pdf["seq"], pdf["text"]):
-                rest = text if said is None else cut_repeat(text, said, *self.rules)
-                if rest:
-                    out.append((key[0], int(at), rest))
-                    said = rest
-            yield pd.DataFrame(out, columns=["session_id", "seq", "text"])
-        if said is not None:
-            self.said.update((said,))
-
-    def close(self) -> None:
-        pass
-
-
-def trim_kept_overlap(lines: DataFrame, head: int = 0, edits: int = 0, least: int = 3, mode: str = "append") -> DataFrame:
-    """``lines``: session_id, seq, text, arriving in order. Works on streams and
-    on tables (sorted within sessions)."""
-    ready_for_state(lines.sparkSession)
-    src = lines.select("session_id", "seq", "text")
-    if not src.isStreaming:
-        src = src.repartition("session_id").sortWithinPartitions("session_id", "seq")
-    return src.groupBy("session_id").transformWithStateInPandas(
-        KeptRowTrim(head, edits, least), "session_id long, seq long, text string", mode, "none")
+    def start(self, key):
+        return {**super().start(key), "said": None}
+
+    def step(self, s, row):
+        text = row["text"]
+        rest = text if s["said"] is None or not text else cut_repeat(text, s["said"], *self.rules)
+        if rest:
+            s["said"] = rest
+            yield (*s["key"], row["seq"], rest)
+
+
+def trim_kept_overlap(lines: DataFrame, head: int = 0, edits: int = 0, least: int = 3, width: int = BLOCK_ROWS) -> DataFrame:
+    """``lines``: session_id, seq, text. Streams take the rows as they arrive; tables are folded in blocks of ``width`` rows."""
+    src, fold = lines.select("session_id", "seq", "text"), KeptRow(head, edits, least)
+    if src.isStreaming:
+        return on_stream(src, ["session_id"], ["seq"], fold)
+    return fold_blocks(src, ["session_id"], ["seq"], "seq", fold, 16, width)

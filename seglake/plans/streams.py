@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.speculative import fold_blocks
 from ..operators.overlap import trim_kept_overlap
 from ..sources.texts import parse_scripts
 from ..streaming import folds as FO
@@ -18,13 +19,25 @@ def batches(t, n=6):
         "session_id", "batch", F.transform("w", lambda x: x["word"]).alias("words"), F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("text"), "lang")
 
 
-@query("str01_commit_agreed")
+AGREED = """hq AS (SELECT session_id, turn, list(struct_pack(x := word, a := start_ms, e := start_ms + 100) ORDER BY seq) AS w FROM tok GROUP BY ALL),
+   hy AS (SELECT session_id, turn * 3 + i AS seq, w[1:CAST(ceil(len(w) * (i + 1) / 3) AS BIGINT)] AS w FROM hq, (SELECT unnest(range(3)) AS i)),
+   hn AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS n FROM hy),
+   ag AS (SELECT session_id, seq, n, w[1:0] AS done, list_transform(w[1:0], lambda z: z.x) AS tail, CAST(0 AS BIGINT) AS last, w AS held FROM (SELECT session_id, seq, n, list_filter(w, lambda z: z.a > -100) AS w FROM hn WHERE n = 1)
+     UNION ALL SELECT session_id, seq, n, nw[1:m], (tail || list_transform(nw[1:m], lambda z: z.x))[-5:], CASE WHEN m > 0 THEN nw[m].e ELSE last END, nw[m + 1:] FROM
+      (SELECT *, coalesce(list_min(list_filter(range(1, len(nw) + 1), lambda i: i > len(held) OR nw[i].x <> held[i].x)) - 1, len(nw)) AS m FROM
+       (SELECT *, CASE WHEN k > 0 THEN nv[k + 1:] ELSE nv END AS nw FROM
+        (SELECT *, CASE WHEN len(nv) = 0 OR abs(nv[1].a - last) >= 1000 THEN 0 ELSE coalesce(list_min(list_filter(range(1, least(len(tail), len(nv), 5) + 1), lambda j: tail[-j:] = list_transform(nv[1:j], lambda z: z.x))), 0) END AS k FROM
+         (SELECT h.session_id, h.seq, h.n, g.tail, g.last, g.held, list_filter(h.w, lambda z: z.a > g.last - 100) AS nv FROM ag g JOIN hn h ON h.session_id = g.session_id AND h.n = g.n + 1)))))"""
+
+
+@query("str01_commit_agreed", f"""WITH RECURSIVE {AGREED} SELECT session_id, seq, z.x AS word, z.a AS start_ms FROM (SELECT session_id, seq, unnest(done) AS z FROM ag)
+   UNION ALL SELECT session_id, -1, z.x, z.a FROM (SELECT session_id, unnest(arg_max(held, n)) AS z FROM ag GROUP BY session_id)""")
 def _(t):
     """A turn arrives as growing hypotheses; the last word of each is unsure."""
     g = t.tok.groupBy("session_id", "turn").agg(F.array_sort(F.collect_list(F.struct("seq", "word", "start_ms"))).alias("w"))
     word = F.transform("w", lambda x: F.struct(x["word"].alias("text"), x["start_ms"].alias("start"), (x["start_ms"] + 100).alias("end")))
     h = g.select("session_id", F.explode(F.array(*[F.struct((F.col("turn") * 3 + i).alias("seq"), F.slice(word, F.lit(1), F.ceil(F.size("w") * (i + 1) / 3).cast("int")).alias("words")) for i in range(3)])).alias("h"))
-    return FO.on_table(h.select("session_id", "h.*"), S, ["seq"], FO.CommitAgreed())
+    return fold_blocks(h.select("session_id", "h.*"), S, ["seq"], "seq", FO.CommitAgreed())
 
 
 @query("str04b_closed_segments", f"""WITH {ROWS}, c AS (SELECT session_id, pos, kind, tx, start_ms, end_ms, kind <> 'text' OR coalesce(regexp_matches(tx, '[.!?。！？]\\s*$'), false) AS cl FROM ro),
@@ -61,9 +74,39 @@ def _(t):
     return FO.filler_streak(batches(t), S, "[à-ÿ]", "[A-Za-z]")
 
 
-@query("str16_repeat_gate")
+def grown(w: str) -> str:
+    """SQL: the words of list ``w`` show a growing restart loop."""
+    ahead = f"coalesce(list_min(list_filter(range(0, len({w}) - p[k] + 1), lambda d: {w}[p[k - 1] + d] <> {w}[p[k] + d])), len({w}) - p[k] + 1)"
+    common = f"list_transform(range(1, len(p) + 1), lambda k: CASE WHEN k = 1 OR p[k] - p[k - 1] < 6 THEN -1 WHEN {ahead} >= 0.7 * (p[k] - p[k - 1]) THEN {ahead} ELSE -1 END)"
+    more = f"list_transform([{common}], lambda c: len(list_filter(range(2, len(c) + 1), lambda k: c[k - 1] >= 0 AND c[k] > c[k - 1])) > 0)[1]"
+    return any_gram(w, more)
+
+
+def any_gram(w: str, test: str) -> str:
+    """SQL: ``test`` holds for the places ``p`` of some 1- or 2-gram of list ``w`` (n is its length)."""
+    def of(n: int, grams: str) -> str:
+        at = "list_filter(range(1, len(g) + 1), lambda i: g[i] = x)"
+        return f"list_transform([{grams}], lambda g: len(list_filter(list_distinct(g), lambda x: list_transform([{at}], lambda p: {test.replace('@n', str(n))})[1])) > 0)[1]"
+
+    return f"({of(1, w)} OR {of(2, f'list_transform(range(1, len({w})), lambda i: {w}[i] || chr(1) || {w}[i + 1])')})"
+
+
+def stormy(w: str, least: int = 4) -> str:
+    """SQL: most places of some gram of ``w`` stand close together."""
+    heads = "list_filter(range(1, len(p) + 1), lambda k: k = 1 OR p[k] - p[k - 1] - @n > 5) || [len(p) + 1]"
+    largest = f"list_transform([{heads}], lambda b: list_max(list_transform(range(1, len(b)), lambda j: b[j + 1] - b[j])))[1]"
+    return any_gram(w, f"{largest} >= {least} AND {largest} >= 0.6 * len(p)")
+
+
+GATED = f"""ew AS (SELECT session_id, batch, n, list_transform(regexp_extract_all(tx, '[A-Za-z'']+|[가-힣]+'), lambda x: lower(x)) AS ws FROM bs),
+   gt AS (SELECT session_id, batch, n, CASE WHEN outcome = 'storm' THEN ws[1:0] ELSE bo END AS held, outcome FROM (SELECT *, CASE WHEN len(ws) = 0 THEN 'kept' WHEN {stormy('bo[-40:]')} THEN 'storm' WHEN {grown('bo')} THEN 'loop' ELSE 'kept' END AS outcome FROM (SELECT *, ws[-80:] AS bo FROM ew WHERE n = 1))
+     UNION ALL SELECT session_id, batch, n, CASE WHEN outcome = 'storm' THEN held ELSE bo END, outcome FROM (SELECT *, CASE WHEN len(ws) = 0 THEN 'kept' WHEN {stormy('bo[-40:]')} THEN 'storm' WHEN {grown('bo')} THEN 'loop' ELSE 'kept' END AS outcome FROM
+       (SELECT e.*, g.held, (g.held || e.ws)[-80:] AS bo FROM gt g JOIN ew e ON e.session_id = g.session_id AND e.n = g.n + 1)))"""
+
+
+@query("str16_repeat_gate", f"WITH RECURSIVE {BATCHES}, {GATED} SELECT session_id, batch, outcome FROM gt")
 def _(t):
-    return FO.on_table(batches(t), S, ["batch"], FO.RepeatGate())
+    return fold_blocks(batches(t).select("session_id", "batch", "text"), S, ["batch"], "batch", FO.RepeatGate(), 128)
 
 
 BOUNCE = """iu AS (SELECT session_id, seg_id AS line, i AS seq, start_ms + 130 * i AS t_ms, array_to_string(string_split("text", ' ')[1:i], ' ') AS tx FROM (SELECT *, unnest(range(1, len(string_split("text", ' ')) + 1)) AS i FROM seg)),
@@ -82,7 +125,16 @@ def _(t):
     return FO.debounce(u, S)
 
 
-@query("jon16_trim_kept_overlap")
+BARE = r"""replace(lower(regexp_replace(@, '[\s.,!?:()\[\]{}*"'']', '', 'g')), 'ß', 'ss')"""
+KEPT = rf"""ov AS (SELECT session_id, seg_id AS seq, CASE WHEN p IS NULL THEN "text" ELSE array_to_string(string_split(p, ' ')[-(1 + seg_id % 5):], ' ') || ' ' || "text" END AS base FROM (SELECT *, lag("text") OVER (PARTITION BY session_id ORDER BY seg_id) AS p FROM seg)),
+   on1 AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS n, {BARE.replace('@', 'base')} AS key,
+     list_filter(range(1, length(base) + 1), lambda i: i = length(base) OR regexp_matches(substring(base, i + 1, 1), '[\s.,!?:()\[\]{{}}*"'']')) AS ends FROM ov),
+   kr AS (SELECT session_id, seq, n, base AS rest, base AS said FROM on1 WHERE n = 1
+     UNION ALL SELECT session_id, seq, n, rest, CASE WHEN rest = '' THEN said ELSE rest END FROM (SELECT *, CASE WHEN i IS NULL THEN base ELSE regexp_replace(regexp_replace(substring(base, i + 1), '^[.,!?:()\[\]{{}}*"'']+', ''), '^\s+', '') END AS rest FROM
+       (SELECT o.session_id, o.seq, o.n, o.base, k.said, list_max(list_filter(o.ends, lambda i: length(substring(o.key, 1, length(regexp_replace(substring(o.base, 1, i), '[\s.,!?:()\[\]{{}}*"'']', '', 'g')))) >= 3 AND suffix({BARE.replace('@', 'k.said')}, substring(o.key, 1, length(regexp_replace(substring(o.base, 1, i), '[\s.,!?:()\[\]{{}}*"'']', '', 'g')))))) AS i FROM kr k JOIN on1 o ON o.session_id = k.session_id AND o.n = k.n + 1)))"""
+
+
+@query("jon16_trim_kept_overlap", f"""WITH RECURSIVE {KEPT} SELECT session_id, seq, rest AS "text" FROM kr WHERE rest <> ''""")
 def _(t):
     return trim_kept_overlap(overlapping(t).withColumnRenamed("seg_id", "seq"))
 
