@@ -16,19 +16,28 @@ from .shared import PHRASES, user_first
 S = ["session_id"]
 
 
-def rows(t):
+SWITCH = "seg_id % 4 = 2"
+
+
+def rows(t, switch=SWITCH):
     """Arrival order of one session: switch markers, words, silences."""
     k = t.tok
     text = k.select("session_id", "turn", F.lit(1).alias("slot"), "seq", F.lit("text").alias("kind"), "start_ms", (F.col("start_ms") + 100).alias("end_ms"), F.col("word").alias("text"), "lang")
     sil = t.sil.select("session_id", F.col("seg_id").alias("turn"), F.lit(2).alias("slot"), F.lit(0).cast("bigint").alias("seq"), F.lit("silence").alias("kind"), "start_ms", "end_ms", F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("lang"))
-    sw = t.seg.filter("seg_id % 4 = 2").select("session_id", F.col("seg_id").alias("turn"), F.lit(0).alias("slot"), F.lit(0).cast("bigint").alias("seq"), F.lit("lang_switch").alias("kind"), "start_ms", F.col("start_ms").alias("end_ms"), F.lit("").alias("text"), "lang")
+    sw = t.seg.filter(switch).select("session_id", F.col("seg_id").alias("turn"), F.lit(0).alias("slot"), F.lit(0).cast("bigint").alias("seq"), F.lit("lang_switch").alias("kind"), "start_ms", F.col("start_ms").alias("end_ms"), F.lit("").alias("text"), "lang")
     every = cut(text.unionByName(sil).unionByName(sw))
     return scan(every, S, ["turn", "slot", "seq"], rows_block("turn", 1024), pos=row_no()).drop("slot")
 
 
-def unbroken(r):
-    """No silence right before a switch, so that the switch can look back."""
-    return r.filter(~((F.col("kind") == "silence") & (F.col("turn") % 4 == 1)))
+def switched(t):
+    """Switches to English where no silence comes before them, with boundaries before, at and after the first new word; words
+    cut to a letter, so that they are said again, two of three after a blank."""
+    r = rows(t, "seg_id % 4 = 0 AND seg_id > 0")
+    sw = F.col("kind") == "lang_switch"
+    bound = F.col("start_ms") + 300 * (F.floor(F.col("turn") / 4) % 3) - 300
+    letter = F.concat(F.when(F.col("seq") % 3 == 0, "").otherwise(" "), F.substring("text", 1, 1))
+    return r.withColumn("text", F.when(F.col("kind") == "text", letter).otherwise(F.col("text"))).withColumn("boundary_t", F.when(sw, bound)).withColumn(
+        "prev_lang", F.when(sw, F.lit("ko"))).withColumn("floor", F.when(sw, bound - 4000)).withColumn("new_lang", F.when(sw, F.lit("en")))
 
 
 ABBR = ", ".join(f"'{a}'" for a in V.ABBREVIATIONS_EN)
@@ -110,16 +119,17 @@ def _(t):
     return G.reattach(r, S).select("session_id", "pos", "place")
 
 
-@query("str09_retract", f"""WITH {ROWS}, m AS (SELECT *, CASE WHEN kind = 'lang_switch' THEN start_ms - 300 END AS bt FROM ro WHERE NOT (kind = 'silence' AND turn % 4 = 1)),
+ZONES = ROWS.replace("seg_id % 4 = 2", "seg_id % 4 = 0 AND seg_id > 0") + """, m AS (SELECT session_id, turn, seq, kind, start_ms, end_ms, lang, pos, CASE WHEN kind = 'text' THEN CASE WHEN seq % 3 = 0 THEN '' ELSE ' ' END || tx[1] ELSE tx END AS tx,
+     CASE WHEN kind = 'lang_switch' THEN start_ms + 300 * (turn // 4 % 3) - 300 END AS bt FROM ro),
    n AS (SELECT *, min(CASE WHEN kind <> 'text' THEN pos END) OVER (PARTITION BY session_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS np FROM m),
-   j AS (SELECT n.session_id, n.pos, n.start_ms, n.tx, n.lang, n.kind, x.pos AS xp, x.kind AS xk, x.bt AS xb FROM n LEFT JOIN n x ON x.session_id = n.session_id AND x.pos = n.np),
-   k AS (SELECT *, max(CASE WHEN kind = 'text' AND start_ms < xb - 4000 THEN pos END) OVER (PARTITION BY session_id, xp) AS sp FROM j)
-   SELECT session_id, pos, CASE WHEN start_ms >= xb - 50 THEN 'zone1' WHEN regexp_matches(tx, '[A-Za-z]') THEN 'zone2_opposite' WHEN start_ms >= xb - 1200 THEN 'zone2_samescript' END AS zone
-   FROM k WHERE kind = 'text' AND xk = 'lang_switch' AND pos > coalesce(sp, -1) AND lang = 'ko' AND (start_ms >= xb - 50 OR regexp_matches(tx, '[A-Za-z]') OR start_ms >= xb - 1200)""")
+   j AS (SELECT n.session_id, n.pos, n.start_ms, n.end_ms, n.tx, n.lang, n.kind, n.bt, x.pos AS xp, x.kind AS xk, x.bt AS xb, x.start_ms AS xs FROM n LEFT JOIN n x ON x.session_id = n.session_id AND x.pos = n.np),
+   k AS (SELECT *, max(CASE WHEN kind = 'text' AND start_ms < xb - 4000 THEN pos END) OVER (PARTITION BY session_id, xp) AS sp FROM j),
+   zn AS (SELECT *, CASE WHEN kind = 'text' AND xk = 'lang_switch' AND pos > coalesce(sp, -1) AND lang = 'ko' THEN CASE WHEN start_ms >= xb - 50 THEN 'zone1' WHEN regexp_matches(tx, '[A-Za-z]') THEN 'zone2_opposite' WHEN start_ms >= xb - 1200 THEN 'zone2_samescript' END END AS zone FROM k)"""
+
+
+@query("str09_retract", f"WITH {ZONES} SELECT session_id, pos, zone FROM zn WHERE zone IS NOT NULL")
 def _(t):
-    sw = F.col("kind") == "lang_switch"
-    r = unbroken(rows(t)).withColumn("boundary_t", F.when(sw, F.col("start_ms") - 300)).withColumn("prev_lang", F.when(sw, F.lit("ko"))).withColumn("floor", F.when(sw, F.col("start_ms") - 4300))
-    return G.retract(r, S).filter("zone is not null").select("session_id", "pos", "zone")
+    return G.retract(switched(t), S).filter("zone is not null").select("session_id", "pos", "zone")
 
 
 STUB = """sb AS (SELECT session_id, seg_id, start_ms, end_ms, seg_id // 3 % 2 AS speaker, CASE WHEN seg_id % 2 = 1 THEN ' ' || string_split("text", ' ')[1] ELSE ' ' || "text" END AS tx, CASE WHEN seg_id % 2 = 1 THEN 'language_switch' ELSE 'punctuation' END AS tg FROM seg),

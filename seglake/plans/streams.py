@@ -8,7 +8,7 @@ from ..sources.texts import parse_scripts
 from ..streaming import folds as FO
 from .joins import overlapping
 from .registry import query
-from .segments import ROWS, rows, unbroken
+from .segments import ROWS, ZONES, rows, switched
 
 S = ["session_id"]
 
@@ -149,15 +149,30 @@ def _(t):
     return parse_scripts(raw)
 
 
-@query("str10_reconcile")
+RECONCILED = f"""{ZONES}, wi AS (SELECT session_id, pos AS win, bt AS t, xp AS d2, CASE WHEN xk = 'lang_switch' THEN 'd2_new_boundary' ELSE 'd2_' || xk END AS why2, lead(pos) OVER (PARTITION BY session_id ORDER BY pos) AS until FROM zn WHERE bt IS NOT NULL),
+   af AS (SELECT w.session_id, w.win, w.t, r.pos, r.start_ms, r.kind = 'text' AND r.zone IS NULL AND r.lang = 'en' AS own, lower(trim(r.tx, '.,?!…~"''`“”‘’()[]{{}}<>:;·-–—。、，！？ ' || chr(9))) AS x FROM wi w JOIN zn r ON r.session_id = w.session_id AND r.pos > w.win AND r.pos <= coalesce(w.until, r.pos)),
+   cl AS (SELECT session_id, win, min(CASE WHEN start_ms >= t + 3000 THEN pos END) AS d3, min(CASE WHEN own AND start_ms >= t + 250 THEN pos END) AS d1 FROM af GROUP BY ALL),
+   en AS (SELECT w.session_id, w.win, w.t, least(coalesce(d3, 1e15), coalesce(d2, 1e15), coalesce(d1, 1e15)) AS cp, CASE WHEN coalesce(d3, d2, d1) IS NULL THEN 'flush' WHEN d3 <= least(coalesce(d2, 1e15), coalesce(d1, 1e15)) THEN 'd3' WHEN d2 <= coalesce(d1, 1e15) THEN why2 ELSE 'd1' END AS why FROM wi w LEFT JOIN cl USING (session_id, win)),
+   sn2 AS (SELECT e.session_id, e.win, min(start_ms) AS low, coalesce(list(struct_pack(a := start_ms, x := x) ORDER BY pos) FILTER (WHERE x <> ''), []) AS seen FROM en e JOIN af USING (session_id, win) WHERE own AND pos <= cp AND NOT (pos = cp AND why = 'd3') GROUP BY ALL),
+   so AS (SELECT session_id, xp AS win, pos, start_ms, lower(trim(tx, '.,?!…~"''`“”‘’()[]{{}}<>:;·-–—。、，！？ ' || chr(9))) AS x, row_number() OVER w AS i, regexp_matches(tx, '^\\s') OR coalesce(start_ms - lag(end_ms) OVER w > 300, true) AS op FROM zn WHERE zone IS NOT NULL WINDOW w AS (PARTITION BY session_id, xp ORDER BY start_ms, pos)),
+   sl AS (SELECT session_id, win, list(struct_pack(a := start_ms, x := x, op := op) ORDER BY i) AS st FROM so GROUP BY ALL),
+   go AS (SELECT l.session_id, l.win, st, low, coalesce(seen, []) AS seen, coalesce(list_min(list_filter(range(1, len(st) + 1), lambda i: st[i].a >= low - 500)), len(st) + 1) AS f FROM sl l LEFT JOIN sn2 USING (session_id, win)),
+   g0 AS (SELECT *, CASE WHEN low IS NULL OR f > len(st) THEN len(st) + 1 ELSE list_max(list_filter(range(1, f + 1), lambda i: st[i].op)) END AS c FROM go),
+   lp AS (SELECT session_id, win, st, seen, low IS NULL AS skip, c, c AS nx, false AS down, false AS done FROM g0
+     UNION ALL SELECT session_id, win, st, CASE WHEN hit IS NULL THEN seen ELSE seen[:hit - 1] || seen[hit + 1:] END, skip, CASE WHEN down AND hit IS NOT NULL THEN list_max(list_filter(range(1, aa + 1), lambda i: st[i].op)) ELSE c END,
+       CASE WHEN down THEN nx ELSE nx + 1 END, down OR nx + 1 > len(st), down AND hit IS NULL FROM
+      (SELECT *, list_min(list_filter(range(1, len(seen) + 1), lambda q: st[aa].x <> '' AND seen[q].x = st[aa].x AND abs(seen[q].a - st[aa].a) <= 2500)) AS hit FROM
+       (SELECT session_id, win, st, seen, skip, c, nx, down OR nx > len(st) AS down, CASE WHEN down OR nx > len(st) THEN coalesce(list_max(list_filter(range(2, c), lambda i: st[i].x <> '')), 1) ELSE nx END AS aa FROM lp WHERE NOT done AND NOT skip AND (c > 1 OR nx <= len(st))))),
+   ct2 AS (SELECT session_id, win, min(c) AS c FROM lp GROUP BY ALL),
+   o1 AS (SELECT s.session_id, s.win, s.pos, s.start_ms, CASE WHEN s.i >= c.c THEN 'replaced' ELSE 'restored' END AS outcome, e.why AS reason, e.t, e.cp FROM so s JOIN ct2 c USING (session_id, win) JOIN en e USING (session_id, win)),
+   o2 AS (SELECT DISTINCT o.session_id, o.pos FROM o1 o JOIN af a USING (session_id, win) WHERE o.outcome = 'restored' AND a.own AND a.pos > o.cp AND a.start_ms <= o.t + 750 AND abs(a.start_ms - o.start_ms) <= 500)"""
+
+
+@query("str10_reconcile", f"WITH RECURSIVE {RECONCILED} SELECT session_id, pos, outcome, reason FROM o1 UNION ALL SELECT session_id, pos, 'replaced', 'late' FROM o2")
 def _(t):
     from ..operators.segments import retract
-    from ..session import cut
-    from ..streaming.reconcile import Reconcile
-    sw = F.col("kind") == "lang_switch"
-    r = unbroken(rows(t)).withColumn("boundary_t", F.when(sw, F.col("start_ms") - 300)).withColumn("prev_lang", F.when(sw, F.lit("ko"))).withColumn("floor", F.when(sw, F.col("start_ms") - 4300))
-    z = cut(retract(r, S)).withColumn("new_lang", F.when(sw, F.lit("en")))
-    return FO.on_table(z.select("session_id", "pos", "kind", "start_ms", "end_ms", "text", "lang", "zone", "boundary_t", "new_lang"), S, ["pos"], Reconcile())
+    from ..streaming.reconcile import reconcile
+    return reconcile(retract(switched(t), S), S)
 
 
 EDGE_SQL = "lower(regexp_replace(word, '^[.,?!…~\"''`“”‘’()\\[\\]{}<>:;·\\-–—。、，！？ \\t]+|[.,?!…~\"''`“”‘’()\\[\\]{}<>:;·\\-–—。、，！？ \\t]+$', '', 'g'))"
