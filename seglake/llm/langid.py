@@ -27,8 +27,12 @@ MOST_ROWS = 6000
 MAX_LANGUAGES = 500
 #: Losses of the two nearest codewords that lie closer than this share are flagged as ambiguous.
 AMBIGUOUS = 0.15
+#: Letters, and signs such as ² or Ⅷ that are none; ``has_letter`` tells them apart.
 LETTER = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
+#: One labelled row in so many is kept from the fit and sets the loss from which on a text is rejected: the largest loss of
+#: these rows times this slack, and never less than that of a text that says nothing about any bit.
+CALIBRATION, SLACK = 8, 1.5
 
 
 @dataclass
@@ -38,6 +42,7 @@ class Model:
     weights: np.ndarray  # buckets x bits
     bias: np.ndarray
     trust: np.ndarray  # weight of each bit's loss
+    limit: float = math.inf  # loss of the nearest codeword from which on a text is rejected
 
 
 def codewords(n: int, seed: int = 7) -> np.ndarray:
@@ -55,6 +60,10 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
     return best
 
 
+def has_letter(text: str | None) -> bool:
+    return any(m[0].isalpha() for m in LETTER.finditer(text or ""))
+
+
 def trigram_counts(texts: list[str]) -> np.ndarray:
     """One row of hashed trigram counts per text. Trigrams never reach over the end of a text."""
     raw = [t.lower().encode("utf-8", "replace") for t in texts]
@@ -126,7 +135,10 @@ def fit(labelled: DataFrame, per_language: int = ROWS_PER_LANGUAGE, rounds: int
         x = np.zeros((len(rows), BUCKETS), dtype=np.float32)
         for i, (at, value) in enumerate(rows):
             x[i, at] = value
-        owner = np.array(owner)
+        owner, aside = np.array(owner), np.zeros(0, dtype=bool)
+        if len(owner) >= 10 * CALIBRATION * n:
+            aside = np.arange(len(owner)) % CALIBRATION == CALIBRATION - 1
+            kept, x, owner = x[aside], x[~aside], owner[~aside]
         y = codes[owner].astype(np.float32)
         own = 1.0 / np.bincount(owner, minlength=n)[owner]
         own = (own / own.sum()).astype(np.float32)[:, None]
@@ -137,23 +149,37 @@ def fit(labelled: DataFrame, per_language: int = ROWS_PER_LANGUAGE, rounds: int
         right = (own * (y * (x @ weights + bias) > 0)).sum(0)
         trust = np.log((right + 0.01) / (1.01 - right)).clip(0.05, 5)
         trust = trust / trust.mean()
+        model = Model(names, codes, weights, bias, trust.astype(np.float32))
+        if aside.any():
+            model.limit = max(SLACK * float(losses(model, kept @ weights + bias).min(1).max()), math.log(2) * float(trust.sum()))
+        return model
     return Model(names, codes, weights, bias, trust.astype(np.float32))
 
 
+def losses(model: Model, outputs: np.ndarray) -> np.ndarray:
+    """Weighted logistic loss of every codeword, per row of outputs."""
+    return np.stack([(model.trust * np.logaddexp(0, -code * outputs)).sum(1) for code in model.codes.astype(np.float32)], axis=1)
+
+
 def decode(model: Model, outputs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Nearest codeword by weighted logistic loss: language index, probability, and whether the runner-up is close."""
-    loss = np.stack([(model.trust * np.logaddexp(0, -code * outputs)).sum(1) for code in model.codes.astype(np.float32)], axis=1)
+    loss = losses(model, outputs)
     order = np.sort(loss, axis=1)
     share = np.exp(order[:, :1] - loss)
     best = loss.argmin(1)
     return best, share[np.arange(len(best)), best] / share.sum(1), (order[:, 1] - order[:, 0]) < AMBIGUOUS * order[:, 1]
 
 
+def misfits(model: Model, outputs: np.ndarray) -> np.ndarray:
+    """Rows whose loss is too large for every codeword."""
+    return losses(model, outputs).min(1) > model.limit
+
+
 def identify(docs: DataFrame, model: Model, text: str = "text", prefix: str = "") -> DataFrame:
-    """Adds lang_pred, score (0 to 1) and ambiguous, named behind ``prefix``, to every row; other columns stay.
+    """Adds lang_pred, score (0 to 1), ambiguous and rejected, named behind ``prefix``, to every row; other columns stay.
 
-    Null text and text without a letter give ``und`` with score 0. With one learned language every other text gets it with
-    score 1; with none, all get ``und``. Texts are read whole whatever their length."""
+    Null text and text without a letter give ``und`` with score 0 and are rejected, as are texts that fit no codeword. With one
+    learned language every other text gets it with score 1; with none, all get ``und``, and those with a letter are not rejected. Texts are read whole whatever their length."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def kernel():
@@ -162,7 +188,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text", prefix: str = ""
         def work(column):
             texts = column.to_pylist()
             pred, score, unclear = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), dtype=bool)
-            live = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
+            live = [i for i, t in enumerate(texts) if has_letter(t)]
+            refused = np.ones(len(texts), dtype=bool)
+            refused[live] = False
             if len(own.languages) == 1:
                 for i in live:
                     pred[i], score[i] = own.languages[0], 1.0
@@ -170,15 +198,16 @@ def identify(docs: DataFrame, model: Model, text: str = "text", prefix: str = ""
                 for lo, hi in spans([len(texts[i]) for i in live], 250_000):
                     for part in range(lo, hi, 64):
                         rows = live[part:min(hi, part + 64)]
-                        best, p, close = decode(own, features([texts[i] for i in rows]) @ own.weights + own.bias)
+                        outputs = features([texts[i] for i in rows]) @ own.weights + own.bias
+                        best, p, close = decode(own, outputs)
                         for i, b in zip(rows, best):
                             pred[i] = own.languages[b]
-                        score[rows], unclear[rows] = p, close
-            return [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(unclear, pa.bool_())]
+                        score[rows], unclear[rows], refused[rows] = p, close, misfits(own, outputs)
+            return [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(unclear, pa.bool_()), pa.array(refused, pa.bool_())]
 
         return work
 
-    kinds = [("lang_pred", StringType()), ("score", DoubleType()), ("ambiguous", BooleanType())]
+    kinds = [("lang_pred", StringType()), ("score", DoubleType()), ("ambiguous", BooleanType()), ("rejected", BooleanType())]
     return append_columns(docs, [text], [(prefix + name, kind) for name, kind in kinds], kernel)
 
 
@@ -188,6 +217,7 @@ def held_out(column: str = "doc_id"):
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """Rows whose language is known: ``und`` goes, everything else stays with its own columns."""
+    """Rows that are not rejected: texts without a letter and texts that fit no learned language go, everything else stays with
+    its own columns. Where no language could be learned, every text with a letter stays."""
     told = identify(docs, model, prefix="_langid_")
-    return told.where(F.col("_langid_lang_pred") != UNDETERMINED).select(*[f"`{c}`" for c in docs.columns])
+    return told.where("NOT _langid_rejected").select(*[f"`{c}`" for c in docs.columns])
