@@ -32,6 +32,8 @@ ENTRY, FOOTER = struct.Struct("<III"), struct.Struct("<IBI")
 HEADER = struct.Struct("<II")
 #: A file is closed once it holds this many bytes.
 FILE_BYTES = 128 << 20
+#: Files are read in a task each, up to so many tasks.
+MOST_TASKS = 20_000
 MANIFEST = "path string, part long, seq long, n_docs long, n_ids long"
 
 
@@ -185,4 +187,5 @@ def read(manifest: DataFrame, wanted: Iterable[int] | None = None, ids: bool = T
                 reader.close()
                 yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, (_, k) in zip(rows, kinds)], names=[n for n, _ in kinds])
 
-    return with_base(manifest).repartition("path").select("path", "base").mapInArrow(run, schema)
+    tasks = min(max(manifest.count(), 1), MOST_TASKS)  # a number that is given is not coalesced: files are read side by side
+    return with_base(manifest).select("path", "base").repartition(tasks).mapInArrow(run, schema)
