@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType
 
-from .common import append_columns
+from .common import append_columns, written
 
 WINDOW = 10
 #: Characters of benchmark text whose windows are broadcast at once.
 BLOCK_CHARS = 8_000_000
+#: So many blocks are looked for in a row before the rows are written and read again.
+CHAINED = 4
 #: Lower-cases A-Z and turns every other ASCII character but digits and a-z into a blank.
 TO_WORDS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
@@ -94,21 +96,20 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, text: str =
     """Adds n_words, hits (positions of words inside any occurrence of a window) and items (sorted item ids as text).
 
     A window is ``size`` consecutive words of an item; a shorter item that has words is one window. Null texts have no words.
+    Blocks of windows are looked for one after the other in the same rows, which are not shuffled.
     An item with a null id counts as item ``None``. Every row of ``docs`` is returned with its other columns."""
-    parts = blocks(benchmark, limit)
-    if len(parts) == 1:
-        return one_pass(docs, parts[0], size, text, prefix)
-    key = F.struct("doc_id", F.xxhash64(text), F.length(text)).alias("_key")
-    each = [one_pass(docs.select(key, text), part, size, text, "_") for part in parts]
-    rows = each[0]
-    for other in each[1:]:
-        rows = rows.unionByName(other)
-    merged = rows.groupBy("_key").agg(
-        F.max("_n_words").alias(f"{prefix}n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("_hits")))).alias(f"{prefix}hits"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias(f"{prefix}items"))
-    clash = {f"{prefix}{name}" for name, _ in FOUND}
-    return docs.select(*[c for c in docs.columns if c not in clash], key).join(merged, "_key").drop("_key")
+    more = "_decontaminate_more_"
+    names = [f"{prefix}hits", f"{prefix}items"]
+    done = docs
+    for turn, part in enumerate(blocks(benchmark, limit)):
+        if not turn:
+            done = one_pass(docs, part, size, text, prefix)
+            continue
+        done = one_pass(done if turn % CHAINED else written(done, "hits"), part, size, text, more)
+        both = {name: F.array_sort(F.array_union(name, more + name.removeprefix(prefix))) for name in names}
+        kept = [c for c in done.columns if not c.startswith(more)]
+        done = done.select(*[both[c].alias(c) if c in both else F.col(f"`{c}`") for c in kept])
+    return done
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
