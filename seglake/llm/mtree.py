@@ -116,13 +116,15 @@ def integers(vectors: DataFrame, vector: str = "embedding", scale: int = 64) ->
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, page: int = PAGE, numbers: int = TREE_NUMBERS) -> DataFrame:
     """Per query its k best rows by integer inner product: query_id, rank (from 1), vec_id, score; ties to the smaller vec_id.
 
-    Both sides have vec_id and row (from ``integers``). A row with the query's own id is no candidate. Vectors are compared
+    Both sides have vec_id and row (from ``integers``). A query id that occurs repeatedly asks once, with the smallest of its
+    vectors; a candidate that occurs repeatedly is returned as often. A row with the query's own id is no candidate. Vectors are compared
     with those of their own length only. Equal rows and many ties are all considered. ``numbers`` bounds a tree's memory."""
     shape = rows.agg(F.count("*").alias("n"), F.max(F.size("row")).alias("width"),
                      F.max(F.aggregate("row", F.lit(0).cast("double"), lambda s, e: s + e.cast("double") * e)).alias("longest")).first()
     width, longest = max(shape["width"] or 1, 1), float(shape["longest"] or 0)
     trees = max(1, -(-shape["n"] * width // numbers))
     dealt = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(trees)).cast("int").alias("tree"), F.lit(0).alias("asks"), "vec_id", "row")
+    queries = queries.groupBy("vec_id").agg(F.min("row").alias("row"))
     asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.lit(1).alias("asks"), "vec_id", "row")
     stream = dealt.unionByName(asked).repartition(trees, "tree").sortWithinPartitions("tree", "asks")
     names = ["query_id", "vec_id", "score"]

@@ -122,7 +122,7 @@ ORACLES["op8_decontaminate"] = r"""WITH d AS (SELECT doc_id, regexp_extract_all(
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
   FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)"""
 ORACLES["op9_topk_mtree"] = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS r FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-  s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.r, c.r) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.r) = len(c.r)),
+  s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.r, c.r) AS BIGINT) AS score FROM (SELECT vec_id, min(r) AS r FROM v WHERE vec_id % 20 = 0 GROUP BY vec_id) q JOIN v c ON c.vec_id <> q.vec_id AND len(q.r) = len(c.r)),
   k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 20"""
 ORACLES["op12_substring_dedup"] = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce("text", ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
   s AS (SELECT doc_id, p, array_to_string(w[p:p + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d WHERE len(w) >= 13)),
