@@ -5,6 +5,7 @@ All other scores are joins and rollups of that table."""
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..functions.ordered import own_rows, with_halo
+from ..functions.ordered import rows_block, running_sum, scan, shared
 
 MATCH, SUB, DEL, INS = 0, 1, 2, 3
 NAMES = np.array(["match", "sub", "del", "ins"], dtype=object)
@@ -62,58 +63,203 @@ def edit_path(ref: np.ndarray, hyp: np.ndarray) -> np.ndarray:
     return np.array(ops[::-1], dtype=np.int8)
 
 
-def align(pairs: DataFrame, key: str, ref: str, hyp: str) -> DataFrame:
-    """(key, op_no, op, ref_idx, hyp_idx, ref_pos, hyp_pos, ref_word, hyp_word).
-    ``ref`` and ``hyp`` are word arrays; ref_pos and hyp_pos count the words
-    consumed after the operation."""
+#: A pair with more cells than this in its cost table is cut where the cheapest paths are known to pass.
+CELLS = 1 << 22
+#: Words of the longest n-grams that count as evidence.
+LONGEST = 3
+
+
+def _numbered(r, h) -> tuple[np.ndarray, np.ndarray]:
+    code: dict[str, int] = {}
+    return tuple(np.array([code.setdefault(w, len(code)) for w in words], dtype=np.int64) for words in (r, h))
+
+
+def _grams(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For n = 1 to LONGEST the n-grams of both texts as numbers, and how often each number occurs in them."""
+    x, y = a, b
+    for n in range(1, LONGEST + 1):
+        if n > 1:
+            x, y = x[:-1] * (len(a) + len(b)) + a[n - 1:], y[:-1] * (len(a) + len(b)) + b[n - 1:]
+        if not len(x) or not len(y):
+            return
+        _, both = np.unique(np.concatenate((x, y)), return_inverse=True)
+        x, y = both[:len(x)], both[len(x):]
+        yield x, y, np.bincount(x, minlength=both.max() + 1), np.bincount(y, minlength=both.max() + 1)
+
+
+def _increasing(values: np.ndarray) -> list[int]:
+    """Indexes of a longest increasing subsequence."""
+    ends: list[int] = []
+    at: list[int] = []
+    before = []
+    for i, v in enumerate(values.tolist()):
+        k = bisect_left(ends, v)
+        ends[k:k + 1], at[k:k + 1] = [v], [i]
+        before.append(at[k - 1] if k else -1)
+    out, i = [], at[-1] if at else -1
+    while i >= 0:
+        out.append(i)
+        i = before[i]
+    return out[::-1]
+
+
+def _stretches(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, in_a: np.ndarray, in_b: np.ndarray) -> list[list[int]]:
+    """Equal stretches (place in a, place in b, words) in order, grown around n-grams that occur once in both texts."""
+    place = np.zeros(len(in_b), dtype=np.int64)
+    place[y] = np.arange(len(y))
+    once = np.flatnonzero((in_a[x] == 1) & (in_b[x] == 1))
+    out: list[list[int]] = []
+    end_a = end_b = 0
+    for k in _increasing(place[x[once]]):
+        i, j = int(once[k]), int(place[x[once[k]]])
+        if i < end_a or j < end_b:
+            continue
+        while i > end_a and j > end_b and a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+        most = min(len(a) - i, len(b) - j)
+        n = 1
+        while n < most and a[i + n] == b[j + n]:
+            n += 1
+        out.append([i, j, n])
+        end_a, end_b = i + n, j + n
+    return out
+
+
+def sure_cuts(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Points (words of ``a``, words of ``b``) through which every cheapest path passes.
+
+    A unit is an n-gram that occurs once in ``b``: a path that does not match it in place pays at least one. Between two equal
+    stretches the cheapest path pays no more than the longer sides of the gaps. So a path that leaves out the first units of a
+    stretch, or the last, loses as soon as they are more than the gap beside them; it meets both ends of the stretch and
+    therefore follows it in between, where the cut is made. Stretches with too few units are no evidence."""
+    grams = list(_grams(a, b))
+    if not grams:
+        return []
+    runs = _stretches(a, b, *grams[-1])
+    units: list[list[int]] = []  # per stretch the places after its units
+    for i, j, n in runs:
+        ends, k = [], 0
+        while k < n:
+            size = next((g + 1 for g, (_, y, _, in_b) in enumerate(grams) if k + g < n and in_b[y[j + k]] == 1), 0)
+            k += max(size, 1)
+            if size:
+                ends.append(k)
+        units.append(ends)
+    before, after = list(range(-1, len(runs) - 1)), list(range(1, len(runs) + 1))
+
+    borders = [(0, 0), *((i + n, j + n) for i, j, n in runs)]
+    heads = [*((i, j) for i, j, _ in runs), (len(a), len(b))]
+    upto = np.cumsum([0, *(max(k - i, m - j) for (i, j), (k, m) in zip(borders, heads))]).tolist()
+
+    def gap(p: int, q: int) -> int:
+        """At most so much is paid between stretches ``p`` and ``q``: what lies between is matched, or passed over."""
+        return upto[q + 1] - upto[p + 1]
+
+    alive, todo = [True] * len(runs), list(range(len(runs)))
+    while todo:
+        k = todo.pop()
+        if not alive[k]:
+            continue
+        p, q = before[k], after[k]
+        if len(units[k]) < gap(p, k) + gap(k, q) + 2:
+            alive[k] = False
+            if p >= 0:
+                after[p] = q
+                todo.append(p)
+            if q < len(runs):
+                before[q] = p
+                todo.append(q)
+    cuts = []
+    for k, (i, j, _) in enumerate(runs):
+        if alive[k]:
+            low, high = gap(before[k], k) + 1, len(units[k]) - gap(k, after[k]) - 1
+            place = units[k][(low + high) // 2 - 1]
+            cuts.append((i + place, j + place))
+    return cuts
+
+
+def _parts(pairs: DataFrame, keys: list[str], ref: str, hyp: str, cells: int) -> DataFrame:
+    """Pieces of the pairs that can be aligned alone: keys, part, parts, r0 and h0 (words before the piece), _r, _h."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for key, r, h in zip(pdf[keys].itertuples(index=False, name=None), pdf["_r"], pdf["_h"]):
+                points = [(0, 0)]
+                if len(r) * len(h) > cells:
+                    for i, j in sure_cuts(*_numbered(r, h)):
+                        if (i - points[-1][0]) * (j - points[-1][1]) * 4 > cells:
+                            points.append((i, j))
+                points.append((len(r), len(h)))
+                rows = [(*key, n, len(points) - 1, i, j, r[i:k], h[j:m]) for n, ((i, j), (k, m)) in enumerate(zip(points, points[1:]))]
+                yield pd.DataFrame(rows, columns=[*keys, "part", "parts", "r0", "h0", "_r", "_h"])
+
+    kinds = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in keys)
+    src = pairs.select(*keys, F.col(ref).alias("_r"), F.col(hyp).alias("_h"))
+    schema = f"{kinds}, part long, parts long, r0 long, h0 long, _r array<string>, _h array<string>"
+    return src.repartition(*keys).mapInPandas(run, schema).repartition(*keys, "part")
+
+
+def _keys(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def align(pairs: DataFrame, key: str | list[str], ref: str, hyp: str, cells: int = CELLS) -> DataFrame:
+    """(key, op_no, op, ref_idx, hyp_idx, ref_pos, hyp_pos, ref_word, hyp_word), one row per pair key and operation.
+    ``ref`` and ``hyp`` are word arrays; ref_pos and hyp_pos count the words consumed after the operation. Long pairs are cut
+    where every cheapest path passes, and their pieces are aligned in tasks of their own."""
+    keys = _keys(key)
+    parts = _parts(pairs, keys, ref, hyp, cells)
+    long = _counted(parts.where("parts > 1"), [*keys, "part"])
+    earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ops = F.col("hyp_words") + F.col("deletions")  # every other operation takes a heard word
+    offsets = long.select(*keys, "part", F.coalesce(F.sum(ops).over(earlier), F.lit(0)).alias("_op0"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for k, r, h in zip(pdf[key], pdf["_r"], pdf["_h"]):
-                code: dict[str, int] = {}
-                a = np.array([code.setdefault(w, len(code)) for w in r], dtype=np.int64)
-                b = np.array([code.setdefault(w, len(code)) for w in h], dtype=np.int64)
-                ops = edit_path(a, b)
-                if not len(ops):
+            for row in pdf.to_dict("records"):
+                r, h = row["_r"], row["_h"]
+                done = edit_path(*_numbered(r, h))
+                if not len(done):
                     continue
-                used_r, used_h = (ops != INS).cumsum(), (ops != DEL).cumsum()
-                ri = np.where(ops != INS, used_r - 1, -1)
-                hi = np.where(ops != DEL, used_h - 1, -1)
+                used_r, used_h = (done != INS).cumsum(), (done != DEL).cumsum()
                 words_r, words_h = np.array([*r, None], dtype=object), np.array([*h, None], dtype=object)
+                at_r, at_h = np.where(done != INS, used_r - 1, -1), np.where(done != DEL, used_h - 1, -1)
                 yield pd.DataFrame({
-                    key: k, "op_no": np.arange(len(ops)), "op": NAMES[ops], "ref_idx": pd.array(ri, dtype="Int64").astype(object),
-                    "hyp_idx": pd.array(hi, dtype="Int64").astype(object), "ref_pos": used_r, "hyp_pos": used_h,
-                    "ref_word": words_r[ri], "hyp_word": words_h[hi]})
-
-    schema = f"{key} long, op_no long, op string, ref_idx long, hyp_idx long, ref_pos long, hyp_pos long, ref_word string, hyp_word string"
-    src = pairs.select(key, F.col(ref).alias("_r"), F.col(hyp).alias("_h"))
-    done = src.repartition(key).mapInPandas(run, schema)
+                    **{k: row[k] for k in keys}, "op_no": np.arange(len(done)) + row["_op0"], "op": NAMES[done],
+                    "ref_idx": np.where(done != INS, at_r + row["r0"], -1), "hyp_idx": np.where(done != DEL, at_h + row["h0"], -1),
+                    "ref_pos": used_r + row["r0"], "hyp_pos": used_h + row["h0"], "ref_word": words_r[at_r], "hyp_word": words_h[at_h]})
+
+    kinds = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in keys)
+    schema = f"{kinds}, op_no long, op string, ref_idx long, hyp_idx long, ref_pos long, hyp_pos long, ref_word string, hyp_word string"
+    placed = parts.join(offsets, [*keys, "part"], "left").withColumn("_op0", F.coalesce("_op0", F.lit(0)))
+    done = placed.mapInPandas(run, schema)
     return done.withColumn("ref_idx", F.nullif("ref_idx", F.lit(-1))).withColumn("hyp_idx", F.nullif("hyp_idx", F.lit(-1)))
 
 
-def edit_counts(pairs: DataFrame, key: str, ref: str, hyp: str) -> DataFrame:
-    """(key, substitutions, insertions, deletions, ref_words, hyp_words) per pair, without a row per operation."""
-
+def _counted(parts: DataFrame, keys: list[str]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for k, r, h in zip(pdf[key], pdf["_r"], pdf["_h"]):
-                code: dict[str, int] = {}
-                a = np.array([code.setdefault(w, len(code)) for w in r], dtype=np.int64)
-                b = np.array([code.setdefault(w, len(code)) for w in h], dtype=np.int64)
-                n = np.bincount(edit_path(a, b), minlength=len(NAMES))
-                out.append((k, int(n[SUB]), int(n[INS]), int(n[DEL]), len(a), len(b)))
-            yield pd.DataFrame(out, columns=[key, *COUNTS])
+            for key, r, h in zip(pdf[keys].itertuples(index=False, name=None), pdf["_r"], pdf["_h"]):
+                n = np.bincount(edit_path(*_numbered(r, h)), minlength=len(NAMES))
+                out.append((*key, int(n[SUB]), int(n[INS]), int(n[DEL]), len(r), len(h)))
+            yield pd.DataFrame(out, columns=[*keys, *COUNTS])
+
+    kinds = ", ".join(f"{k} {parts.schema[k].dataType.simpleString()}" for k in keys)
+    return parts.mapInPandas(run, f"{kinds}, " + ", ".join(f"{c} long" for c in COUNTS))
 
-    kind = pairs.schema[key].dataType.simpleString()
-    src = pairs.select(key, F.col(ref).alias("_r"), F.col(hyp).alias("_h")).repartition(key)
-    return src.mapInPandas(run, f"{key} {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
+
+def edit_counts(pairs: DataFrame, key: str | list[str], ref: str, hyp: str, cells: int = CELLS) -> DataFrame:
+    """(key, substitutions, insertions, deletions, ref_words, hyp_words) per pair, without a row per operation."""
+    keys = _keys(key)
+    counted = _counted(_parts(pairs, keys, ref, hyp, cells), [*keys, "part"])
+    return counted.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in COUNTS])
 
 
 COUNTS = ("substitutions", "insertions", "deletions", "ref_words", "hyp_words")
 
 
-def wer(pairs: DataFrame, key: str, ref: str, hyp: str) -> DataFrame:
+def wer(pairs: DataFrame, key: str | list[str], ref: str, hyp: str) -> DataFrame:
     """Counts and rate per pair. An empty reference scores 0 or the number of
     hypothesis words."""
     j = edit_counts(pairs, key, ref, hyp)
@@ -257,8 +403,8 @@ def greedy_times(pred: list, ref: list, ahead: int = 3) -> list[float]:
     return deltas
 
 
-def timestamp_accuracy(words: DataFrame, key: str) -> DataFrame:
-    """``words``: key, pred and ref arrays of (word, start) in order. Mean, median
+def timestamp_accuracy(words: DataFrame, keys: list[str]) -> DataFrame:
+    """``words``: keys, pred and ref arrays of (word, start) in order. Mean, median
     and largest absolute start difference; NULL without a match."""
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -266,32 +412,32 @@ def timestamp_accuracy(words: DataFrame, key: str) -> DataFrame:
         pick = lambda xs: [(x["word"], x["start"]) for x in xs]
         return pd.Series([[abs(float(d)) for d in greedy_times(pick(p), pick(r))] for p, r in zip(pred, ref)])
 
-    d = words.select(key, F.size("ref").alias("n_ref"), F.size("pred").alias("n_pred"), F.array_sort(deltas("pred", "ref")).alias("d"))
+    d = words.select(*keys, F.size("ref").alias("n_ref"), F.size("pred").alias("n_pred"), F.array_sort(deltas("pred", "ref")).alias("d"))
     n = F.size("d")
     mid = (F.get("d", F.floor((n - 1) / 2).cast("int")) + F.get("d", F.floor(n / 2).cast("int"))) / 2
     has = n > 0
-    return d.select(key, "n_ref", "n_pred", n.alias("n_matched"),
+    return d.select(*keys, "n_ref", "n_pred", n.alias("n_matched"),
                     F.when(has, F.aggregate("d", F.lit(0.0), lambda a, x: a + x) / n).alias("mae_start"),
                     F.when(has, F.array_max("d")).alias("max_delta_start"), F.when(has, mid).alias("median_delta_start"))
 
 
-def midword_splits(ref_words: DataFrame, hyp_words: DataFrame, keys: list[str]) -> DataFrame:
-    """Reference words that appear in the hypothesis as two or more pieces
-    with a line start between them. ``hyp_words``: seq (dense), line, key. A piece
-    has a letter at least, so the longest reference word bounds the pieces."""
-    longest = max(2, ref_words.agg(F.max(F.length("ref_word"))).first()[0] or 2)
-    h = with_halo(hyp_words, "seq", 1, longest)
-    w = Window.partitionBy(*keys, "_blk").orderBy("seq")
-    for i in range(1, longest):
-        h = h.withColumn(f"_w{i}", F.lead("word", i).over(w)).withColumn(f"_l{i}", F.lead("line", i).over(w))
-    h = own_rows(h)
-    forms = []
-    for n in range(2, longest + 1):
-        last = F.col(f"_l{n - 1}")
-        forms.append(F.when(last.isNotNull() & (last != F.col("line")), F.struct(
-            F.lit(n).alias("pieces"), F.concat("word", *[F.col(f"_w{i}") for i in range(1, n)]).alias("ref_word"))))
-    grams = h.select(*keys, "seq", F.inline(F.array_compact(F.array(*forms))))
-    return grams.join(ref_words.select(*keys, "ref_word").distinct(), [*keys, "ref_word"], "left_semi")
+def midword_splits(ops: DataFrame, line_starts: DataFrame, keys: list[str]) -> DataFrame:
+    """Reference words that are heard in two or more pieces with a line start between them.
+
+    A run of operations without a match that takes one reference word and two or more heard ones is such a split if the pieces
+    put together are the word. ``line_starts`` has hyp_idx of the words that begin a line. Runs are measured before their pieces
+    are collected, so no more is put together than a word has letters."""
+    s = scan(ops.select(*keys, "op_no", "op", "hyp_idx", "ref_word", "hyp_word"), keys, ["op_no"], rows_block("op_no"), run=running_sum(F.when(F.col("op") == "match", 1).otherwise(0)))
+    s = shared(s.filter("op <> 'match'"), *keys, "run")
+    size = s.groupBy(*keys, "run").agg(F.count("ref_word").alias("_r"), F.count("hyp_word").alias("pieces"), F.sum(F.length("hyp_word")).alias("_n"),
+                                       F.max("ref_word").alias("ref_word"), F.min("hyp_idx").alias("_first"))
+    size = size.filter("_r = 1 AND pieces >= 2 AND _n = length(ref_word)").drop("_r", "_n")
+    own = s.select(*keys, "run", "op_no", "hyp_idx", "hyp_word").join(size, [*keys, "run"])
+    own = own.join(line_starts.select(*keys, "hyp_idx", F.lit(True).alias("_begins")), [*keys, "hyp_idx"], "left")
+    inner = F.bool_or(F.coalesce("_begins", F.lit(False)) & (F.col("hyp_idx") > F.col("_first")))
+    word = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("op_no", F.coalesce("hyp_word", F.lit("")).alias("w")))), lambda x: x["w"]), "")
+    g = own.groupBy(*keys, "run", "ref_word", "pieces", "_first").agg(inner.alias("_inner"), word.alias("_word"))
+    return g.filter("_inner AND _word = ref_word").select(*keys, "ref_word", F.col("_first").alias("hyp_idx"), "pieces")
 
 
 def missing_kinds(ops: DataFrame, keys: list[str]) -> DataFrame:

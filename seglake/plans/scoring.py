@@ -74,9 +74,12 @@ def _(t):
     return SC.language_mismatch(SC.align(p, "doc_id", "r", "h"), K, accented).select("doc_id", "max_ins_run", "ins_runs_ge3")
 
 
-# Turns against a damaged copy: short pairs, whose whole edit table SQL can build.
-TURN_PAIRS = """pw AS (SELECT session_id * 100000 + turn AS pair_id, word, row_number() OVER (PARTITION BY session_id, turn ORDER BY seq) - 1 AS i FROM tok), rf AS (SELECT pair_id, i + 1 AS i, word FROM pw),
-   hx AS (SELECT pair_id, i * 2 AS o, CASE WHEN i % 11 = 3 THEN 'x' ELSE word END AS word FROM pw WHERE i % 7 <> 6 UNION ALL SELECT pair_id, i * 2 + 1, CASE WHEN i % 2 = 0 THEN 'y' ELSE 'é' END FROM pw WHERE i % 13 IN (5, 6, 7)),
+# Turns against a damaged copy: short pairs, whose whole edit table SQL can build. The SQL numbers the turns.
+TURNS = ["session_id", "turn"]
+NUMBERED = """pk AS (SELECT session_id, turn, row_number() OVER (ORDER BY session_id, turn) AS pair_id FROM (SELECT DISTINCT session_id, turn FROM tok)),
+   pw AS (SELECT pair_id, seq, word, start_ms, row_number() OVER (PARTITION BY pair_id ORDER BY seq) - 1 AS i FROM tok JOIN pk USING (session_id, turn))"""
+HEARD = """hx AS (SELECT pair_id, i * 2 AS o, CASE WHEN i % 11 = 3 THEN 'x' ELSE word END AS word FROM pw WHERE i % 7 <> 6 UNION ALL SELECT pair_id, i * 2 + 1, CASE WHEN i % 2 = 0 THEN 'y' ELSE 'é' END FROM pw WHERE i % 13 IN (5, 6, 7))"""
+EDITS = """rf AS (SELECT pair_id, i + 1 AS i, word FROM pw),
    hy AS (SELECT pair_id, row_number() OVER (PARTITION BY pair_id ORDER BY o) AS j, word FROM hx),
    nm AS (SELECT pair_id, n, coalesce(m, 0) AS m FROM (SELECT pair_id, count(*) AS n FROM rf GROUP BY 1) LEFT JOIN (SELECT pair_id, count(*) AS m FROM hy GROUP BY 1) USING (pair_id)),
    dp AS (SELECT pair_id, CAST(0 AS BIGINT) AS i, j, j AS d FROM (SELECT pair_id, unnest(range(0, m + 1)) AS j FROM nm)
@@ -87,6 +90,7 @@ TURN_PAIRS = """pw AS (SELECT session_id * 100000 + turn AS pair_id, word, row_n
    pt AS (SELECT pair_id, n AS i, m AS j, 0 AS k FROM nm UNION ALL SELECT pt.pair_id, pt.i - CASE WHEN ce.op = 'ins' THEN 0 ELSE 1 END, pt.j - CASE WHEN ce.op = 'del' THEN 0 ELSE 1 END, k + 1 FROM pt JOIN ce ON ce.pair_id = pt.pair_id AND ce.i = pt.i AND ce.j = pt.j),
    al AS (SELECT pt.pair_id, count(*) OVER (PARTITION BY pt.pair_id) - pt.k - 1 AS op_no, ce.op, CASE WHEN ce.op <> 'ins' THEN pt.i - 1 END AS ref_idx, CASE WHEN ce.op <> 'del' THEN pt.j - 1 END AS hyp_idx, pt.i AS ref_pos, pt.j AS hyp_pos,
      CASE WHEN ce.op <> 'ins' THEN ce.rw END AS ref_word, CASE WHEN ce.op <> 'del' THEN ce.hw END AS hyp_word FROM pt JOIN ce ON ce.pair_id = pt.pair_id AND ce.i = pt.i AND ce.j = pt.j)"""
+TURN_PAIRS = f"{NUMBERED}, {HEARD}, {EDITS}"
 SCRIPT = "CASE WHEN {0} IS NULL THEN NULL WHEN regexp_matches({0}, '[à-ÿ]') THEN 'KO' WHEN regexp_matches({0}, '[a-z]') THEN 'EN' ELSE 'NEU' END"
 MISMATCH = f"""{TURN_PAIRS}, sc AS (SELECT *, {SCRIPT.format('ref_word')} AS rs, {SCRIPT.format('hyp_word')} AS hs FROM al),
    ir AS (SELECT pair_id, count(*) AS n FROM (SELECT pair_id, op_no - row_number() OVER (PARTITION BY pair_id ORDER BY op_no) AS g FROM al WHERE op = 'ins') GROUP BY pair_id, g),
@@ -97,36 +101,23 @@ MISMATCH = f"""{TURN_PAIRS}, sc AS (SELECT *, {SCRIPT.format('ref_word')} AS rs,
      count(CASE WHEN op = 'ins' AND hs NOT IN ('KO', 'EN') THEN 1 END) AS ins_neu, count(ref_word) AS ref_words FROM sc GROUP BY pair_id)"""
 
 
-def turn_key(session, turn):
-    """The key of the SQL for turns below 100000. Later turns of long sessions get negative keys, so that no two turns share
-    one; session ids and turns stay below 2 ** 31."""
-    small = F.lit(1 << 31)
-    refused = F.raise_error(F.concat(F.lit("no key for turn "), turn.cast("string"), F.lit(" of session "), session.cast("string"))).cast("bigint")
-    return F.when(turn < 100000, session * 100000 + turn).when((session < small) & (turn < small), -(session.cast("bigint") * small + turn)).when(
-        session.isNotNull() & turn.isNotNull(), refused)
-
-
-def session_of(pair):
-    return F.when(pair < 0, F.shiftright(-pair, 31)).otherwise(F.floor(pair / 100000))
-
-
 def turn_pairs(t):
-    g = t.tok.groupBy(turn_key(F.col("session_id"), F.col("turn")).alias("pair_id")).agg(F.array_sort(F.collect_list(F.struct("seq", "word"))).alias("w"))
-    g = g.select("pair_id", F.transform("w", lambda x: x["word"]).alias("r"))
+    g = t.tok.groupBy(*TURNS).agg(F.array_sort(F.collect_list(F.struct("seq", "word"))).alias("w"))
+    g = g.select(*TURNS, F.transform("w", lambda x: x["word"]).alias("r"))
 
     def heard(w, i):
         own = F.when(i % 7 != 6, F.array(F.when(i % 11 == 3, F.lit("x")).otherwise(w))).otherwise(F.array().cast("array<string>"))
         more = F.when((i % 13).isin(5, 6, 7), F.array(F.when(i % 2 == 0, F.lit("y")).otherwise(F.lit("é")))).otherwise(F.array().cast("array<string>"))
         return F.concat(own, more)
 
-    return g.select("pair_id", "r", F.flatten(F.transform("r", heard)).alias("h"))
+    return g.select(*TURNS, "r", F.flatten(F.transform("r", heard)).alias("h"))
 
 
 def turn_ops(t):
-    return SC.align(turn_pairs(t), "pair_id", "r", "h")
+    return SC.align(turn_pairs(t), TURNS, "r", "h")
 
 
-@query("aln01_align_turns", f"WITH RECURSIVE {TURN_PAIRS} SELECT * FROM al")
+@query("aln01_align_turns", f"WITH RECURSIVE {TURN_PAIRS} SELECT pk.session_id, pk.turn, al.* EXCLUDE (pair_id) FROM al JOIN pk USING (pair_id)")
 def _(t):
     return turn_ops(t)
 
@@ -134,27 +125,27 @@ def _(t):
 WER = """er AS (SELECT nm.pair_id, count(CASE WHEN op = 'sub' THEN 1 END) AS substitutions, count(CASE WHEN op = 'ins' THEN 1 END) AS insertions, count(CASE WHEN op = 'del' THEN 1 END) AS deletions, any_value(n) AS ref_words, any_value(m) AS hyp_words FROM nm LEFT JOIN al USING (pair_id) GROUP BY nm.pair_id)"""
 
 
-@query("agg02_turn_wer", f"WITH RECURSIVE {TURN_PAIRS}, {WER} SELECT *, (substitutions + insertions + deletions) / ref_words AS wer FROM er")
+@query("agg02_turn_wer", f"WITH RECURSIVE {TURN_PAIRS}, {WER} SELECT pk.session_id, pk.turn, er.* EXCLUDE (pair_id), (substitutions + insertions + deletions) / ref_words AS wer FROM er JOIN pk USING (pair_id)")
 def _(t):
-    return SC.wer(turn_pairs(t), "pair_id", "r", "h")
+    return SC.wer(turn_pairs(t), TURNS, "r", "h")
 
 
-@query("agg02_session_wer", f"""WITH RECURSIVE {TURN_PAIRS}, {WER} SELECT pair_id // 100000 AS session_id, CAST(sum(substitutions + insertions + deletions) AS BIGINT) AS errors, CAST(sum(ref_words) AS BIGINT) AS ref_words,
-   sum(substitutions + insertions + deletions) / sum(ref_words) AS wer FROM er GROUP BY ALL""")
+@query("agg02_session_wer", f"""WITH RECURSIVE {TURN_PAIRS}, {WER} SELECT session_id, CAST(sum(substitutions + insertions + deletions) AS BIGINT) AS errors, CAST(sum(ref_words) AS BIGINT) AS ref_words,
+   sum(substitutions + insertions + deletions) / sum(ref_words) AS wer FROM er JOIN pk USING (pair_id) GROUP BY ALL""")
 def _(t):
-    s = SC.wer(turn_pairs(t), "pair_id", "r", "h").withColumn("session_id", session_of(F.col("pair_id")))
+    s = SC.wer(turn_pairs(t), TURNS, "r", "h")
     return SC.corpus_wer(s, ["session_id"])
 
 
-@query("agg08_turn_mismatch", f"""WITH RECURSIVE {MISMATCH} SELECT mm.*, coalesce(max_ins_run, 0) AS max_ins_run, coalesce(ins_runs_ge3, 0) AS ins_runs_ge3, CASE WHEN ko_ref_words > 0 THEN ko_to_en / ko_ref_words END AS lmr_ko,
-   CASE WHEN en_ref_words > 0 THEN en_to_ko / en_ref_words END AS lmr_en, coalesce((ko_to_en + en_to_ko) / nullif(ref_words, 0), 0) AS lmr_wer_pp FROM mm LEFT JOIN im USING (pair_id)""")
+@query("agg08_turn_mismatch", f"""WITH RECURSIVE {MISMATCH} SELECT pk.session_id, pk.turn, mm.* EXCLUDE (pair_id), coalesce(max_ins_run, 0) AS max_ins_run, coalesce(ins_runs_ge3, 0) AS ins_runs_ge3, CASE WHEN ko_ref_words > 0 THEN ko_to_en / ko_ref_words END AS lmr_ko,
+   CASE WHEN en_ref_words > 0 THEN en_to_ko / en_ref_words END AS lmr_en, coalesce((ko_to_en + en_to_ko) / nullif(ref_words, 0), 0) AS lmr_wer_pp FROM mm JOIN pk USING (pair_id) LEFT JOIN im USING (pair_id)""")
 def _(t):
-    return SC.language_mismatch(turn_ops(t), ["pair_id"], accented)
+    return SC.language_mismatch(turn_ops(t), TURNS, accented)
 
 
-@query("win05_turn_insertion_runs", f"""WITH RECURSIVE {MISMATCH} SELECT pair_id, coalesce(max_ins_run, 0) AS max_ins_run, coalesce(ins_runs_ge3, 0) AS ins_runs_ge3 FROM mm LEFT JOIN im USING (pair_id)""")
+@query("win05_turn_insertion_runs", f"""WITH RECURSIVE {MISMATCH} SELECT session_id, turn, coalesce(max_ins_run, 0) AS max_ins_run, coalesce(ins_runs_ge3, 0) AS ins_runs_ge3 FROM mm JOIN pk USING (pair_id) LEFT JOIN im USING (pair_id)""")
 def _(t):
-    return SC.language_mismatch(turn_ops(t), ["pair_id"], accented).select("pair_id", "max_ins_run", "ins_runs_ge3")
+    return SC.language_mismatch(turn_ops(t), TURNS, accented).select(*TURNS, "max_ins_run", "ins_runs_ge3")
 
 
 def hyp_bounds(t):
@@ -200,34 +191,46 @@ def _(t):
     return O.unexplained(t.seg.select(*k), t.seg.filter("speaker = 1").select(*k), t.seg.filter("length(text) % 3 = 0").select(*k))
 
 
-@query("jon19_timestamp_accuracy")
+BARE_WORD = r"trim(regexp_replace(regexp_replace(lower(word), '[^\p{L}\p{M}\p{N}_\s\-'']', ' ', 'g'), '\s+', ' ', 'g'))"
+TIMED = f"""{NUMBERED}, tw AS (SELECT pair_id, seq, {BARE_WORD} AS x, start_ms FROM pw),
+   rl AS (SELECT pair_id, list(x ORDER BY seq) AS rx, list(start_ms ORDER BY seq) AS rs, count(*) AS n_ref, count(CASE WHEN seq % 6 <> 5 THEN 1 END) AS n_pred FROM tw GROUP BY pair_id),
+   pd AS (SELECT pair_id, x, s, row_number() OVER (PARTITION BY pair_id ORDER BY seq) AS k FROM (SELECT pair_id, seq, CASE WHEN seq % 9 = 4 THEN 'zz' ELSE x END AS x, start_ms + (seq % 5) * 40 AS s FROM tw WHERE seq % 6 <> 5) WHERE x <> ''),
+   gm AS (SELECT pair_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS done, CAST(NULL AS DOUBLE) AS d FROM rl
+     UNION ALL SELECT pair_id, k, coalesce(hit, done), abs(s - rs[hit]) / 1000 FROM (SELECT g.pair_id, p.k, g.done, p.s, r.rs, list_min(list_filter(range(g.done + 1, least(g.done + 3, len(r.rx)) + 1), lambda i: r.rx[i] = p.x)) AS hit
+       FROM gm g JOIN pd p ON p.pair_id = g.pair_id AND p.k = g.k + 1 JOIN rl r ON r.pair_id = g.pair_id))"""
+
+
+@query("jon19_timestamp_accuracy", f"""WITH RECURSIVE {TIMED} SELECT session_id, turn, CAST(any_value(n_ref) AS INTEGER) AS n_ref, CAST(any_value(n_pred) AS INTEGER) AS n_pred, CAST(count(d) AS INTEGER) AS n_matched,
+   round(avg(d), 6) AS mae_start, round(max(d), 6) AS max_delta_start, round(median(d), 6) AS median_delta_start FROM rl JOIN pk USING (pair_id) JOIN gm USING (pair_id) GROUP BY session_id, turn""")
 def _(t):
-    g = t.tok.groupBy((F.col("session_id") * 1000 + F.col("turn")).alias("line")).agg(
-        F.array_sort(F.collect_list(F.struct("seq", X.scoring_form("word").alias("word"), "start_ms"))).alias("w"))
+    g = t.tok.groupBy(*TURNS).agg(F.array_sort(F.collect_list(F.struct("seq", X.scoring_form("word").alias("word"), "start_ms"))).alias("w"))
     ref = F.transform("w", lambda x: F.struct(x["word"].alias("word"), (x["start_ms"] / 1000).alias("start")))
     pred = F.transform(F.filter("w", lambda x: x["seq"] % 6 != 5), lambda x: F.struct(
         F.when(x["seq"] % 9 == 4, F.lit("zz")).otherwise(x["word"]).alias("word"), ((x["start_ms"] + (x["seq"] % 5) * 40) / 1000).alias("start")))
-    d = SC.timestamp_accuracy(g.select("line", ref.alias("ref"), pred.alias("pred")), "line")
-    return d.select("line", "n_ref", "n_pred", "n_matched", *[F.round(c, 6).alias(c) for c in ("mae_start", "max_delta_start", "median_delta_start")])
+    d = SC.timestamp_accuracy(g.select(*TURNS, ref.alias("ref"), pred.alias("pred")), TURNS)
+    return d.select(*TURNS, "n_ref", "n_pred", "n_matched", *[F.round(c, 6).alias(c) for c in ("mae_start", "max_delta_start", "median_delta_start")])
 
 
-HY = """hp AS (SELECT session_id, turn, seq, word, seq % 10 = 0 AND length(word) >= 4 AS sp FROM tok), hw AS (SELECT session_id, seq * 2 AS o, turn * 2 AS line, CASE WHEN sp THEN word[1:2] ELSE word END AS word FROM hp UNION ALL
-     SELECT session_id, seq * 2 + 1, turn * 2 + CASE WHEN seq % 20 = 0 THEN 1 ELSE 0 END, word[3:] FROM hp WHERE sp), hh AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY o) AS seq, line, word FROM hw)"""
+# Turns whose every tenth word of four letters or more is heard in two pieces, every other time across lines; one of 13 is misheard.
+PIECES = """pc AS (SELECT pair_id, i, seq, word, seq % 5 = 0 AND length(word) >= 4 AS sp FROM pw),
+   hq AS (SELECT pair_id, i * 2 AS o, 0 AS line, CASE WHEN sp THEN word[1:2] WHEN i % 13 = 7 THEN 'x' ELSE word END AS word FROM pc UNION ALL SELECT pair_id, i * 2 + 1, CASE WHEN seq % 10 = 0 THEN 1 ELSE 0 END, word[3:] FROM pc WHERE sp),
+   hx AS (SELECT pair_id, o, word, sum(line) OVER (PARTITION BY pair_id ORDER BY o) AS line FROM hq),
+   ls AS (SELECT pair_id, row_number() OVER w - 1 AS hyp_idx, line <> lag(line) OVER w AS begins FROM hx WINDOW w AS (PARTITION BY pair_id ORDER BY o))"""
 
 
-@query("agg24_midword_splits", f"""WITH {HY}, g AS (SELECT session_id, seq, array_agg(word) OVER w AS ws, array_agg(line) OVER w AS ls FROM hh WINDOW w AS (PARTITION BY session_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND 39 FOLLOWING)),
-   x AS (SELECT session_id, seq, unnest(range(2, len(ws) + 1)) AS pieces, ws, ls FROM g), y AS (SELECT session_id, seq, pieces, array_to_string(ws[1:pieces], '') AS ref_word FROM x WHERE ls[pieces] <> ls[1])
-   SELECT y.session_id, y.seq, CAST(y.pieces AS BIGINT) AS pieces, y.ref_word FROM y WHERE EXISTS (SELECT 1 FROM tok WHERE tok.session_id = y.session_id AND tok.word = y.ref_word)""")
+@query("agg24_midword_splits", f"""WITH RECURSIVE {NUMBERED}, {PIECES}, {EDITS}, ru AS (SELECT *, count(CASE WHEN op = 'match' THEN 1 END) OVER (PARTITION BY pair_id ORDER BY op_no) AS run FROM al),
+   sp AS (SELECT ru.*, coalesce(begins, false) AND ru.hyp_idx > min(ru.hyp_idx) OVER (PARTITION BY ru.pair_id, run) AS inner_start FROM ru LEFT JOIN ls USING (pair_id, hyp_idx) WHERE op <> 'match')
+   SELECT session_id, turn, max(ref_word) AS ref_word, min(hyp_idx) AS hyp_idx, count(hyp_word) AS pieces FROM sp JOIN pk USING (pair_id) GROUP BY session_id, turn, run
+   HAVING count(ref_word) = 1 AND count(hyp_word) >= 2 AND bool_or(inner_start) AND string_agg(hyp_word, '' ORDER BY op_no) = max(ref_word)""")
 def _(t):
-    from ..functions.ordered import row_no, rows_block, scan
-    k = t.tok
-    sp = (F.col("seq") % 10 == 0) & (F.length("word") >= 4)
-    parts = F.when(sp, F.array(
-        F.struct((F.col("seq") * 2).alias("o"), (F.col("turn") * 2).alias("line"), F.substring("word", 1, 2).alias("word")),
-        F.struct((F.col("seq") * 2 + 1).alias("o"), (F.col("turn") * 2 + F.when(F.col("seq") % 20 == 0, 1).otherwise(0)).alias("line"), F.substring("word", F.lit(3), F.length("word")).alias("word")),
-    )).otherwise(F.array(F.struct((F.col("seq") * 2).alias("o"), (F.col("turn") * 2).alias("line"), F.col("word").alias("word"))))
-    h = k.select("session_id", F.inline(parts))
-    h = scan(h, ["session_id"], ["o"], rows_block("o"), seq=row_no()).drop("o")
-    return SC.midword_splits(k.select("session_id", F.col("word").alias("ref_word")), h, ["session_id"])
+    g = t.tok.groupBy(*TURNS).agg(F.array_sort(F.collect_list(F.struct("seq", "word"))).alias("w"))
 
+    def heard(x, i):
+        piece = lambda word, begins: F.struct(word.alias("word"), begins.alias("begins"))
+        split = F.array(piece(F.substring(x["word"], 1, 2), F.lit(False)), piece(F.substr(x["word"], F.lit(3)), x["seq"] % 10 == 0))
+        return F.when((x["seq"] % 5 == 0) & (F.length(x["word"]) >= 4), split).otherwise(F.array(piece(F.when(i % 13 == 7, "x").otherwise(x["word"]), F.lit(False))))
 
+    g = g.select(*TURNS, F.transform("w", lambda x: x["word"]).alias("r"), F.flatten(F.transform("w", heard)).alias("p"))
+    ops = SC.align(g.select(*TURNS, "r", F.transform("p", lambda x: x["word"]).alias("h")), TURNS, "r", "h")
+    starts = g.select(*TURNS, F.posexplode("p").alias("hyp_idx", "x")).where("x.begins").select(*TURNS, F.col("hyp_idx").cast("long").alias("hyp_idx"))
+    return SC.midword_splits(ops, starts, TURNS)

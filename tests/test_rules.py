@@ -343,11 +343,35 @@ def test_turns_of_long_sessions_stay_apart(spark):
     turns = {(1, 5): 3, (1, 99_999): 2, (1, 100_000): 4, (1, 200_003): 1, (2, 0): 5, (3, 3): 2}
     rows = [(s, k, i, f"w{i}") for (s, k), n in turns.items() for i in range(n)]
     t = SimpleNamespace(tok=spark.createDataFrame(rows, "session_id long, turn long, seq long, word string"))
-    got = PS.turn_pairs(t).withColumn("session_id", PS.session_of(F.col("pair_id"))).collect()
-    assert sorted((r.session_id, len(r.r)) for r in got) == sorted((s, n) for (s, _), n in turns.items())
-    assert {r.pair_id for r in got if r.pair_id >= 0} == {100_005, 199_999, 200_000, 300_003} and len({r.pair_id for r in got}) == len(turns)
+    got = PS.turn_pairs(t).collect()
+    assert sorted((r.session_id, r.turn, len(r.r)) for r in got) == sorted((*k, n) for k, n in turns.items())
     words = {}
-    for r in SC.align(PS.turn_pairs(t), "pair_id", "r", "h").collect():
+    for r in SC.align(PS.turn_pairs(t), PS.TURNS, "r", "h").collect():
         if r.ref_word is not None:
-            words.setdefault(r.pair_id, []).append((r.op_no, r.ref_word))
+            words.setdefault((r.session_id, r.turn), []).append((r.op_no, r.ref_word))
     assert all([w for _, w in sorted(ws)] == [f"w{i}" for i in range(len(ws))] for ws in words.values()) and len(words) == len(turns)
+
+
+def test_long_pairs_are_cut_where_all_paths_pass(spark):
+    r = np.random.default_rng(5)
+    pairs = []
+    for i in range(-3, 40):
+        a = r.integers(0, int(r.choice([2, 60, 400])), int(r.integers(0, 250))).tolist()
+        b = [int(r.integers(0, 9)) if r.random() < 0.1 else w for w in a if r.random() > 0.08]
+        pairs.append((i, [str(w) for w in a], [str(w) for w in (b[20:] + b[:20] if i % 7 == 0 else b)]))
+    df = spark.createDataFrame(pairs, "id long, r array<string>, h array<string>")
+    one = sorted(map(tuple, SC.align(df, "id", "r", "h").collect()), key=lambda x: x[:2])
+    assert sorted(map(tuple, SC.align(df, "id", "r", "h", cells=30).collect()), key=lambda x: x[:2]) == one
+    assert sorted(SC.edit_counts(df, "id", "r", "h", cells=30).collect()) == sorted(SC.edit_counts(df, "id", "r", "h").collect())
+    assert sum(len(SC.sure_cuts(*SC._numbered(a, b))) for _, a, b in pairs) > 50
+
+
+def test_split_words(spark):
+    ops = [(-1, i, op, h if w != "del" else None, r, x) for i, (op, h, r, x, w) in enumerate([
+        ("match", 0, "a", "a", ""), ("sub", 1, "hello", "he", ""), ("ins", 2, None, "llo", ""), ("match", 3, "b", "b", ""),
+        ("sub", 4, "w" * 5000, "w" * 4000, ""), ("ins", 5, None, "w" * 1000, ""), ("match", 6, "c", "c", ""), ("sub", 7, "upon", "up", ""), ("ins", 8, None, "in", ""), ("match", 9, "d", "d", ""),
+        ("sub", 10, "into", "in", ""), ("ins", 11, None, "to", "")])]
+    df = spark.createDataFrame(ops, "s long, op_no long, op string, hyp_idx long, ref_word string, hyp_word string")
+    starts = spark.createDataFrame([(-1, 2), (-1, 5), (-1, 8), (-1, 10)], "s long, hyp_idx long")
+    got = sorted((r.hyp_idx, len(r.ref_word), r.pieces) for r in SC.midword_splits(df, starts, ["s"]).collect())
+    assert got == [(1, 5, 2), (4, 5000, 2)]
