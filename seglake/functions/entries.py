@@ -1,27 +1,28 @@
-"""Dictionaries of bounded size inside tasks: one way for every size up to the bound, an error beyond it."""
+"""Dictionaries inside tasks, in blocks of bounded size: a table of texts meets one block after the other."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut
 from . import values as V
 
-#: Characters of all keys and values that may travel to the tasks.
-MOST_CHARS = 64_000_000
+#: Characters of the keys and values of a block, which travel to the tasks together.
+BLOCK_CHARS = 64_000_000
 
 
-def gathered(entries: DataFrame, *columns: str) -> list[tuple]:
-    """The rows, once their size is checked against the bound."""
+def blocks(entries: DataFrame, *columns: str, limit: int = BLOCK_CHARS) -> list[DataFrame]:
+    """The rows in parts of about ``limit`` characters, dealt by the first column."""
     size = entries.agg(F.sum(sum((F.coalesce(F.length(c), F.lit(0)) for c in columns), F.lit(16)))).first()[0] or 0
-    if size > MOST_CHARS:
-        raise ValueError(f"a dictionary of {size} characters; at most {MOST_CHARS} travel to the tasks")
-    return [tuple(r) for r in entries.select(*columns).collect()]
+    n = max(1, -(-size // limit))
+    part = F.pmod(F.xxhash64(columns[0]), F.lit(n))
+    return [entries.select(*columns).where(part == i) if n > 1 else entries.select(*columns) for i in range(n)]
 
 
 def unambiguous(entries: DataFrame) -> DataFrame:
@@ -30,26 +31,19 @@ def unambiguous(entries: DataFrame) -> DataFrame:
     return good.groupBy("wrong").agg(F.max("correct").alias("correct"))
 
 
-def _mapped(entries: DataFrame, prepare: Callable[[dict[str, str]], Callable[[str], str]]):
-    table = entries.sparkSession.sparkContext.broadcast(dict(gathered(unambiguous(entries), "wrong", "correct")))
-    ready: list[Callable[[str], str]] = []
+class Words:
+    """Keys that are whole words."""
 
-    @F.pandas_udf(T.StringType())
-    def swap(texts: pd.Series) -> pd.Series:
-        if not ready:
-            ready.append(prepare(table.value))
-        return texts.map(lambda t: t if t is None or not table.value else ready[0](t))
-
-    return swap
+    pattern = re.compile(V.WORD_TOKEN)
 
+    def __init__(self, table: dict[str, str]):
+        self.table = table
 
-def replace_words(entries: DataFrame, text: Column) -> Column:
-    """Whole words that are keys become their values."""
-    def prepare(table):
-        pattern = re.compile(V.WORD_TOKEN)
-        return lambda t: pattern.sub(lambda m: table.get(m.group(0), m.group(0)), t)
+    def find(self, text: str) -> list[tuple[int, int, str]]:
+        return [(m.start(), len(m[0]), self.table[m[0]]) for m in self.pattern.finditer(text) if m[0] in self.table]
 
-    return _mapped(entries, prepare)(text)
+    def replace(self, text: str, earlier: dict[int, tuple[int, str]]) -> str:
+        return self.pattern.sub(lambda m: earlier[m.start()][1] if m.start() in earlier else self.table.get(m[0], m[0]), text)
 
 
 class Leftmost:
@@ -71,18 +65,101 @@ class Leftmost:
                     return n
         return 0
 
-    def replace(self, text: str) -> str:
+    def find(self, text: str) -> list[tuple[int, int, str]]:
+        found = ((i, self.at(text, i)) for i in range(len(text)))
+        return [(i, n, self.table[text[i:i + n]]) for i, n in found if n]
+
+    def replace(self, text: str, earlier: dict[int, tuple[int, str]]) -> str:
         out, i, last = [], 0, 0
         while i < len(text):
-            n = self.at(text, i)
-            if n:
-                out += [text[last:i], self.table[text[i:i + n]]]
-                last = i = i + n
+            n, m = self.at(text, i), earlier[i][0] if i in earlier else 0
+            if n or m:
+                out += [text[last:i], self.table[text[i:i + n]] if n > m else earlier[i][1]]
+                last = i = i + max(n, m)
             else:
                 i += 1
         return "".join([*out, text[last:]])
 
 
-def replace_parts(entries: DataFrame, text: Column) -> Column:
-    """Keys anywhere in the text become their values; replaced text is not looked at again."""
-    return _mapped(entries, lambda table: Leftmost(table).replace)(text)
+FOUND = "array<struct<at: int, n: int, to: string>>"
+
+
+def _block(part: DataFrame, kind: type):
+    """The keys of a block, sent once and made ready once per worker."""
+    table = part.sparkSession.sparkContext.broadcast({r.wrong: r.correct for r in part.collect()})
+    ready: list = []
+
+    def own():
+        if not ready:
+            ready.append(kind(table.value))
+        return ready[0]
+
+    return own
+
+
+def _noting(part: DataFrame, kind: type):
+    """UDF: what was found before, and the places of the keys of this block."""
+    own = _block(part, kind)
+
+    @F.pandas_udf(FOUND)
+    def noted(texts: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([[*(map(dict, f) if f is not None else ()), *(dict(zip(("at", "n", "to"), x)) for x in (own().find(t) if t else ()))] for t, f in zip(texts, found)])
+
+    return noted
+
+
+def _replacing(part: DataFrame, kind: type):
+    own = _block(part, kind)
+
+    def earlier(found) -> dict[int, tuple[int, str]]:
+        best: dict[int, tuple[int, str]] = {}
+        for x in found if found is not None else ():
+            if x["n"] > best.get(x["at"], (0, ""))[0]:
+                best[x["at"]] = (x["n"], x["to"])
+        return best
+
+    @F.pandas_udf(T.StringType())
+    def done(texts: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([own().replace(t, earlier(f)) if t else t for t, f in zip(texts, found)], dtype=object)
+
+    return done
+
+
+def replaced(df: DataFrame, entries: DataFrame, text: str, whole_words: bool, limit: int = BLOCK_CHARS) -> DataFrame:
+    """Keys in the text become their values: the leftmost first, of several at a place the longest, and what is replaced is not
+    looked at again. All blocks but the last note where their keys stand, with a written table between them, so that a task
+    holds one block at a time; the last one takes these places into account and replaces."""
+    kind = Words if whole_words else Leftmost
+    *first, last = blocks(unambiguous(entries), "wrong", "correct", limit=limit)
+    held = df.withColumn("_found", F.lit(None).cast(FOUND))
+    for part in first:
+        held = cut(held.withColumn("_found", _noting(part, kind)(text, "_found")))
+    return held.withColumn(text, _replacing(last, kind)(text, "_found")).drop("_found")
+
+
+def _holds(part: DataFrame):
+    table = part.sparkSession.sparkContext.broadcast([r.side for r in part.collect()])
+    ready: list = []
+
+    @F.pandas_udf("array<string>")
+    def held(texts: pd.Series) -> pd.Series:
+        if not table.value:
+            return texts.map(lambda t: [])
+        if not ready:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for side in table.value:
+                automaton.add_word(side, side)
+            automaton.make_automaton()
+            ready.append(automaton)
+        return texts.map(lambda t: sorted({side for _, side in ready[0].iter(t)}) if t else [])
+
+    return held
+
+
+def holding(df: DataFrame, sides: DataFrame, key: str, text: str, limit: int = BLOCK_CHARS) -> DataFrame:
+    """key and side for every side of ``sides`` that occurs in the text: one pass over the texts per block of sides, with an
+    automaton of the block."""
+    each = [df.select(key, F.explode(_holds(part)(text)).alias("side")) for part in blocks(sides.select("side").distinct(), "side", limit=limit)]
+    return reduce(DataFrame.unionByName, each)

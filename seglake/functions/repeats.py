@@ -67,3 +67,38 @@ def regrows(words: list[str], block: int = 6, cover: float = 0.7, least: int = 3
         if (more & (length[chain] >= least - 1)).any():
             return True
     return False
+
+
+def runs(words: list[str], longest: int, shortest: int, least: int, gap: int, share: float) -> list[tuple]:
+    """Runs of n-grams: (n, first word, word after the last, repeats, n-gram) in order of place.
+
+    The next of a gram's places, right behind it or after at most ``gap`` words, continues it. A chain of such places is a run if it
+    is at least ``least`` long and holds ``share`` of all places of its gram. Long grams choose first, each from left to right, and
+    the words of a run are not used again."""
+    codes = numbered(words)
+    used = np.zeros(len(codes) + 1, dtype=np.int64)
+    found = []
+    for n in range(longest, shortest - 1, -1):
+        places, same = returns(codes, n)
+        if not len(places):
+            continue
+        gram = np.cumsum(~same) - 1
+        total = np.bincount(gram)
+        upto = np.cumsum(used)
+        open_ = np.flatnonzero(upto[places + n - 1] == np.where(places > 0, upto[places - 1], 0))
+        places, gram = places[open_], gram[open_]
+        key = gram * (2 * len(codes) + gap) + places
+        ahead = np.searchsorted(key, key + n)
+        near = ahead < len(key)
+        near[near] = key[ahead[near]] <= key[near] + n + gap
+        count, last = np.ones(len(key), dtype=np.int64), places + n
+        for i in np.flatnonzero(near)[::-1]:
+            count[i], last[i] = count[ahead[i]] + 1, last[ahead[i]]
+        good = np.flatnonzero((count >= least) & (count >= share * total[gram]))
+        end = 0
+        for i in good[np.argsort(places[good])]:
+            if places[i] >= end:
+                start, end = int(places[i]), int(last[i])
+                used[start:end] = 1
+                found.append((n, start, end, int(count[i]), " ".join(words[start:start + n])))
+    return sorted(found, key=lambda r: r[1])

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..functions import values as V
-from ..functions.entries import replace_parts, replace_words
+from ..functions.entries import replaced
 from ..functions.ordered import before_known, following, prev, rows_block, scan, shared, whole_max
 
 
@@ -72,8 +72,8 @@ def collapse_punct(df: DataFrame, text: str = "text") -> DataFrame:
 
 def apply_dictionary(df: DataFrame, entries: DataFrame, text: str = "text", whole_words: bool = False) -> DataFrame:
     """One left-to-right pass, longest entry first, replaced text is not looked at again. Entries (wrong, correct) without a
-    side are skipped; of equal keys the greatest value counts. The dictionary is bounded by ``entries.MOST_CHARS``."""
-    return df.withColumn(text, (replace_words if whole_words else replace_parts)(entries, F.col(text)))
+    side are skipped; of equal keys the greatest value counts. A dictionary of any size is taken in blocks."""
+    return replaced(df, entries, text, whole_words)
 
 
 def clean_segments(lines: DataFrame, phrases: Iterable[str], entries: DataFrame, text: str = "text",

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.entries import gathered
+from ..functions.entries import holding
 from ..functions import values as V
 from ..functions.ordered import (first_of, last_known, next_known, row_no, rows_block, running_sum, scan,
                                  time_block)
@@ -151,27 +151,10 @@ def cross_reference(logs: DataFrame, transcripts: DataFrame, keys: list[str]) ->
 
 
 def relevant_glossary(df: DataFrame, glossary: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Entries of which either side occurs in the text, ignoring case: one pass over each text with an automaton of all
-    sides. The glossary is bounded by ``entries.MOST_CHARS``; its entries are joined to what was found."""
+    """Entries of which either side occurs in the text, ignoring case. A glossary of any size is taken in blocks of sides; its
+    entries are joined to what was found."""
     sides = glossary.select("origin", "translation", F.explode(F.array(F.lower("origin"), F.lower("translation"))).alias("side")).filter("side <> ''")
-    table = df.sparkSession.sparkContext.broadcast([r[0] for r in gathered(sides.select("side").distinct(), "side")])
-    ready: list = []
-
-    @F.pandas_udf("array<string>")
-    def held(texts: pd.Series) -> pd.Series:
-        if not table.value:
-            return texts.map(lambda t: [])
-        if not ready:
-            import ahocorasick
-
-            automaton = ahocorasick.Automaton()
-            for side in table.value:
-                automaton.add_word(side, side)
-            automaton.make_automaton()
-            ready.append(automaton)
-        return texts.map(lambda t: sorted({side for _, side in ready[0].iter(t)}) if t else [])
-
-    found = df.select(key, F.explode(held(F.lower(text))).alias("side"))
+    found = holding(df.select(key, F.lower(text).alias("_lower")), sides, key, "_lower")
     return found.join(sides, "side").select(key, "origin", "translation").distinct()
 
 

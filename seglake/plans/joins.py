@@ -131,9 +131,10 @@ def _(t):
     return J.cross_reference(l, d, ["id"])
 
 
-@query("jon11_relevant_glossary", """WITH g AS (SELECT wrong, correct FROM dic WHERE src = 'base') SELECT d.doc_id, g.wrong AS origin, g.correct AS translation FROM documents d JOIN g ON contains(lower(d."text"), lower(g.wrong)) OR contains(lower(d."text"), lower(g.correct))""")
+@query("jon11_relevant_glossary", f"""WITH {DIC_SQL}, sd AS MATERIALIZED (SELECT DISTINCT side FROM (SELECT lower(wrong) AS side FROM merged UNION ALL SELECT lower(correct) FROM merged) WHERE side <> ''), lt AS MATERIALIZED (SELECT doc_id, lower("text") AS x FROM documents),
+   h AS MATERIALIZED (SELECT doc_id, side FROM lt JOIN sd ON contains(x, side)) SELECT doc_id, wrong AS origin, correct AS translation FROM h JOIN merged ON side = lower(wrong) UNION SELECT doc_id, wrong, correct FROM h JOIN merged ON side = lower(correct)""")
 def _(t):
-    g = t.dict_entries.filter("src = 'base'").select(F.col("wrong").alias("origin"), F.col("correct").alias("translation"))
+    g = user_first(t).select(F.col("wrong").alias("origin"), F.col("correct").alias("translation"))
     return J.relevant_glossary(t.doc.select("doc_id", "text"), g, "doc_id")
 
 

@@ -6,7 +6,7 @@ from ..functions import text as X
 from ..functions.ordered import time_block
 from ..operators import windows as W
 from .registry import query
-from .shared import with_silence
+from .shared import grown, with_silence
 
 S = ["session_id"]
 
@@ -111,7 +111,8 @@ def _(t):
     return W.anchor_storms(k, S, "turn", "seq", least=3)
 
 
-@query("win12_growing_loops")
+@query("win12_growing_loops", f"""WITH e AS (SELECT session_id, turn, max(seq) AS q FROM tok GROUP BY ALL), tl AS (SELECT e.session_id, e.turn, list(lower(t.word) ORDER BY t.seq) AS w FROM e JOIN tok t ON t.session_id = e.session_id AND t.seq > e.q - 80 AND t.seq <= e.q GROUP BY ALL)
+   SELECT session_id, turn, {grown('w')} AS loop FROM tl""")
 def _(t):
     return W.growing_loops(t.tok.withColumn("word", F.lower("word")), S, "turn", "seq")
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from seglake.functions import entries as EN
 from seglake.functions import repeats as RP
 from seglake.functions import text as X
 from seglake.operators import filters as FI
@@ -63,6 +64,21 @@ def test_dictionary_against_brute_force(spark):
     assert got == sorted(((i, None if t is None else " ".join(table.get(w, w) for w in t.split(" "))) for i, t in docs), key=str)
 
 
+def test_dictionary_in_blocks(spark):
+    """Keys of different blocks at one place: the longest wins, and what is replaced is not looked at again."""
+    r = random.Random(9)
+    keys = {"".join(r.choice("abc") for _ in range(r.randrange(1, 6))) for _ in range(60)}
+    table = {k: r.choice(["", "x", k + "a", "abc"]) for k in keys}
+    docs = [(i, "".join(r.choice("abcd ") for _ in range(r.randrange(0, 80)))) for i in range(50)] + [(99, None)]
+    d, e = spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(sorted(table.items()), "wrong string, correct string")
+    for whole in (False, True):
+        one = sorted(map(tuple, EN.replaced(d, e, "text", whole).collect()), key=str)
+        assert sorted(map(tuple, EN.replaced(d, e, "text", whole, limit=400).collect()), key=str) == one and len(EN.blocks(e, "wrong", "correct", limit=400)) > 2
+    sides = e.select(F.col("wrong").alias("side"))
+    held = {(i, k) for i, t in docs if t for k in table if k in t}
+    assert {tuple(x) for x in EN.holding(d, sides, "id", "text", limit=300).collect()} == held
+
+
 def test_glossary_against_brute_force(spark):
     docs = [(1, "The Cat sat."), (2, None), (3, ""), (4, "concatenate"), (1, "dog")]
     words = [("cat", "chat"), ("dog", "chien"), ("x", "SAT"), ("", "the"), ("none", "nul")]
@@ -260,7 +276,9 @@ def test_overlap_and_loops():
     assert cut_repeat("nothing new", "this is the end") == "nothing new"
     assert cut_repeat("Xl the end more", "al the end", head=1) == "more"
     assert cut_repeat("the end. (And more", "this is the end") == "(And more"
-    assert W.find_runs("a b a b a b".split(), 4, 1, 3, 3, 0.5) == [(2, 0, 6, 3, "a b")]
+    assert RP.runs("a b a b a b".split(), 4, 1, 3, 3, 0.5) == [(2, 0, 6, 3, "a b")]
+    assert RP.runs("x a y a z z a q q q q a".split(), 1, 1, 3, 3, 0.5) == [(1, 1, 7, 3, "a"), (1, 7, 11, 4, "q")]
+    assert RP.runs("a a a b a a a a a a a a".split(), 1, 1, 3, 0, 0.5) == [(1, 4, 12, 8, "a")] and RP.runs([], 4, 1, 3, 3, 0.5) == []
 
 
 def test_log_lines(spark):
@@ -357,7 +375,7 @@ def test_long_pairs_are_cut_where_all_paths_pass(spark):
     pairs = []
     for i in range(-3, 40):
         a = r.integers(0, int(r.choice([2, 60, 400])), int(r.integers(0, 250))).tolist()
-        b = [int(r.integers(0, 9)) if r.random() < 0.1 else w for w in a if r.random() > 0.08]
+        b = [int(r.integers(0, 9)) if r.random() < 0.03 else w for w in a if r.random() > 0.02]
         pairs.append((i, [str(w) for w in a], [str(w) for w in (b[20:] + b[:20] if i % 7 == 0 else b)]))
     df = spark.createDataFrame(pairs, "id long, r array<string>, h array<string>")
     one = sorted(map(tuple, SC.align(df, "id", "r", "h").collect()), key=lambda x: x[:2])
