@@ -166,19 +166,25 @@ def _(t):
 
 @query("src02_eval_reports", """SELECT language AS report, 'd' || doc_id || '.wav' AS file, row_number() OVER (PARTITION BY language ORDER BY doc_id) - 1 AS run, subs, ref_words, ref_words * 2 AS twice FROM bench""")
 def _(t):
-    """Report files written from the table, one per language, and read again."""
+    """Report files written from the table, a language in files of a thousand documents each, and read again; the runs of a
+    language are numbered through its files."""
     import uuid
 
+    from ..functions.ordered import row_no, scan
     from ..session import checkpoint_folder
     from ..sources.texts import read_eval_reports
     folder = f"{checkpoint_folder(t.spark)}/reports-{uuid.uuid4().hex}"
-    one = t.bench.withColumn("audio_file", F.concat(F.lit("/audio/d"), F.col("doc_id").cast("string"), F.lit(".wav")))
-    g = one.groupBy("language").agg(F.array_sort(F.collect_list(F.struct("doc_id", "audio_file", "subs", "ref_words"))).alias("files"))
+    one = t.bench.withColumn("audio_file", F.concat(F.lit("/audio/d"), F.col("doc_id").cast("string"), F.lit(".wav"))).withColumn("part", F.floor(F.col("doc_id") / 1000))
+    g = one.groupBy("language", "part").agg(F.array_sort(F.collect_list(F.struct("doc_id", "audio_file", "subs", "ref_words"))).alias("files"))
     files = F.transform("files", lambda f: F.struct(f["audio_file"].alias("audio_file"), f["subs"].alias("subs"), f["ref_words"].alias("ref_words")))
     sums = F.transform("files", lambda f: F.struct(f["audio_file"].alias("audio_file"), (f["ref_words"] * 2).alias("twice")))
-    g.select(F.col("language").alias("name"), F.to_json(F.struct(files.alias("files"), sums.alias("file_summaries"))).alias("value")).write.partitionBy("name").text(folder)
+    value = F.to_json(F.struct(files.alias("files"), sums.alias("file_summaries")))
+    g.select(F.col("language").alias("name"), "part", value.alias("value")).repartition("name", "part").write.partitionBy("name", "part").text(folder)
     r = read_eval_reports(t.spark, folder)
-    return r.select(F.regexp_extract("report", "name=([^/]+)", 1).alias("report"), "file", "run", "subs", "ref_words", F.col("summary.twice").alias("twice"))
+    name = lambda n: F.regexp_extract("report", f"{n}=([^/]+)", 1)
+    r = r.select(name("name").alias("report"), name("part").cast("bigint").alias("part"), "file", "run", "subs", "ref_words", F.col("summary.twice").alias("twice"))
+    r = scan(r, ["report"], ["part", "run"], F.col("part"), no=row_no())
+    return r.select("report", "file", (F.col("no") - 1).alias("run"), "subs", "ref_words", "twice")
 
 
 @query("src03_run_transcripts", """SELECT 'clip' || session_id AS stem, CASE session_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS path, CAST(session_id % 2 + 1 AS VARCHAR) AS rep, row_number() OVER (PARTITION BY session_id ORDER BY seg_id) - 1 AS no, "text",
@@ -187,9 +193,8 @@ def _(t):
     from ..sources.texts import parse_run_transcripts
     sid = F.col("session_id")
     line = F.concat(F.lit("1. "), F.col("text"), F.lit("  ⟨"), F.when(F.col("seg_id") % 2 == 0, "silence").otherwise("language_switch"), F.lit("⟩"))
-    g = t.seg.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("seg_id", line.alias("x")))).alias("a"))
     name = F.concat(F.lit("/runs/clip"), sid.cast("string"), F.lit("_"), F.when(sid % 3 == 0, "A").when(sid % 3 == 1, "B").otherwise("C"), F.lit("_R"), (sid % 2 + 1).cast("string"), F.lit(".txt"))
-    return parse_run_transcripts(g.select(name.alias("file"), F.array_join(F.transform("a", lambda e: e["x"]), "\n").alias("value")))
+    return parse_run_transcripts(t.seg.select(name.alias("file"), F.col("seg_id").alias("line_no"), line.alias("line")))
 
 
 @query("src07_live_events", """SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY ALL""")
@@ -210,5 +215,6 @@ def _(t):
 @query("src09_flatten_words", "SELECT session_id, turn AS seg_no, pos AS word_no, word, start_ms FROM tok")
 def _(t):
     w = t.tok.groupBy("session_id", "turn").agg(F.array_sort(F.collect_list(F.struct("pos", "word", "start_ms"))).alias("w"))
-    s = w.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.transform("w", lambda x: F.struct(x["word"].alias("word"), x["start_ms"].alias("start_ms"))).alias("words")))).alias("segments"))
-    return flatten_words(s, S)
+    w = w.withColumn("part", F.floor(F.col("turn") / 64))
+    s = w.groupBy("session_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", F.transform("w", lambda x: F.struct(x["word"].alias("word"), x["start_ms"].alias("start_ms"))).alias("words")))).alias("segments"))
+    return flatten_words(s, [*S, "part"]).select("session_id", (F.col("part") * 64 + F.col("seg_no")).alias("seg_no"), "word_no", "word", "start_ms")

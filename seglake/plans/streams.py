@@ -120,10 +120,9 @@ def _(t):
    SELECT 'f' || session_id AS file, seg_id AS block, 'spk' || speaker AS speaker, 0 AS sent, trim("text") AS sentence FROM seg WHERE trim("text") <> '' UNION ALL SELECT 'f' || session_id, seg_id, 'spk' || speaker, 1, upper(lang) FROM seg""")
 def _(t):
     """Script files put together from the turns: a header, the text, a second sentence."""
-    s = t.seg.select("session_id", "seg_id", F.concat(F.lit("[spk"), F.col("speaker").cast("string"), F.lit("]\n"), F.col("text"), F.lit(" (laughs)\n\n"), F.upper("lang"), F.lit("\n")).alias("b"))
-    raw = s.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("seg_id", "b"))).alias("a"))
-    raw = raw.select(F.concat(F.lit("f"), F.col("session_id").cast("string")).alias("file"), F.array_join(F.transform("a", lambda x: x["b"]), "").alias("value"))
-    return parse_scripts(raw)
+    parts = F.array(F.concat(F.lit("[spk"), F.col("speaker").cast("string"), F.lit("]")), F.concat("text", F.lit(" (laughs)")), F.lit(""), F.upper("lang"))
+    lines = t.seg.select(F.concat(F.lit("f"), F.col("session_id").cast("string")).alias("file"), "seg_id", F.posexplode(parts).alias("i", "line"))
+    return parse_scripts(lines.select("file", (F.col("seg_id") * 4 + F.col("i")).alias("line_no"), "line"))
 
 
 RECONCILED = f"""{ZONES}, wi AS (SELECT session_id, pos AS win, bt AS t, xp AS d2, CASE WHEN xk = 'lang_switch' THEN 'd2_new_boundary' ELSE 'd2_' || xk END AS why2, lead(pos) OVER (PARTITION BY session_id ORDER BY pos) AS until FROM zn WHERE bt IS NOT NULL),

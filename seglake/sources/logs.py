@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ordered import last_known, prev, rows_block, running_sum, scan
+from .texts import numbered_lines
 
 # Line formats. (kind, pattern, names of the captures)
 TRACE_ON = ("trace_on", r"\[TraceTokens\] DEBUG 레벨 로깅 활성화", [])
@@ -68,11 +69,8 @@ PROBE_FIELDS = ["t_abs", "seglen", "p_ko", "p_en", "p_abs_ko", "p_abs_en", "resi
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line) over a folder. Line numbers need whole files, so a
-    file is one row here; files are the unit of parallelism."""
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    body = F.regexp_replace("value", r"\r?\n$", "")
-    return raw.select("file", F.posexplode(F.split(body, r"\r?\n")).alias("i", "line")).select("file", (F.col("i") + 1).cast("bigint").alias("line_no"), "line")
+    """(file, line_no, line) over a folder; a large file is read by many tasks."""
+    return numbered_lines(spark, path)
 
 
 def log_key(file: Column, pattern: str = LOG_NAME) -> list[Column]:

@@ -306,6 +306,23 @@ def test_scripts_and_reports(spark, tmp_path):
     assert run == [("clip", "A", "2", 0, "one here", "silence"), ("clip", "A", "2", 1, "two", "language_switch")]
 
 
+def test_line_numbers_of_split_files(spark, tmp_path):
+    texts = {"a.log": [f"line {i} " + "x" * (i % 23) for i in range(400)], "b.log": ["", "é", ""], "c.log": ["one"]}
+    for name, lines in texts.items():
+        (tmp_path / name).write_bytes(("\r\n" if name == "b.log" else "\n").join(lines).encode() + (b"\n" if name != "c.log" else b""))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 512)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        df = SL.read_logs(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+        got = sorted((r.file.rsplit("/", 1)[1], r.line_no, r.line) for r in df.collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == sorted((name, i, line) for name, lines in texts.items() for i, line in enumerate(lines, 1))
+
+
 @pytest.mark.parametrize("files", [1, 3])
 def test_stream_equals_table(spark, tmp_path, files):
     rows = [(s, i // 10, i, 300 * i, "word " * (i % 9 + 1)) for s in ("a", "b") for i in range(30)]
