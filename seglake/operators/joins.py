@@ -126,12 +126,15 @@ def nearest(df: DataFrame, keys: list[str], order: str, is_anchor: Column, limit
 
 def tolerance_join(left: DataFrame, right: DataFrame, keys: list[str], lid: str, lval: str, rid: str, rval: str,
                    tol: int) -> DataFrame:
-    """First right row (by ``rid``) with |left - right| < tol, NULL when none."""
-    l = left.withColumn("_b", F.floor(F.col(lval) / tol))
-    r = right.select(*keys, rid, rval, F.explode(F.array(*[F.floor(F.col(rval) / tol) + d for d in (-1, 0, 1)])).alias("_b"))
+    """First right row (by ``rid``) with |left - right| < tol, NULL when none. Both sides meet as distinct values per key, so a
+    value that many rows share is compared once."""
+    bucket = lambda c: F.floor(F.col(c) / tol)
+    l = left.select(*keys, lval).distinct().withColumn("_b", bucket(lval))
+    r = right.groupBy(*keys, rval).agg(F.min(rid).alias(rid))
+    r = r.select(*keys, rid, rval, F.explode(F.array(*[bucket(rval) + d for d in (-1, 0, 1)])).alias("_b"))
     hit = l.join(r, [*keys, "_b"]).filter(F.abs(F.col(lval) - F.col(rval)) < tol)
-    first = hit.groupBy(*keys, lid).agg(F.min(rid).alias(rid))
-    return left.join(first, [*keys, lid], "left")
+    first = hit.groupBy(*keys, lval).agg(F.min(rid).alias(rid))
+    return left.join(first, [*keys, lval], "left").select(*left.columns, rid)
 
 
 def ordinal_join(left: DataFrame, right: DataFrame, keys: list[str], lorder: str, rorder: str) -> DataFrame:

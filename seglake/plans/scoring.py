@@ -148,6 +148,64 @@ def _(t):
     return SC.language_mismatch(turn_ops(t), TURNS, accented).select(*TURNS, "max_ins_run", "ins_runs_ge3")
 
 
+# Sentences of a turn end at words with a full stop, question or exclamation mark; every fourth place also changes the speaker.
+BOUNDS = f"""{TURN_PAIRS}, rb AS (SELECT pair_id, rf.i AS bound, CASE WHEN rf.i % 4 = 0 THEN 'speaker' ELSE 'sentence' END AS kind FROM rf JOIN nm USING (pair_id) WHERE regexp_matches(word, '[.!?]$') AND rf.i < n),
+   hb AS (SELECT pair_id, hy.j AS bound FROM hy JOIN nm USING (pair_id) WHERE (regexp_matches(word, '[.!?]$') AND hy.j % 3 <> 0 OR hy.j % 11 = 5) AND hy.j < m),
+   pj AS (SELECT hb.pair_id, projected, row_number() OVER (PARTITION BY hb.pair_id ORDER BY hb.bound) AS k FROM hb JOIN (SELECT pair_id, hyp_pos, max(ref_pos) AS projected FROM al GROUP BY ALL) p ON p.pair_id = hb.pair_id AND p.hyp_pos = hb.bound),
+   fr AS (SELECT pair_id, kind, list(bound ORDER BY bound) AS free FROM (SELECT pair_id, 'all' AS kind, bound FROM rb UNION ALL SELECT pair_id, kind, bound FROM rb) GROUP BY ALL),
+   gr AS (SELECT pair_id, kind, free, CAST(0 AS BIGINT) AS k, false AS hit FROM fr UNION ALL SELECT pair_id, kind, CASE WHEN q IS NULL THEN free ELSE free[:q - 1] || free[q + 1:] END, k, q IS NOT NULL FROM
+     (SELECT g.pair_id, g.kind, g.free, p.k, list_min(list_filter(range(1, len(g.free) + 1), lambda i: abs(g.free[i] - p.projected) <= 1)) AS q FROM gr g JOIN pj p ON p.pair_id = g.pair_id AND p.k = g.k + 1)),
+   ct AS (SELECT nm.pair_id, (SELECT count(*) FROM pj WHERE pj.pair_id = nm.pair_id) AS nh, (SELECT count(*) FROM rb WHERE rb.pair_id = nm.pair_id) AS nr, (SELECT count(*) FROM rb WHERE rb.pair_id = nm.pair_id AND kind = 'speaker') AS np,
+     (SELECT count(*) FROM gr WHERE gr.pair_id = nm.pair_id AND hit AND kind = 'all') AS ma, (SELECT count(*) FROM gr WHERE gr.pair_id = nm.pair_id AND hit AND kind = 'speaker') AS ms, (SELECT count(*) FROM gr WHERE gr.pair_id = nm.pair_id AND hit AND kind = 'sentence') AS me,
+     (SELECT count(DISTINCT k) FROM gr WHERE gr.pair_id = nm.pair_id AND hit AND kind <> 'all') AS mb FROM nm)"""
+
+
+def _rates(m: str, r: str, h: str, name: str) -> str:
+    p, q = f"(CASE WHEN {h} > 0 THEN {m} / ({h}) ELSE 0.0 END)", f"(CASE WHEN {r} > 0 THEN {m} / ({r}) ELSE 0.0 END)"
+    f1 = f"CASE WHEN {p} + {q} > 0 THEN 2 * {p} * {q} / ({p} + {q}) ELSE 0.0 END"
+    return ", ".join(f"CASE WHEN ({r}) = 0 AND ({h}) = 0 THEN 1.0 ELSE {x} END AS {name}_{n}" for x, n in ((p, "precision"), (q, "recall"), (f1, "f1")))
+
+
+def turn_bounds(t):
+    """Pairs of turns, and the boundaries in both texts."""
+    pairs = turn_pairs(t)
+    ends = F.col("x").rlike("[.!?]$")
+
+    def placed(column):
+        return pairs.select(*TURNS, F.size(column).alias("n"), F.posexplode(column).alias("i", "x")).withColumn("bound", (F.col("i") + 1).cast("bigint")).filter("bound < n")
+
+    ref = placed("r").filter(ends).select(*TURNS, "bound", F.when(F.col("bound") % 4 == 0, "speaker").otherwise("sentence").alias("kind"))
+    hyp = placed("h").filter((ends & (F.col("bound") % 3 != 0)) | (F.col("bound") % 11 == 5)).select(*TURNS, "bound")
+    return pairs, ref, hyp
+
+
+@query("agg10_turn_segmentation_f1", f"""WITH RECURSIVE {BOUNDS} SELECT session_id, turn, {_rates('ma', 'nr', 'nh', 'boundary')}, CAST(ma AS INTEGER) AS matched, CAST(nr AS INTEGER) AS n_ref, CAST(nh AS INTEGER) AS n_hyp FROM ct JOIN pk USING (pair_id)""")
+def _(t):
+    pairs, ref, hyp = turn_bounds(t)
+    return SC.segmentation_f1(turn_ops(t), ref, hyp, pairs, TURNS)
+
+
+@query("agg11_turn_speaker_sentence_f1", f"""WITH RECURSIVE {BOUNDS}, al2 AS (SELECT *, nh - mb AS loose FROM ct), rt AS (SELECT pair_id, {_rates('ms', 'np', 'ms + loose', 'speaker')}, {_rates('me', 'nr - np', 'me + loose', 'sentence')}, nr - np AS ns, np, loose FROM al2)
+   SELECT session_id, turn, speaker_precision, speaker_recall, speaker_f1, CASE WHEN ns > 0 THEN sentence_precision END AS sentence_precision, CASE WHEN ns > 0 THEN sentence_recall END AS sentence_recall, CASE WHEN ns > 0 THEN sentence_f1 END AS sentence_f1,
+     CAST(ns AS INTEGER) AS n_sentence, CAST(np AS INTEGER) AS n_speaker, CAST(loose AS INTEGER) AS unexplained FROM rt JOIN pk USING (pair_id)""")
+def _(t):
+    pairs, ref, hyp = turn_bounds(t)
+    return SC.speaker_sentence_f1(turn_ops(t), ref, hyp, pairs, TURNS)
+
+
+@query("agg09_turn_flip_events", f"""WITH RECURSIVE {TURN_PAIRS}, rs AS (SELECT pair_id, i, word, coalesce(sum(CASE WHEN regexp_matches(word, '[.!?]$') THEN 1 ELSE 0 END) OVER (PARTITION BY pair_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence FROM rf),
+   ow AS (SELECT al.pair_id, s.sentence, {SCRIPT.format('al.ref_word')} AS rx, {SCRIPT.format('al.hyp_word')} AS hx, al.ref_word FROM al JOIN rs s ON s.pair_id = al.pair_id AND s.i = al.ref_pos),
+   ev AS (SELECT pair_id, sentence, count(CASE WHEN rx = 'KO' THEN 1 END) AS rk, count(CASE WHEN rx = 'EN' THEN 1 END) AS re, count(CASE WHEN hx = 'KO' THEN 1 END) AS hk, count(CASE WHEN hx = 'EN' THEN 1 END) AS he, count(ref_word) AS ref_words FROM ow GROUP BY ALL),
+   dm AS (SELECT *, CASE WHEN rk > re THEN 'KO' WHEN re > rk THEN 'EN' END AS ref_script, CASE WHEN hk > he THEN 'KO' WHEN he > hk THEN 'EN' END AS hyp_script FROM ev)
+   SELECT session_id, turn, CAST(sentence AS BIGINT) AS sentence, ref_script, hyp_script, ref_words FROM dm JOIN pk USING (pair_id) WHERE ref_script <> hyp_script""")
+def _(t):
+    pairs = turn_pairs(t)
+    ends = F.filter(F.transform("r", lambda x, i: F.when(x.rlike("[.!?]$"), (i + 1).cast("bigint"))), lambda p: p.isNotNull())
+    marks = F.array_union(F.concat(F.array(F.lit(0).cast("bigint")), ends), F.array(F.size("r").cast("bigint")))
+    spans = pairs.select(*TURNS, marks.alias("m")).select(*TURNS, F.posexplode(F.transform(F.sequence(F.lit(1), F.size("m") - 1), lambda k: F.struct(F.get("m", k - 1).alias("a"), F.get("m", k).alias("b")))).alias("sentence", "s"))
+    return SC.flip_events(turn_ops(t), spans.select(*TURNS, F.col("sentence").cast("bigint").alias("sentence"), "s.a", "s.b"), TURNS, accented)
+
+
 def hyp_bounds(t):
     """Boundaries of the cut lines, moved to hypothesis word counts."""
     b = SC.sentence_bounds(hyp_sentences(t), K, ["block", "cutpoint"])
