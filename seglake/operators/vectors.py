@@ -1,19 +1,21 @@
 """Exact top-k by cosine similarity.
 
-All-pairs scoring is avoided with pivots: every corpus vector joins the cell of
-its nearest pivot, and by the triangle inequality a query needs only the cells
-that can still hold one of its k nearest vectors. Cells are cut into pieces of a
-fixed number of rows and queries into equal shares, so a dense region or a
-popular cell becomes many small tasks. Inside one, scores are a matrix product."""
+All-pairs scoring is avoided with pivots, whose number grows with the corpus up to a bound: every corpus vector joins the cell
+of its nearest pivot, and cells are cut into pieces of a fixed number of rows. A query first meets one piece of its nearest
+cell. The k-th score found there, and the radii of the cells, bound how far away its k nearest vectors can be; by the triangle
+inequality it then needs only the cells within that bound. Inside a piece, scores are a matrix product."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PIVOTS = 64
+from ..session import cut
+
+#: Fewest and most pivots, and the rows of the corpus for which there is one. Pivots and cell sizes travel to all tasks.
+PIVOTS, MOST_PIVOTS, ROWS_PER_PIVOT = 64, 4096, 1024
 PIECE_ROWS = 4096
 EPS = 1e-5
 
@@ -23,58 +25,76 @@ def unit(column: str):
     return F.transform(F.col(column), lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0)))
 
 
-def similar_examples(queries: DataFrame, corpus: DataFrame, k: int = 3, exclude_self: bool = True) -> DataFrame:
-    """(query_id, vec_id, score, rank): the k best corpus rows per query. Both
-    sides have ``vec_id`` and ``embedding``; ties go to the smaller vec_id."""
-    c = corpus.select("vec_id", unit("embedding").alias("v"))
-    q = queries.select(F.col("vec_id").alias("query_id"), unit("embedding").alias("v"))
-    # a fixed number of pivots: the rows with the smallest id hashes
-    rows = c.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).collect()
-    if not rows:
-        return q.select("query_id", F.lit(None).cast("bigint").alias("vec_id"), F.lit(None).cast("double").alias("score"),
-                        F.lit(None).cast("int").alias("rank")).limit(0)
-    pivots = np.array([r["v"] for r in rows])
-    need = k + (1 if exclude_self else 0)
-
-    def place(batches):
-        for pdf in batches:
-            if len(pdf):
-                d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * np.stack(pdf["v"].to_numpy()) @ pivots.T))
-                cell = d.argmin(axis=1)
-                yield pdf.assign(cell=cell.astype("int64"), dist=d[np.arange(len(pdf)), cell])
-
-    placed = c.mapInPandas(place, "vec_id long, v array<double>, cell long, dist double")
-    # at most PIVOTS rows
-    stats = {r["cell"]: (r["n"], r["radius"]) for r in
-             placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("radius")).collect()}
-    cells = np.array(sorted(stats))
-    sizes = np.array([stats[x][0] for x in cells])
-    radius = np.array([stats[x][1] for x in cells])
-    pieces = np.maximum(1, -(-sizes // PIECE_ROWS))
-
-    def route(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * np.stack(pdf["v"].to_numpy()) @ pivots[cells].T))
-            high, low = d + radius, d - radius
-            order = high.argsort(axis=1)
-            enough = np.minimum((sizes[order].cumsum(axis=1) < need).sum(axis=1), len(cells) - 1)
-            bound = np.take_along_axis(high, order, axis=1)[np.arange(len(pdf)), enough]
-            wanted = low <= (bound + EPS)[:, None]
-            who, which = np.nonzero(wanted)
-            copies = pieces[which]
-            who, which = np.repeat(who, copies), np.repeat(which, copies)
-            piece = np.concatenate([np.arange(n) for n in copies]) if len(copies) else np.array([], dtype="int64")
-            yield pd.DataFrame({
-                "query_id": pdf["query_id"].to_numpy()[who], "v": pdf["v"].to_numpy()[who],
-                "cell": cells[which].astype("int64"), "piece": piece.astype("int64")})
-
-    routed = q.mapInPandas(route, "query_id long, v array<double>, cell long, piece long")
-    counts = F.element_at(F.create_map(*[F.lit(x) for x, n in zip(cells.tolist(), pieces.tolist()) for x in (x, n)]), F.col("cell"))
-    held = placed.select("cell", F.pmod(F.xxhash64("vec_id"), counts).alias("piece"), F.lit(0).alias("asks"), F.col("vec_id").alias("id"), "v")
+class Cells:
+    """The corpus dealt to cells: ``placed`` (vec_id, v, cell, dist), and per cell its pivot, size, radius and pieces."""
+
+    def __init__(self, corpus: DataFrame):
+        n = min(MOST_PIVOTS, max(PIVOTS, corpus.count() // ROWS_PER_PIVOT))
+        # the rows with the smallest id hashes
+        self.pivots = pivots = np.array([r["v"] for r in corpus.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n).collect()])
+
+        def place(batches):
+            for pdf in batches:
+                if len(pdf):
+                    d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * np.stack(pdf["v"].to_numpy()) @ pivots.T))
+                    cell = d.argmin(axis=1)
+                    yield pdf.assign(cell=cell.astype("int64"), dist=d[np.arange(len(pdf)), cell])
+
+        self.placed = corpus.mapInPandas(place, "vec_id long, v array<double>, cell long, dist double")
+        stats = sorted(tuple(r) for r in self.placed.groupBy("cell").agg(F.count(F.lit(1)), F.max("dist")).collect()) if len(pivots) else []
+        self.cells, self.sizes, self.radius = (np.array(x) for x in zip(*stats)) if stats else (np.array([], dtype=int),) * 3
+        self.pieces = np.maximum(1, -(-self.sizes // PIECE_ROWS))
+        self.pivots = pivots[self.cells] if stats else pivots
+
+    def held(self) -> DataFrame:
+        counts = F.element_at(F.create_map(*[F.lit(x) for pair in zip(self.cells.tolist(), self.pieces.tolist()) for x in pair]), F.col("cell"))
+        return self.placed.select("cell", F.pmod(F.xxhash64("vec_id"), counts).alias("piece"), F.lit(0).alias("asks"), F.col("vec_id").alias("id"), "v")
+
+    def first(self, queries: DataFrame) -> DataFrame:
+        """Each query with one piece of its nearest cell."""
+        pivots, cells, pieces = self.pivots, self.cells, self.pieces
+
+        def route(batches):
+            for pdf in batches:
+                if len(pdf):
+                    near = (np.stack(pdf["v"].to_numpy()) @ pivots.T).argmax(axis=1)
+                    yield pdf[["query_id", "v"]].assign(cell=cells[near].astype("int64"), piece=(pdf["query_id"].to_numpy() % pieces[near]).astype("int64"))
+
+        return queries.mapInPandas(route, ROUTED)
+
+    def others(self, queries: DataFrame, need: int) -> DataFrame:
+        """Each query with all pieces in reach but the one it met. ``reach`` is the distance of the k-th vector found there."""
+        pivots, cells, sizes, radius, pieces = self.pivots, self.cells, self.sizes, self.radius, self.pieces
+
+        def route(batches):
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                v, ident = np.stack(pdf["v"].to_numpy()), pdf["query_id"].to_numpy()
+                dots = v @ pivots.T
+                near, d = dots.argmax(axis=1), np.sqrt(np.maximum(0.0, 2.0 - 2.0 * dots))
+                high, low = d + radius, d - radius
+                order = high.argsort(axis=1)
+                enough = np.minimum((sizes[order].cumsum(axis=1) < need).sum(axis=1), len(cells) - 1)
+                bound = np.take_along_axis(high, order, axis=1)[np.arange(len(pdf)), enough]
+                bound = np.minimum(bound, pdf["reach"].fillna(np.inf).to_numpy())
+                who, which = np.nonzero(low <= (bound + EPS)[:, None])
+                copies = pieces[which]
+                piece = np.concatenate([np.arange(n) for n in copies]) if len(copies) else np.array([], dtype="int64")
+                who, which = np.repeat(who, copies), np.repeat(which, copies)
+                new = (which != near[who]) | (piece != ident[who] % pieces[which])
+                who, which, piece = who[new], which[new], piece[new]
+                yield pd.DataFrame({"query_id": ident[who], "v": pdf["v"].to_numpy()[who], "cell": cells[which].astype("int64"), "piece": piece.astype("int64")})
+
+        return queries.mapInPandas(route, ROUTED)
+
+
+ROUTED = "query_id long, v array<double>, cell long, piece long"
+
+
+def _scored(held: DataFrame, routed: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    """The k best rows of every piece for every query that is sent to it; the queries stream past the piece."""
     asked = routed.select("cell", "piece", F.lit(1).alias("asks"), F.col("query_id").alias("id"), "v")
-    # every corpus row is shuffled once; the queries of a piece stream past it
     stream = held.unionByName(asked).repartition("cell", "piece").sortWithinPartitions("cell", "piece", "asks")
     nothing = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
@@ -105,12 +125,24 @@ def similar_examples(queries: DataFrame, corpus: DataFrame, k: int = 3, exclude_
                     out += [best_of(asks.iloc[at:at + 512], ids[0], matrix) for at in range(0, len(asks), 512)]
             yield pd.concat(out)
 
-    scored = stream.mapInPandas(score, "query_id long, vec_id long, score double")
-    # each query keeps k rows per piece it visited: a small array per query
-    best = scored.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(
-        F.struct((-F.col("score")).alias("neg"), "vec_id"))), 1, k).alias("b"))
-    flat = best.select("query_id", F.posexplode("b").alias("p", "e"))
-    return flat.select("query_id", F.col("e.vec_id").alias("vec_id"), (-F.col("e.neg")).alias("score"), (F.col("p") + 1).alias("rank"))
+    return stream.mapInPandas(score, "query_id long, vec_id long, score double")
+
+
+def similar_examples(queries: DataFrame, corpus: DataFrame, k: int = 3, exclude_self: bool = True) -> DataFrame:
+    """(query_id, vec_id, score, rank): the k best corpus rows per query. Both
+    sides have ``vec_id`` and ``embedding``; ties go to the smaller vec_id."""
+    q = queries.select(F.col("vec_id").alias("query_id"), unit("embedding").alias("v"))
+    own = Cells(corpus.select("vec_id", unit("embedding").alias("v")))
+    if not len(own.cells):
+        return q.select("query_id", F.lit(None).cast("bigint").alias("vec_id"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("rank")).limit(0)
+    near = cut(_scored(own.held(), own.first(q), k, exclude_self))
+    # scores are rounded, so the k-th vector may be a little farther away
+    far = F.sqrt(F.greatest(F.lit(0.0), 2.0 - 2.0 * (F.min("score") - 1e-6)))
+    reach = near.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, far).alias("reach"))
+    rest = own.others(q.join(reach, "query_id", "left"), k + (1 if exclude_self else 0))
+    best = near.unionByName(_scored(own.held(), rest, k, exclude_self))
+    turn = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return best.withColumn("rank", F.row_number().over(turn)).filter(F.col("rank") <= k)
 
 
 def example_lines(hits: DataFrame, payloads: DataFrame) -> DataFrame:

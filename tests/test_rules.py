@@ -323,6 +323,26 @@ def test_line_numbers_of_split_files(spark, tmp_path):
     assert got == sorted((name, i, line) for name, lines in texts.items() for i, line in enumerate(lines, 1))
 
 
+def test_queries_meet_few_pieces_of_clustered_vectors(spark, monkeypatch):
+    from seglake.operators import vectors as VEC
+    monkeypatch.setattr(VEC, "PIECE_ROWS", 16)
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(40, 32))
+    rows = [(i, (centres[i % 40] + 0.02 * r.normal(size=32)).tolist()) for i in range(2000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = df.filter("vec_id % 20 = 0")
+    own = VEC.Cells(df.select("vec_id", VEC.unit("embedding").alias("v")))
+    q = queries.select(F.col("vec_id").alias("query_id"), VEC.unit("embedding").alias("v"))
+    near = VEC._scored(own.held(), own.first(q), 3, True).groupBy("query_id").agg(F.sqrt(2.0 - 2.0 * (F.min("score") - 1e-6)).alias("reach"))
+    assert own.first(q).count() == 100 and own.others(q.join(near, "query_id"), 4).count() <= 0.05 * 100 * own.pieces.sum()
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for row in VEC.similar_examples(queries, df, 3).collect():
+        s = np.round(x @ x[row.query_id], 6)
+        s[row.query_id] = -2
+        assert sorted(range(2000), key=lambda i: (-s[i], i))[row["rank"] - 1] == row.vec_id
+
+
 @pytest.mark.parametrize("files", [1, 3])
 def test_stream_equals_table(spark, tmp_path, files):
     rows = [(s, i // 10, i, 300 * i, "word " * (i % 9 + 1)) for s in ("a", "b") for i in range(30)]
