@@ -31,8 +31,8 @@ AMBIGUOUS = 0.15
 LETTER = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
 #: One labelled row in so many is kept from the fit and sets the loss from which on a text is rejected: the largest loss of
-#: these rows times this slack, and never less than that of a text that says nothing about any bit.
-CALIBRATION, SLACK = 8, 1.5
+#: these rows times the slack, and never less than so many times the loss of a text that says nothing about any bit.
+CALIBRATION, SLACK, SILENT = 8, 2.0, 2.0
 
 
 @dataclass
@@ -151,7 +151,7 @@ def fit(labelled: DataFrame, per_language: int = ROWS_PER_LANGUAGE, rounds: int
         trust = trust / trust.mean()
         model = Model(names, codes, weights, bias, trust.astype(np.float32))
         if aside.any():
-            model.limit = max(SLACK * float(losses(model, kept @ weights + bias).min(1).max()), math.log(2) * float(trust.sum()))
+            model.limit = max(SLACK * float(losses(model, kept @ weights + bias).min(1).max()), SILENT * math.log(2) * float(trust.sum()))
         return model
     return Model(names, codes, weights, bias, trust.astype(np.float32))
 
