@@ -69,7 +69,7 @@ CELLS = 1 << 22
 LONGEST = 3
 
 
-def _numbered(r, h) -> tuple[np.ndarray, np.ndarray]:
+def numbered(r, h) -> tuple[np.ndarray, np.ndarray]:
     code: dict[str, int] = {}
     return tuple(np.array([code.setdefault(w, len(code)) for w in words], dtype=np.int64) for words in (r, h))
 
@@ -186,7 +186,7 @@ def _parts(pairs: DataFrame, keys: list[str], ref: str, hyp: str, cells: int) ->
             for key, r, h in zip(pdf[keys].itertuples(index=False, name=None), pdf["_r"], pdf["_h"]):
                 points = [(0, 0)]
                 if len(r) * len(h) > cells:
-                    for i, j in sure_cuts(*_numbered(r, h)):
+                    for i, j in sure_cuts(*numbered(r, h)):
                         if (i - points[-1][0]) * (j - points[-1][1]) * 4 > cells:
                             points.append((i, j))
                 points.append((len(r), len(h)))
@@ -218,7 +218,7 @@ def align(pairs: DataFrame, key: str | list[str], ref: str, hyp: str, cells: int
         for pdf in batches:
             for row in pdf.to_dict("records"):
                 r, h = row["_r"], row["_h"]
-                done = edit_path(*_numbered(r, h))
+                done = edit_path(*numbered(r, h))
                 if not len(done):
                     continue
                 used_r, used_h = (done != INS).cumsum(), (done != DEL).cumsum()
@@ -241,7 +241,7 @@ def _counted(parts: DataFrame, keys: list[str]) -> DataFrame:
         for pdf in batches:
             out = []
             for key, r, h in zip(pdf[keys].itertuples(index=False, name=None), pdf["_r"], pdf["_h"]):
-                n = np.bincount(edit_path(*_numbered(r, h)), minlength=len(NAMES))
+                n = np.bincount(edit_path(*numbered(r, h)), minlength=len(NAMES))
                 out.append((*key, int(n[SUB]), int(n[INS]), int(n[DEL]), len(r), len(h)))
             yield pd.DataFrame(out, columns=[*keys, *COUNTS])
 

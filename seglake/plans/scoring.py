@@ -122,6 +122,14 @@ def _(t):
     return turn_ops(t)
 
 
+@query("aln01_align_turns_sql", f"WITH RECURSIVE {TURN_PAIRS} SELECT pk.session_id, pk.turn, al.* EXCLUDE (pair_id) FROM al JOIN pk USING (pair_id)")
+def _(t):
+    """The same operations from a lateral join in SQL."""
+    from ..functions import tables
+    tables.register(t.spark)
+    return t.spark.sql("SELECT p.session_id, p.turn, o.* FROM {pairs} p, LATERAL align_words(p.r, p.h) o", pairs=turn_pairs(t))
+
+
 WER = """er AS (SELECT nm.pair_id, count(CASE WHEN op = 'sub' THEN 1 END) AS substitutions, count(CASE WHEN op = 'ins' THEN 1 END) AS insertions, count(CASE WHEN op = 'del' THEN 1 END) AS deletions, any_value(n) AS ref_words, any_value(m) AS hyp_words FROM nm LEFT JOIN al USING (pair_id) GROUP BY nm.pair_id)"""
 
 

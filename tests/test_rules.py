@@ -418,7 +418,15 @@ def test_long_pairs_are_cut_where_all_paths_pass(spark):
     one = sorted(map(tuple, SC.align(df, "id", "r", "h").collect()), key=lambda x: x[:2])
     assert sorted(map(tuple, SC.align(df, "id", "r", "h", cells=30).collect()), key=lambda x: x[:2]) == one
     assert sorted(SC.edit_counts(df, "id", "r", "h", cells=30).collect()) == sorted(SC.edit_counts(df, "id", "r", "h").collect())
-    assert sum(len(SC.sure_cuts(*SC._numbered(a, b))) for _, a, b in pairs) > 50
+    assert sum(len(SC.sure_cuts(*SC.numbered(a, b))) for _, a, b in pairs) > 50
+
+
+def test_alignment_from_sql(spark):
+    from seglake.functions import tables
+    tables.register(spark)
+    df = spark.createDataFrame([(1, ["a", "b", "c"], ["a", "x", "c", "d"]), (2, None, ["q"]), (3, [], [])], "id long, r array<string>, h array<string>")
+    got = spark.sql("SELECT id, o.op, o.ref_idx, o.hyp_idx, o.ref_word, o.hyp_word FROM {p} p, LATERAL align_words(p.r, p.h) o ORDER BY id, op_no", p=df).collect()
+    assert [tuple(x) for x in got] == [(1, "match", 0, 0, "a", "a"), (1, "sub", 1, 1, "b", "x"), (1, "match", 2, 2, "c", "c"), (1, "ins", None, 3, None, "d"), (2, "ins", None, 0, None, "q")]
 
 
 def test_split_words(spark):
