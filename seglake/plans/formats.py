@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import logs as L
 from ..sources import logs as SL
 from .logs import E, K
 from .registry import query
@@ -54,6 +55,24 @@ BOUNDARY = [
 ]
 
 
+def _lines(t, examples: list):
+    """Line n of a file is example n, and so on around."""
+    n = F.col("n")
+    texts = F.array(*[F.lit(line) for line, _, _ in examples])
+    line = F.replace(F.get(texts, (n % len(examples)).cast("int")), F.lit("{n}"), n.cast("string"))
+    return t.numbered_events().select(F.col("user_id").alias("file_id"), n.alias("line_no"), line.alias("line"))
+
+
+def _kinds(examples: list) -> str:
+    """SQL: table x with the kind of every line. Files divisible by three have no output."""
+    kinds = " ".join(f"WHEN {i} THEN '{k}'" for i, (_, k, _) in enumerate(examples) if k)
+    return f"{E}, y AS (SELECT file_id, line_no, CASE line_no % {len(examples)} {kinds} END AS kind FROM e), x AS (SELECT * FROM y WHERE kind IS NOT NULL AND NOT (kind = 'output' AND file_id % 3 = 0))"
+
+
+def _events(t, catalog: list, examples: list):
+    return SL.log_events(_lines(t, examples), catalog, K).filter("NOT (kind = 'output' AND file_id % 3 = 0)")
+
+
 def _all(name: str, catalog: list, examples: list) -> None:
     assert {k for k, _, _ in catalog} == {k for _, k, _ in examples if k}, name
     quoted = lambda x: "'" + x.replace("'", "''").replace("{n}", "' || line_no || '") + "'"
@@ -64,14 +83,32 @@ def _all(name: str, catalog: list, examples: list) -> None:
 
     @query(name, sql)
     def _(t):
-        n = F.col("n")
-        texts = F.array(*[F.lit(line) for line, _, _ in examples])
-        line = F.replace(F.get(texts, (n % len(examples)).cast("int")), F.lit("{n}"), n.cast("string"))
-        lines = t.numbered_events().select(F.col("user_id").alias("file_id"), n.alias("line_no"), line.alias("line"))
         entries = F.transform(F.map_entries("captures"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-        return SL.log_events(lines, catalog, K).select("file_id", "line_no", "kind", F.array_join(F.array_sort(entries), ";").alias("captures"))
+        return SL.log_events(_lines(t, examples), catalog, K).select("file_id", "line_no", "kind", F.array_join(F.array_sort(entries), ";").alias("captures"))
 
 
 _all("src04b_all_formats", SL.SWITCH_CATALOG, SWITCH)
 _all("src04c_all_formats", SL.DROP_CATALOG, DROP)
 _all("src04d_all_formats", SL.BOUNDARY_CATALOG, BOUNDARY)
+
+DROPPED = ", ".join(f"'{k}'" for k in SL.DROP_KINDS)
+OTHERS = ["cross_batch", "gate_refresh", "stall", "new_speaker", "tensor_mismatch", "output"]
+
+
+@query("agg15_drop_summary_all_formats", f"""WITH {_kinds(DROP)}, a AS (SELECT file_id, line_no AS al FROM x WHERE kind = 'new_speaker'), n AS (SELECT x.file_id, x.line_no, coalesce(min(abs(al - line_no)) <= 5, false) AS near FROM x LEFT JOIN a USING (file_id) WHERE kind IN ({DROPPED}) GROUP BY ALL),
+   g AS (SELECT x.file_id, count(near) AS drops, count(CASE WHEN near THEN 1 END) AS near_change, count(CASE WHEN NOT near THEN 1 END) AS far_or_none, {', '.join(f"count(CASE WHEN kind = '{k}' THEN 1 END) AS {k}" for k in SL.DROP_KINDS + OTHERS)},
+     count(CASE WHEN kind = 'trace_on' THEN 1 END) > 0 AS trace_on FROM x LEFT JOIN n USING (file_id, line_no) GROUP BY x.file_id)
+   SELECT *, tensor_mismatch > 0 OR (trace_on AND "output" = 0) AS broken, concat_ws(',', CASE WHEN tensor_mismatch > 0 THEN 'tensor_mismatch' END, CASE WHEN trace_on AND "output" = 0 THEN 'no_output' END) AS reasons FROM g""")
+def _(t):
+    return L.drop_summary(_events(t, SL.DROP_CATALOG, DROP), K, 5)
+
+
+#: Column and condition on a line; cascades and stuck cycles are checked by win08 and win09.
+COUNTED = {"tensor_mismatches": "kind = 'tensor_mismatch'", "other_errors": "kind = 'other_error'", "switch_true": "kind = 'switch_apply'", "switch_false": "false", "markers": "kind = 'marker'", "low_keep_trims": "kind = 'trim'",
+           "high_overlap": "kind = 'tax_overlap' AND line_no <= 3", "cross_batch": "kind = 'cross_batch'", "stalls": "kind = 'stall'", "outputs": "kind = 'output'", "long_silences": "kind = 'end_silence'", "short_silences": "false",
+           "resets_discarded": "kind = 'long_reset'", "deferred": "kind = 'deferred'"}
+
+
+@query("agg17_loss_summary_all_formats", f"WITH {_kinds(SWITCH)} SELECT file_id, {', '.join(f'count(CASE WHEN {c} THEN 1 END) AS {n}' for n, c in COUNTED.items())} FROM x GROUP BY file_id")
+def _(t):
+    return L.loss_summary(_events(t, SL.SWITCH_CATALOG, SWITCH), K).select("file_id", *COUNTED)
