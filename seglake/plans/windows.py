@@ -209,10 +209,32 @@ def _(t):
     return W.assign_speakers(k, t.diar, S, "seq").select("session_id", "seq", "assigned")
 
 
-@query("win24_pack_subtitles")
-def _(t):
+PACKED = """lw AS (SELECT session_id, seq, ' ' || word AS word, start_ms, start_ms + 100 AS end_ms, coalesce(start_ms - lag(start_ms) OVER w > 1500, true) AS begins, row_number() OVER w AS n FROM tok WINDOW w AS (PARTITION BY session_id ORDER BY seq)),
+   ly AS (SELECT session_id, seq, n, 'cue' AS place, CAST(42 - length(trim(word)) AS BIGINT) AS room, 1 AS free FROM lw WHERE n = 1
+     UNION ALL SELECT session_id, seq, n, place, CASE WHEN place = 'on' THEN room - length(word) ELSE 42 - length(trim(word)) END, CASE place WHEN 'cue' THEN 1 WHEN 'line' THEN free - 1 ELSE free END FROM
+       (SELECT w.session_id, w.seq, w.n, w.word, l.room, l.free, CASE WHEN w.begins THEN 'cue' WHEN length(w.word) <= l.room THEN 'on' WHEN l.free = 0 THEN 'cue' ELSE 'line' END AS place FROM ly l JOIN lw w ON w.session_id = l.session_id AND w.n = l.n + 1)),
+   pc AS (SELECT ly.session_id, ly.seq, sum(CASE WHEN place = 'cue' THEN 1 ELSE 0 END) OVER (PARTITION BY ly.session_id ORDER BY ly.seq) AS cue, CASE place WHEN 'on' THEN word WHEN 'line' THEN chr(10) || trim(word) ELSE trim(word) END AS word,
+     CASE place WHEN 'on' THEN ' <u>' || trim(word) || '</u>' WHEN 'line' THEN chr(10) || '<u>' || trim(word) || '</u>' ELSE '<u>' || trim(word) || '</u>' END AS lit, start_ms, end_ms FROM ly JOIN lw USING (session_id, seq))"""
+
+
+def packed(t):
     k = t.tok.select("session_id", "turn", "seq", F.concat(F.lit(" "), "word").alias("word"), "start_ms", (F.col("start_ms") + 100).alias("end_ms"))
-    return W.pack_subtitles(k, S, "turn", "seq", 42, 2, pause_ms=1500)
+    return k, dict(width=42, lines=2, pause_ms=1500)
+
+
+@query("win24_pack_subtitles", f"""WITH RECURSIVE {PACKED} SELECT session_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, string_agg(word, '' ORDER BY seq) AS "text" FROM pc GROUP BY session_id, cue""")
+def _(t):
+    k, limits = packed(t)
+    return W.pack_subtitles(k, S, "turn", "seq", **limits)
+
+
+@query("win24_highlight_packed", f"""WITH RECURSIVE {PACKED}, nb AS (SELECT *, row_number() OVER w - 1 AS i, lag(end_ms) OVER w AS pe FROM pc WINDOW w AS (PARTITION BY session_id, cue ORDER BY seq))
+   SELECT a.session_id, CAST(a.cue AS BIGINT) AS cue, a.i, a.start_ms, a.end_ms, string_agg(CASE WHEN b.seq = a.seq THEN b.lit ELSE b.word END, '' ORDER BY b.seq) AS "text" FROM nb a JOIN nb b ON b.session_id = a.session_id AND b.cue = a.cue GROUP BY ALL
+   UNION ALL SELECT a.session_id, CAST(a.cue AS BIGINT), a.i, a.pe, a.start_ms, string_agg(b.word, '' ORDER BY b.seq) FROM nb a JOIN nb b ON b.session_id = a.session_id AND b.cue = a.cue WHERE a.pe <> a.start_ms GROUP BY ALL""")
+def _(t):
+    k, limits = packed(t)
+    words = W.packed_words(k, S, "turn", "seq", **limits)
+    return W.with_gaps(W.highlight_words(words, S, "cue", "at"), words, S, "cue", "at")
 
 
 @query("win24_highlight_words", """SELECT a.session_id, a.turn AS cue, a.pos AS i, a.start_ms, a.start_ms + 100 AS end_ms,
