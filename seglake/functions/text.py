@@ -200,4 +200,5 @@ def base_name(x: Column | str) -> Column:
 
 def dynamic_keep(buffer_end: Column, last_emit: Column) -> Column:
     """Audio kept at a switch, in ms: at least 2500, at most 5000."""
-    return F.coalesce(F.greatest(F.least(buffer_end - last_emit + 300, F.lit(5000)), F.lit(2500)), F.lit(2500))
+    keep = buffer_end - last_emit + 300
+    return F.when(keep.isNull(), 2500).otherwise(F.greatest(F.least(keep, F.lit(5000)), F.lit(2500)))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..functions.speculative import fold_blocks
 from ..operators.overlap import trim_kept_overlap
 from ..sources.texts import parse_scripts
@@ -210,3 +211,37 @@ def _(t):
 def _(t):
     from ..operators.normalize import normalize_corpus
     return normalize_corpus(t.doc.select("doc_id", "text"), mode="english")
+
+
+@query("sca03_parse_clock", """SELECT session_id, seq, start_ms AS ms, CAST(round(start_ms / 10.0) AS BIGINT) * 10 AS short_ms, start_ms // 1000 * 1000 AS seconds_ms FROM tok""")
+def _(t):
+    """Times written as H:MM:SS.mmm, M:SS and plain seconds, and read again."""
+    ms = F.col("start_ms")
+    second = F.floor(ms / 1000)
+    written = F.concat(F.floor(second / 60).cast("string"), F.lit(":"), F.lpad((second % 60).cast("string"), 2, "0"))
+    return t.tok.select("session_id", "seq", X.parse_clock_ms(X.clock(ms, ".")).alias("ms"), X.parse_clock_ms(X.short_clock(ms)).alias("short_ms"), X.parse_clock_ms(written).alias("seconds_ms"))
+
+
+@query("sca05_upper_form", r"""SELECT doc_id, trim(regexp_replace(regexp_replace(upper("text"), '[^\p{L}\p{M}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g')) AS "text" FROM (SELECT doc_id, replace("text", 'ß', 'ss') AS "text" FROM documents)""")
+def _(t):
+    return t.doc.select("doc_id", X.upper_form(F.replace("text", F.lit("ß"), F.lit("ss"))).alias("text"))
+
+
+@query("sca11_effective_length", """SELECT session_id, seg_id, round(length("text") + 1.8 * length(regexp_replace(x, '[^가-힣]', '', 'g')), 6) AS n FROM (SELECT session_id, seg_id, "text", replace(replace("text", 'e', '가'), 'ü', '힣') AS x FROM seg)""")
+def _(t):
+    """Every e and ü stands for a syllable of the script."""
+    x = F.translate("text", "eü", "가힣")
+    return t.seg.select("session_id", "seg_id", F.round(X.effective_length(x), 6).alias("n"))
+
+
+@query("sca15_audio_key", """SELECT event_id, event_type || k || '.wav' AS file FROM evt""")
+def _(t):
+    """File names behind paths of either kind of slash."""
+    path = F.concat(F.when(F.col("k") % 3 == 0, "/audio/set/").when(F.col("k") % 3 == 1, "D:\\audio\\set\\").otherwise(""), "event_type", F.col("k").cast("string"), F.lit(".wav"))
+    return t.evt.select("event_id", X.base_name(path).alias("file"))
+
+
+@query("sca16_dynamic_keep", """SELECT session_id, seg_id, CASE WHEN seg_id % 4 = 3 THEN 2500 ELSE greatest(least(end_ms - start_ms + 300, 5000), 2500) END AS keep_ms FROM seg""")
+def _(t):
+    last = F.when(F.col("seg_id") % 4 != 3, F.col("start_ms"))
+    return t.seg.select("session_id", "seg_id", X.dynamic_keep(F.col("end_ms"), last).alias("keep_ms"))
