@@ -5,7 +5,6 @@ the time order (``asof``); nothing compares all pairs of a session."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
