@@ -162,7 +162,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     A word goes if a window over it also starts in a document with a smaller doc_id; windows are those of the input. Rows with
     equal doc_id do not remove each other's words. A row without doc_id comes after all others. Null and empty texts have no words,
     texts of fewer than 13 words no window. Repeated rows are returned as often as they come; an empty table gives no rows. Other
-    columns are not read. A very long text is one block of its own."""
+    columns are not read. A very long text is one block of its own. ``docs`` is a table, or a plan whose rows come in the same
+    order when a task is repeated: blocks are known by task and place."""
     placed = shared(packed(docs), "block")
     anchors = _mapped(placed.select("block", "docs"), "anchor long, block long", _anchor_rows)
     met = anchors.withColumn("_n", F.count("*").over(Window.partitionBy("anchor"))).where("_n > 1")
