@@ -20,40 +20,68 @@ from ..functions.ordered import rows_block, running_sum, scan, shared
 MATCH, SUB, DEL, INS = 0, 1, 2, 3
 NAMES = np.array(["match", "sub", "del", "ins"], dtype=object)
 STRIP = 256
+#: Bits of place masks a pair may keep; masks beyond are made again when their word returns.
+MASK_BITS = 1 << 28
 
 
 def edit_path(ref: np.ndarray, hyp: np.ndarray) -> np.ndarray:
     """Operations of the cheapest path; among equal paths the diagonal wins, then
-    a deletion, then an insertion. Rows of the cost table are kept every STRIP
-    rows and rebuilt on the way back, so long texts need little memory."""
+    a deletion, then an insertion. A row of the cost table is held as its differences, one bit per heard word in whole numbers,
+    so a row costs a few operations on them. Beyond CELLS, rows are kept every STRIP rows and rebuilt on the way back."""
     n, m = len(ref), len(hyp)
-    steps = np.arange(m + 1)
-
-    def below(row: np.ndarray, i: int) -> np.ndarray:
-        best = np.minimum(row[:-1] + (hyp != ref[i]), row[1:] + 1)
-        line = np.concatenate(([i + 1], best)) - steps
-        return np.minimum.accumulate(line) + steps
-
-    kept, row = [steps.copy()], steps.copy()
-    for i in range(n):
-        row = below(row, i)
-        if (i + 1) % STRIP == 0:
-            kept.append(row)
+    words, heard = ref.tolist(), hyp.tolist()
+    full = (1 << m) - 1
+    places: dict[int, list[int]] = {}
+    for j, w in enumerate(heard):
+        places.setdefault(w, []).append(j)
+    masks: dict[int, int] = {}
+    most = max(1024, MASK_BITS // (m + 1))
+
+    def where(w: int) -> int:
+        if w not in places:
+            return 0
+        if w not in masks:
+            if len(masks) >= most:
+                masks.clear()
+            marks = bytearray(m // 8 + 1)
+            for j in places[w]:
+                marks[j >> 3] |= 1 << (j & 7)
+            masks[w] = int.from_bytes(marks, "little")
+        return masks[w]
+
+    def rows(up: int, down: int, some: list[int], out: list[tuple[int, int]] | None) -> tuple[int, int]:
+        """The differences after the rows of the words ``some``, from those before: where the cost goes up and down along the
+        heard words. ``out`` takes per row where the diagonal is free, and where the cost is one more than above."""
+        for w in some:
+            equal = masks.get(w)
+            if equal is None:
+                equal = where(w)
+            free = ((((equal & up) + up) ^ up) | equal | down) & full
+            more = down | (full ^ (free | up))
+            left = ((more << 1) | 1) & full
+            up, down = (((up & free) << 1) & full) | (full ^ (free | left)), left & free
+            if out is not None:
+                out.append((free, more))
+        return up, down
+
+    strip = max(n, 1) if n * m <= CELLS else STRIP
+    kept = [(full, 0)]
+    for top in range(0, (n - 1) // strip * strip, strip):
+        kept.append(rows(*kept[-1], words[top:top + strip], None))
     ops, i, j = [], n, m
     while i > 0:
-        top = (i - 1) // STRIP * STRIP
-        rows = [kept[top // STRIP]]
-        for r in range(top, i):
-            rows.append(below(rows[-1], r))
+        top = (i - 1) // strip * strip
+        seen: list[tuple[int, int]] = []
+        rows(*kept[top // strip], words[top:i], seen)
         while i > top:
-            here, up = rows[i - top], rows[i - top - 1]
-            if j > 0 and ref[i - 1] == hyp[j - 1]:
+            free, more = seen[i - top - 1]
+            if j > 0 and words[i - 1] == heard[j - 1]:
                 ops.append(MATCH)
                 i, j = i - 1, j - 1
-            elif j > 0 and here[j] == up[j - 1] + 1:
+            elif j > 0 and not free >> (j - 1) & 1:
                 ops.append(SUB)
                 i, j = i - 1, j - 1
-            elif here[j] == up[j] + 1:
+            elif j == 0 or more >> (j - 1) & 1:
                 ops.append(DEL)
                 i -= 1
             else:
@@ -64,7 +92,7 @@ def edit_path(ref: np.ndarray, hyp: np.ndarray) -> np.ndarray:
 
 
 #: A pair with more cells than this in its cost table is cut where the cheapest paths are known to pass.
-CELLS = 1 << 22
+CELLS = 1 << 28
 #: Words of the longest n-grams that count as evidence.
 LONGEST = 3
 
@@ -178,25 +206,54 @@ def sure_cuts(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return cuts
 
 
-def _parts(pairs: DataFrame, keys: list[str], ref: str, hyp: str, cells: int) -> DataFrame:
-    """Pieces of the pairs that can be aligned alone: keys, part, parts, r0 and h0 (words before the piece), _r, _h."""
+#: Rows of a frame that a task hands back at once.
+FRAME_ROWS = 65_536
+
+
+def _framed(rows: Iterator[dict]) -> Iterator[pd.DataFrame]:
+    """Frames of about FRAME_ROWS rows from columns of one pair after the other; a scalar stands for a whole column."""
+    held: list[dict] = []
+    size = 0
+
+    def frame() -> pd.DataFrame:
+        return pd.DataFrame({c: np.concatenate([h[c] if isinstance(h[c], np.ndarray) else np.full(len(h["op_no"]), h[c], dtype=object) for h in held]) for c in held[0]})
+
+    for one in rows:
+        held.append(one)
+        size += len(one["op_no"])
+        if size >= FRAME_ROWS:
+            yield frame()
+            held, size = [], 0
+    if held:
+        yield frame()
+
+
+def _kinds(df: DataFrame, keys: list[str]) -> str:
+    return ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+
+
+def _parts(pairs: DataFrame, keys: list[str], ref: str, hyp: str, cells: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs that are aligned whole, and the pieces of the others that can be aligned alone: keys, part, r0 and h0 (words before
+    the piece), _r, _h. Both come from one shuffle of the pairs."""
+    none = F.array().cast("array<string>")
+    src = shared(pairs.select(*keys, F.coalesce(F.col(ref), none).alias("_r"), F.coalesce(F.col(hyp), none).alias("_h")), *keys)
+    large = F.size("_r").cast("long") * F.size("_h") > cells
+    zero = F.lit(0).cast("long")
+    whole = src.where(~large).select(*keys, zero.alias("part"), zero.alias("r0"), zero.alias("h0"), "_r", "_h")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for key, r, h in zip(pdf[keys].itertuples(index=False, name=None), pdf["_r"], pdf["_h"]):
                 points = [(0, 0)]
-                if len(r) * len(h) > cells:
-                    for i, j in sure_cuts(*numbered(r, h)):
-                        if (i - points[-1][0]) * (j - points[-1][1]) * 4 > cells:
-                            points.append((i, j))
+                for i, j in sure_cuts(*numbered(r, h)):
+                    if (i - points[-1][0]) * (j - points[-1][1]) * 4 > cells:
+                        points.append((i, j))
                 points.append((len(r), len(h)))
-                rows = [(*key, n, len(points) - 1, i, j, r[i:k], h[j:m]) for n, ((i, j), (k, m)) in enumerate(zip(points, points[1:]))]
-                yield pd.DataFrame(rows, columns=[*keys, "part", "parts", "r0", "h0", "_r", "_h"])
+                rows = [(*key, n, i, j, r[i:k], h[j:m]) for n, ((i, j), (k, m)) in enumerate(zip(points, points[1:]))]
+                yield pd.DataFrame(rows, columns=[*keys, "part", "r0", "h0", "_r", "_h"])
 
-    kinds = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in keys)
-    src = pairs.select(*keys, F.col(ref).alias("_r"), F.col(hyp).alias("_h"))
-    schema = f"{kinds}, part long, parts long, r0 long, h0 long, _r array<string>, _h array<string>"
-    return src.repartition(*keys).mapInPandas(run, schema).repartition(*keys, "part")
+    schema = f"{_kinds(pairs, keys)}, part long, r0 long, h0 long, _r array<string>, _h array<string>"
+    return whole, shared(src.where(large).mapInPandas(run, schema), *keys, "part")
 
 
 def _keys(key: str | list[str]) -> list[str]:
@@ -208,31 +265,32 @@ def align(pairs: DataFrame, key: str | list[str], ref: str, hyp: str, cells: int
     ``ref`` and ``hyp`` are word arrays; ref_pos and hyp_pos count the words consumed after the operation. Long pairs are cut
     where every cheapest path passes, and their pieces are aligned in tasks of their own."""
     keys = _keys(key)
-    parts = _parts(pairs, keys, ref, hyp, cells)
-    long = _counted(parts.where("parts > 1"), [*keys, "part"])
+    whole, pieces = _parts(pairs, keys, ref, hyp, cells)
     earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ops = F.col("hyp_words") + F.col("deletions")  # every other operation takes a heard word
-    offsets = long.select(*keys, "part", F.coalesce(F.sum(ops).over(earlier), F.lit(0)).alias("_op0"))
+    offsets = _counted(pieces, [*keys, "part"]).select(*keys, "part", F.coalesce(F.sum(ops).over(earlier), F.lit(0)).alias("_op0"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
         for pdf in batches:
-            for row in pdf.to_dict("records"):
-                r, h = row["_r"], row["_h"]
+            for row in zip(*(pdf[c] for c in (*keys, "_r", "_h", "_op0", "r0", "h0"))):
+                *own, r, h, op0, r0, h0 = row
                 done = edit_path(*numbered(r, h))
                 if not len(done):
                     continue
                 used_r, used_h = (done != INS).cumsum(), (done != DEL).cumsum()
                 words_r, words_h = np.array([*r, None], dtype=object), np.array([*h, None], dtype=object)
                 at_r, at_h = np.where(done != INS, used_r - 1, -1), np.where(done != DEL, used_h - 1, -1)
-                yield pd.DataFrame({
-                    **{k: row[k] for k in keys}, "op_no": np.arange(len(done)) + row["_op0"], "op": NAMES[done],
-                    "ref_idx": np.where(done != INS, at_r + row["r0"], -1), "hyp_idx": np.where(done != DEL, at_h + row["h0"], -1),
-                    "ref_pos": used_r + row["r0"], "hyp_pos": used_h + row["h0"], "ref_word": words_r[at_r], "hyp_word": words_h[at_h]})
-
-    kinds = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in keys)
-    schema = f"{kinds}, op_no long, op string, ref_idx long, hyp_idx long, ref_pos long, hyp_pos long, ref_word string, hyp_word string"
-    placed = parts.join(offsets, [*keys, "part"], "left").withColumn("_op0", F.coalesce("_op0", F.lit(0)))
-    done = placed.mapInPandas(run, schema)
+                yield {
+                    **dict(zip(keys, own)), "op_no": np.arange(len(done)) + op0, "op": NAMES[done],
+                    "ref_idx": np.where(done != INS, at_r + r0, -1), "hyp_idx": np.where(done != DEL, at_h + h0, -1),
+                    "ref_pos": used_r + r0, "hyp_pos": used_h + h0, "ref_word": words_r[at_r], "hyp_word": words_h[at_h]}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _framed(aligned(batches))
+
+    schema = f"{_kinds(pairs, keys)}, op_no long, op string, ref_idx long, hyp_idx long, ref_pos long, hyp_pos long, ref_word string, hyp_word string"
+    placed = pieces.join(offsets, [*keys, "part"])
+    done = whole.withColumn("_op0", F.lit(0).cast("long")).mapInPandas(run, schema).unionByName(placed.mapInPandas(run, schema))
     return done.withColumn("ref_idx", F.nullif("ref_idx", F.lit(-1))).withColumn("hyp_idx", F.nullif("hyp_idx", F.lit(-1)))
 
 
@@ -245,15 +303,14 @@ def _counted(parts: DataFrame, keys: list[str]) -> DataFrame:
                 out.append((*key, int(n[SUB]), int(n[INS]), int(n[DEL]), len(r), len(h)))
             yield pd.DataFrame(out, columns=[*keys, *COUNTS])
 
-    kinds = ", ".join(f"{k} {parts.schema[k].dataType.simpleString()}" for k in keys)
-    return parts.mapInPandas(run, f"{kinds}, " + ", ".join(f"{c} long" for c in COUNTS))
+    return parts.mapInPandas(run, f"{_kinds(parts, keys)}, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def edit_counts(pairs: DataFrame, key: str | list[str], ref: str, hyp: str, cells: int = CELLS) -> DataFrame:
     """(key, substitutions, insertions, deletions, ref_words, hyp_words) per pair, without a row per operation."""
     keys = _keys(key)
-    counted = _counted(_parts(pairs, keys, ref, hyp, cells), [*keys, "part"])
-    return counted.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in COUNTS])
+    whole, pieces = (_counted(p, [*keys, "part"]) for p in _parts(pairs, keys, ref, hyp, cells))
+    return whole.unionByName(pieces).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in COUNTS])
 
 
 COUNTS = ("substitutions", "insertions", "deletions", "ref_words", "hyp_words")
@@ -273,6 +330,18 @@ def corpus_wer(scores: DataFrame, keys: list[str]) -> DataFrame:
                                      (errors / F.greatest(F.sum("ref_words"), F.lit(1))).alias("wer"))
 
 
+def _runs(places: Column) -> Column:
+    """Length of the longest run of consecutive numbers, and how many runs have three or more. A run counts when it gets there."""
+    zero = F.lit(0).cast("long")
+    start = F.struct(F.lit(-2).cast("long").alias("last"), zero.alias("n"), zero.alias("longest"), zero.alias("long"))
+
+    def step(a: Column, x: Column) -> Column:
+        n = F.when(x == a["last"] + 1, a["n"] + 1).otherwise(F.lit(1).cast("long"))
+        return F.struct(x.alias("last"), n.alias("n"), F.greatest(a["longest"], n).alias("longest"), (a["long"] + (n == 3).cast("long")).alias("long"))
+
+    return F.aggregate(places, start, step)
+
+
 def language_mismatch(ops: DataFrame, keys: list[str], script: Callable[[Column], Column] = X.script) -> DataFrame:
     """Where reference words of each script went, insertions by script, and
     insertion runs. A rate is NULL when its script does not occur."""
@@ -287,11 +356,9 @@ def language_mismatch(ops: DataFrame, keys: list[str], script: Callable[[Column]
             c((r == mine) & (op == "sub") & (h == other)).alias(f"{a}_to_{b}"), c((r == mine) & (op == "sub") & (h != other)).alias(f"{a}_to_{a}")]
     counts += [c((op == "ins") & (h == "KO")).alias("ins_ko"), c((op == "ins") & (h == "EN")).alias("ins_en"),
                c((op == "ins") & ~h.isin("KO", "EN")).alias("ins_neu"), F.count("ref_word").alias("ref_words")]
-    g = o.groupBy(*keys).agg(*counts)
-    ins = ops.filter("op = 'ins'").withColumn("_run", F.col("op_no") - F.row_number().over(Window.partitionBy(*keys).orderBy("op_no")))
-    runs = ins.groupBy(*keys, "_run").agg(F.count(F.lit(1)).alias("n"))
-    rg = runs.groupBy(*keys).agg(F.max("n").alias("max_ins_run"), F.count_if(F.col("n") >= 3).alias("ins_runs_ge3"))
-    j = g.join(rg, keys, "left").na.fill(0, ["max_ins_run", "ins_runs_ge3"])
+    at = F.array_sort(F.collect_list(F.when(op == "ins", F.col("op_no"))))
+    g = o.groupBy(*keys).agg(*counts, _runs(at).alias("_runs"))
+    j = g.select("*", F.col("_runs.longest").alias("max_ins_run"), F.col("_runs.long").alias("ins_runs_ge3")).drop("_runs")
     rate = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
     return j.withColumn("lmr_ko", rate("ko_to_en", "ko_ref_words")).withColumn("lmr_en", rate("en_to_ko", "en_ref_words")).withColumn(
         "lmr_wer_pp", F.coalesce((F.col("ko_to_en") + F.col("en_to_ko")) / F.nullif("ref_words", F.lit(0)), F.lit(0.0)))
