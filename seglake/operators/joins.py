@@ -76,14 +76,15 @@ def attach_translations(lines: DataFrame, translations: DataFrame, keys: list[st
 # --- lookups ------------------------------------------------------------------
 
 def at(points: DataFrame, lines: DataFrame, keys: list[str], line: str, t: str = "t") -> DataFrame:
-    """First line covering each point (closed interval), NULL when none does."""
+    """First line covering each point (closed interval), NULL when none does. Points meet lines as numbers only; the text is
+    joined to the line that was found, so it is moved once per line and not once per point."""
     p = points.select(*keys, t).distinct()
-    l = lines.select(*keys, line, "start_ms", "end_ms", "speaker", "text")
+    l = lines.select(*keys, line, "start_ms", "end_ms")
     hit = range_join(p, l, keys, (F.col(t), F.col(t)), (F.col("start_ms"), F.col("end_ms")))
-    found = hit.groupBy(*keys, t).agg(F.min_by(F.struct(line, "speaker", "text"), line).alias("_f"))
-    return points.join(found, [*keys, t], "left").select(
-        *points.columns, F.col(f"_f.{line}").alias(line), F.col("_f.speaker").alias("speaker"), F.col("_f.text").alias("text"),
-        F.coalesce(F.col("_f.speaker") == -2, F.lit(False)).alias("in_silence"))
+    found = points.join(hit.groupBy(*keys, t).agg(F.min(line).alias(line)), [*keys, t], "left")
+    told = lines.select(*keys, line, "speaker", "text").dropDuplicates([*keys, line])
+    return found.join(told, [*keys, line], "left").select(
+        *points.columns, line, "speaker", "text", F.coalesce(F.col("speaker") == -2, F.lit(False)).alias("in_silence"))
 
 
 def between(ranges: DataFrame, lines: DataFrame, keys: list[str], line: str, rid: str) -> DataFrame:
