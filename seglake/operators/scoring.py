@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -457,6 +458,10 @@ def speaker_sentence_f1(ops: DataFrame, ref_bounds: DataFrame, hyp_bounds: DataF
     return full
 
 
+#: Pairs whose words and times a task holds as Python objects at once.
+SLICE_ROWS = 256
+
+
 def greedy_times(pred: list, ref: list, ahead: int = 3) -> list[float]:
     """Start differences of words matched left to right with a short look-ahead."""
     at, deltas = 0, []
@@ -474,12 +479,17 @@ def timestamp_accuracy(words: DataFrame, keys: list[str]) -> DataFrame:
     """``words``: keys, pred and ref arrays of (word, start) in order. Mean, median
     and largest absolute start difference; NULL without a match."""
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def deltas(pred: pd.Series, ref: pd.Series) -> pd.Series:
-        pick = lambda xs: [(x["word"], x["start"]) for x in xs]
-        return pd.Series([[abs(float(d)) for d in greedy_times(pick(p), pick(r))] for p, r in zip(pred, ref)])
-
-    d = words.select(*keys, F.size("ref").alias("n_ref"), F.size("pred").alias("n_pred"), F.array_sort(deltas("pred", "ref")).alias("d"))
+    def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                own = batch.slice(at, SLICE_ROWS)
+                pick = lambda xs: [(x["word"], x["start"]) for x in xs]
+                d = [[abs(float(x)) for x in greedy_times(pick(p), pick(r))] for p, r in zip(own.column("pred").to_pylist(), own.column("ref").to_pylist())]
+                yield pa.RecordBatch.from_arrays([*(own.column(k) for k in keys), pa.array([len(x) for x in own.column("ref")], pa.int32()),
+                                                  pa.array([len(x) for x in own.column("pred")], pa.int32()), pa.array(d, pa.list_(pa.float64()))], names=[*keys, "n_ref", "n_pred", "d"])
+
+    found = words.select(*keys, "pred", "ref").mapInArrow(matched, f"{_kinds(words, keys)}, n_ref int, n_pred int, d array<double>")
+    d = found.withColumn("d", F.array_sort("d"))
     n = F.size("d")
     mid = (F.get("d", F.floor((n - 1) / 2).cast("int")) + F.get("d", F.floor(n / 2).cast("int"))) / 2
     has = n > 0

@@ -18,6 +18,16 @@ from ..session import cut
 PIVOTS, MOST_PIVOTS, ROWS_PER_PIVOT = 64, 4096, 1024
 PIECE_ROWS = 4096
 EPS = 1e-5
+#: Numbers of a table of rows and pivots that a task holds at once, and routed rows that it hands back at once.
+TABLE_NUMBERS, ROUTED_ROWS = 1 << 18, 8192
+
+
+def _slices(batches, pivots: np.ndarray):
+    """The rows of the batches in slices whose table with all pivots is bounded."""
+    rows = max(1, TABLE_NUMBERS // max(1, len(pivots)))
+    for pdf in batches:
+        for at in range(0, len(pdf), rows):
+            yield pdf.iloc[at:at + rows]
 
 
 def unit(column: str):
@@ -34,11 +44,10 @@ class Cells:
         self.pivots = pivots = np.array([r["v"] for r in corpus.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n).collect()])
 
         def place(batches):
-            for pdf in batches:
-                if len(pdf):
-                    d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * np.stack(pdf["v"].to_numpy()) @ pivots.T))
-                    cell = d.argmin(axis=1)
-                    yield pdf.assign(cell=cell.astype("int64"), dist=d[np.arange(len(pdf)), cell])
+            for pdf in _slices(batches, pivots):
+                d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * np.stack(pdf["v"].to_numpy()) @ pivots.T))
+                cell = d.argmin(axis=1)
+                yield pdf.assign(cell=cell.astype("int64"), dist=d[np.arange(len(pdf)), cell])
 
         self.placed = corpus.mapInPandas(place, "vec_id long, v array<double>, cell long, dist double")
         stats = sorted(tuple(r) for r in self.placed.groupBy("cell").agg(F.count(F.lit(1)), F.max("dist")).collect()) if len(pivots) else []
@@ -55,10 +64,9 @@ class Cells:
         pivots, cells, pieces = self.pivots, self.cells, self.pieces
 
         def route(batches):
-            for pdf in batches:
-                if len(pdf):
-                    near = (np.stack(pdf["v"].to_numpy()) @ pivots.T).argmax(axis=1)
-                    yield pdf[["query_id", "v"]].assign(cell=cells[near].astype("int64"), piece=(pdf["query_id"].to_numpy() % pieces[near]).astype("int64"))
+            for pdf in _slices(batches, pivots):
+                near = (np.stack(pdf["v"].to_numpy()) @ pivots.T).argmax(axis=1)
+                yield pdf[["query_id", "v"]].assign(cell=cells[near].astype("int64"), piece=(pdf["query_id"].to_numpy() % pieces[near]).astype("int64"))
 
         return queries.mapInPandas(route, ROUTED)
 
@@ -67,9 +75,7 @@ class Cells:
         pivots, cells, sizes, radius, pieces = self.pivots, self.cells, self.sizes, self.radius, self.pieces
 
         def route(batches):
-            for pdf in batches:
-                if not len(pdf):
-                    continue
+            for pdf in _slices(batches, pivots):
                 v, ident = np.stack(pdf["v"].to_numpy()), pdf["query_id"].to_numpy()
                 dots = v @ pivots.T
                 near, d = dots.argmax(axis=1), np.sqrt(np.maximum(0.0, 2.0 - 2.0 * dots))
@@ -84,7 +90,10 @@ class Cells:
                 who, which = np.repeat(who, copies), np.repeat(which, copies)
                 new = (which != near[who]) | (piece != ident[who] % pieces[which])
                 who, which, piece = who[new], which[new], piece[new]
-                yield pd.DataFrame({"query_id": ident[who], "v": pdf["v"].to_numpy()[who], "cell": cells[which].astype("int64"), "piece": piece.astype("int64")})
+                vectors = pdf["v"].to_numpy()
+                for at in range(0, len(who), ROUTED_ROWS):
+                    w, c, p = who[at:at + ROUTED_ROWS], which[at:at + ROUTED_ROWS], piece[at:at + ROUTED_ROWS]
+                    yield pd.DataFrame({"query_id": ident[w], "v": vectors[w], "cell": cells[c].astype("int64"), "piece": p.astype("int64")})
 
         return queries.mapInPandas(route, ROUTED)
 
