@@ -107,15 +107,16 @@ def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def shared(df: DataFrame, *by: str) -> DataFrame:
-    """Shuffle ``df`` by the columns and keep it whole for several readers.
+def shared(df: DataFrame, *by: str, parts: int = 0) -> DataFrame:
+    """Shuffle ``df`` by the columns and keep it whole for several readers. With ``parts`` there are at least so many tasks,
+    whatever their bytes.
 
     The other columns pass through a generator, so each reader needs all of them
     from the shuffle. The shuffles of all readers are then equal and Spark runs
     one of them; without this, column pruning makes each reader's shuffle
     different and everything above it is computed once per reader."""
     rest = [c for c in df.columns if c not in by]
-    placed = df.repartition(*by)
+    placed = df.repartition(max(parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *by) if parts else df.repartition(*by)
     if not rest:
         return placed
     return placed.select(*by, F.inline(F.array(F.struct(*rest)))).select(*df.columns)

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -207,6 +208,116 @@ def sure_cuts(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return cuts
 
 
+#: Most 64-bit numbers of a pair that is aligned beside others; a longer one alone is no slower.
+GROUP_NUMBERS = 16
+#: Bytes of the operations of a group of pairs that are aligned side by side, the most 64-bit numbers in a row of the group, and
+#: the fewest pairs for which a group is worth it.
+GROUP_BYTES, GROUP_WIDTH, GROUP_PAIRS = 48 << 20, 2048, 12
+
+
+def _side_by_side(pairs: list[tuple[np.ndarray, np.ndarray]], width: int) -> list[np.ndarray]:
+    """``edit_path`` of many pairs of about one size. A row of the cost tables of all pairs is one array, with 64 heard words in a
+    number and ``width`` numbers per pair; two bits per cell keep the operation that leads into it."""
+    lanes, top = len(pairs), max(len(r) for r, _ in pairs)
+    one, last = np.uint64(1), np.uint64(63)
+    kinds = 1 + max(int(max(r.max(), h.max())) for r, h in pairs)
+    heard = np.concatenate([h + b * kinds for b, (_, h) in enumerate(pairs)])
+    known, own = np.unique(heard, return_inverse=True)
+    place = np.concatenate([np.arange(len(h)) for _, h in pairs])
+    masks = np.zeros((len(known) + 1, width), dtype=np.uint64)
+    order = np.argsort(place & 63, kind="stable")
+    for at in np.split(order, np.searchsorted(place[order] & 63, np.arange(1, 64))):
+        if len(at):  # no two of these share a number of the masks
+            masks[own[at], place[at] >> 6] |= one << np.uint64(place[at[0]] & 63)
+    wanted = np.full((top, lanes), len(known), dtype=np.int64)
+    for b, (r, _) in enumerate(pairs):
+        key = r + b * kinds
+        spot = np.minimum(np.searchsorted(known, key), len(known) - 1)
+        wanted[:len(r), b] = np.where(known[spot] == key, spot, len(known))
+    high, low = (np.empty((top, lanes, width), dtype=np.uint64) for _ in range(2))
+    full, spots = ~np.uint64(0), np.arange(2, 2 * width + 2, 2, dtype=np.int16)
+    up, down = np.full((lanes, width), full), np.zeros((lanes, width), dtype=np.uint64)
+    for i in range(top):
+        equal = masks[wanted[i]]
+        total = (equal & up) + up
+        if width > 1:  # a number of ones only hands on the carry of the last number before it that has other bits
+            carry = np.maximum.accumulate((spots + (total < up)) * (total != full), axis=1)
+            total[:, 1:] += (carry[:, :-1] & 1).astype(np.uint64)
+        free = (total ^ up) | equal | down
+        more = down | ~(free | up)
+        left = more << one
+        left[:, 1:] |= more[:, :-1] >> last
+        left[:, 0] |= one
+        np.bitwise_and(free, ~equal, out=high[i])
+        np.bitwise_or(high[i] & ~more, ~free, out=low[i])
+        kept = up & free
+        up = kept << one
+        up[:, 1:] |= kept[:, :-1] >> last
+        up |= ~(free | left)
+        down = left & free
+    high, low = high.ravel(), low.ravel()
+    i, j = (np.array([len(x[side]) for x in pairs], dtype=np.int64) for side in (0, 1))
+    alive, base = np.arange(lanes), np.arange(lanes) * width
+    ends = np.zeros((3, lanes), dtype=np.int64)
+    out = np.empty((int((i + j).max()), lanes), dtype=np.int8)
+    step = 0
+    while len(alive):
+        at, bit = (i - 1) * (lanes * width) + base + ((j - 1) >> 6), ((j - 1) & 63).astype(np.uint64)
+        op = (((high[at] >> bit) & one) << one | ((low[at] >> bit) & one)).astype(np.int8)
+        out[step, alive] = op
+        step += 1
+        i, j = i - (op != INS), j - (op != DEL)
+        going = (i > 0) & (j > 0)
+        if not going.all():
+            done = ~going
+            ends[:2, alive[done]] = i[done], j[done]
+            ends[2, alive[done]] = step
+            i, j, alive, base = i[going], j[going], alive[going], base[going]
+    paths = []
+    for b, (rest_r, rest_h, steps) in enumerate(ends.T.tolist()):
+        paths.append(np.concatenate((np.full(rest_r, DEL, dtype=np.int8), np.full(rest_h, INS, dtype=np.int8), out[:steps, b][::-1])))
+    return paths
+
+
+def edit_paths(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """``edit_path`` of every pair of numbered words. Pairs of like size are aligned side by side; long, empty and odd ones alone."""
+    paths: list[np.ndarray | None] = [None] * len(pairs)
+    width = [-(-len(h) // 64) for _, h in pairs]
+    fit = [k for k, (r, h) in enumerate(pairs) if len(r) and len(h) and width[k] <= GROUP_NUMBERS and len(r) * width[k] * 16 * GROUP_PAIRS <= GROUP_BYTES]
+    fit.sort(key=lambda k: (width[k], len(pairs[k][0])))
+    at = 0
+    while at < len(fit):
+        end, top = at, 0
+        while end < len(fit):
+            longest, lanes = max(top, len(pairs[fit[end]][0])), (end + 1 - at) * width[fit[end]]
+            if lanes > GROUP_WIDTH or longest * lanes * 16 > GROUP_BYTES:
+                break
+            end, top = end + 1, longest
+        group, at = fit[at:max(end, at + 1)], max(end, at + 1)
+        if len(group) >= GROUP_PAIRS:
+            for k, path in zip(group, _side_by_side([pairs[k] for k in group], width[group[-1]])):
+                paths[k] = path
+    return [edit_path(*pairs[k]) if path is None else path for k, path in enumerate(paths)]
+
+
+#: Words of the pairs that a task numbers and aligns at once.
+SLICE_WORDS = 1 << 20
+
+
+def _sliced(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, pa.Array, pa.Array, list[np.ndarray]]]:
+    """Parts of a batch of pairs (_r, _h) with about SLICE_WORDS words: the part, all its words of both sides, and its paths.
+    Words are numbered as a column and become no Python objects."""
+    size = sum(pc.list_value_length(batch.column(c)).to_numpy() for c in ("_r", "_h"))
+    part = np.cumsum(size) // SLICE_WORDS
+    for at in np.flatnonzero(np.diff(part, prepend=-1)).tolist():
+        own = batch.slice(at, int(np.searchsorted(part, part[at], side="right")) - at)
+        ref, hyp = own.column("_r").flatten(), own.column("_h").flatten()
+        code = pa.concat_arrays([ref, hyp]).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        ends = np.cumsum(np.concatenate([pc.list_value_length(own.column(c)).to_numpy() for c in ("_r", "_h")]))
+        texts = np.split(code, ends[:-1])
+        yield own, ref, hyp, edit_paths(list(zip(texts[:own.num_rows], texts[own.num_rows:])))
+
+
 #: Rows of a frame that a task hands back at once.
 FRAME_ROWS = 65_536
 
@@ -233,11 +344,16 @@ def _kinds(df: DataFrame, keys: list[str]) -> str:
     return ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
 
 
+#: Least tasks per slot of the cluster: pairs are few bytes and much work, so their partitions are not put together by size.
+PARTS_PER_SLOT = 6
+
+
 def _parts(pairs: DataFrame, keys: list[str], ref: str, hyp: str, cells: int) -> tuple[DataFrame, DataFrame]:
     """Pairs that are aligned whole, and the pieces of the others that can be aligned alone: keys, part, r0 and h0 (words before
     the piece), _r, _h. Both come from one shuffle of the pairs."""
     none = F.array().cast("array<string>")
-    src = shared(pairs.select(*keys, F.coalesce(F.col(ref), none).alias("_r"), F.coalesce(F.col(hyp), none).alias("_h")), *keys)
+    texts = pairs.select(*keys, F.coalesce(F.col(ref), none).alias("_r"), F.coalesce(F.col(hyp), none).alias("_h"))
+    src = shared(texts, *keys, parts=PARTS_PER_SLOT * texts.sparkSession.sparkContext.defaultParallelism)
     large = F.size("_r").cast("long") * F.size("_h") > cells
     zero = F.lit(0).cast("long")
     whole = src.where(~large).select(*keys, zero.alias("part"), zero.alias("r0"), zero.alias("h0"), "_r", "_h")
@@ -271,40 +387,40 @@ def align(pairs: DataFrame, key: str | list[str], ref: str, hyp: str, cells: int
     ops = F.col("hyp_words") + F.col("deletions")  # every other operation takes a heard word
     offsets = _counted(pieces, [*keys, "part"]).select(*keys, "part", F.coalesce(F.sum(ops).over(earlier), F.lit(0)).alias("_op0"))
 
-    def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
-        for pdf in batches:
-            for row in zip(*(pdf[c] for c in (*keys, "_r", "_h", "_op0", "r0", "h0"))):
-                *own, r, h, op0, r0, h0 = row
-                done = edit_path(*numbered(r, h))
-                if not len(done):
-                    continue
-                used_r, used_h = (done != INS).cumsum(), (done != DEL).cumsum()
-                words_r, words_h = np.array([*r, None], dtype=object), np.array([*h, None], dtype=object)
-                at_r, at_h = np.where(done != INS, used_r - 1, -1), np.where(done != DEL, used_h - 1, -1)
-                yield {
-                    **dict(zip(keys, own)), "op_no": np.arange(len(done)) + op0, "op": NAMES[done],
-                    "ref_idx": np.where(done != INS, at_r + r0, -1), "hyp_idx": np.where(done != DEL, at_h + h0, -1),
-                    "ref_pos": used_r + r0, "hyp_pos": used_h + h0, "ref_word": words_r[at_r], "hyp_word": words_h[at_h]}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from _framed(aligned(batches))
+    def aligned(own: pa.RecordBatch, paths: list[np.ndarray]) -> Iterator[dict]:
+        from_r = from_h = 0  # words of the earlier pairs
+        for row, (done, op0, r0, h0) in enumerate(zip(paths, *(own.column(c).to_pylist() for c in ("_op0", "r0", "h0")))):
+            ref, hyp = done != INS, done != DEL
+            used_r, used_h = ref.cumsum(), hyp.cumsum()
+            yield {
+                "row": np.full(len(done), row), "op": done, "op_no": np.arange(len(done)) + op0,
+                "ref_idx": np.where(ref, used_r - 1 + r0, -1), "hyp_idx": np.where(hyp, used_h - 1 + h0, -1), "ref_pos": used_r + r0, "hyp_pos": used_h + h0,
+                "ref_word": np.where(ref, used_r - 1 + from_r, -1), "hyp_word": np.where(hyp, used_h - 1 + from_h, -1)}
+            from_r, from_h = from_r + int(ref.sum()), from_h + int(hyp.sum())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, ref, hyp, paths in (x for batch in batches for x in _sliced(batch)):
+            for f in _framed(aligned(own, paths)):
+                word = lambda all_, c: all_.take(pa.array(f[c].to_numpy(), mask=f[c].to_numpy() < 0))
+                yield pa.RecordBatch.from_arrays(
+                    [*(own.column(k).take(pa.array(f["row"])) for k in keys), pa.array(f["op_no"]), pa.array(NAMES, pa.string()).take(pa.array(f["op"])),
+                     *(pa.array(f[c]) for c in ("ref_idx", "hyp_idx", "ref_pos", "hyp_pos")), word(ref, "ref_word"), word(hyp, "hyp_word")],
+                    names=[*keys, "op_no", "op", "ref_idx", "hyp_idx", "ref_pos", "hyp_pos", "ref_word", "hyp_word"])
 
     schema = f"{_kinds(pairs, keys)}, op_no long, op string, ref_idx long, hyp_idx long, ref_pos long, hyp_pos long, ref_word string, hyp_word string"
     placed = pieces.join(offsets, [*keys, "part"])
-    done = whole.withColumn("_op0", F.lit(0).cast("long")).mapInPandas(run, schema).unionByName(placed.mapInPandas(run, schema))
+    done = whole.withColumn("_op0", F.lit(0).cast("long")).mapInArrow(run, schema).unionByName(placed.mapInArrow(run, schema))
     return done.withColumn("ref_idx", F.nullif("ref_idx", F.lit(-1))).withColumn("hyp_idx", F.nullif("hyp_idx", F.lit(-1)))
 
 
 def _counted(parts: DataFrame, keys: list[str]) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for key, r, h in zip(pdf[keys].itertuples(index=False, name=None), pdf["_r"], pdf["_h"]):
-                n = np.bincount(edit_path(*numbered(r, h)), minlength=len(NAMES))
-                out.append((*key, int(n[SUB]), int(n[INS]), int(n[DEL]), len(r), len(h)))
-            yield pd.DataFrame(out, columns=[*keys, *COUNTS])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, _, _, paths in (x for batch in batches for x in _sliced(batch)):
+            n = np.array([np.bincount(p, minlength=len(NAMES)) for p in paths], dtype=np.int64)
+            counts = [n[:, SUB], n[:, INS], n[:, DEL], n[:, MATCH] + n[:, SUB] + n[:, DEL], n[:, MATCH] + n[:, SUB] + n[:, INS]]
+            yield pa.RecordBatch.from_arrays([*(own.column(k) for k in keys), *map(pa.array, counts)], names=[*keys, *COUNTS])
 
-    return parts.mapInPandas(run, f"{_kinds(parts, keys)}, " + ", ".join(f"{c} long" for c in COUNTS))
+    return parts.mapInArrow(run, f"{_kinds(parts, keys)}, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def edit_counts(pairs: DataFrame, key: str | list[str], ref: str, hyp: str, cells: int = CELLS) -> DataFrame:

@@ -69,3 +69,28 @@ def test_scores_of_an_alignment_read_it_once(spark):
 def test_frames_hold_many_pairs():
     ones = ({"k": i, "op_no": np.arange(2), "op": SC.NAMES[[0, 1]]} for i in range(5))
     assert [(f["k"].tolist(), len(f)) for f in SC._framed(ones)] == [([0, 0, 1, 1, 2, 2, 3, 3, 4, 4], 10)]
+
+
+def test_pairs_side_by_side_equal_each_alone(monkeypatch):
+    rnd = random.Random(9)
+    for width, size in ((2048, 48 << 20), (8, 1 << 14)):
+        monkeypatch.setattr(SC, "GROUP_WIDTH", width)
+        monkeypatch.setattr(SC, "GROUP_BYTES", size)
+        for kinds, top in ((1, 5), (2, 70), (5, 140), (30, 200)):
+            pairs = [[np.array([rnd.randrange(kinds) for _ in range(rnd.randint(0, top))], dtype=np.int64) for _ in range(2)] for _ in range(40)]
+            assert [p.tolist() for p in SC.edit_paths(pairs)] == [plain_path(r.tolist(), h.tolist()) for r, h in pairs]
+
+
+def test_a_batch_is_aligned_in_slices_of_words(spark, monkeypatch):
+    monkeypatch.setattr(SC, "SLICE_WORDS", 7)
+    rows = [(i, ["a", "b", None, "c"][:i % 5], ["a", "x", None][:i % 4]) for i in range(20)]
+    pairs = spark.createDataFrame(rows, "id long, r array<string>, h array<string>").repartition(1)
+    got = {x["id"]: tuple(x)[1:] for x in SC.edit_counts(pairs, "id", "r", "h").collect()}
+    for i, r, h in rows:
+        n = np.bincount(plain_path(r, h), minlength=4)
+        assert got[i] == (n[SC.SUB], n[SC.INS], n[SC.DEL], len(r), len(h))
+
+
+def test_small_pairs_are_dealt_to_every_slot(spark):
+    whole, _ = SC._parts(spark.createDataFrame([(1, ["a"], ["b"])], "id long, r array<string>, h array<string>"), ["id"], "r", "h", SC.CELLS)
+    assert whole.rdd.getNumPartitions() >= SC.PARTS_PER_SLOT * spark.sparkContext.defaultParallelism
