@@ -1,11 +1,15 @@
-"""Dictionaries inside tasks, in blocks of bounded size: a table of texts meets one block after the other."""
+"""Dictionaries of any size: texts meet them by joins on words, or in blocks of bounded size, one after the other."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,21 +35,6 @@ def unambiguous(entries: DataFrame) -> DataFrame:
     return good.groupBy("wrong").agg(F.max("correct").alias("correct"))
 
 
-class Words:
-    """Keys that are whole words."""
-
-    pattern = re.compile(V.WORD_TOKEN)
-
-    def __init__(self, table: dict[str, str]):
-        self.table = table
-
-    def find(self, text: str) -> list[tuple[int, int, str]]:
-        return [(m.start(), len(m[0]), self.table[m[0]]) for m in self.pattern.finditer(text) if m[0] in self.table]
-
-    def replace(self, text: str, earlier: dict[int, tuple[int, str]]) -> str:
-        return self.pattern.sub(lambda m: earlier[m.start()][1] if m.start() in earlier else self.table.get(m[0], m[0]), text)
-
-
 class Leftmost:
     """Keys found from left to right, the longest at each place. The first two characters of a place say which lengths can
     be a key there, so a text costs one look-up per place whatever the number of keys."""
@@ -125,16 +114,56 @@ def _replacing(part: DataFrame, kind: type):
     return done
 
 
+#: Rows whose texts and entries a task holds as Python objects at once.
+SLICE_ROWS = 256
+
+
+def _swapped(held: DataFrame, table: DataFrame, text: str, pattern: str, own: str) -> DataFrame:
+    """What ``pattern`` finds in the texts becomes its value in ``table`` (wrong, correct). Every row (``_row``) is sent the entries that
+    it holds and no others, so a task needs no dictionary. ``own`` is the pattern as Python writes it."""
+    used = held.select("_row", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))).alias("wrong"))
+    hits = used.join(table, "wrong").groupBy("_row").agg(F.collect_list(F.struct("wrong", "correct")).alias("_hits"))
+    kept = [c for c in held.columns if c != "_row"]
+    runs = re.compile(own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                found = part.column("_hits").flatten()
+                pairs = iter(zip(*(found.field(c).to_numpy(zero_copy_only=False) for c in ("wrong", "correct"))))
+                sizes = pc.fill_null(pc.list_value_length(part.column("_hits")), 0).to_numpy(zero_copy_only=False)
+                done = []
+                for t, n in zip(part.column(text).to_numpy(zero_copy_only=False), sizes.tolist()):
+                    to = dict(islice(pairs, n))
+                    done.append(runs.sub(lambda m: to.get(m[0], m[0]), t) if to else t)
+                yield pa.RecordBatch.from_arrays([pa.array(done, pa.string()) if c == text else part.column(c) for c in kept], names=kept)
+
+    parts = max(6 * held.sparkSession.sparkContext.defaultParallelism, int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return held.repartition(parts, "_row").join(hits, "_row", "left").select(*kept, "_hits").mapInArrow(run, held.drop("_row").schema)
+
+
 def replaced(df: DataFrame, entries: DataFrame, text: str, whole_words: bool, limit: int = BLOCK_CHARS) -> DataFrame:
     """Keys in the text become their values: the leftmost first, of several at a place the longest, and what is replaced is not
-    looked at again. All blocks but the last note where their keys stand, with a written table between them, so that a task
-    holds one block at a time; the last one takes these places into account and replaces."""
-    kind = Words if whole_words else Leftmost
-    *first, last = blocks(unambiguous(entries), "wrong", "correct", limit=limit)
-    held = df.withColumn("_found", F.lit(None).cast(FOUND))
+    looked at again. Rows and entries meet by a join on the words. Where keys may stand inside words, no key reaches over a
+    character that is in none, so the runs of key characters take the place of the words: the distinct runs meet the entries in blocks.
+    All blocks but the last note where their keys stand, with a written table between them; the last one takes these places into account
+    and replaces."""
+    held = cut(df.withColumn("_row", F.monotonically_increasing_id()))
+    table = unambiguous(entries)
+    if whole_words:
+        return _swapped(held, table, text, V.WORD_TOKEN, V.WORD_TOKEN)
+    letters = sorted(r.c for r in table.select(F.explode(F.split("wrong", "")).alias("c")).distinct().where("c <> ''").collect())
+    if not letters:
+        return held.drop("_row")
+    pattern = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in letters) + "]+"
+    runs = held.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))).alias("wrong")).distinct()
+    *first, last = blocks(table, "wrong", "correct", limit=limit)
+    runs = runs.select("wrong", F.col("wrong").alias("correct"), F.lit(None).cast(FOUND).alias("_found"))
     for part in first:
-        held = cut(held.withColumn("_found", _noting(part, kind)(text, "_found")))
-    return held.withColumn(text, _replacing(last, kind)(text, "_found")).drop("_found")
+        runs = cut(runs.withColumn("_found", _noting(part, Leftmost)("wrong", "_found")))
+    runs = runs.select("wrong", _replacing(last, Leftmost)("correct", "_found").alias("correct"))
+    return _swapped(held, cut(runs).where("wrong <> correct"), text, pattern, "[" + "".join(map(re.escape, letters)) + "]+")
 
 
 def _holds(part: DataFrame):
