@@ -166,6 +166,51 @@ def replaced(df: DataFrame, entries: DataFrame, text: str, whole_words: bool, li
     return _swapped(held, cut(runs).where("wrong <> correct"), text, pattern, "[" + "".join(map(re.escape, letters)) + "]+")
 
 
+def _holding(part: DataFrame, key: str, text: str):
+    """For batches of keys and lower-cased texts one row per entry of the block of which a side occurs in the text."""
+    rows = part.collect()
+    table = part.sparkSession.sparkContext.broadcast(([r.origin for r in rows], [r.translation for r in rows], [(r.low, r.other) for r in rows]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        origins, translations, lowered = table.value
+        owners: dict[str, list[int]] = {}
+        for i, sides in enumerate(lowered):
+            for side in {x for x in sides if x}:
+                owners.setdefault(side, []).append(i)
+        automaton = ahocorasick.Automaton()
+        for side, own in owners.items():
+            automaton.add_word(side, tuple(own))
+        automaton.make_automaton()
+        columns = [pa.array(x, pa.string()) for x in (origins, translations)]
+        for batch in batches if owners else ():
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                texts = part.column(text).to_numpy(zero_copy_only=False)
+                found = [sorted({i for own in {x for _, x in automaton.iter(t)} for i in own}) if t else [] for t in texts]
+                row = pa.array([n for n, f in enumerate(found) for _ in f], pa.int64())
+                entry = pa.array([i for f in found for i in f], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(key).take(row), *(c.take(entry) for c in columns)], names=[key, "origin", "translation"])
+
+    return run
+
+
+def holding_entries(df: DataFrame, glossary: DataFrame, key: str, text: str, limit: int = BLOCK_CHARS) -> DataFrame:
+    """key, origin and translation, once each, for every entry of which a side occurs in the lower-cased text. An entry is in one block,
+    so only the rows of keys that come back need to be made distinct."""
+    kind = df.schema[key].dataType.simpleString()
+    entries = glossary.select("origin", "translation").distinct().withColumns({"low": F.lower("origin"), "other": F.lower("translation")})
+    again = df.groupBy(key).count().where((F.col("count") > 1) | F.col(key).isNull()).select(F.col(key).alias("_key"), F.lit(True).alias("_again"))
+    marked = df.join(again, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, text, F.coalesce("_again", F.lit(False)).alias("_again"))
+    once, often = [], []
+    for part in blocks(entries, "origin", "translation", "low", "other", limit=limit):
+        run = _holding(part, key, text)
+        for rows, out in ((marked.where("NOT _again"), once), (marked.where("_again"), often)):
+            out.append(rows.select(key, text).mapInArrow(run, f"`{key}` {kind}, origin string, translation string"))
+    return reduce(DataFrame.unionByName, once).unionByName(reduce(DataFrame.unionByName, often).distinct())
+
+
 def _holds(part: DataFrame):
     table = part.sparkSession.sparkContext.broadcast([r.side for r in part.collect()])
     ready: list = []

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.entries import holding
+from ..functions.entries import holding_entries
 from ..functions import values as V
 from ..functions.ordered import (first_of, last_known, next_known, row_no, rows_block, running_sum, scan,
                                  time_block)
@@ -154,11 +154,9 @@ def cross_reference(logs: DataFrame, transcripts: DataFrame, keys: list[str]) ->
 
 
 def relevant_glossary(df: DataFrame, glossary: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Entries of which either side occurs in the text, ignoring case. A glossary of any size is taken in blocks of sides; its
-    entries are joined to what was found."""
-    sides = glossary.select("origin", "translation", F.explode(F.array(F.lower("origin"), F.lower("translation"))).alias("side")).filter("side <> ''")
-    found = holding(df.select(key, F.lower(text).alias("_lower")), sides, key, "_lower")
-    return found.join(sides, "side").select(key, "origin", "translation").distinct()
+    """Entries of which either side occurs in the text, ignoring case. A glossary of any size is taken in blocks of
+    entries."""
+    return holding_entries(df.select(key, F.lower(text).alias("_lower")), glossary, key, "_lower")
 
 
 def apply_overrides(lines: DataFrame, overrides: DataFrame, keys: list[str], line: str) -> DataFrame:

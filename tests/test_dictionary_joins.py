@@ -24,3 +24,12 @@ def test_keys_inside_words_meet_distinct_runs(spark):
     for limit in (1, EN.BLOCK_CHARS):
         assert sorted(rows(EN.replaced(docs, keys, "text", False, limit=limit)), key=str) == sorted(want, key=str)
     assert rows(EN.replaced(docs.where("id = 3"), keys.where("1 = 0"), "text", False)) == [(3, "banana")]
+
+
+def test_glossary_entries_come_once_without_a_shuffle_of_what_was_found(spark):
+    docs = spark.createDataFrame([(1, "the İstanbul cat"), (1, "A CAT"), (2, None), (None, "cat"), (None, "cat dog"), (3, "dog")], "id long, text string")
+    glossary = spark.createDataFrame([("Cat", "CAT"), ("Cat", "CAT"), ("dog", None), ("", "tac"), ("İ", "x"), ("zz", "the")], "origin string, translation string")
+    want = [(1, "Cat", "CAT"), (1, "zz", "the"), (1, "İ", "x"), (None, "Cat", "CAT"), (None, "dog", None), (3, "dog", None)]
+    for limit in (60, EN.BLOCK_CHARS):
+        got = EN.holding_entries(docs.selectExpr("id", "lower(text) AS low"), glossary, "id", "low", limit)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
