@@ -16,62 +16,72 @@ def accented(word):
     return F.when(other & ~latin, "KO").when(other, "KO").when(latin, "EN").otherwise("NEU")
 
 
-def word_pairs(t):
-    return t.pair.select("doc_id", "lang", F.split("ref", " ").alias("r"), F.split("hyp", " ").alias("h")).select(
-        "doc_id", "lang", F.filter("r", lambda w: w != "").alias("r"), F.filter("h", lambda w: w != "").alias("h"))
+SENTENCE, BLOCK = "\x01", "\x02"
 
 
-def ops_of(t):
-    return SC.align(word_pairs(t), "doc_id", "r", "h")
+def sentence_pairs(t):
+    """Texts against a damaged copy, with the words of each sentence (``n``), whether it is the last of its block and whether a
+    line of the copy ends there. Paragraph lines are speaker blocks with sentences inside them; a line of the copy takes two.
 
+    The borders are marked in the text before its words are taken, so it is read once."""
+    text = F.lower(F.translate("text", SENTENCE + BLOCK, "||"))
+    text = F.translate(F.regexp_replace(text, r"(?<=[.!?])[ \t\x0B\f\r]+", f" {SENTENCE} "), "\n", BLOCK)
+    text = F.regexp_replace(F.regexp_replace(text, rf"[^\p{{L}}\p{{M}}\p{{N}}_\s\-'{SENTENCE}{BLOCK}]", " "), r"\s+", " ")
+    d = X.hold(t.doc.where(F.col("text").isNotNull()).select("doc_id", text.alias("_m")), r=F.trim(F.regexp_replace(F.translate("_m", SENTENCE + BLOCK, "  "), " +", " ")))
 
-def sentences(t, text="text"):
-    """Paragraph lines as speaker blocks, sentences inside them."""
-    b = t.doc.select("doc_id", F.posexplode(F.split(text, "\n")).alias("block", "p"))
-    s = b.select("doc_id", "block", F.posexplode(F.split("p", r"(?<=[.!?])\s+")).alias("sent", "s"))
-    return s.select("doc_id", "block", "sent", X.scoring_words("s").alias("words"))
+    def size(s):
+        s = F.btrim(s, F.lit(" " + BLOCK))
+        return F.when(s == "", 0).otherwise(F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit(""))) + 1)
 
+    def block(p):  # its last sentence keeps the mark
+        last = lambda s: F.endswith(s, F.lit(BLOCK))
+        return F.transform(F.split(F.concat(p, F.lit(BLOCK)), SENTENCE), lambda s, k: F.struct(size(s).alias("n"), last(s).alias("last"), (last(s) | (k % 2 == 1)).alias("ends")))
 
-def hyp_sentences(t):
-    """The same words cut into lines at every sentence with an even number."""
-    s = sentences(t).withColumn("cutpoint", F.floor(F.col("sent") / 2))
-    flat = s.select("doc_id", "block", "sent", "cutpoint", "words")
-    return flat.groupBy("doc_id", "block", "cutpoint").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("sent", "words"))), lambda x: x["words"])).alias("words"))
+    s = F.flatten(F.transform(F.split("_m", BLOCK), block))
+    d = X.hold(d.select("doc_id", "r", damaged(F.split("r", " ")).alias("h"), s.alias("s")), n=F.transform("s", lambda x: x["n"]))
+    return d.select("doc_id", "r", "h", "s", "n", SC.upto("n").alias("upto"))
 
 
-def same_words(t):
-    s = sentences(t).groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "sent", "words"))), lambda x: x["words"])).alias("r"))
-    kept = F.filter(F.transform("r", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda y: y["i"] % 7 != 6)
-    return s.select("doc_id", "r", F.transform(kept, lambda y: F.when(y["i"] % 11 == 3, F.lit("x")).otherwise(y["x"])).alias("h"))
+def damaged(words):
+    """Every seventh word dropped, others replaced."""
+    return F.array_join(F.filter(F.transform(words, lambda x, i: F.when(i % 11 == 3, F.lit("x")).otherwise(x)), lambda x, i: i % 7 != 6), " ")
+
+
+def inner(t):
+    """Sentence pairs with the boundaries in the text (``speaker`` or ``sentence``) and, moved to its word counts, in the copy."""
+    p = sentence_pairs(t)
+    p = X.hold(p, z=F.filter(F.arrays_zip("s", "upto"), lambda x: (x["upto"] > 0) & (x["upto"] < F.element_at("upto", -1))))
+    bounds = lambda keep: F.transform(F.filter("z", keep), lambda x: x["upto"])
+    own = lambda x: x["s"]["n"] > 0
+    moved = F.array_distinct(F.transform(bounds(lambda x: x["s"]["ends"]), lambda b: b - F.floor(b / 7)))
+    return p.select("doc_id", "r", "h", bounds(own).alias("all"), bounds(lambda x: own(x) & x["s"]["last"]).alias("speaker"),
+                    bounds(lambda x: own(x) & ~x["s"]["last"]).alias("sentence"), moved.alias("heard"))
 
 
 @query("aln01_align_words")
 def _(t):
-    return ops_of(t).drop("ref_word", "hyp_word")
+    return SC.align(t.pair, "doc_id", "ref", "hyp", words=False)
 
 
 @query("agg02_wer")
 def _(t):
-    p = word_pairs(t)
-    return SC.wer(p, "doc_id", "r", "h")
+    return SC.wer(t.pair, "doc_id", "ref", "hyp")
 
 
 @query("agg02_corpus_wer")
 def _(t):
-    p = word_pairs(t)
-    s = SC.wer(p, "doc_id", "r", "h").join(t.pair.select("doc_id", "lang"), "doc_id")
+    s = SC.wer(t.pair, "doc_id", "ref", "hyp").join(t.pair.select("doc_id", "lang"), "doc_id")
     return SC.corpus_wer(s, ["lang"])
 
 
 @query("agg08_language_mismatch")
 def _(t):
-    return SC.language_mismatch(ops_of(t), K, accented)
+    return SC.pair_mismatch(t.pair, K, "ref", "hyp", accented)
 
 
 @query("win05_insertion_runs")
 def _(t):
-    p = word_pairs(t).select("doc_id", F.col("h").alias("r"), F.col("r").alias("h"))
-    return SC.language_mismatch(SC.align(p, "doc_id", "r", "h"), K, accented).select("doc_id", "max_ins_run", "ins_runs_ge3")
+    return SC.pair_mismatch(t.pair, K, "hyp", "ref", accented).select("doc_id", "max_ins_run", "ins_runs_ge3")
 
 
 # Turns against a damaged copy: short pairs, whose whole edit table SQL can build. The SQL numbers the turns.
@@ -148,12 +158,12 @@ def _(t):
 @query("agg08_turn_mismatch", f"""WITH RECURSIVE {MISMATCH} SELECT pk.session_id, pk.turn, mm.* EXCLUDE (pair_id), coalesce(max_ins_run, 0) AS max_ins_run, coalesce(ins_runs_ge3, 0) AS ins_runs_ge3, CASE WHEN ko_ref_words > 0 THEN ko_to_en / ko_ref_words END AS lmr_ko,
    CASE WHEN en_ref_words > 0 THEN en_to_ko / en_ref_words END AS lmr_en, coalesce((ko_to_en + en_to_ko) / nullif(ref_words, 0), 0) AS lmr_wer_pp FROM mm JOIN pk USING (pair_id) LEFT JOIN im USING (pair_id)""")
 def _(t):
-    return SC.language_mismatch(turn_ops(t), TURNS, accented)
+    return SC.pair_mismatch(turn_pairs(t), TURNS, "r", "h", accented)
 
 
 @query("win05_turn_insertion_runs", f"""WITH RECURSIVE {MISMATCH} SELECT session_id, turn, coalesce(max_ins_run, 0) AS max_ins_run, coalesce(ins_runs_ge3, 0) AS ins_runs_ge3 FROM mm JOIN pk USING (pair_id) LEFT JOIN im USING (pair_id)""")
 def _(t):
-    return SC.language_mismatch(turn_ops(t), TURNS, accented).select(*TURNS, "max_ins_run", "ins_runs_ge3")
+    return SC.pair_mismatch(turn_pairs(t), TURNS, "r", "h", accented).select(*TURNS, "max_ins_run", "ins_runs_ge3")
 
 
 # Sentences of a turn end at words with a full stop, question or exclamation mark; every fourth place also changes the speaker.
@@ -175,30 +185,27 @@ def _rates(m: str, r: str, h: str, name: str) -> str:
 
 
 def turn_bounds(t):
-    """Pairs of turns, and the boundaries in both texts."""
-    pairs = turn_pairs(t)
-    ends = F.col("x").rlike("[.!?]$")
+    """Pairs of turns with the boundaries in both texts."""
+    ends = lambda x: x.rlike("[.!?]$")
 
-    def placed(column):
-        return pairs.select(*TURNS, F.size(column).alias("n"), F.posexplode(column).alias("i", "x")).withColumn("bound", (F.col("i") + 1).cast("bigint")).filter("bound < n")
+    def places(column, keep):
+        at = F.transform(column, lambda x, i: F.when(keep(x, i + 1) & (i + 1 < F.size(column)), (i + 1).cast("bigint")))
+        return F.filter(at, lambda b: b.isNotNull())
 
-    ref = placed("r").filter(ends).select(*TURNS, "bound", F.when(F.col("bound") % 4 == 0, "speaker").otherwise("sentence").alias("kind"))
-    hyp = placed("h").filter((ends & (F.col("bound") % 3 != 0)) | (F.col("bound") % 11 == 5)).select(*TURNS, "bound")
-    return pairs, ref, hyp
+    p = turn_pairs(t).withColumn("all", places("r", lambda x, b: ends(x))).withColumn("heard", places("h", lambda x, b: (ends(x) & (b % 3 != 0)) | (b % 11 == 5)))
+    return p.withColumn("speaker", F.filter("all", lambda b: b % 4 == 0)).withColumn("sentence", F.filter("all", lambda b: b % 4 != 0))
 
 
 @query("agg10_turn_segmentation_f1", f"""WITH RECURSIVE {BOUNDS} SELECT session_id, turn, {_rates('ma', 'nr', 'nh', 'boundary')}, CAST(ma AS INTEGER) AS matched, CAST(nr AS INTEGER) AS n_ref, CAST(nh AS INTEGER) AS n_hyp FROM ct JOIN pk USING (pair_id)""")
 def _(t):
-    pairs, ref, hyp = turn_bounds(t)
-    return SC.segmentation_f1(turn_ops(t), ref, hyp, pairs, TURNS)
+    return SC.segmentation_f1(turn_bounds(t), TURNS, "r", "h", "all", "heard")
 
 
 @query("agg11_turn_speaker_sentence_f1", f"""WITH RECURSIVE {BOUNDS}, al2 AS (SELECT *, nh - mb AS loose FROM ct), rt AS (SELECT pair_id, {_rates('ms', 'np', 'ms + loose', 'speaker')}, {_rates('me', 'nr - np', 'me + loose', 'sentence')}, nr - np AS ns, np, loose FROM al2)
    SELECT session_id, turn, speaker_precision, speaker_recall, speaker_f1, CASE WHEN ns > 0 THEN sentence_precision END AS sentence_precision, CASE WHEN ns > 0 THEN sentence_recall END AS sentence_recall, CASE WHEN ns > 0 THEN sentence_f1 END AS sentence_f1,
      CAST(ns AS INTEGER) AS n_sentence, CAST(np AS INTEGER) AS n_speaker, CAST(loose AS INTEGER) AS unexplained FROM rt JOIN pk USING (pair_id)""")
 def _(t):
-    pairs, ref, hyp = turn_bounds(t)
-    return SC.speaker_sentence_f1(turn_ops(t), ref, hyp, pairs, TURNS)
+    return SC.speaker_sentence_f1(turn_bounds(t), TURNS, "r", "h", "speaker", "sentence", "heard")
 
 
 @query("agg09_turn_flip_events", f"""WITH RECURSIVE {TURN_PAIRS}, rs AS (SELECT pair_id, i, word, coalesce(sum(CASE WHEN regexp_matches(word, '[.!?]$') THEN 1 ELSE 0 END) OVER (PARTITION BY pair_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence FROM rf),
@@ -210,44 +217,25 @@ def _(t):
     pairs = turn_pairs(t)
     ends = F.filter(F.transform("r", lambda x, i: F.when(x.rlike("[.!?]$"), (i + 1).cast("bigint"))), lambda p: p.isNotNull())
     marks = F.array_union(F.concat(F.array(F.lit(0).cast("bigint")), ends), F.array(F.size("r").cast("bigint")))
-    spans = pairs.select(*TURNS, marks.alias("m")).select(*TURNS, F.posexplode(F.transform(F.sequence(F.lit(1), F.size("m") - 1), lambda k: F.struct(F.get("m", k - 1).alias("a"), F.get("m", k).alias("b")))).alias("sentence", "s"))
-    return SC.flip_events(turn_ops(t), spans.select(*TURNS, F.col("sentence").cast("bigint").alias("sentence"), "s.a", "s.b"), TURNS, accented)
-
-
-def hyp_bounds(t):
-    """Boundaries of the cut lines, moved to hypothesis word counts."""
-    b = SC.sentence_bounds(hyp_sentences(t), K, ["block", "cutpoint"])
-    i = F.col("bound")
-    return b.withColumn("bound", i - F.floor(i / 7)).distinct()
+    pairs = X.hold(pairs, m=marks)
+    sizes = F.transform(F.sequence(F.lit(1), F.size("m") - 1), lambda k: F.get("m", k) - F.get("m", k - 1))
+    return SC.flip_events(pairs.withColumn("sizes", sizes), TURNS, "r", "h", "sizes", accented)
 
 
 @query("agg09_flip_events")
 def _(t):
-    from pyspark.sql import Window
-    s = sentences(t).filter(F.size("words") > 0)
-    w = Window.partitionBy("doc_id").orderBy("block", "sent")
-    s = s.withColumn("b", F.sum(F.size("words").cast("bigint")).over(w)).withColumn("sentence", F.row_number().over(w))
-    spans = s.select("doc_id", "sentence", (F.col("b") - F.size("words")).alias("a"), "b")
-    return SC.flip_events(SC.align(same_words(t), "doc_id", "r", "h"), spans, K, accented)
+    p = sentence_pairs(t).withColumn("sizes", F.filter("n", lambda n: n > 0))
+    return SC.flip_events(p, K, "r", "h", "sizes", accented).withColumn("sentence", (F.col("sentence") + 1).cast("int"))
 
 
 @query("agg10_segmentation_f1")
 def _(t):
-    p = same_words(t)
-    return SC.segmentation_f1(SC.align(p, "doc_id", "r", "h"), SC.sentence_bounds(sentences(t), K, ["block", "sent"]), hyp_bounds(t), p, K)
-
-
-def kinds(t):
-    from pyspark.sql import Window
-    s = sentences(t)
-    last = F.col("sent") == F.max("sent").over(Window.partitionBy("doc_id", "block"))
-    return SC.sentence_bounds(s.withColumn("_last", last), K, ["block", "sent"], F.when(F.col("_last"), "speaker").otherwise("sentence"))
+    return SC.segmentation_f1(inner(t), K, "r", "h", "all", "heard")
 
 
 @query("agg11_speaker_sentence_f1")
 def _(t):
-    p = same_words(t)
-    return SC.speaker_sentence_f1(SC.align(p, "doc_id", "r", "h"), kinds(t), hyp_bounds(t), p, K)
+    return SC.speaker_sentence_f1(inner(t), K, "r", "h", "speaker", "sentence", "heard")
 
 
 @query("set03_unexplained_boundaries", """WITH a AS (SELECT session_id, seg_id AS bound FROM seg), s AS (SELECT session_id, seg_id AS bound FROM seg WHERE speaker = 1), e AS (SELECT session_id, seg_id AS bound FROM seg WHERE length("text") % 3 = 0)

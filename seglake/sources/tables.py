@@ -102,10 +102,10 @@ class Tables:
     def pair(self) -> DataFrame:
         """Reference and hypothesis over whole texts: every 7th word dropped,
         every 11th replaced."""
-        r = self.doc.select("doc_id", "lang", X.scoring_words("text").alias("r"))
-        kept = F.filter(F.transform("r", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda y: y["i"] % 7 != 6)
-        hyp = F.transform(kept, lambda y: F.when(y["i"] % 11 == 3, F.lit("x")).otherwise(y["x"]))
-        return r.select("doc_id", "lang", F.array_join("r", " ").alias("ref"), F.array_join(hyp, " ").alias("hyp"))
+        r = X.hold(self.doc.select("doc_id", "lang", "text"), ref=X.scoring_form("text")).drop("text")
+        words = F.filter(F.split("ref", " "), lambda w: w != "")
+        kept = F.filter(F.transform(words, lambda x, i: F.when(i % 11 == 3, F.lit("x")).otherwise(x)), lambda x, i: i % 7 != 6)
+        return r.select("doc_id", "lang", "ref", F.array_join(kept, " ").alias("hyp"))
 
     @property
     def bench(self) -> DataFrame:
