@@ -127,11 +127,12 @@ def scan(df: DataFrame, keys: list[str], order: list[str], block: Column, **scan
     blocked = shared(df.withColumn("_blk", block.cast("bigint")), *keys, "_blk")
     local_w = Window.partitionBy(*keys, "_blk").orderBy(*order)
     upto = local_w.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = local_w.rowsBetween(1, Window.unboundedFollowing)
+    # what comes later is looked for backwards: Spark computes a frame that ends unbounded anew for every row
+    ahead = Window.partitionBy(*keys, "_blk").orderBy(*[F.col(c).desc() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
     earlier = local_w.rowsBetween(Window.unboundedPreceding, -1)
     along = Window.partitionBy(*keys).orderBy("_blk")
     before = along.rowsBetween(Window.unboundedPreceding, -1)
-    after = along.rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy(*keys).orderBy(F.col("_blk").desc()).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     position = F.struct(*[F.col(c) for c in order])
 
@@ -171,9 +172,9 @@ def scan(df: DataFrame, keys: list[str], order: list[str], block: Column, **scan
             carried.append(F.last(c, ignorenulls=True).over(before).alias(c))
             value = F.coalesce(F.col(l), F.col(c))["v"]
         elif s.kind == "bfill_after":
-            local.append(F.first(known, ignorenulls=True).over(ahead).alias(l))
+            local.append(F.last(known, ignorenulls=True).over(ahead).alias(l))
             summary.append(F.min_by(boxed, at).alias(c))
-            carried.append(F.first(c, ignorenulls=True).over(after).alias(c))
+            carried.append(F.last(c, ignorenulls=True).over(after).alias(c))
             value = F.coalesce(F.col(l), F.col(c))["v"]
         elif s.kind == "whole_first":
             summary.append(F.min_by(boxed, at).alias(c))

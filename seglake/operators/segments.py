@@ -165,7 +165,7 @@ def retract(rows: DataFrame, keys: list[str], keep_ms: int = 2500) -> DataFrame:
     s = scan(rows, keys, ["pos"], rows_block("pos"), _m=next_known(marker), _span=running_sum(F.when(F.col("kind") != "text", 1).otherwise(0)))
     low = F.coalesce(F.col("_m.floor"), F.col("_m.boundary_t") - keep_ms - 1000)
     s = s.withColumn("_live", (F.col("kind") == "text") & F.coalesce((F.col("_m.kind") == "lang_switch") & F.col("_m.boundary_t").isNotNull(), F.lit(False))).withColumn("_low", low)
-    s = shared(s, *keys, "_span")
+    s = cut(s)
     stops = s.filter("_live and start_ms < _low").groupBy(*keys, "_span").agg(F.max("pos").alias("_stop"))
     s = s.join(stops, [*keys, "_span"], "left")
     gap = F.col("_m.boundary_t") - F.col("start_ms")

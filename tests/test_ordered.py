@@ -72,3 +72,10 @@ def test_one_shuffle_is_shared(data):
     s.collect()
     plan = s._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_looking_ahead_is_linear(data):
+    """Spark computes a frame from a later row to the end anew for every row, so no window of a scan may have one."""
+    got = O.scan(data, ["k"], ["t", "id"], O.time_block("t", 50), g=O.next_known("v"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "1, unboundedfollowing" not in plan.lower()
