@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
-from itertools import islice
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,31 +116,53 @@ def _replacing(part: DataFrame, kind: type):
 
 #: Rows whose texts and entries a task holds as Python objects at once.
 SLICE_ROWS = 256
+#: Neighbouring rows whose words meet the entries together are two to the power of this.
+PAGE_BITS = 10
 
 
-def _swapped(held: DataFrame, table: DataFrame, text: str, pattern: str, own: str) -> DataFrame:
-    """What ``pattern`` finds in the texts becomes its value in ``table`` (wrong, correct). Every row (``_row``) is sent the entries that
-    it holds and no others, so a task needs no dictionary. ``own`` is the pattern as Python writes it."""
-    used = held.select("_row", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))).alias("wrong"))
-    hits = used.join(table, "wrong").groupBy("_row").agg(F.collect_list(F.struct("wrong", "correct")).alias("_hits"))
+def _words(held: DataFrame, text: str, pattern: str) -> DataFrame:
+    """What ``pattern`` finds in the texts, once for every page of rows."""
+    found = F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
+    return held.select(F.shiftright("_row", PAGE_BITS).alias("_page"), found.alias("wrong")).distinct()
+
+
+def _swapped(held: DataFrame, used: DataFrame, table: DataFrame, text: str, own: str) -> DataFrame:
+    """What ``own`` finds in the texts becomes its value in ``table`` (wrong, correct). Every page of rows is sent the entries that
+    its texts hold (``used``) and no others, ahead of the texts, so a task needs no dictionary."""
     kept = [c for c in held.columns if c != "_row"]
-    runs = re.compile(own)
+    names = [f"_c{i}" for i in range(len(kept))]
+    at = kept.index(text)
+    none = lambda kind: F.lit(None).cast(kind)
+    hits = used.join(table, "wrong").select("_page", "wrong", "correct", *[none(held.schema[c].dataType).alias(n) for c, n in zip(kept, names)])
+    texts = held.select(F.shiftright("_row", PAGE_BITS).alias("_page"), none("string").alias("wrong"), none("string").alias("correct"),
+                        *[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names)])
+    runs = re.compile(f"({own})")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, to = None, {}
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
-                found = part.column("_hits").flatten()
-                pairs = iter(zip(*(found.field(c).to_numpy(zero_copy_only=False) for c in ("wrong", "correct"))))
-                sizes = pc.fill_null(pc.list_value_length(part.column("_hits")), 0).to_numpy(zero_copy_only=False)
-                done = []
-                for t, n in zip(part.column(text).to_numpy(zero_copy_only=False), sizes.tolist()):
-                    to = dict(islice(pairs, n))
-                    done.append(runs.sub(lambda m: to.get(m[0], m[0]), t) if to else t)
-                yield pa.RecordBatch.from_arrays([pa.array(done, pa.string()) if c == text else part.column(c) for c in kept], names=kept)
+            pages, is_text = batch.column(0).to_numpy(), batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            turns = np.flatnonzero((pages[1:] != pages[:-1]) | (is_text[1:] != is_text[:-1])) + 1 if len(pages) else pages
+            for lo, hi in pairwise([0, *turns.tolist(), len(pages)]) if len(pages) else ():
+                if pages[lo] != page:
+                    page, to = pages[lo], {}
+                if not is_text[lo]:
+                    to.update(zip(*(batch.column(i).slice(lo, hi - lo).to_pylist() for i in (1, 2))))
+                    continue
+                for start in range(lo, hi, SLICE_ROWS):
+                    part = batch.slice(start, min(SLICE_ROWS, hi - start))
+                    done = []
+                    for t in part.column(3 + at).to_numpy(zero_copy_only=False):
+                        if t and to:
+                            pieces = runs.split(t)
+                            pieces[1::2] = [to.get(x, x) for x in pieces[1::2]]
+                            t = "".join(pieces)
+                        done.append(t)
+                    yield pa.RecordBatch.from_arrays([pa.array(done, pa.string()) if i == at else part.column(3 + i) for i in range(len(kept))], names=kept)
 
     parts = max(6 * held.sparkSession.sparkContext.defaultParallelism, int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return held.repartition(parts, "_row").join(hits, "_row", "left").select(*kept, "_hits").mapInArrow(run, held.drop("_row").schema)
+    placed = hits.unionByName(texts).repartition(parts, "_page").sortWithinPartitions("_page", F.col("wrong").isNull())
+    return placed.mapInArrow(run, held.drop("_row").schema)
 
 
 def replaced(df: DataFrame, entries: DataFrame, text: str, whole_words: bool, limit: int = BLOCK_CHARS) -> DataFrame:
@@ -152,18 +174,19 @@ def replaced(df: DataFrame, entries: DataFrame, text: str, whole_words: bool, li
     held = cut(df.withColumn("_row", F.monotonically_increasing_id()))
     table = unambiguous(entries)
     if whole_words:
-        return _swapped(held, table, text, V.WORD_TOKEN, V.WORD_TOKEN)
+        return _swapped(held, _words(held, text, V.WORD_TOKEN), table, text, V.WORD_TOKEN)
     letters = sorted(r.c for r in table.select(F.explode(F.split("wrong", "")).alias("c")).distinct().where("c <> ''").collect())
     if not letters:
         return held.drop("_row")
     pattern = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in letters) + "]+"
-    runs = held.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))).alias("wrong")).distinct()
+    used = cut(_words(held, text, pattern))
+    runs = used.select("wrong").distinct()
     *first, last = blocks(table, "wrong", "correct", limit=limit)
     runs = runs.select("wrong", F.col("wrong").alias("correct"), F.lit(None).cast(FOUND).alias("_found"))
     for part in first:
         runs = cut(runs.withColumn("_found", _noting(part, Leftmost)("wrong", "_found")))
     runs = runs.select("wrong", _replacing(last, Leftmost)("correct", "_found").alias("correct"))
-    return _swapped(held, cut(runs).where("wrong <> correct"), text, pattern, "[" + "".join(map(re.escape, letters)) + "]+")
+    return _swapped(held, used, cut(runs).where("wrong <> correct"), text, "[" + "".join(map(re.escape, letters)) + "]+")
 
 
 def _holding(part: DataFrame, key: str, text: str):

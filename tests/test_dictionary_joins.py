@@ -33,3 +33,15 @@ def test_glossary_entries_come_once_without_a_shuffle_of_what_was_found(spark):
     for limit in (60, EN.BLOCK_CHARS):
         got = EN.holding_entries(docs.selectExpr("id", "lower(text) AS low"), glossary, "id", "low", limit)
         assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_entries_meet_pages_of_rows(spark, monkeypatch):
+    """A word that many rows hold meets the entries once for a page of rows, and every row still gets its value."""
+    seen = []
+    words = EN._words
+    monkeypatch.setattr(EN, "_words", lambda *a: seen.append(words(*a)) or seen[-1])
+    docs = spark.createDataFrame([(i, f"cat {'dog' if i % 2 else 'ox'} cat") for i in range(3000)], "id long, text string").repartition(1)
+    entries = spark.createDataFrame([("cat", "a"), ("dog", "b")], "wrong string, correct string")
+    got = rows(EN.replaced(docs, entries, "text", True))
+    assert got == [(i, f"a {'b' if i % 2 else 'ox'} a") for i in range(3000)]
+    assert seen[0].count() == 3 * 3
