@@ -114,7 +114,8 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     for first, n in SEGMENTS:
         agreed = agreed | (here(first, n) & ~earlier)
         earlier = earlier | (within(first, n) <= 1)
-    met = a.join(b, ["wild", "key"]).where((F.col("a") < F.col("b")) & (F.bit_count(differing) <= distance) & agreed)
+    # Spark sizes the 64 rows of a fingerprint as one and would send them all to the driver as a table to broadcast.
+    met = a.join(b.hint("merge"), ["wild", "key"]).where((F.col("a") < F.col("b")) & (F.bit_count(differing) <= distance) & agreed)
     return met.select("a", "b")
 
 
