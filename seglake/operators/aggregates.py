@@ -31,9 +31,15 @@ def char_errors(pairs: DataFrame, ref: str, hyp: str) -> DataFrame:
     return pairs.withColumn("char_edits", F.levenshtein(ref, hyp).cast("bigint")).withColumn("ref_chars", F.length(ref).cast("bigint"))
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """Whole numbers divided as SQL engines with binary division do: by zero they give NaN or an infinity, not an error."""
+    by_zero = F.when(a > 0, float("inf")).when(a < 0, float("-inf")).when(a == 0, float("nan"))
+    return F.when(b == 0, by_zero).otherwise(a / b)
+
+
 def summary_columns() -> list[Column]:
     errors = F.col("subs") + F.col("ins") + F.col("dels")
-    wer, rtf = errors / F.col("ref_words"), F.col("proc_ms") / F.col("duration_ms")
+    wer, rtf = errors / F.col("ref_words"), ratio(F.col("proc_ms"), F.col("duration_ms"))
     return [
         F.count(F.lit(1)).alias("n_samples"), F.sum("duration_ms").alias("audio_ms"), F.sum("proc_ms").alias("processing_ms"),
         F.round(F.avg(wer), 6).alias("avg_wer"), F.round(F.sum(errors) / F.greatest(F.sum("ref_words"), F.lit(1)), 6).alias("weighted_wer"),
