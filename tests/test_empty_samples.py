@@ -18,3 +18,9 @@ def test_summary_of_samples_without_audio(bench):
     got = A.bench_summary(bench).first()
     assert math.isnan(got["avg_rtf"])
     assert (got["n_samples"], got["audio_ms"], got["avg_wer"], got["overall_rtf"], got["avg_latency_ms"]) == (3, 1200, 0.5, 0.458333, 8.0)
+
+
+def test_breakdown_of_samples_without_audio(bench):
+    got = {(r["level"], r["name"]): (r["n_samples"], r["avg_rtf"]) for r in A.bench_breakdown(bench).collect()}
+    assert {k for k, (_, rtf) in got.items() if math.isnan(rtf)} == {("all", "all"), ("language", "fr"), ("category", "c1")}
+    assert got[("language", "en")] == (1, 0.5) and got[("category", "c0")] == (1, 0.25) and got[("language", "fr")][0] == 2
