@@ -3,7 +3,9 @@
 All-pairs scoring is avoided with pivots, whose number grows with the corpus up to a bound: every corpus vector joins the cell
 of its nearest pivot, and cells are cut into pieces of a fixed number of rows. A query first meets one piece of its nearest
 cell. The k-th score found there, and the radii of the cells, bound how far away its k nearest vectors can be; by the triangle
-inequality it then needs only the cells within that bound. Inside a piece, scores are a matrix product."""
+inequality it then needs only the cells within that bound. Pieces lie in few large blocks, and a query travels once to a block
+that holds any piece it needs, with one bit per piece; so what is shuffled follows the number of blocks, not that of pieces.
+Inside a piece, scores are a matrix product."""
 
 from __future__ import annotations
 
@@ -20,6 +22,8 @@ PIECE_ROWS = 4096
 EPS = 1e-5
 #: Numbers of a table of rows and pivots that a task holds at once, and routed rows that it hands back at once.
 TABLE_NUMBERS, ROUTED_ROWS = 1 << 18, 8192
+#: Numbers of a block at most, queries scored at once, and finds after which only the best are held.
+BLOCK_NUMBERS, QUERIES, FINDS = 1 << 23, 512, 1 << 16
 
 
 def _slices(batches, pivots: np.ndarray):
@@ -32,7 +36,8 @@ def _slices(batches, pivots: np.ndarray):
 
 def unit(column: str):
     norm = F.sqrt(F.aggregate(F.transform(F.col(column), lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x))
-    return F.transform(F.col(column), lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0)))
+    # named by the outer transform, so that it is computed once and not for every component
+    return F.transform(F.array(norm), lambda n: F.transform(F.col(column), lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0))))[0]
 
 
 class Cells:
@@ -54,6 +59,14 @@ class Cells:
         self.cells, self.sizes, self.radius = (np.array(x) for x in zip(*stats)) if stats else (np.array([], dtype=int),) * 3
         self.pieces = np.maximum(1, -(-self.sizes // PIECE_ROWS))
         self.pivots = pivots[self.cells] if stats else pivots
+        # pieces are numbered through all cells; a block begins with the piece of its edge
+        self.starts = np.cumsum(self.pieces) - self.pieces
+        rows, tasks = int(self.sizes.sum()), 2 * corpus.sparkSession.sparkContext.defaultParallelism
+        width = pivots.shape[1] if len(pivots) else 0
+        blocks = max(round(tasks ** 0.5), -(-rows * width // BLOCK_NUMBERS))
+        each = np.repeat(self.sizes / self.pieces, self.pieces)  # rows of a piece, about
+        self.edges = np.flatnonzero(np.diff((np.cumsum(each) - each) // max(1, -(-rows // blocks)), prepend=-1))
+        self.slices = -(-tasks // max(1, len(self.edges)))
 
     def held(self) -> DataFrame:
         counts = F.element_at(F.create_map(*[F.lit(x) for pair in zip(self.cells.tolist(), self.pieces.tolist()) for x in pair]), F.col("cell"))
@@ -70,9 +83,20 @@ class Cells:
 
         return queries.mapInPandas(route, ROUTED)
 
+    def dealt(self) -> DataFrame:
+        """The pieces in their blocks, once for every slice of the queries."""
+        starts = F.element_at(F.create_map(*[F.lit(x) for pair in zip(self.cells.tolist(), self.starts.tolist()) for x in pair]), F.col("cell"))
+        copies = F.explode(F.sequence(F.lit(0), F.lit(self.slices - 1))).alias("copy")
+        held = self.held().select((starts + F.col("piece")).cast("int").alias("place"), "id", "v", copies)
+        block = sum([(F.col("place") >= e).cast("int") for e in self.edges.tolist()[1:]], F.lit(0))
+        slot = block * self.slices + F.col("copy")
+        return held.select(slot.alias("slot"), F.lit(0).alias("asks"), "place", "id", "v", F.lit(None).cast("double").alias("least"), F.lit(None).cast("binary").alias("wants"))
+
     def others(self, queries: DataFrame, need: int) -> DataFrame:
-        """Each query with all pieces in reach but the one it met. ``reach`` is the distance of the k-th vector found there."""
-        pivots, cells, sizes, radius, pieces = self.pivots, self.cells, self.sizes, self.radius, self.pieces
+        """Each query with the blocks that hold pieces in reach but the one it met, and these pieces as bits. ``reach`` is the
+        distance of the k-th vector found there."""
+        pivots, cells, sizes, radius, pieces, starts = self.pivots, self.cells, self.sizes, self.radius, self.pieces, self.starts
+        edges = np.append(self.edges, pieces.sum())
 
         def route(batches):
             for pdf in _slices(batches, pivots):
@@ -83,43 +107,114 @@ class Cells:
                 order = high.argsort(axis=1)
                 enough = np.minimum((sizes[order].cumsum(axis=1) < need).sum(axis=1), len(cells) - 1)
                 bound = np.take_along_axis(high, order, axis=1)[np.arange(len(pdf)), enough]
-                bound = np.minimum(bound, pdf["reach"].fillna(np.inf).to_numpy())
-                who, which = np.nonzero(low <= (bound + EPS)[:, None])
-                copies = pieces[which]
-                piece = np.concatenate([np.arange(n) for n in copies]) if len(copies) else np.array([], dtype="int64")
-                who, which = np.repeat(who, copies), np.repeat(which, copies)
-                new = (which != near[who]) | (piece != ident[who] % pieces[which])
-                who, which, piece = who[new], which[new], piece[new]
-                vectors = pdf["v"].to_numpy()
-                for at in range(0, len(who), ROUTED_ROWS):
-                    w, c, p = who[at:at + ROUTED_ROWS], which[at:at + ROUTED_ROWS], piece[at:at + ROUTED_ROWS]
-                    yield pd.DataFrame({"query_id": ident[w], "v": vectors[w], "cell": cells[c].astype("int64"), "piece": p.astype("int64")})
-
-        return queries.mapInPandas(route, ROUTED)
+                reach = pdf["reach"].fillna(np.inf).to_numpy()
+                bound = np.minimum(bound, reach)
+                wants = np.repeat(low <= (bound + EPS)[:, None], pieces, axis=1)
+                wants[np.arange(len(pdf)), starts[near] + ident % pieces[near]] = False
+                least, vectors = 1.0 - reach * reach / 2 - 1e-6, pdf["v"].to_numpy()
+                for block, (lo, hi) in enumerate(zip(edges, edges[1:])):
+                    who = np.flatnonzero(wants[:, lo:hi].any(axis=1))
+                    for at in range(0, len(who), ROUTED_ROWS):
+                        w = who[at:at + ROUTED_ROWS]
+                        bits = np.packbits(wants[w, lo:hi], axis=1)
+                        yield pd.DataFrame({"query_id": ident[w], "v": vectors[w], "block": np.int32(block), "least": least[w], "wants": [x.tobytes() for x in bits]})
+
+        return queries.mapInPandas(route, "query_id long, v array<double>, block int, least double, wants binary")
+
+    def scored(self, routed: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+        """The k best rows of every block among the wanted pieces, for every query that is sent to it; the queries of a slice stream
+        past the block."""
+        slices, edges = self.slices, np.append(self.edges, self.pieces.sum())
+        slot = F.col("block") * slices + F.pmod(F.xxhash64("query_id"), F.lit(slices)).cast("int")
+        asked = routed.select(slot.alias("slot"), F.lit(1).alias("asks"), F.lit(0).alias("place"), F.col("query_id").alias("id"), "v", "least", "wants")
+        stream = self.dealt().unionByName(asked).repartitionById(slices * len(self.edges), F.col("slot")).sortWithinPartitions("slot", "asks", "place")
+
+        def best_of(part: pd.DataFrame, place: np.ndarray, bounds: np.ndarray, ids: np.ndarray, matrix: np.ndarray) -> pd.DataFrame:
+            v, qid, least = np.stack(part["v"].to_numpy()), part["id"].to_numpy(), part["least"].to_numpy().copy()
+            wants = np.unpackbits(np.stack([np.frombuffer(x, dtype=np.uint8) for x in part["wants"]]), axis=1)
+            best, more, n = _nothing(), [], 0
+
+            def settled(best, more):
+                best = _top(*[np.concatenate(x) for x in zip(best, *more)], k)
+                full = np.flatnonzero(np.bincount(best[0], minlength=len(qid)) == k)
+                kth = best[2][np.searchsorted(best[0], full, "right") - 1]
+                least[full] = np.maximum(least[full], kth)
+                return best
+
+            for lo, hi in zip(bounds, bounds[1:]):
+                rows = np.flatnonzero(wants[:, place[lo]])
+                if not len(rows):
+                    continue
+                s = v[rows] @ matrix[lo:hi].T
+                r, c = np.nonzero(s >= (least[rows] - 1e-6)[:, None])  # before rounding
+                who, found, score = rows[r], ids[lo + c], np.round(s[r, c], 6)
+                fits = score >= least[who]
+                if exclude_self:
+                    fits &= found != qid[who]
+                more.append((who[fits], found[fits], score[fits]))
+                n += len(more[-1][0])
+                if n > FINDS:
+                    best, more, n = settled(best, more), [], 0
+            who, found, score = settled(best, more)
+            return pd.DataFrame({"query_id": qid[who], "vec_id": found, "score": score})
+
+        def score(batches):
+            here, rows, block = None, [], None
+            for pdf in batches:
+                out = [NOTHING]
+                for key, part in pdf.groupby("slot", sort=False):
+                    if key != here:
+                        here, rows, block = key, [], None
+                    own = part[part["asks"] == 0]
+                    if len(own):
+                        rows.append((own["place"].to_numpy() - edges[key // slices], own["id"].to_numpy(), np.stack(own["v"].to_numpy())))
+                    asks = part[part["asks"] == 1]
+                    if len(asks) and rows:
+                        place, ids, matrix = (np.concatenate(x) for x in zip(*rows))
+                        block, rows = (place, np.append(np.flatnonzero(np.diff(place, prepend=-1)), len(place)), ids, matrix), []
+                    if len(asks) and block:
+                        out += [best_of(asks.iloc[at:at + QUERIES], *block) for at in range(0, len(asks), QUERIES)]
+                yield pd.concat(out)
+
+        return stream.mapInPandas(score, FOUND)
 
 
 ROUTED = "query_id long, v array<double>, cell long, piece long"
+FOUND = "query_id long, vec_id long, score double"
+NOTHING = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+
+
+def _nothing() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+
+
+def _top(who: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best finds of each query, in order; ties go to the smaller id."""
+    order = np.lexsort((ids, -scores, who))
+    sorted_who = who[order]
+    order = order[np.arange(len(order)) - np.searchsorted(sorted_who, sorted_who) < k]
+    return who[order], ids[order], scores[order]
 
 
 def _scored(held: DataFrame, routed: DataFrame, k: int, exclude_self: bool) -> DataFrame:
     """The k best rows of every piece for every query that is sent to it; the queries stream past the piece."""
     asked = routed.select("cell", "piece", F.lit(1).alias("asks"), F.col("query_id").alias("id"), "v")
     stream = held.unionByName(asked).repartition("cell", "piece").sortWithinPartitions("cell", "piece", "asks")
-    nothing = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     def best_of(part: pd.DataFrame, ids: np.ndarray, matrix: np.ndarray) -> pd.DataFrame:
         s = np.round(np.stack(part["v"].to_numpy()) @ matrix.T, 6)
         qid = part["id"].to_numpy()
         if exclude_self:
             s[qid[:, None] == ids[None, :]] = -np.inf
-        best = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-        found = pd.DataFrame({"query_id": np.repeat(qid, best.shape[1]), "vec_id": ids[best].ravel(), "score": np.take_along_axis(s, best, axis=1).ravel()})
-        return found[np.isfinite(found["score"])]
+        kth = np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(qid), -np.inf)
+        r, c = np.nonzero((s >= kth[:, None]) & np.isfinite(s))
+        who, found, score = _top(r, ids[c], s[r, c], k)
+        return pd.DataFrame({"query_id": qid[who], "vec_id": found, "score": score})
 
     def score(batches):
         here, ids, rows, matrix = None, [], [], None
         for pdf in batches:
-            out = [nothing]
+            out = [NOTHING]
             for key, part in pdf.groupby(["cell", "piece"], sort=False):
                 if key != here:
                     here, ids, rows, matrix = key, [], [], None
@@ -131,10 +226,10 @@ def _scored(held: DataFrame, routed: DataFrame, k: int, exclude_self: bool) -> D
                 if len(asks) and ids:
                     if matrix is None:
                         ids, matrix = [np.concatenate(ids)], np.concatenate(rows)
-                    out += [best_of(asks.iloc[at:at + 512], ids[0], matrix) for at in range(0, len(asks), 512)]
+                    out += [best_of(asks.iloc[at:at + QUERIES], ids[0], matrix) for at in range(0, len(asks), QUERIES)]
             yield pd.concat(out)
 
-    return stream.mapInPandas(score, "query_id long, vec_id long, score double")
+    return stream.mapInPandas(score, FOUND)
 
 
 def similar_examples(queries: DataFrame, corpus: DataFrame, k: int = 3, exclude_self: bool = True) -> DataFrame:
@@ -149,7 +244,7 @@ def similar_examples(queries: DataFrame, corpus: DataFrame, k: int = 3, exclude_
     far = F.sqrt(F.greatest(F.lit(0.0), 2.0 - 2.0 * (F.min("score") - 1e-6)))
     reach = near.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, far).alias("reach"))
     rest = own.others(q.join(reach, "query_id", "left"), k + (1 if exclude_self else 0))
-    best = near.unionByName(_scored(own.held(), rest, k, exclude_self))
+    best = near.unionByName(own.scored(rest, k, exclude_self))
     turn = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(turn)).filter(F.col("rank") <= k)
 
