@@ -33,6 +33,9 @@ UNDETERMINED = "und"
 #: One labelled row in so many is kept from the fit and sets the loss from which on a text is rejected: the largest loss of
 #: these rows times the slack, and never less than so many times the loss of a text that says nothing about any bit.
 CALIBRATION, SLACK, SILENT = 8, 2.0, 2.0
+#: A trigram is known that this share of a language's fitted rows hold. A text with at least TELLING different trigrams is rejected
+#: if the share of known ones is under LEAST_KNOWN, and under TRUSTED of the least share among the rows kept from the fit.
+COMMON, TELLING, LEAST_KNOWN, TRUSTED = 0.02, 16, 0.5, 0.8
 
 
 @dataclass
@@ -43,6 +46,8 @@ class Model:
     bias: np.ndarray
     trust: np.ndarray  # weight of each bit's loss
     limit: float = math.inf  # loss of the nearest codeword from which on a text is rejected
+    known: np.ndarray | None = None  # buckets, 1 where a learned language has them
+    least: float = 0.0  # share of known trigrams under which a text is rejected
 
 
 def codewords(n: int, seed: int = 7) -> np.ndarray:
@@ -152,6 +157,9 @@ def fit(labelled: DataFrame, per_language: int = ROWS_PER_LANGUAGE, rounds: int
         model = Model(names, codes, weights, bias, trust.astype(np.float32))
         if aside.any():
             model.limit = max(SLACK * float(losses(model, kept @ weights + bias).min(1).max()), SILENT * math.log(2) * float(trust.sum()))
+            model.known = np.any([(x[owner == i] > 0).mean(0) >= COMMON for i in range(n) if (owner == i).any()], axis=0).astype(np.float32)
+            shares = known_shares(model, kept)
+            model.least = min(LEAST_KNOWN, TRUSTED * float(shares[np.isfinite(shares)].min(initial=1.0)))
         return model
     return Model(names, codes, weights, bias, trust.astype(np.float32))
 
@@ -175,11 +183,22 @@ def misfits(model: Model, outputs: np.ndarray) -> np.ndarray:
     return losses(model, outputs).min(1) > model.limit
 
 
+def known_shares(model: Model, rows: np.ndarray) -> np.ndarray:
+    """Per row of features the share of known trigrams; infinite for a text too short to tell."""
+    shares = rows @ model.known / np.maximum(rows.sum(1), 1e-9)
+    return np.where((rows > 0).sum(1) >= TELLING, shares, np.inf)
+
+
+def strange(model: Model, rows: np.ndarray) -> np.ndarray:
+    """Rows of features that hold too few trigrams of any learned language, such as another script or a dump of digits."""
+    return np.zeros(len(rows), dtype=bool) if model.known is None else known_shares(model, rows) < model.least
+
+
 def identify(docs: DataFrame, model: Model, text: str = "text", prefix: str = "") -> DataFrame:
     """Adds lang_pred, score (0 to 1), ambiguous and rejected, named behind ``prefix``, to every row; other columns stay.
 
-    Null text and text without a letter give ``und`` with score 0 and are rejected, as are texts that fit no codeword. With one
-    learned language every other text gets it with score 1; with none, all get ``und``, and those with a letter are not rejected. Texts are read whole whatever their length."""
+    Null text and text without a letter give ``und`` with score 0 and are rejected, as are texts that fit no codeword and texts
+    made of trigrams that no learned language has. With one learned language every other text gets it with score 1; with none, all get ``und``, and those with a letter are not rejected. Texts are read whole whatever their length."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def kernel():
@@ -198,11 +217,12 @@ def identify(docs: DataFrame, model: Model, text: str = "text", prefix: str = ""
                 for lo, hi in spans([len(texts[i]) for i in live], 250_000):
                     for part in range(lo, hi, 64):
                         rows = live[part:min(hi, part + 64)]
-                        outputs = features([texts[i] for i in rows]) @ own.weights + own.bias
+                        made = features([texts[i] for i in rows])
+                        outputs = made @ own.weights + own.bias
                         best, p, close = decode(own, outputs)
                         for i, b in zip(rows, best):
                             pred[i] = own.languages[b]
-                        score[rows], unclear[rows], refused[rows] = p, close, misfits(own, outputs)
+                        score[rows], unclear[rows], refused[rows] = p, close, misfits(own, outputs) | strange(own, made)
             return [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(unclear, pa.bool_()), pa.array(refused, pa.bool_())]
 
         return work
